@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import quality
+from .common import doc_split, table
 from .mixing import mix
 from .order_minhash import with_edited_likeness
 from .token_counts import count_tokens
@@ -17,6 +18,13 @@ URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 DOMAIN_WEIGHTS = [("d0", None, None, 4.0), ("d1", None, None, 2.0), ("d2", None, None, 1.0), ("d3", None, None, 1.0), ("d0", "en", None, 3.0), ("d1", "en", None, 3.0), ("d2", "en", None, 3.0), ("d3", "en", None, 3.0)]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), use=doc_split("doc_id", 5) != 0)
+    rated = quality.scored(docs, model).drop("text")
+    return rated.select("doc_id", (doc_split("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,7 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op5_order_minhash": op5_order_minhash,
     "op6_mix_sources": op6_mix_sources,
     "op7_token_counts": op7_token_counts,
