@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import quality
 from .common import doc_split, table
+from .decontaminate import leaks
 from .mixing import mix
 from .order_minhash import with_edited_likeness
 from .token_counts import count_tokens
@@ -47,6 +48,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS irn, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+iw AS (SELECT *, least(len(w), 5) AS n FROM i WHERE len(w) > 0),
+isets AS (SELECT DISTINCT irn, item_id, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT irn, item_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM iw)),
+widths AS (SELECT DISTINCT n FROM iw),
+dsets AS (SELECT DISTINCT rn, doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT rn, doc_id, n, w, unnest(range(1, greatest(len(w) - n + 2, 1))) AS k FROM d, widths)),
+sizes AS (SELECT irn, count(*) AS n_shingles FROM isets GROUP BY irn),
+pairs AS (SELECT rn, doc_id, irn, item_id, count(*) AS n_shared FROM dsets JOIN isets USING (n, s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM pairs JOIN sizes USING (irn) WHERE n_shared * 10 >= n_shingles * 8
+"""
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge(table(spark, sf_dir, "pages"), rules)
@@ -68,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_order_minhash": op5_order_minhash,
     "op6_mix_sources": op6_mix_sources,
     "op7_token_counts": op7_token_counts,
+    "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op10_url_filters": OP10_SQL}
+ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
