@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and it survives lost executors."""
+    """``df`` as a table in the shared folder: lineage ends there, and it survives lost executors.
+
+    The shuffle files of the job that writes it go when it ends.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -52,21 +60,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}
+_STEP = {True: BASE, False: np.uint64(pow(int(BASE), -1, 1 << 64))}
+#: A fixed 64-bit code for each byte.
+_BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX_A)
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def powers(n: int, up: bool) -> np.ndarray:
+    """The first ``n`` powers of BASE, or of its inverse."""
+    if len(_powers[up]) < n:
+        steps = np.full(1 << int(n - 1).bit_length(), _STEP[up])
+        steps[:1] = 1
+        _powers[up] = np.cumprod(steps)
+    return _powers[up][:n]
+
+
+class Spans:
+    """Hashes of any span of a sequence of 64-bit numbers, from running sums; equal spans have equal hashes wherever they stand."""
+
+    def __init__(self, items: np.ndarray):
+        self.sums = np.zeros(len(items) + 1, np.uint64)
+        np.cumsum(items * powers(len(items), True), out=self.sums[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[b] - self.sums[a]) * powers(len(self.sums), False)[a] + (b - a).astype(np.uint64))
+
+
 def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words start (one entry more than texts).
 
-    Words are the runs of bytes outside 0x20 and 0x09-0x0D, which is what ``bytes.split`` gives.
+    Words are the runs of bytes outside 0x20 and 0x09-0x0D, which is also what ``bytes.split`` gives.
     """
-    words: list[bytes] = []
+    whole = b"\n".join(texts)
+    codes = np.frombuffer(whole.lower() if lower else whole, np.uint8)
+    blank = np.ones(len(codes) + 2, bool)
+    blank[1:-1] = _BLANK[codes]
+    a = np.flatnonzero(blank[:-1] & ~blank[1:])
+    b = np.flatnonzero(~blank[:-1] & blank[1:])
     starts = np.zeros(len(texts) + 1, np.int64)
-    for k, t in enumerate(texts):
-        words += (t.lower() if lower else t).split()
-        starts[k + 1] = len(words)
-    if not words:
-        return np.zeros(0, np.uint64), starts
-    coded = pa.array(words, pa.large_binary()).dictionary_encode()
-    names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return names[coded.indices.to_numpy()], starts
+    if texts:
+        starts[1:] = np.searchsorted(a, np.cumsum([len(t) + 1 for t in texts]))
+    return Spans(_BYTE_CODES[codes]).of(a, b), starts
 
 
 def shingled(words: np.ndarray, n: int) -> np.ndarray:

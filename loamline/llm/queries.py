@@ -12,6 +12,7 @@ from .common import doc_split, table
 from .decontaminate import leaks
 from .mixing import mix
 from .order_minhash import with_edited_likeness
+from .substring_dedup import without_repeats
 from .token_counts import count_tokens
 from .url_rules import judge
 
@@ -26,6 +27,23 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", (doc_split("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 18, 1))) AS k, w FROM d),
+wins AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 19], ' ')) AS h FROM p),
+late AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS n FROM wins) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS k FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, count(gone.k) AS n_removed, string_agg(CASE WHEN gone.k IS NULL THEN word END, ' ' ORDER BY words.k) AS t FROM words LEFT JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -83,10 +101,11 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_order_minhash": op5_order_minhash,
     "op6_mix_sources": op6_mix_sources,
     "op7_token_counts": op7_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
