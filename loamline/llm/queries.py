@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .common import doc_split, table
 from .decontaminate import leaks
+from .jaccard_join import grouped
 from .mixing import mix
 from .order_minhash import with_edited_likeness
 from .substring_dedup import without_repeats
@@ -27,6 +28,21 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", (doc_split("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + least(len(w), 3) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -101,6 +117,7 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_order_minhash": op5_order_minhash,
     "op6_mix_sources": op6_mix_sources,
@@ -108,4 +125,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
