@@ -171,3 +171,13 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     named = written(named, "jaccard-named")
     found = named.join(named.groupBy("c").agg(F.min("k").alias("component_id")), "c").select(F.col("s1").alias("s"), "component_id")
     return own.join(found, F.col("s1") == F.col("s"), "left").select(F.col("key_").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key_")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of linked documents, that of the smallest key, all columns; rows without words all stay.
+
+    Rows that repeat the smallest key with equal texts stay as often as they are there.
+    """
+    found = grouped(docs, key, text, width, percent).where((F.col("n_shingles") == 0) | F.col(key).eqNullSafe(F.col("component_id")))
+    keep = written(found.select(F.col(key).alias("keep_")).distinct(), "jaccard-keep")
+    return docs.join(keep, F.col(key).eqNullSafe(F.col("keep_")), "left_semi")

@@ -11,6 +11,7 @@ from . import lm_scoring, quality
 from .common import doc_split, table
 from .decontaminate import leaks
 from .jaccard_join import grouped
+from .license_scan import scan
 from .mixing import mix
 from .order_minhash import with_edited_likeness
 from .substring_dedup import without_repeats
@@ -44,6 +45,28 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USI
 """
 
 
+LICENCES = {
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "MIT": "Released under the MIT License.",
+}
+
+
+def path_of_document():
+    """A place in a tree for each document: source / thousands / sixties / name. Every eighth is called LICENSE: it stands in the
+    innermost directory, every 64th one above it, every 512th at the source's top."""
+    i = F.col("doc_id")
+    top, mid, low = F.col("source"), F.concat(F.lit("b"), F.floor(i / 4096)), F.concat(F.lit("c"), F.floor(i / 256))
+    name = F.concat(F.lit("LICENSE."), i)
+    return F.when(i % 512 == 0, F.concat_ws("/", top, name)).when(i % 64 == 0, F.concat_ws("/", top, mid, name)).when(i % 8 == 0, F.concat_ws("/", top, mid, low, name)).otherwise(F.concat_ws("/", top, mid, low, F.concat(i, F.lit(".txt"))))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents").select("doc_id", path_of_document().alias("path"), "text"), LICENCES)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -125,6 +148,7 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_order_minhash": op5_order_minhash,
     "op6_mix_sources": op6_mix_sources,
