@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,11 +90,36 @@ class Spans:
         return mixed((self.sums[b] - self.sums[a]) * powers(len(self.sums), False)[a] + (b - a).astype(np.uint64))
 
 
+#: Text bytes hashed at once, to bound memory.
+HASH_BYTES = 1 << 20
+
+
 def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words start (one entry more than texts).
 
     Words are the runs of bytes outside 0x20 and 0x09-0x0D, which is also what ``bytes.split`` gives.
     """
+    found, starts = [np.zeros(0, np.uint64)], np.zeros(len(texts) + 1, np.int64)
+    for part in blocks(texts, HASH_BYTES):
+        hashes, first = _hashed(texts[part], lower)
+        starts[part.start + 1 : part.stop + 1] = starts[part.start] + first[1:]
+        found.append(hashes)
+    return np.concatenate(found), starts
+
+
+def blocks(texts: list[bytes], limit: int = 2 << 20) -> Iterator[slice]:
+    """Runs of texts of about ``limit`` bytes, at least one text each."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= limit:
+            yield slice(at, k + 1)
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def _hashed(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     whole = b"\n".join(texts)
     codes = np.frombuffer(whole.lower() if lower else whole, np.uint8)
     blank = np.ones(len(codes) + 2, bool)
@@ -101,8 +127,7 @@ def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, n
     a = np.flatnonzero(blank[:-1] & ~blank[1:])
     b = np.flatnonzero(~blank[:-1] & blank[1:])
     starts = np.zeros(len(texts) + 1, np.int64)
-    if texts:
-        starts[1:] = np.searchsorted(a, np.cumsum([len(t) + 1 for t in texts]))
+    starts[1:] = np.searchsorted(a, np.cumsum([len(t) + 1 for t in texts]))
     return Spans(_BYTE_CODES[codes]).of(a, b), starts
 
 

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mixed, shingle_sets, shingled, texts_of
-from .token_counts import blocks
+from .common import blocks, hashed_words, mixed, shingle_sets, shingled, texts_of
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
 #: Text bytes of items that go with the tasks at once.

@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, mixed, shingle_sets, texts_of, written
+from .common import Spans, blocks, mixed, shingle_sets, texts_of, written
 from .components import components
-from .token_counts import blocks
 
 SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95))
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Hashes go to Spark as bigint.
 BIGINT = np.int64
 

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import hashed_words, shingled, texts_of
-from .token_counts import blocks
+from .common import blocks, hashed_words, shingled, texts_of
 
 #: Byte classes whose share of a text is a statistic.
 CLASSES = {

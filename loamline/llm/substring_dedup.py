@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Spans, hashed_words, texts_of, written
+from .common import Spans, blocks, hashed_words, texts_of, written
 from .recompress import anchors
-from .token_counts import blocks
 
 #: Text bytes that numpy works on at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _as_lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -108,8 +107,6 @@ def _removal(window: int, text_at: int, n_columns: int):
         for b in batches:
             texts = texts_of(b.column(text_at))
             (shared, shared_row), (own, own_row) = _number_lists(b.column(n_columns)), _number_lists(b.column(n_columns + 1))
-            kept: list[bytes] = []
-            n_words, n_removed = [], []
             for part in blocks(texts, BLOCK_BYTES):
                 words, starts = hashed_words(texts[part])
                 place = np.arange(len(words))
@@ -127,15 +124,15 @@ def _removal(window: int, text_at: int, n_columns: int):
                 depth[repeated + window] -= 1  # windows start at different words, so no index repeats
                 gone = np.cumsum(depth[:-1]) > 0
                 removed = np.add.reduceat(np.append(gone, False).astype(np.int64), starts[:-1]) * (np.diff(starts) > 0)
+                kept = []
                 for k, x in enumerate(texts[part]):
                     own_words = x.split()
                     if removed[k]:
                         own_words = [w for w, out in zip(own_words, gone[starts[k] : starts[k + 1]].tolist(), strict=True) if not out]
                     kept.append(b" ".join(own_words))
-                n_words += np.diff(starts).tolist()
-                n_removed += removed.tolist()
-            extra = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n_columns], *extra], names=[*b.schema.names[:n_columns], "n_words", "n_removed", "kept_text"])
+                rows = b.slice(part.start, part.stop - part.start)
+                extra = [pa.array(np.diff(starts)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:n_columns], *extra], names=[*b.schema.names[:n_columns], "n_words", "n_removed", "kept_text"])
 
     return run
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import blocks, texts_of
 
 SPACE = "▁"
 #: Distinct pre-tokens whose counts a worker keeps between batches; beyond it the cache starts anew.
@@ -69,17 +69,6 @@ class PieceCounter:
         return sums[starts[1:]] - sums[starts[:-1]]
 
 
-def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[slice]:
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
     """``key``, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``) for each row; null texts are empty and have no tokens.
 
@@ -99,7 +88,7 @@ def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
         counter = PieceCounter(at)
         for b in batches:
             texts = texts_of(b.column(1))
-            for part in blocks(texts):
+            for part in blocks(texts, BLOCK_BYTES):
                 own = texts[part]
                 n = counter.batch(own)
                 yield pa.RecordBatch.from_arrays(
