@@ -67,6 +67,28 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", path_of_document().alias("path"), "text"), LICENCES)
 
 
+OP3_SQL = r"""
+WITH templates(licence, t) AS (VALUES %s),
+files AS (SELECT doc_id, text, CASE WHEN doc_id %% 512 = 0 THEN concat_ws('/', source, name) WHEN doc_id %% 64 = 0 THEN concat_ws('/', source, mid, name) WHEN doc_id %% 8 = 0 THEN concat_ws('/', source, mid, low, name) ELSE concat_ws('/', source, mid, low, doc_id || '.txt') END AS path
+  FROM (SELECT *, 'b' || doc_id // 4096 AS mid, 'c' || doc_id // 256 AS low, 'LICENSE.' || doc_id AS name FROM documents)),
+tc AS (SELECT licence, term, count(*) AS c FROM (SELECT licence, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS term FROM templates) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM files),
+df AS (SELECT term, count(DISTINCT path) AS df FROM (SELECT path, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM files) WHERE term IN (SELECT term FROM tc) GROUP BY term),
+idf AS (SELECT DISTINCT tc.term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM tc LEFT JOIN df USING (term), n),
+unit AS (SELECT licence, term, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY licence)) AS u FROM tc JOIN idf USING (term)),
+lines AS (SELECT path, unnest(string_split(lower(text), chr(10))) AS l, unnest(range(len(string_split(lower(text), chr(10))))) AS line FROM files),
+tf AS (SELECT path, line, term, count(*) AS tf FROM (SELECT path, line, unnest(regexp_extract_all(l, '[\p{L}\p{N}]+')) AS term FROM lines) GROUP BY ALL),
+w AS (SELECT path, line, tf.term, tf * coalesce(idf, ln(n + 1) + 1) AS w FROM tf LEFT JOIN idf USING (term), n),
+len AS (SELECT path, line, sqrt(sum(w * w)) AS len FROM w GROUP BY ALL),
+cosine AS (SELECT path, licence, max(round(dot / len, 9)) AS cosine FROM (SELECT path, line, licence, sum(w * u) AS dot FROM w JOIN unit USING (term) GROUP BY ALL) JOIN len USING (path, line) GROUP BY ALL),
+own AS (SELECT path, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cosine DESC, licence) AS k FROM cosine WHERE cosine >= 0.6) WHERE k = 1),
+given AS (SELECT dir, licence FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, licence, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY cosine DESC, licence) AS k FROM own WHERE regexp_matches(path, '/LICENSE[.][^/]*$')) WHERE k = 1),
+up AS (SELECT path, depth, array_to_string(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/')[1:depth], '/') AS dir FROM files, (VALUES (1), (2), (3)) d(depth) WHERE depth <= len(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'))),
+near AS (SELECT path, dir, licence FROM (SELECT path, dir, licence, row_number() OVER (PARTITION BY path ORDER BY depth DESC) AS k FROM up JOIN given USING (dir)) WHERE k = 1)
+SELECT doc_id, f.path, own.licence AS own_licence, cosine, CASE WHEN own.licence IS NULL THEN near.dir END AS inherited_from, coalesce(own.licence, near.licence) AS licence FROM files f LEFT JOIN own ON own.path = f.path LEFT JOIN near ON near.path = f.path
+""" % ", ".join(f"('{k}', '{v}')" for k, v in LICENCES.items())
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -157,4 +179,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
