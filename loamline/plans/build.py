@@ -66,11 +66,11 @@ def inventory(tree: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def build(tree: DataFrame, config: dict | None = None, previous: Build | None = None) -> Build:
-    """``tree`` has path, mode, oid, bytes, content (text). Files that ``previous`` includes with the same path, oid and mode are not cut again."""
+    """``tree`` has path, mode, oid, bytes, content (text or bytes). Files that ``previous`` includes with the same path, oid and mode are not cut again."""
     config = config or preset()
     own = config_hash(config)
     listed = inventory(tree, config["maxFileBytes"])
-    included = classified(tree, max_bytes=config["maxFileBytes"]).where("reason IS NULL")
+    included = classified(tree, max_bytes=config["maxFileBytes"]).where("reason IS NULL").withColumn("content", F.col("content").cast("string"))
     if previous and previous.config_hash != own:
         raise ValueError("a version is built on one of the same configuration")
     fresh = included

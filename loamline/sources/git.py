@@ -23,6 +23,8 @@ def commit_of(folder: str, ref: str) -> tuple[str, str]:
     """Commit and its time as text, of a full ref, a branch or tag name that only one has, or a commit. Revision expressions are refused."""
     if not ref or ref.startswith("-") or any(c in ref for c in "~^:@{}*?[\\ "):
         raise ValueError(f"{ref!r} is not a plain ref")
+    if ref == "HEAD":
+        return tuple(_git(folder, "show", "-s", "--format=%H %cI", "HEAD").decode().strip().split(" ", 1))
     known = _git(folder, "for-each-ref", "--format=%(refname)").decode().split("\n")
     names = [x for x in (ref, f"refs/heads/{ref}", f"refs/tags/{ref}") if x in known]
     if len(names) > 1:

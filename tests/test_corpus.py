@@ -161,3 +161,30 @@ def test_git_tree(spark, tmp_path):
         with pytest.raises(ValueError):
             git.commit_of(str(tmp_path), bad)
     assert preset()["mode"] == "syntax"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loamline.__main__ import parser, run
+
+    repo, root = tmp_path / "r", str(tmp_path / "c")
+    repo.mkdir()
+    g = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    do = lambda *a: run(spark, parser().parse_args(["--root", root, *a])).collect()
+    g("init", "-q", "-b", "main")
+    (repo / "a.md").write_text("# Needle\n\ntext\n")
+    (repo / "b.bin").write_bytes(b"\x00")
+    g("add", "-A")
+    g("commit", "-qm", "1")
+    g("tag", "v1")
+    assert do("import", "--path", str(repo), "--dry-run")[0].asDict().items() >= {"included": 1, "excluded": 1}.items()
+    first = do("import", "--path", str(repo), "--ref", "main")[0].commit
+    (repo / "c.txt").write_text("more\n")
+    g("add", "-A")
+    g("commit", "-qm", "2")
+    g("tag", "v2")
+    row = do("import", "--path", str(repo), "--ref", "main", "--previous", first, "--dry-run")[0]
+    assert (row.added, row.modified, row.unchanged) == (1, None, 2)
+    assert {(r.ref, r.status) for r in do("sync-tags", "--path", str(repo))} == {("refs/tags/v1", "available"), ("refs/tags/v2", "pending")}
+    do("import", "--path", str(repo), "--ref", "main", "--previous", first)
+    assert len(do("versions")) == 2 and do("resolve", "v2")[0].commit != first
+    assert do("search", "v1", "needle")[0].path == "a.md" and do("read", "v2", "a.md", "--lines", "1:1")[0].text == "# Needle\n"
