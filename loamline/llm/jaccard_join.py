@@ -38,8 +38,8 @@ def least_common(n, percent: int):
 
 
 def extra(n, percent: int):
-    """Shingles beyond the shortest prefix that the first order takes."""
-    return (n - least_common(n, percent)) // 4
+    """Shingles beyond the shortest prefix that the first order takes: as many again, so that half of them must be shared."""
+    return n - least_common(n, percent)
 
 
 def signature(s: np.ndarray) -> tuple[int, int]:
@@ -121,7 +121,7 @@ def linked(docs: DataFrame, own: DataFrame, key: str, text: str, width: int, per
     alone = prefixes.groupBy("token").agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).where("s1 = other").groupBy("s1").agg(F.count(F.lit(1)).alias("alone"))
     first = own.where("n > 0").groupBy("s1").agg(F.min("key_").alias("key_"), F.min("n").alias("n"))
     lack = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
-    more = F.floor(lack / 4)
+    more = lack
     taken = F.least(F.col("n"), lack + 1 + more)
     stay = first.join(alone, "s1", "left").where(taken - F.coalesce("alone", F.lit(0)) >= F.least(more + 1, taken))
     stay = written(stay.select("s1", "key_"), "jaccard-stay")
