@@ -44,6 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Rows of a few numbers each that may be broadcast, some tens of MB; more are joined by shuffling both sides.
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most ``BROADCAST_ROWS``."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def doc_split(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

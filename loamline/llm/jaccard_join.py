@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, blocks, mixed, shingle_sets, texts_of, written
+from .common import Spans, blocks, broadcast_if_small, mixed, shingle_sets, texts_of, written
 from .components import components
 
 SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95))
@@ -126,6 +126,7 @@ def linked(docs: DataFrame, own: DataFrame, key: str, text: str, width: int, per
     stay = first.join(alone, "s1", "left").where(taken - F.coalesce("alone", F.lit(0)) >= F.least(more + 1, taken))
     stay = written(stay.select("s1", "key_"), "jaccard-stay")
 
+    stay = broadcast_if_small(stay)
     asked = texts.join(stay, texts.key_.eqNullSafe(stay.key_)).select(texts.key_, "text_", "s1")
     sets = asked.mapInArrow(_whole_sets(width, percent), "s1 bigint, tokens array<bigint>, second array<bigint>")
     sets = written(sets.dropDuplicates(["s1"]), "jaccard-sets")
@@ -177,6 +178,8 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Rows that repeat the smallest key with equal texts stay as often as they are there.
     """
-    found = grouped(docs, key, text, width, percent).where((F.col("n_shingles") == 0) | F.col(key).eqNullSafe(F.col("component_id")))
-    keep = written(found.select(F.col(key).alias("keep_")).distinct(), "jaccard-keep")
-    return docs.join(keep, F.col(key).eqNullSafe(F.col("keep_")), "left_semi")
+    found = grouped(docs, key, text, width, percent)
+    stays = (F.col("n_shingles") == 0) | F.col(key).eqNullSafe(F.col("component_id"))
+    gone = found.groupBy(F.col(key).alias("gone_")).agg(F.max(stays).alias("stays")).where("NOT stays").select("gone_")
+    gone = broadcast_if_small(written(gone, "jaccard-gone"))
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("gone_")), "left_anti")
