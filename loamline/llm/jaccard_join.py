@@ -1,7 +1,8 @@
 """N-gram Jaccard join with prefix filters under several global token orders, and the components of its links.
 
 Documents with equal shingle sets are one class. A link needs ``percent`` of the union in common, so of A's shingles at most
-``len(A) - ceil(percent * len(A))`` are not in its partner, and under any global order the first so many plus ``more`` of both share ``more``:
+``len(A) - ceil(percent * len(A))`` are not in its partner, and under any global order the first so many plus ``more`` of two sets of one size
+share ``more``; of two sizes, one less at least:
 
 1. order of a seeded hash: a class stays if enough of its prefix shingles are also in the prefixes of other classes;
 2. order of document frequency among the classes that stay (rarest first): classes that share a prefix shingle are candidates;
@@ -123,7 +124,9 @@ def linked(docs: DataFrame, own: DataFrame, key: str, text: str, width: int, per
     lack = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
     more = lack
     taken = F.least(F.col("n"), lack + 1 + more)
-    stay = first.join(alone, "s1", "left").where(taken - F.coalesce("alone", F.lit(0)) >= F.least(more + 1, taken))
+    # Partners of other sizes have other prefixes: of linked sets the larger may share one less than its own surplus, from half the union up.
+    need = F.greatest(F.lit(1), more) if percent >= 50 else F.lit(1)
+    stay = first.join(alone, "s1", "left").where(taken - F.coalesce("alone", F.lit(0)) >= need)
     stay = written(stay.select("s1", "key_"), "jaccard-stay")
 
     stay = broadcast_if_small(stay)

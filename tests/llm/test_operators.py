@@ -138,6 +138,17 @@ def test_components_match_all_pairs(spark, width, percent):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, width, percent)
 
 
+def test_components_of_all_sizes(spark):
+    """Sets that differ by few shingles in size, at the very threshold: prefixes of different lengths must still meet."""
+    rows = []
+    for n in range(1, 60):
+        for cut in {0, 1, max(1, n // 10), max(1, n // 5)} - {n}:
+            rows.append((len(rows), " ".join(f"q{n}x{i}" for i in range(n - cut))))
+    for percent in (90, 80, 50, 30):
+        got = jaccard_join.grouped(frame(spark, rows), width=1, percent=percent).collect()
+        assert sorted(map(tuple, got), key=repr) == brute_components(rows, 1, percent)
+
+
 def test_components_edges(spark, odd, empty):
     got = sorted(map(tuple, jaccard_join.grouped(odd).collect()), key=repr)
     assert got == brute_components(ODD, 5, 80)
