@@ -1,6 +1,6 @@
 """Order MinHash fingerprints: signatures that notice both which words a text has and in which order.
 
-K-mers are runs of ``k`` words, numbered by occurrence so that repeats count. Each of ``bins`` slots takes, of the numbered
+K-mers are runs of ``k`` words, numbered by occurrence so that repeats count. Each of the slots takes, of the numbered
 k-mers whose hash falls to it, the ``keep`` with the smallest hashes, puts them back into text order and hashes the tuple.
 The share of equal slots between two fingerprints estimates how alike the texts are in words and order.
 
@@ -13,13 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bits of a packed k-mer that hold its place: texts may have up to 2 to this power words before places wrap.
+PLACE_BITS = 24
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def fingerprint(text: Column, k: int = 3, slot_bits: int = 5, keep: int = 2) -> Column:
-    """array<bigint> with one entry for each of ``2 ** slot_bits`` slots; null for an empty slot."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
-    return _let(words, lambda w: _let(_kmers(w, k), lambda h: _let(_numbered(h), lambda s: _slots(s, slot_bits, keep))))
+    """array<bigint> with one entry for each filled slot, by slot; the first ``slot_bits`` bits of an entry tell its slot."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANKS))
+    return _let(words, lambda w: _let(F.sort_array(_kmers(w, k)), lambda s: _let(_numbered(s), lambda a: _slots(a, slot_bits, keep))))
 
 
 def _let(value: Column, body) -> Column:
@@ -27,51 +30,69 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _packed(h: Column, place: Column) -> Column:
+    """Leading bits of a hash and a place in one number, which sorts by hash, then place."""
+    return F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(place.cast("bigint"))
+
+
+def _hash(x: Column) -> Column:
+    return F.shiftright(x, PLACE_BITS)
+
+
 def _kmers(w: Column, k: int) -> Column:
     n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(runs)
+    runs = F.slice(F.arrays_zip(*[F.slice(w, F.lit(j + 1), n) for j in range(k)]), F.lit(1), F.greatest(n - k + 1, F.lit(0)))
+    short = F.array(_packed(F.xxhash64(F.array_join(w, " ")), F.lit(0)))
+    return F.when((n > 0) & (n < k), short).otherwise(F.transform(runs, lambda x, i: _packed(F.xxhash64(x), i)))
 
 
-def _numbered(h: Column) -> Column:
-    """array of struct(h, i) sorted: hash of k-mer and occurrence number, place. First occurrences keep the plain hash."""
-    placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    again = lambda s, x, j: (j > 0) & (F.get(s, j - 1)["h"] == x["h"])
-    return _let(placed, lambda s: F.array_sort(F.concat(F.filter(s, lambda x, j: ~again(s, x, j)), _renumbered(F.filter(s, lambda x, j: again(s, x, j))))))
+def _numbered(s: Column) -> Column:
+    """The sorted k-mers with the occurrence number mixed into the hashes of second and later occurrences, sorted again."""
+    again = lambda x, j: (j > 0) & (_hash(F.get(s, j - 1)) == _hash(x))
+    return _let(F.filter(s, again), lambda r: F.when(F.size(r) == 0, s).otherwise(F.sort_array(F.concat(F.filter(s, lambda x, j: ~again(x, j)), _renumbered(r)))))
 
 
 def _renumbered(repeats: Column) -> Column:
-    """Hashes of second and later occurrences, which come sorted by (hash, place), with their number mixed in."""
-    start = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(1).alias("n"), F.array().cast("array<struct<h:bigint,i:int>>").alias("out"))
+    start = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(1).alias("n"), F.array().cast("array<bigint>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        n = F.when(acc["h"] == x["h"], acc["n"] + 1).otherwise(F.lit(2))
-        return F.struct(x["h"].alias("h"), n.alias("n"), F.array_append(acc["out"], F.struct(F.xxhash64(x["h"], n).alias("h"), x["i"].alias("i"))).alias("out"))
+        n = F.when(acc["h"] == _hash(x), acc["n"] + 1).otherwise(F.lit(2))
+        return F.struct(_hash(x).alias("h"), n.alias("n"), F.array_append(acc["out"], _packed(F.xxhash64(_hash(x), n), x.bitwiseAND(2**PLACE_BITS - 1))).alias("out"))
 
     return F.aggregate(repeats, start, step, lambda acc: acc["out"])
 
 
-def _slots(s: Column, bits: int, keep: int) -> Column:
+def _slot(x: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(x, 64 - bits)
+
+
+def _slots(a: Column, bits: int, keep: int) -> Column:
     """The leading bits of a hash tell its slot, so in sorted order each slot's smallest come first."""
-    slot = lambda x: F.shiftrightunsigned(x["h"], 64 - bits)
-    least = F.filter(s, lambda x, j: (j < keep) | (slot(F.get(s, j - keep)) != slot(x)))
-    in_text_order = lambda own: F.transform(F.array_sort(F.transform(own, lambda x: F.struct(x["i"], x["h"]))), lambda x: x["h"])
-    return _let(least, lambda m: F.transform(
-        F.sequence(F.lit(0), F.lit(2**bits - 1)),
-        lambda b: _let(F.filter(m, lambda x: slot(x) == b), lambda own: F.when(F.size(own) > 0, F.xxhash64(in_text_order(own)))),
-    ))
+    least = F.filter(a, lambda x, j: (j < keep) | (_slot(F.get(a, j - keep), bits) != _slot(x, bits)))
+
+    def entry(m: Column, x: Column, j: Column) -> Column:
+        own = F.filter(F.slice(m, j + 1, F.lit(keep)), lambda y: _slot(y, bits) == _slot(x, bits))
+        in_text_order = F.sort_array(F.transform(own, lambda y: F.struct(y.bitwiseAND(2**PLACE_BITS - 1), _hash(y).alias("h"))))
+        folded = F.shiftrightunsigned(F.xxhash64(F.transform(in_text_order, lambda y: y["h"])), bits)
+        return F.shiftleft(_slot(x, bits), 64 - bits).bitwiseOR(folded)
+
+    def heads(m: Column) -> Column:
+        marked = F.transform(m, lambda x, j: F.when((j == 0) | (_slot(F.get(m, j - 1), bits) != _slot(x, bits)), entry(m, x, j)))
+        return F.array_compact(marked)
+
+    return _let(least, heads)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, slot_bits: int = 5) -> Column:
     """Share of slots that agree, of those that either text fills."""
-    filled = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x, y)), lambda z: z.isNotNull()))
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: F.coalesce(z, F.lit(False))))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(same / filled)
+    slots = lambda f: F.transform(f, lambda x: _slot(x, slot_bits))
+    filled = F.size(F.array_union(slots(a), slots(b)))
+    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
 def as_text(prints: Column) -> Column:
-    """The fingerprint as one string of hex numbers, ``-`` for empty slots."""
-    return F.array_join(F.transform(prints, lambda x: F.coalesce(F.lower(F.hex(x)), F.lit("-"))), ".")
+    """The fingerprint as one string of hex numbers."""
+    return F.array_join(F.transform(prints, lambda x: F.lower(F.hex(x))), ".")
 
 
 def with_next(rows: DataFrame, key: str, *columns: str, groups_per_partition: int = 4) -> DataFrame:
