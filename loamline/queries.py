@@ -346,7 +346,8 @@ def mutation_batches(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the corpus, searched with a filter, with excerpts and citations."""
-    c = chunking.chunks(_included(spark, sf_dir), config_hash(preset()))
+    # Counted, scored and cited from one table: cutting is the costly part.
+    c = stored(chunking.chunks(_included(spark, sf_dir), config_hash(preset())), "chunks")
     best = search.ranked(c.select("id", "path", "language", "search_text"), QUERY, 10, F.col("language") == "markdown")
     cite = text.citation(F.lit("A"), F.col("path"), F.col("start_line"), F.col("end_line"))
     return best.join(c, "id").select("id", "score", "path", "chunk_kind", text.excerpt(F.col("search_text")).alias("excerpt"), cite.alias("citation")).orderBy(F.desc("score"), "id")
