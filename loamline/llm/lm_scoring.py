@@ -1,9 +1,14 @@
 """LM scoring: n-grams smoothed by absolute discounts, as a weighted backoff automaton that each text is walked through once.
 
-Counts cover the whole training side: words, then pairs and triples whose words (and pairs) are frequent enough to reach the same share.
-An n-gram becomes an arc if its share of the training tokens is at least ``SHARE_WORD`` or ``SHARE_NGRAM``; shares sum to at most one for each order,
-so an automaton has at most ``1 / SHARE_WORD + 2 / SHARE_NGRAM`` arcs however large the corpus, which bounds what the driver holds and
-the tasks are sent. Rarer words are not cut: their exact counts meet the texts in a join, and as each has less than that share none is hot.
+Counts cover the whole training side. Every word is a state, and every pair and triple that occurs ``LEAST`` times or more is an arc, whatever
+the size of the corpus, so the model grows with it. No place holds the model: its counts and weights are tables, and each
+block of texts (about ``BLOCK_BYTES``) is brought those of its own distinct n-grams.
+
+1. Blocks are written: the distinct word hashes of each, and its texts as places among them.
+2. Each block tells its distinct words, pairs and triples, as sorted 64-bit hashes with the block's own training counts, dealt by leading bits.
+   Counts are summed, and each block gets back the sums in the order of its hashes. A hot n-gram comes once from each block.
+3. One block of those that hold an n-gram adds it to its context's sums; these are dealt and brought back likewise, as backoff weights.
+4. Each block is walked with its own part of the automaton.
 
 A state is the longest kept suffix of what has been read. A walk takes the arc for the next word if the state has it; otherwise it adds the
 state's backoff weight, follows the failure arc to the next shorter suffix, and at the root takes the word's own probability,
@@ -21,17 +26,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hashed_words, texts_of, written
+from .common import blocks, hashed_words, mixed, texts_of, written
 
-SHARE_WORD, SHARE_NGRAM = 1e-6, 1e-5
+#: Pairs and triples that occur less often in training are left to backoff.
+LEAST = 2
 DISCOUNT = 0.75
-ORDER = 3
-#: Stands for the end of a text among the word hashes.
-END = np.uint64(0x656E64)
-COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
+#: Stand for the end and the start of a text among the word hashes.
+END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
+BLOCK_BYTES = 8 << 20
+#: Tokens for each group that hashes are dealt to, about; one group is in memory at once.
+GROUP_TOKENS = 1_000_000
+WORD, PAIR, TRIPLE, WORD_BACKOFF, PAIR_BACKOFF = range(5)
+DEALT = "block_ bigint, order_ int, bucket_ bigint, codes_ binary, x_ binary, y_ binary"
+BROUGHT = "block_ bigint, order_ int, bucket_ bigint, x_ binary, total_ bigint, distinct_ bigint"
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +54,10 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Automaton:
-    """States: one for each frequent word (by its number), one for the start of a text, one for each kept pair.
+    """The whole model in memory, for small corpora: what ``score`` must agree with.
 
-    ``hashes`` are the frequent words, sorted, ``counts`` theirs; ``pairs`` and ``triples`` map number tuples to counts.
+    States: one for each word (by its number), one for the start of a text, one for each kept pair. ``hashes`` are the words, sorted,
+    ``counts`` theirs; ``pairs`` and ``triples`` map number tuples to counts.
     """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int, pairs: dict | None = None, triples: dict | None = None):
@@ -112,125 +123,214 @@ class Automaton:
         return total
 
 
-def _counted(codes: np.ndarray) -> pa.RecordBatch:
-    code, n = np.unique(codes, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n, pa.int64())], names=["code", "n"])
+def _pack(a: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, of which the leading ones are mostly zero and compress."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _unpack(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _pack_sorted(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=a.dtype.type(0)))
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = texts_of(b.column(0))
-        for part in blocks(texts, COUNT_BYTES):
-            yield _counted(token_hashes(texts[part])[0])
+def _unpack_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
 
 
-def _grams(frequent: np.ndarray, pairs: np.ndarray | None):
-    """Counts of pairs of frequent words (coded ``first * (n + 1) + second``, the start being word n), or of triples (pair's place in
-    ``pairs`` times (n + 1) plus word) of which both pairs are among ``pairs``."""
-    n = len(frequent)
+def _blocks(kind: pa.DataType):
+    """Rows of (key, text, learn, rate) as blocks: sorted distinct words, the texts as places among them, tokens of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
-            texts = texts_of(b.column(0))
-            for part in blocks(texts, COUNT_BYTES):
+            texts = texts_of(b.column(1))
+            for part in blocks(texts, BLOCK_BYTES):
                 tokens, starts = token_hashes(texts[part])
-                at = np.minimum(np.searchsorted(frequent, tokens), n - 1)
-                w = np.where(frequent[at] == tokens, at, -1)
-                before = np.concatenate([[-1], w[:-1]])
-                before[starts[:-1]] = n
-                code = np.where((w >= 0) & (before >= 0), before * (n + 1) + w, -1)
-                if pairs is None:
-                    yield _counted(code[code >= 0])
-                    continue
-                place = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
-                kept = np.where((code >= 0) & (pairs[place] == code), place, -1)
-                earlier = np.concatenate([[-1], kept[:-1]])
-                earlier[starts[:-1]] = -1
-                both = (earlier >= 0) & (kept >= 0)
-                yield _counted(earlier[both] * (n + 1) + w[both])
+                words, at = np.unique(tokens, return_inverse=True)
+                learn, rate = (b.column(i)[part.start : part.stop].to_numpy(zero_copy_only=False).astype(np.uint8) for i in (2, 3))
+                keys = b.column(0)[part.start : part.stop].filter(pa.array(rate.astype(bool)))
+                columns = [_pack_sorted(words), _pack(at.astype(np.uint32)), _pack(np.diff(starts).astype(np.uint64)), learn.tobytes(), rate.tobytes()]
+                lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys.cast(kind))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), lists, *[pa.array([x], pa.binary()) for x in columns], pa.array([len(tokens)])], names=["block_", "keys_", "words_", "at_", "sizes_", "learn_", "rate_", "tokens_"])
+                block += 1
 
     return run
 
 
-def learn(train: DataFrame, text: str = "text") -> tuple[Automaton, DataFrame]:
-    """The automaton, and (code, n) of all words with their exact counts, as a written table."""
-    texts = train.select(text)
-    schema = "code bigint, n bigint"
-    words = written(texts.mapInArrow(_word_counts, schema).groupBy("code").agg(F.sum("n").alias("n")), "lm-words")
-    total, distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
-    least = SHARE_WORD * total
-    top = words.where(F.col("n") >= least).toArrow()  # at most 1 / SHARE_WORD rows
-    hashes, counts = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    starts = int(words.where(F.col("code") == int(END)).agg(F.sum("n")).first()[0] or 0)
-    least = max(2.0, SHARE_NGRAM * total)
-    some = np.flatnonzero(counts >= least)  # others are in no n-gram that is kept
-    kept: list[dict] = [{}, {}]
-    if len(some):
-        frequent, codes = hashes[some], None
-        for order in range(2, ORDER + 1):
-            rows = texts.mapInArrow(_grams(frequent, codes), schema).groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-            code, n = rows["code"].to_numpy(), rows["n"].to_numpy().tolist()
-            number = np.append(some, len(hashes))
-            head, last = np.divmod(code, len(frequent) + 1)
-            if order == 2:
-                firsts = (number[head],)
-                codes = np.sort(code)
-            else:
-                first, middle = np.divmod(codes[head], len(frequent) + 1)
-                firsts = (number[first], number[middle])
-            kept[order - 2] = dict(zip(zip(*[x.tolist() for x in firsts], number[last].tolist(), strict=True), n, strict=True))
-            if not len(codes):
-                break
-    return Automaton(hashes, counts, total, distinct, starts, *kept), words
+class _Grams:
+    """N-grams of a block: for each token the place of its word, pair and triple among the block's sorted distinct ones (-1: none)."""
 
+    def __init__(self, row: dict):
+        self.words, self.at = _unpack_sorted(row["words_"]), _unpack(row["at_"], np.uint32).astype(np.int64)
+        self.sizes = _unpack(row["sizes_"], np.uint64).astype(np.int64)
+        self.learn, self.rate = (np.frombuffer(row[c], np.uint8).astype(bool) for c in ("learn_", "rate_"))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        #: Place of the word before each token; the start of a text comes after all words.
+        self.before = np.concatenate([[0], self.at[:-1]])
+        self.before[self.starts] = len(self.words)
+        w = self.words[self.at]
+        code = mixed(mixed(np.append(self.words, START)[self.before] + np.uint64(2)) ^ w)
+        self.pairs, self.pair_first, self.pair = np.unique(code, return_index=True, return_inverse=True)
+        self.second = np.ones(len(w), bool)
+        self.second[self.starts] = False
+        later = np.flatnonzero(self.second)
+        self.triples, first, inverse = np.unique(mixed(mixed(code[later - 1] + np.uint64(3)) ^ w[later]), return_index=True, return_inverse=True)
+        self.triple_first, self.triple = later[first], np.full(len(w), -1)
+        self.triple[later] = inverse
 
-def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``, with a model of the texts of ``train``."""
-    model, words = learn(train, text)
-    parts = (model.hashes, model.counts, model.total, model.distinct)
-    pairs, triples, starts = model.pairs, model.triples, model.starts
-    kind = docs.schema[key].dataType.simpleString()
+    def weights(self, brought: dict[int, np.ndarray], base: int) -> None:
+        """Counts and conditional probabilities, where kept, of what the block holds."""
+        self.n1, self.n2, self.n3 = ((brought[k] >> np.uint64(1)).astype(np.int64) for k in (WORD, PAIR, TRIPLE))
+        self.own2, self.own3 = ((brought[k] & np.uint64(1)).astype(bool) for k in (PAIR, TRIPLE))
+        seen = np.append(self.n1, self.n1[np.searchsorted(self.words, END)])  # each text has one start and one end
+        self.p1 = (self.n1 + 1) / base
+        self.kept2, self.kept3 = self.n2 >= LEAST, self.n3 >= LEAST
+        self.context2, self.context3 = self.before[self.pair_first], self.pair[self.triple_first - 1]
+        self.p2 = np.where(self.kept2, (self.n2 - DISCOUNT) / np.maximum(seen[self.context2], 1), 1.0)
+        self.p3 = np.where(self.kept3, (self.n3 - DISCOUNT) / np.maximum(self.n2[self.context3], 1), 1.0)
+
+
+def _dealt(block: int, bits: int, order: int, codes: np.ndarray, x: np.ndarray, y: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block's sorted codes with their numbers, cut by the leading ``bits``."""
+    bounds = np.append(np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(codes))
+    some = np.flatnonzero(np.diff(bounds))
+    cut = [slice(bounds[k], bounds[k + 1]) for k in some]
+    columns = [[_pack_sorted(codes[c]) for c in cut], [_pack(x[c]) for c in cut], [_pack(y[c]) if y is not None else b"" for c in cut]]
+    n = len(some)
+    return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([order] * n, pa.int32()), pa.array(some, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["block_", "order_", "bucket_", "codes_", "x_", "y_"])
 
+
+def _counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Automaton(*parts, starts, pairs, triples)
-        log_own = np.append(own.own, 0.0)
-        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts = texts_of(b.column(1))
-            for part in blocks(texts, SCORE_BYTES):
-                tokens, at = token_hashes(texts[part])
-                numbers = own.numbers(tokens)
-                sums = np.concatenate([[0.0], np.cumsum(log_own[numbers])])
-                known = np.concatenate([[0], np.cumsum(numbers >= 0)])
-                listed = numbers.tolist()
-                walked = [own.walk(listed[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
-                rare = np.flatnonzero(numbers < 0)
-                owner = np.searchsorted(at, rare, "right") - 1
-                order = np.lexsort((tokens[rare], owner))
-                owner, code = owner[order], tokens[rare][order]
-                head = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
-                offsets = pa.array(np.searchsorted(owner[head], np.arange(len(at))), pa.int32())
-                times = np.diff(np.append(head, len(code)))
-                n = len(at) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0)[part.start : part.stop], pa.array(np.arange(row, row + n)), pa.array(np.diff(at)), pa.array(known[at[1:]] - known[at[:-1]]), pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(walked, pa.float64()),
-                        pa.ListArray.from_arrays(offsets, pa.array(code[head].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
-                    ],
-                    names=["key_", "row_", "n_tokens", "known_", "base_", "walked_", "codes_", "times_"],
-                )
-                row += n
-
-    schema = f"key_ {kind}, row_ bigint, n_tokens bigint, known_ bigint, base_ double, walked_ double, codes_ array<bigint>, times_ array<int>"
-    walked = written(docs.select(key, text).mapInArrow(run, schema), "lm-walked")
-    rare = walked.select("row_", F.explode(F.arrays_zip("codes_", "times_")).alias("x")).select("row_", F.col("x.codes_").alias("code"), F.col("x.times_").alias("times"))
-    met = rare.join(words.where(F.col("n") < SHARE_WORD * model.total), "code", "left")
-    own = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.base)))
-    sums = met.groupBy("row_").agg(F.sum(F.col("times") * own).alias("rare_"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met_"))
-    out = walked.join(sums, "row_", "left")
-    rest, met = F.coalesce("rare_", F.lit(0.0)), F.coalesce("met_", F.lit(0))
-    return out.select(
-        F.col("key_").alias(key), "n_tokens", (F.col("known_") + met).cast("bigint").alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), (F.col("base_") + rest).alias("base_score"), (F.col("walked_") + rest).alias("score")
-    )
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                g = _Grams(row)
+                learnt = np.repeat(g.learn, g.sizes)
+                for order, codes, at in ((WORD, g.words, g.at), (PAIR, g.pairs, g.pair), (TRIPLE, g.triples, g.triple)):
+                    n = np.bincount(at[learnt & (at >= 0)], minlength=len(codes)).astype(np.uint64)
+                    yield _dealt(row["block_"], bits, order, codes, n)
+
+    return run
+
+
+def _met(t: pa.Table):
+    """The rows of one group by block: codes and numbers of all, their order by code, and where each code starts in it."""
+    t = t.sort_by("block_")
+    codes = [_unpack_sorted(x) for x in t["codes_"].to_pylist()]
+    bounds = np.cumsum([0, *map(len, codes)])
+    codes = np.concatenate(codes)
+    order = np.argsort(codes, kind="stable")
+    head = np.flatnonzero(np.append(True, codes[order][1:] != codes[order][:-1]))
+    return t, bounds, order, head, np.diff(np.append(head, len(order)))
+
+
+def _back(t: pa.Table, bounds: np.ndarray, values: np.ndarray, total: int = 0, distinct: int = 0) -> pa.Table:
+    n = t.num_rows
+    cut = [_pack(values[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+    once = lambda x: pa.array([x] + [0] * (n - 1), pa.int64())
+    return pa.table({"block_": t["block_"], "order_": t["order_"], "bucket_": t["bucket_"], "x_": pa.array(cut, pa.binary()), "total_": once(total), "distinct_": once(distinct)})
+
+
+def _summed_counts(t: pa.Table) -> pa.Table:
+    """Twice the count of each code (of pairs and triples, if kept, else 0), one more in the first block that has it."""
+    t, bounds, order, head, times = _met(t)
+    n = np.concatenate([_unpack(x, np.uint64) for x in t["x_"].to_pylist()])[order]
+    sums = np.add.reduceat(n, head)
+    word = t["order_"][0].as_py() == WORD
+    doubled = np.repeat(np.where(word | (sums >= LEAST), sums * np.uint64(2), np.uint64(0)), times)
+    doubled[head] += np.uint64(1)
+    values = np.empty(len(order), np.uint64)
+    values[order] = doubled
+    return _back(t, bounds, values, int(sums.sum()) if word else 0, int(np.count_nonzero(sums)) if word else 0)
+
+
+def _summed_backoffs(t: pa.Table) -> pa.Table:
+    t, bounds, order, head, times = _met(t)
+    spent, lower = (np.add.reduceat(np.concatenate([_unpack(x, np.float64) for x in t[c].to_pylist()])[order], head) for c in ("x_", "y_"))
+    values = np.empty(len(order))
+    values[order] = np.repeat(np.log10(np.maximum(1e-12, 1 - spent) / np.maximum(1e-12, 1 - lower)), times)
+    return _back(t, bounds, values)
+
+
+def _joined(held: pa.Table, brought: pa.Table) -> tuple[dict, dict[int, np.ndarray]]:
+    """A block, and what it was brought by order."""
+    brought = brought.select(["order_", "bucket_", "x_"]).sort_by([("order_", "ascending"), ("bucket_", "ascending")])
+    orders, found = brought["order_"].to_numpy(), {}
+    for k in range(PAIR_BACKOFF + 1):
+        a, z = np.searchsorted(orders, [k, k + 1])
+        kind = np.float64 if k >= WORD_BACKOFF else np.uint64
+        found[k] = np.concatenate([np.zeros(0, kind), *[_unpack(x, kind) for x in brought["x_"][a:z].to_pylist()]])
+    return held.to_pylist()[0], found
+
+
+def _contexts(bits: int, base: int):
+    """What the n-grams that a block owns take from their contexts, and what these would give them by backoff."""
+
+    def run(held: pa.Table, brought: pa.Table) -> pa.Table:
+        row, found = _joined(held, brought)
+        g = _Grams(row)
+        g.weights(found, base)
+        mine = np.flatnonzero(g.kept2 & g.own2)
+        names = np.append(g.words, START)
+        order = np.argsort(names)
+        sums = [np.bincount(g.context2[mine], v, len(names)) for v in (g.p2[mine], g.p1[g.at[g.pair_first[mine]]])]
+        words = _dealt(row["block_"], bits, WORD_BACKOFF, names[order], *[x[order] for x in sums])
+        mine = np.flatnonzero(g.kept3 & g.own3)
+        sums = [np.bincount(g.context3[mine], v, len(g.pairs)) for v in (g.p3[mine], g.p2[g.pair[g.triple_first[mine]]])]
+        return pa.Table.from_batches([words, _dealt(row["block_"], bits, PAIR_BACKOFF, g.pairs[g.kept2], *[x[g.kept2] for x in sums])])
+
+    return run
+
+
+def _walked(base: int, kind: pa.DataType):
+    def run(held: pa.Table, brought: pa.Table) -> pa.Table:
+        row, found = _joined(held, brought)
+        g = _Grams(row)
+        g.weights(found, base)
+        names = np.append(g.words, START)
+        backoff1 = np.empty(len(names))
+        backoff1[np.argsort(names)] = found[WORD_BACKOFF]
+        backoff2 = np.zeros(len(g.pairs))
+        backoff2[g.kept2] = found[PAIR_BACKOFF]
+        own = np.log10(g.p1)[g.at]
+        by_pair = np.where(g.kept2[g.pair], np.log10(g.p2)[g.pair], backoff1[g.before] + own)
+        score, later = by_pair, np.flatnonzero(g.second)
+        kept = g.kept3[g.triple[later]]
+        score[later] = np.where(kept, np.log10(g.p3)[g.triple[later]], backoff2[g.pair[later - 1]] + by_pair[later])
+        known = (g.n1 > 0)[g.at].astype(np.int64)
+        rated = lambda x: pa.array(np.add.reduceat(x, g.starts)[g.rate])
+        return pa.table({"key_": held["keys_"].chunk(0).flatten().cast(kind), "n_tokens": pa.array(g.sizes[g.rate]), "n_known": rated(known), "base_score": rated(own), "score": rated(score)})
+
+    return run
+
+
+def score_rows(rows: DataFrame, learn: Column, rate: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, n_tokens, n_known, train_tokens, base_score, score for each of ``rows`` where ``rate`` holds, with a model of those where ``learn`` does."""
+    spark, field = rows.sparkSession, rows.schema[key]
+    kind, arrow = field.dataType.simpleString(), rows.select(key).limit(0).toArrow().schema.field(0).type
+    asked = rows.select(F.col(key), F.col(text), F.coalesce(learn, F.lit(False)), F.coalesce(rate, F.lit(False)))
+    held = written(asked.mapInArrow(_blocks(arrow), f"block_ bigint, keys_ array<{kind}>, words_ binary, at_ binary, sizes_ binary, learn_ binary, rate_ binary, tokens_ bigint"), "lm-blocks")
+    tokens = held.agg(F.sum("tokens_")).first()[0] or 0
+    groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // GROUP_TOKENS)
+    bits = max(1, int(groups - 1).bit_length())
+
+    def returned(dealt: DataFrame, summed, name: str) -> DataFrame:
+        return written(dealt.groupBy("order_", "bucket_").applyInArrow(summed, BROUGHT), name)
+
+    counts = returned(held.mapInArrow(_counts(bits), DEALT), _summed_counts, "lm-counts")
+    total, distinct = (int(x or 0) for x in counts.agg(F.sum("total_"), F.sum("distinct_")).first())
+    base = total + distinct + 1
+    beside = lambda brought: held.groupBy("block_").cogroup(brought.groupBy("block_"))
+    backoffs = returned(beside(counts).applyInArrow(_contexts(bits, base), DEALT), _summed_backoffs, "lm-backoffs")
+    walked = beside(counts.unionByName(backoffs)).applyInArrow(_walked(base, arrow), f"key_ {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return walked.select(F.col("key_").alias(key), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``score_rows`` of ``docs`` with a model of the texts of ``train``."""
+    both = docs.select(key, text, F.lit(True).alias("rate_")).unionAll(train.select(key, text, F.lit(False).alias("rate_")))
+    return score_rows(both, ~F.col("rate_"), F.col("rate_"), key, text)

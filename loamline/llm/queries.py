@@ -130,7 +130,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rated = lm_scoring.score(docs, docs.where(doc_split("doc_id", 7) != 2))
+    rated = lm_scoring.score_rows(docs, doc_split("doc_id", 7) != 2, F.lit(True))
     return rated.select("doc_id", (doc_split("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -472,6 +472,34 @@ def test_lm_is_a_distribution_and_walks_like_recursion():
     assert math.isclose(m.walk(some), want, rel_tol=1e-9)
 
 
+def test_lm_keeps_rare_ngrams_of_large_corpora(spark):
+    """Whatever the size of the corpus, n-grams seen twice are arcs: scores are those of the whole automaton in memory."""
+    rng = random.Random(12)
+    rare = [" ".join(f"{a}{rng.randrange(40)}" for a in "pqrstuv") for _ in range(60)]
+    rows = [(i, "ha " * 20000) for i in range(20)] + [(100 + i, rare[i // 2] + f" only{i}") for i in range(120)] + [(300, words(3, 300, 20)), (301, None), (302, "Never Seen " + rare[0])]
+    texts = {k: [*(t or "").lower().split(), ""] for k, t in rows}
+    train = {k: t for k, t in texts.items() if k != 302}
+    counts = Counter(w for t in train.values() for w in t)
+    number = {w: i for i, w in enumerate(counts)}
+    pairs, triples = Counter(), Counter()
+    for t in train.values():
+        x = [len(number), *(number[w] for w in t)]
+        pairs.update(zip(x, x[1:]))
+        triples.update(zip(x, x[1:], x[2:]))
+    kept = [{g: n for g, n in c.items() if n >= 2} for c in (pairs, triples)]
+    total = sum(counts.values())
+    m = lm_scoring.Automaton(np.arange(len(number), dtype=np.uint64), np.array(list(counts.values())), total, len(number), len(train), *kept)
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in lm_scoring.score(docs, docs.where("doc_id <> 302")).collect()}
+    flagged = {r.doc_id: r for r in lm_scoring.score_rows(docs, F.col("doc_id") != 302, F.lit(True)).collect()}
+    assert set(got) == set(flagged) == set(texts)
+    for k, t in texts.items():
+        want = m.walk([number.get(w, -1) for w in t]) - math.log10(m.base) * sum(w not in number for w in t)
+        assert math.isclose(got[k].score, want, rel_tol=1e-9) and math.isclose(flagged[k].score, want, rel_tol=1e-9)
+        assert got[k].train_tokens == total and got[k].n_known == sum(w in number for w in t)
+    assert got[100].score > got[100].base_score + 5
+
+
 # Decontamination
 
 
