@@ -36,9 +36,9 @@ LEAST = 2
 DISCOUNT = 0.75
 #: Stand for the end and the start of a text among the word hashes.
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Tokens for each group that hashes are dealt to, about; one group is in memory at once.
-GROUP_TOKENS = 1_000_000
+GROUP_TOKENS = 2_000_000
 WORD, PAIR, TRIPLE, WORD_BACKOFF, PAIR_BACKOFF = range(5)
 DEALT = "block_ bigint, order_ int, bucket_ bigint, codes_ binary, x_ binary, y_ binary"
 BROUGHT = "block_ bigint, order_ int, bucket_ bigint, x_ binary, total_ bigint, distinct_ bigint"
@@ -163,7 +163,7 @@ def _blocks(kind: pa.DataType):
 class _Grams:
     """N-grams of a block: for each token the place of its word, pair and triple among the block's sorted distinct ones (-1: none)."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, *orders: int):
         self.words, self.at = _unpack_sorted(row["words_"]), _unpack(row["at_"], np.uint32).astype(np.int64)
         self.sizes = _unpack(row["sizes_"], np.uint64).astype(np.int64)
         self.learn, self.rate = (np.frombuffer(row[c], np.uint8).astype(bool) for c in ("learn_", "rate_"))
@@ -173,7 +173,10 @@ class _Grams:
         self.before[self.starts] = len(self.words)
         w = self.words[self.at]
         code = mixed(mixed(np.append(self.words, START)[self.before] + np.uint64(2)) ^ w)
-        self.pairs, self.pair_first, self.pair = np.unique(code, return_index=True, return_inverse=True)
+        if PAIR in orders:
+            self.pairs, self.pair_first, self.pair = np.unique(code, return_index=True, return_inverse=True)
+        if TRIPLE not in orders:
+            return
         self.second = np.ones(len(w), bool)
         self.second[self.starts] = False
         later = np.flatnonzero(self.second)
@@ -203,14 +206,15 @@ def _dealt(block: int, bits: int, order: int, codes: np.ndarray, x: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([order] * n, pa.int32()), pa.array(some, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["block_", "order_", "bucket_", "codes_", "x_", "y_"])
 
 
-def _counts(bits: int):
+def _counts(bits: int, *orders: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
-                g = _Grams(row)
+                g = _Grams(row, *orders)
                 learnt = np.repeat(g.learn, g.sizes)
-                for order, codes, at in ((WORD, g.words, g.at), (PAIR, g.pairs, g.pair), (TRIPLE, g.triples, g.triple)):
+                for order in orders:
+                    codes, at = (g.words, g.at) if order == WORD else (g.pairs, g.pair) if order == PAIR else (g.triples, g.triple)
                     n = np.bincount(at[learnt & (at >= 0)], minlength=len(codes)).astype(np.uint64)
                     yield _dealt(row["block_"], bits, order, codes, n)
 
@@ -272,7 +276,7 @@ def _contexts(bits: int, base: int):
 
     def run(held: pa.Table, brought: pa.Table) -> pa.Table:
         row, found = _joined(held, brought)
-        g = _Grams(row)
+        g = _Grams(row, PAIR, TRIPLE)
         g.weights(found, base)
         mine = np.flatnonzero(g.kept2 & g.own2)
         names = np.append(g.words, START)
@@ -289,7 +293,7 @@ def _contexts(bits: int, base: int):
 def _walked(base: int, kind: pa.DataType):
     def run(held: pa.Table, brought: pa.Table) -> pa.Table:
         row, found = _joined(held, brought)
-        g = _Grams(row)
+        g = _Grams(row, PAIR, TRIPLE)
         g.weights(found, base)
         names = np.append(g.words, START)
         backoff1 = np.empty(len(names))
@@ -321,7 +325,9 @@ def score_rows(rows: DataFrame, learn: Column, rate: Column, key: str = "doc_id"
     def returned(dealt: DataFrame, summed, name: str) -> DataFrame:
         return written(dealt.groupBy("order_", "bucket_").applyInArrow(summed, BROUGHT), name)
 
-    counts = returned(held.mapInArrow(_counts(bits), DEALT), _summed_counts, "lm-counts")
+    # One job after the other, so that the shuffle of one is gone before the next.
+    counts, triples = (returned(held.mapInArrow(_counts(bits, *orders), DEALT), _summed_counts, "lm-counts") for orders in ((WORD, PAIR), (TRIPLE,)))
+    counts = counts.unionByName(triples)
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("total_"), F.sum("distinct_")).first())
     base = total + distinct + 1
     beside = lambda brought: held.groupBy("block_").cogroup(brought.groupBy("block_"))
