@@ -61,7 +61,7 @@ def _signed(width: int):
         for b, sets in _sets(batches, width):
             pairs = [signature(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["key_", "n", "s1", "s2"]
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["key_", "t_", "n", "s1", "s2"]
             )
 
     return run
@@ -97,9 +97,9 @@ def _whole_sets(width: int, percent: int):
 
 
 def classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key_, n (shingles), s1 and s2 (signature; null for empty sets) for each row, as a written table."""
-    own = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(text).alias("text_"))
-    return written(own.mapInArrow(_signed(width), "key_ bigint, n bigint, s1 bigint, s2 bigint"), "jaccard-classes")
+    """key_, t_ (hash of the text), n (shingles), s1 and s2 (signature; null for empty sets) for each row, as a written table."""
+    own = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(text).alias("text_"), F.xxhash64(text).alias("t_"))
+    return written(own.mapInArrow(_signed(width), "key_ bigint, t_ bigint, n bigint, s1 bigint, s2 bigint"), "jaccard-classes")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -117,20 +117,21 @@ def _alike_in_size(n: Column, m: Column, percent: int) -> Column:
 
 def linked(docs: DataFrame, own: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """node, component over the s1 of classes that have links; enough links for exact components are found, not all inside one."""
-    texts = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(text).alias("text_"))
+    texts = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(text).alias("text_"), F.xxhash64(text).alias("t_"))
     prefixes = texts.mapInArrow(_first_prefixes(width, percent), "token bigint, s1 bigint")
     alone = prefixes.groupBy("token").agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).where("s1 = other").groupBy("s1").agg(F.count(F.lit(1)).alias("alone"))
-    first = own.where("n > 0").groupBy("s1").agg(F.min("key_").alias("key_"), F.min("n").alias("n"))
+    first = own.where("n > 0").groupBy("s1").agg(F.min(F.struct("key_", "t_")).alias("row"), F.min("n").alias("n")).select("s1", "row.key_", "row.t_", "n")
     lack = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
     more = lack
     taken = F.least(F.col("n"), lack + 1 + more)
     # Partners of other sizes have other prefixes: of linked sets the larger may share one less than its own surplus, from half the union up.
     need = F.greatest(F.lit(1), more) if percent >= 50 else F.lit(1)
     stay = first.join(alone, "s1", "left").where(taken - F.coalesce("alone", F.lit(0)) >= need)
-    stay = written(stay.select("s1", "key_"), "jaccard-stay")
+    stay = written(stay.select("s1", "key_", "t_"), "jaccard-stay")
 
     stay = broadcast_if_small(stay)
-    asked = texts.join(stay, texts.key_.eqNullSafe(stay.key_)).select(texts.key_, "text_", "s1")
+    # By key and text: rows that repeat a key would each meet all classes of that key.
+    asked = texts.join(stay, (texts.t_ == stay.t_) & texts.key_.eqNullSafe(stay.key_)).select(texts.key_, "text_", "s1")
     sets = asked.mapInArrow(_whole_sets(width, percent), "s1 bigint, tokens array<bigint>, second array<bigint>")
     sets = written(sets.dropDuplicates(["s1"]), "jaccard-sets")
 

@@ -10,6 +10,8 @@ Slots empty in both texts do not count; two texts whose slots are all empty are
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,25 +98,28 @@ def as_text(prints: Column) -> Column:
 
 
 def with_next(rows: DataFrame, key: str, *columns: str, groups_per_partition: int = 4) -> DataFrame:
-    """``key``, ``columns`` and, as ``next_<column>``, those of the row next by (key, columns); after the last comes the first.
+    """``key``, ``columns`` and, as ``next_<column>``, those of the row next by (key, hash of columns); after the last comes the first.
 
     No task holds the whole order: rows are cut by key into ranges of about equal size (a few for each shuffle partition, whose bounds
     are all that the driver sees), and the first row of each range is sent to the range before it too. Null keys come first.
-    Keys are meant to be nearly unique: rows of one key stay together.
+    A key that fills several ranges is cut by a hash of the columns, by which ties of all keys go (then by the columns).
     """
     k = F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
     groups = groups_per_partition * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(rows.agg(F.percentile_approx(k, [i / groups for i in range(1, groups)], 20 * groups).alias("b")).first()["b"] or []))
-    placed = rows.select(key, *columns, k.alias("k_"), _upper_bound(bounds, k).alias("g_"))
-    first = {r["g_"]: r["k_"] for r in placed.groupBy("g_").agg(F.min("k_").alias("k_")).collect()}
+    found = rows.agg(F.percentile_approx(k, [i / groups for i in range(1, groups)], 20 * groups).alias("b")).first()["b"] or []
+    bounds = sorted((b, -(2**63) + 2**64 * i // n) for b, n in Counter(found).items() for i in range(n))
+    placed = rows.select(key, *columns, k.alias("k_"), F.xxhash64(columns[0]).alias("h_"))
+    placed = placed.withColumn("g_", _upper_bound(bounds, F.col("k_"), F.col("h_")))
+    first = {r["g_"]: tuple(r["first"]) for r in placed.groupBy("g_").agg(F.min(F.struct("k_", "h_")).alias("first")).collect()}
     if not first:
         return rows.select(key, *columns, *[F.col(c).alias(f"next_{c}") for c in columns])
     order = sorted(first)
     before = [order[order.index(g) - 1] if g in first else -1 for g in range(len(bounds) + 1)]
-    is_first = F.get(_longs([first.get(g, 0) for g in range(len(bounds) + 1)]), F.col("g_")) == F.col("k_")
+    of_first = lambda i: F.get(_longs([first.get(g, (0, 0))[i] for g in range(len(bounds) + 1)]), F.col("g_"))
+    is_first = (of_first(0) == F.col("k_")) & (of_first(1) == F.col("h_"))
     own, sent = F.struct(F.col("g_").alias("g"), F.lit(0).alias("sent")), F.struct(F.get(_longs(before), F.col("g_")).cast("int").alias("g"), F.lit(1).alias("sent"))
     dealt = placed.withColumn("to_", F.explode(F.when(is_first, F.array(own, sent)).otherwise(F.array(own))))
-    within = Window.partitionBy("to_.g").orderBy("to_.sent", "k_", *columns)
+    within = Window.partitionBy("to_.g").orderBy("to_.sent", "k_", "h_", *columns)
     return dealt.select(key, *columns, *[F.lead(c).over(within).alias(f"next_{c}") for c in columns], F.col("to_.sent").alias("sent_")).where("sent_ = 0").drop("sent_")
 
 
@@ -122,15 +127,15 @@ def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _upper_bound(bounds: list[int], k: Column) -> Column:
-    """How many of the sorted ``bounds`` are not above ``k``, by halving."""
+def _upper_bound(bounds: list[tuple[int, int]], k: Column, h: Column) -> Column:
+    """How many of the sorted ``bounds`` are not above (``k``, ``h``), by halving."""
     if not bounds:
         return F.lit(0)
-    held = _longs(bounds)
+    held, low = _longs([b for b, _ in bounds]), _longs([x for _, x in bounds])
 
     def step(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        right = (acc["lo"] < acc["hi"]) & (F.get(held, mid) <= k)
+        right = (acc["lo"] < acc["hi"]) & ((F.get(held, mid) < k) | ((F.get(held, mid) == k) & (F.get(low, mid) <= h)))
         return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(right | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"))
 
     ends = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
@@ -141,7 +146,7 @@ def with_edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text
     """Fingerprints of each text and of its edited form, and how alike the text's is to that and to the next document's.
 
     Edited: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document by ``key``.
-    Null texts are empty. Equal texts have equal fingerprints. Repeated rows stay; ties of ``key`` go by text. Other columns are not read.
+    Null texts are empty. Equal texts have equal fingerprints. Repeated rows stay; ties of ``key`` go by a hash of the text. Other columns are not read.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     n, q = F.length("t_"), F.floor(F.length("t_") / 4).cast("int")

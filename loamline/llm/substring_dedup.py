@@ -9,7 +9,8 @@ Counts and firsts are aggregations with partial sums before the shuffle, so no c
 what is theirs alone (unique keys, first windows), which needs no join on a hot key. Windows and keys are compared by 64-bit hashes of
 their words.
 
-Rows that repeat a key are judged apart from each other, each against documents of smaller keys and itself. Null keys sort before all others, and
+Rows are told apart by a hash of key and text, by which they are joined and gathered; the key is only the order that decides which start is
+earlier. Rows that repeat a key are judged apart from each other, each against documents of smaller keys and itself. Null keys sort before all others, and
 null texts are empty. Windows never cross texts. Other columns pass through. Empty tables give empty results.
 """
 
@@ -66,7 +67,7 @@ def _anchor_rows(window: int):
                 at = np.flatnonzero(chosen >= 0)
                 used, first = np.unique(chosen[at], return_index=True)
                 text = np.searchsorted(starts, at[first], "right") - 1
-                yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop].take(pa.array(text)), pa.array(keys[used].view(np.int64))], names=["k_", "key_"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop].take(pa.array(text)), pa.array(keys[used].view(np.int64))], names=["id_", "key_"])
 
     return run
 
@@ -87,8 +88,8 @@ def _window_rows(window: int):
                 first = _firsts(text, hashes)
                 sizes = np.bincount(text[first], minlength=len(starts) - 1)
                 some = np.flatnonzero(sizes)
-                keys_of = b.column(0)[part.start : part.stop].take(pa.array(some))
-                yield pa.RecordBatch.from_arrays([keys_of, _as_lists(hashes[first], sizes[some], pa.int64())], names=["k_", "shared_"])
+                keys_of, orders_of = (b.column(i)[part.start : part.stop].take(pa.array(some)) for i in (0, 3))
+                yield pa.RecordBatch.from_arrays([keys_of, orders_of, _as_lists(hashes[first], sizes[some], pa.int64())], names=["id_", "k_", "shared_"])
 
     return run
 
@@ -140,20 +141,27 @@ def _removal(window: int, text_at: int, n_columns: int):
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
     """``docs``, all columns, with n_words, n_removed and kept_text: the words not removed, joined by one space."""
     k = F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
-    keyed = docs.select(k.alias("k_"), F.col(text).alias("text_"))
-    found = keyed.mapInArrow(_anchor_rows(window), "k_ bigint, key_ bigint")
-    alone = found.groupBy("key_").agg(F.count(F.lit(1)).alias("n_"), F.min("k_").alias("k_")).where("n_ = 1")
-    alone = written(alone.groupBy("k_").agg(F.collect_list("key_").alias("alone_")), "anchors-alone")
-
-    asked = keyed.join(alone, "k_", "left").select("k_", "text_", "alone_")
-    shared = written(asked.mapInArrow(_window_rows(window), "k_ bigint, shared_ array<bigint>"), "windows-shared")
-    firsts = shared.select("k_", F.explode("shared_").alias("h_")).groupBy("h_").agg(F.min("k_").alias("k_"))
-    firsts = firsts.groupBy("k_").agg(F.collect_list("h_").alias("own_"))
-    by_key = shared.groupBy("k_").agg(F.flatten(F.collect_list("shared_")).alias("shared_"))
+    row = F.xxhash64(k, F.col(text))
+    keyed = docs.select(row.alias("id_"), F.col(text).alias("text_"), k.alias("k_"))
+    found = keyed.select("id_", "text_").mapInArrow(_anchor_rows(window), "id_ bigint, key_ bigint")
+    alone = found.groupBy("key_").agg(F.count(F.lit(1)).alias("n_"), F.min("id_").alias("id_")).where("n_ = 1")
+    alone = written(alone.groupBy("id_").agg(F.collect_list("key_").alias("alone_")), "anchors-alone")
+
+    asked = keyed.join(alone, "id_", "left").select("id_", "text_", "alone_", "k_")
+    shared = written(asked.mapInArrow(_window_rows(window), "id_ bigint, k_ bigint, shared_ array<bigint>"), "windows-shared")
+    each = shared.select("id_", "k_", F.explode("shared_").alias("h_"))
+    repeated = keyed.groupBy("k_").agg(F.min("id_").alias("a"), F.max("id_").alias("z")).where("a <> z")
+    if repeated.isEmpty():
+        firsts = each.groupBy("h_").agg(F.min_by("id_", "k_").alias("id_"))
+    else:  # several rows may have the smallest key
+        least = each.groupBy("h_").agg(F.min("k_").alias("k_"))
+        firsts = each.join(least, ["h_", "k_"], "left_semi").select("id_", "h_").distinct()
+    firsts = firsts.groupBy("id_").agg(F.collect_list("h_").alias("own_"))
+    by_row = shared.select("id_", "shared_").dropDuplicates(["id_"])  # rows of one id have one text
 
     names = docs.columns
-    whole = docs.select(*[F.col(c).alias(f"c{i}_") for i, c in enumerate(names)], k.alias("k_"))
-    whole = whole.join(by_key, "k_", "left").join(firsts, "k_", "left").select(*[f"c{i}_" for i in range(len(names))], "shared_", "own_")
+    whole = docs.select(*[F.col(c).alias(f"c{i}_") for i, c in enumerate(names)], row.alias("id_"))
+    whole = whole.join(by_row, "id_", "left").join(firsts, "id_", "left").select(*[f"c{i}_" for i in range(len(names))], "shared_", "own_")
     fields = [StructField(f"c{i}_", f.dataType) for i, f in enumerate(docs.schema.fields)]
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
     done = whole.mapInArrow(_removal(window, names.index(text), len(names)), StructType([*fields, *added]))

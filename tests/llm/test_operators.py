@@ -248,6 +248,49 @@ def test_repeats_edges(spark, odd, empty):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_rows_of_one_key_are_not_gathered(spark, monkeypatch):
+    """With one key on most rows, no row carries windows or anchors of another, and whole texts do not multiply."""
+    passage = words(70, 40)
+    rows = [(None if i % 4 else i, words(5000 + i, 50) + (" " + passage if i % 2 else "")) for i in range(80)] + [(None, words(5001, 50))] * 3
+    docs = frame(spark, rows)
+    tables = {}
+
+    def kept(df, name, write=substring_dedup.written):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(substring_dedup, "written", kept)
+    got = substring_dedup.without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_repeats(rows, 20)
+    assert max(len(r.alone_) for r in tables["anchors-alone"].collect()) < 100
+    asked = []
+    monkeypatch.setattr(jaccard_join, "_whole_sets", lambda *a, f=jaccard_join._whole_sets: asked.append(a) or f(*a))
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name, write=jaccard_join.written: tables.setdefault(name, write(df, name)))
+    near = [(None, t.replace("w2", "x2", 1)) for _, t in rows]
+    copies = frame(spark, rows + near)
+    assert sorted(map(tuple, jaccard_join.grouped(copies).collect()), key=repr) == brute_components(rows + near, 5, 80)
+    stay = tables["jaccard-stay"]
+    assert {"key_", "t_"} <= set(stay.columns) and stay.count() == stay.select("key_", "t_").distinct().count()
+
+
+def test_next_cuts_a_hot_key(spark):
+    """Rows of one key are dealt to many ranges, and each still has the row after it."""
+    rows = spark.createDataFrame([(7 if i % 3 else i, f"text {i}") for i in range(3000)], "doc_id bigint, t string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = order_minhash.with_next(rows, "doc_id", "t")
+        sizes = out.groupBy(F.spark_partition_id()).count().select("count").toArrow()["count"].to_pylist()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.t: r.next_t for r in out.collect()}
+    assert len(got) == 3000 and max(sizes) < 1900
+    at, seen = "text 0", set()
+    while at not in seen:
+        seen.add(at)
+        at = got[at]
+    assert len(seen) == 3000
+
+
 def test_anchors_of_equal_windows_agree():
     rng = random.Random(9)
     for vocabulary in (2, 4, 50):
