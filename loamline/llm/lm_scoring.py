@@ -124,12 +124,14 @@ class Automaton:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, of which the leading ones are mostly zero and compress."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    """Numbers as compressed planes of bytes, of which the leading ones are mostly zero; the size comes first."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+    planes = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 def _pack_sorted(a: np.ndarray) -> bytes:
