@@ -1,13 +1,14 @@
 """Licence scans: sparse TF-IDF cosine of statements to templates, then inheritance from the nearest ancestor directory.
 
-Every line of every file is a possible statement. Terms are lower-cased runs of letters and digits. A template term weighs
+Every line of every file is a possible statement, and so is every paragraph (cut at blank lines, and at lines without terms), the leading
+comment, and the whole text of a file named like a licence file: wrapped notices count as a whole. Terms are lower-cased runs of letters and digits. A template term weighs
 ``ln((N + 1) / (df + 1)) + 1`` by the number of files that hold it, counted over all files; terms of no template weigh like one that no file
-holds. A line is a statement of the template with the highest cosine (of equal ones the first by name) if that is at least
+holds. One of these is a statement of the template with the highest cosine (of equal ones the first by name) if that is at least
 ``least``. A file's own licence is that of its best statement. A file named like a licence file gives its licence to its directory, and a file
 without one takes that of the nearest directory at or above its own.
 
-Only lines that can reach ``least`` are scored: each template's weightiest terms are taken until the rest of its vector is shorter than
-``least`` of it, so by the Cauchy-Schwarz inequality a line without any of them stays below. This drops no statement.
+Only those that can reach ``least`` are scored: each template's weightiest terms are taken until the rest of its vector is shorter than
+``least`` of it, so by the Cauchy-Schwarz inequality one without any of them stays below. This drops no statement.
 
 Only DataFrame functions are used. Templates and their term counts are on the driver (a few hundred terms). Directories are resolved
 once each, from distinct directories, before files join them. Null texts have no statement; rows of one path count as one file; a null path
@@ -28,6 +29,9 @@ from .common import written
 TERM = r"[\p{L}\p{N}]+"
 LICENCE_FILE = r"(?i)\A(licen[cs]e|copying|copyright|notice|unlicense)([._-].*)?\z"
 
+#: Where the first line starts that is neither blank nor marked as a comment.
+CODE_LINE = r"(?m)^(?![ \t\r]*(?://|/\*|\*|#|--|;|%|$))"
+
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
@@ -49,6 +53,16 @@ def telling_terms(weights: dict[str, float], least: float) -> set[str]:
     return out
 
 
+def _pieces(file: Column, low: Column) -> Column:
+    """Lines, paragraphs of more than one line, the leading comment, and a licence file as a whole."""
+    several = lambda parts: F.filter(parts, lambda x: F.contains(x, F.lit("\n")))
+    bare = F.ltrim(low)
+    head = F.when(F.startswith(bare, F.lit("/*")), F.substring_index(low, "*/", 1)).when(F.startswith(bare, F.lit("<!--")), F.substring_index(low, "-->", 1)).otherwise(F.get(F.split(low, CODE_LINE, 2), F.lit(0)))
+    named = F.element_at(F.split(file, "/"), -1).rlike(LICENCE_FILE) & ~F.startswith(file, F.lit("\x00"))
+    whole = F.when(named, F.array(low)).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.split(low, "\n"), several(F.split(low, r"\n[ \t\r]*\n")), several(F.split(low, r"\n[^\p{L}\p{N}\n]*\n")), several(F.array(head)), several(whole))
+
+
 def statements(files: DataFrame, templates: dict[str, str], path: str = "path", text: str = "text", least: float = 0.6) -> DataFrame:
     """file_ (the path, or for a null one a hash of the text), licence, cosine: the best statement of each file that has one."""
     spark = files.sparkSession
@@ -69,7 +83,7 @@ def statements(files: DataFrame, templates: dict[str, str], path: str = "path",
     hint = F.lit(False)
     for t in telling:
         hint = hint | F.contains("low_", F.lit(t))
-    lines = own.withColumn("low_", F.lower("text_")).where(hint).select("file_", F.posexplode(F.split("low_", "\n")).alias("line", "l_"))
+    lines = own.withColumn("low_", F.lower("text_")).where(hint).select("file_", F.posexplode(_pieces(F.col("file_"), F.col("low_"))).alias("line", "l_"))
     lines = lines.select("file_", "line", terms(F.col("l_")).alias("terms_")).where(F.arrays_overlap("terms_", F.array(*map(F.lit, telling))))
     lines = written(lines.withColumn("id_", F.monotonically_increasing_id()), "licence-lines")
     tf = lines.select("id_", F.explode("terms_").alias("term")).groupBy("id_", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -185,6 +185,22 @@ def test_licences(spark, empty):
     assert license_scan.scan(empty.withColumn("path", F.lit("a/b")), t).count() == 0
 
 
+def test_wrapped_licences(spark):
+    """Notices wrapped over several lines, of which none reaches the threshold alone, count as blocks and as whole files."""
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistributions of source code must retain the above copyright notice.\n\nRedistributions in binary form must reproduce this list of conditions\nin the documentation and other materials.\n\nNeither the name of the holder nor the names of its contributors may\nendorse products derived from this software without permission."
+    t = {"GPL-3.0": gpl.replace("\n", " "), "BSD-3-Clause": bsd.replace("\n", " ")}
+    star = lambda x: "/*\n" + "\n".join(f" * {y}" for y in x.split("\n")) + "\n */\n"
+    rows = [
+        (1, "r/a/x.c", star(gpl) + "int a;\n" * 50), (2, "r/a/y.py", "\n".join(f"# {y}" for y in bsd.split("\n")) + "\nimport os\n" * 50), (3, "r/b/LICENSE", bsd), (4, "r/b/z.c", "int b;\n"),
+        (5, "r/c/w.txt", "code\n\n" + gpl + "\n\nmore code\n"), (6, "r/c/v.txt", "free\nsoftware\n"), (7, "r/d/u.c", "/*\n" + bsd + "\n*/ int c;\n" * 50), (8, "r/e/s.txt", gpl.split("\n")[3]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = {r.doc_id: (r.own_licence, r.inherited_from, r.licence) for r in license_scan.scan(df, t, least=0.8).collect()}
+    g, b = "GPL-3.0", "BSD-3-Clause"
+    assert got == {1: (g, None, g), 2: (b, None, b), 3: (b, None, b), 4: (None, "r/b", b), 5: (g, None, g), 6: (None, None, None), 7: (b, None, b), 8: (None, None, None)}
+
+
 def test_licence_cosines_match_all_lines(spark, data):
     docs, t = docs_of(spark, data), queries.LICENCES
     split = lambda s: __import__("re").findall(r"[^\W_]+", s.lower())
