@@ -7,7 +7,8 @@ block of texts (about ``BLOCK_BYTES``) is brought those of its own distinct n-gr
 1. Blocks are written: the distinct word hashes of each, and its texts as places among them.
 2. Each block tells its distinct words, pairs and triples, as sorted 64-bit hashes with the block's own training counts, dealt by leading bits.
    Counts are summed, and each block gets back the sums in the order of its hashes. A hot n-gram comes once from each block.
-3. One block of those that hold an n-gram adds it to its context's sums; these are dealt and brought back likewise, as backoff weights.
+3. One block of those that hold an n-gram adds it to its context's sums, which are whole numbers; these are dealt and brought back likewise, and give
+   the backoff weights.
 4. Each block is walked with its own part of the automaton.
 
 A state is the longest kept suffix of what has been read. A walk takes the arc for the next word if the state has it; otherwise it adds the
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, hashed_words, mixed, texts_of, written
+from .exchange import DEALT, Group, answered, beside, dealt, found_by_order, pack, pack_sorted, range_bits, unpack, unpack_sorted
 
 #: Pairs and triples that occur less often in training are left to backoff.
 LEAST = 2
@@ -37,11 +39,7 @@ DISCOUNT = 0.75
 #: Stand for the end and the start of a text among the word hashes.
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 BLOCK_BYTES = 4 << 20
-#: Tokens for each group that hashes are dealt to, about; one group is in memory at once.
-GROUP_TOKENS = 2_000_000
 WORD, PAIR, TRIPLE, WORD_BACKOFF, PAIR_BACKOFF = range(5)
-DEALT = "block_ bigint, order_ int, bucket_ bigint, codes_ binary, x_ binary, y_ binary"
-BROUGHT = "block_ bigint, order_ int, bucket_ bigint, x_ binary, total_ bigint, distinct_ bigint"
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,25 +121,6 @@ class Automaton:
         return total
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes, of which the leading ones are mostly zero; the size comes first."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
-
-
-def _unpack(x: bytes, kind) -> np.ndarray:
-    planes = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
-
-
-def _pack_sorted(a: np.ndarray) -> bytes:
-    return _pack(np.diff(a, prepend=a.dtype.type(0)))
-
-
-def _unpack_sorted(x: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
-
-
 def _blocks(kind: pa.DataType):
     """Rows of (key, text, learn, rate) as blocks: sorted distinct words, the texts as places among them, tokens of each text."""
 
@@ -154,7 +133,7 @@ def _blocks(kind: pa.DataType):
                 words, at = np.unique(tokens, return_inverse=True)
                 learn, rate = (b.column(i)[part.start : part.stop].to_numpy(zero_copy_only=False).astype(np.uint8) for i in (2, 3))
                 keys = b.column(0)[part.start : part.stop].filter(pa.array(rate.astype(bool)))
-                columns = [_pack_sorted(words), _pack(at.astype(np.uint32)), _pack(np.diff(starts).astype(np.uint64)), learn.tobytes(), rate.tobytes()]
+                columns = [pack_sorted(words), pack(at.astype(np.uint32)), pack(np.diff(starts).astype(np.uint64)), learn.tobytes(), rate.tobytes()]
                 lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys.cast(kind))
                 yield pa.RecordBatch.from_arrays([pa.array([block]), lists, *[pa.array([x], pa.binary()) for x in columns], pa.array([len(tokens)])], names=["block_", "keys_", "words_", "at_", "sizes_", "learn_", "rate_", "tokens_"])
                 block += 1
@@ -166,8 +145,8 @@ class _Grams:
     """N-grams of a block: for each token the place of its word, pair and triple among the block's sorted distinct ones (-1: none)."""
 
     def __init__(self, row: dict, *orders: int):
-        self.words, self.at = _unpack_sorted(row["words_"]), _unpack(row["at_"], np.uint32).astype(np.int64)
-        self.sizes = _unpack(row["sizes_"], np.uint64).astype(np.int64)
+        self.words, self.at = unpack_sorted(row["words_"]), unpack(row["at_"], np.uint32).astype(np.int64)
+        self.sizes = unpack(row["sizes_"], np.uint64).astype(np.int64)
         self.learn, self.rate = (np.frombuffer(row[c], np.uint8).astype(bool) for c in ("learn_", "rate_"))
         self.starts = np.cumsum(self.sizes) - self.sizes
         #: Place of the word before each token; the start of a text comes after all words.
@@ -186,11 +165,11 @@ class _Grams:
         self.triple_first, self.triple = later[first], np.full(len(w), -1)
         self.triple[later] = inverse
 
-    def weights(self, brought: dict[int, np.ndarray], base: int) -> None:
+    def weights(self, brought: list[list[np.ndarray]], base: int) -> None:
         """Counts and conditional probabilities, where kept, of what the block holds."""
-        self.n1, self.n2, self.n3 = ((brought[k] >> np.uint64(1)).astype(np.int64) for k in (WORD, PAIR, TRIPLE))
-        self.own2, self.own3 = ((brought[k] & np.uint64(1)).astype(bool) for k in (PAIR, TRIPLE))
-        seen = np.append(self.n1, self.n1[np.searchsorted(self.words, END)])  # each text has one start and one end
+        self.n1, self.n2, self.n3 = ((brought[k][0] >> np.uint64(1)).astype(np.int64) for k in (WORD, PAIR, TRIPLE))
+        self.own2, self.own3 = ((brought[k][0] & np.uint64(1)).astype(bool) for k in (PAIR, TRIPLE))
+        self.seen = seen = np.append(self.n1, self.n1[np.searchsorted(self.words, END)])  # each text has one start and one end
         self.p1 = (self.n1 + 1) / base
         self.kept2, self.kept3 = self.n2 >= LEAST, self.n3 >= LEAST
         self.context2, self.context3 = self.before[self.pair_first], self.pair[self.triple_first - 1]
@@ -198,16 +177,6 @@ class _Grams:
         self.p3 = np.where(self.kept3, (self.n3 - DISCOUNT) / np.maximum(self.n2[self.context3], 1), 1.0)
 
 
-def _dealt(block: int, bits: int, order: int, codes: np.ndarray, x: np.ndarray, y: np.ndarray | None = None) -> pa.RecordBatch:
-    """A block's sorted codes with their numbers, cut by the leading ``bits``."""
-    bounds = np.append(np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(codes))
-    some = np.flatnonzero(np.diff(bounds))
-    cut = [slice(bounds[k], bounds[k + 1]) for k in some]
-    columns = [[_pack_sorted(codes[c]) for c in cut], [_pack(x[c]) for c in cut], [_pack(y[c]) if y is not None else b"" for c in cut]]
-    n = len(some)
-    return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([order] * n, pa.int32()), pa.array(some, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["block_", "order_", "bucket_", "codes_", "x_", "y_"])
-
-
 def _counts(bits: int, *orders: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,90 +187,62 @@ def _counts(bits: int, *orders: int):
                 for order in orders:
                     codes, at = (g.words, g.at) if order == WORD else (g.pairs, g.pair) if order == PAIR else (g.triples, g.triple)
                     n = np.bincount(at[learnt & (at >= 0)], minlength=len(codes)).astype(np.uint64)
-                    yield _dealt(row["block_"], bits, order, codes, n)
+                    yield dealt(row["block_"], bits, order, codes, n)
 
     return run
 
 
-def _met(t: pa.Table):
-    """The rows of one group by block: codes and numbers of all, their order by code, and where each code starts in it."""
-    t = t.sort_by("block_")
-    codes = [_unpack_sorted(x) for x in t["codes_"].to_pylist()]
-    bounds = np.cumsum([0, *map(len, codes)])
-    codes = np.concatenate(codes)
-    order = np.argsort(codes, kind="stable")
-    head = np.flatnonzero(np.append(True, codes[order][1:] != codes[order][:-1]))
-    return t, bounds, order, head, np.diff(np.append(head, len(order)))
+def _summed_counts(g: Group) -> pa.Table:
+    """Twice the count of each code (of pairs and triples, if kept, else 0), one more in the first block that has it."""
+    sums, word = g.sums("x_"), g.order_ == WORD
+    doubled = np.repeat(np.where(word | (sums >= LEAST), sums * np.uint64(2), np.uint64(0)), g.times)
+    doubled[g.head] += np.uint64(1)
+    return g.answer(doubled, total=int(sums.sum()) if word else 0, distinct=int(np.count_nonzero(sums)) if word else 0)
 
 
-def _back(t: pa.Table, bounds: np.ndarray, values: np.ndarray, total: int = 0, distinct: int = 0) -> pa.Table:
-    n = t.num_rows
-    cut = [_pack(values[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
-    once = lambda x: pa.array([x] + [0] * (n - 1), pa.int64())
-    return pa.table({"block_": t["block_"], "order_": t["order_"], "bucket_": t["bucket_"], "x_": pa.array(cut, pa.binary()), "total_": once(total), "distinct_": once(distinct)})
+def _summed_contexts(g: Group) -> pa.Table:
+    return g.answer(*[np.repeat(g.sums(c), g.times) for c in ("x_", "y_", "z_")])
 
 
-def _summed_counts(t: pa.Table) -> pa.Table:
-    """Twice the count of each code (of pairs and triples, if kept, else 0), one more in the first block that has it."""
-    t, bounds, order, head, times = _met(t)
-    n = np.concatenate([_unpack(x, np.uint64) for x in t["x_"].to_pylist()])[order]
-    sums = np.add.reduceat(n, head)
-    word = t["order_"][0].as_py() == WORD
-    doubled = np.repeat(np.where(word | (sums >= LEAST), sums * np.uint64(2), np.uint64(0)), times)
-    doubled[head] += np.uint64(1)
-    values = np.empty(len(order), np.uint64)
-    values[order] = doubled
-    return _back(t, bounds, values, int(sums.sum()) if word else 0, int(np.count_nonzero(sums)) if word else 0)
-
-
-def _summed_backoffs(t: pa.Table) -> pa.Table:
-    t, bounds, order, head, times = _met(t)
-    spent, lower = (np.add.reduceat(np.concatenate([_unpack(x, np.float64) for x in t[c].to_pylist()])[order], head) for c in ("x_", "y_"))
-    values = np.empty(len(order))
-    values[order] = np.repeat(np.log10(np.maximum(1e-12, 1 - spent) / np.maximum(1e-12, 1 - lower)), times)
-    return _back(t, bounds, values)
-
-
-def _joined(held: pa.Table, brought: pa.Table) -> tuple[dict, dict[int, np.ndarray]]:
-    """A block, and what it was brought by order."""
-    brought = brought.select(["order_", "bucket_", "x_"]).sort_by([("order_", "ascending"), ("bucket_", "ascending")])
-    orders, found = brought["order_"].to_numpy(), {}
-    for k in range(PAIR_BACKOFF + 1):
-        a, z = np.searchsorted(orders, [k, k + 1])
-        kind = np.float64 if k >= WORD_BACKOFF else np.uint64
-        found[k] = np.concatenate([np.zeros(0, kind), *[_unpack(x, kind) for x in brought["x_"][a:z].to_pylist()]])
-    return held.to_pylist()[0], found
+def _log_backoff(spent: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(1e-12, 1 - spent) / np.maximum(1e-12, 1 - lower))
 
 
 def _contexts(bits: int, base: int):
     """What the n-grams that a block owns take from their contexts, and what these would give them by backoff."""
 
     def run(held: pa.Table, brought: pa.Table) -> pa.Table:
-        row, found = _joined(held, brought)
+        row, found = held.to_pylist()[0], found_by_order(brought, TRIPLE + 1)
         g = _Grams(row, PAIR, TRIPLE)
         g.weights(found, base)
+        # Whole numbers all along: how many n-grams a context has, their counts, and the counts of what it would back off to.
+        sums = lambda context, n, *values: [np.bincount(context, v, n).astype(np.uint64) for v in (None, *values)]
         mine = np.flatnonzero(g.kept2 & g.own2)
         names = np.append(g.words, START)
         order = np.argsort(names)
-        sums = [np.bincount(g.context2[mine], v, len(names)) for v in (g.p2[mine], g.p1[g.at[g.pair_first[mine]]])]
-        words = _dealt(row["block_"], bits, WORD_BACKOFF, names[order], *[x[order] for x in sums])
+        of_words = sums(g.context2[mine], len(names), g.n2[mine], g.n1[g.at[g.pair_first[mine]]] + 1)
+        words = dealt(row["block_"], bits, WORD_BACKOFF, names[order], *[x[order] for x in of_words])
         mine = np.flatnonzero(g.kept3 & g.own3)
-        sums = [np.bincount(g.context3[mine], v, len(g.pairs)) for v in (g.p3[mine], g.p2[g.pair[g.triple_first[mine]]])]
-        return pa.Table.from_batches([words, _dealt(row["block_"], bits, PAIR_BACKOFF, g.pairs[g.kept2], *[x[g.kept2] for x in sums])])
+        of_pairs = sums(g.context3[mine], len(g.pairs), g.n3[mine], g.n2[g.pair[g.triple_first[mine]]])
+        return pa.Table.from_batches([words, dealt(row["block_"], bits, PAIR_BACKOFF, g.pairs[g.kept2], *[x[g.kept2] for x in of_pairs])])
 
     return run
 
 
 def _walked(base: int, kind: pa.DataType):
     def run(held: pa.Table, brought: pa.Table) -> pa.Table:
-        row, found = _joined(held, brought)
+        row, found = held.to_pylist()[0], found_by_order(brought, PAIR_BACKOFF + 1)
         g = _Grams(row, PAIR, TRIPLE)
         g.weights(found, base)
         names = np.append(g.words, START)
+        order = np.argsort(names)
+        arcs, spent, lower = (x.astype(np.float64) for x in found[WORD_BACKOFF])
         backoff1 = np.empty(len(names))
-        backoff1[np.argsort(names)] = found[WORD_BACKOFF]
+        backoff1[order] = _log_backoff((spent - DISCOUNT * arcs) / np.maximum(g.seen[order], 1), lower / base)
         backoff2 = np.zeros(len(g.pairs))
-        backoff2[g.kept2] = found[PAIR_BACKOFF]
+        arcs, spent, lower = (x.astype(np.float64) for x in found[PAIR_BACKOFF])
+        last = g.at[g.pair_first[g.kept2]]
+        backoff2[g.kept2] = _log_backoff((spent - DISCOUNT * arcs) / g.n2[g.kept2], (lower - DISCOUNT * arcs) / np.maximum(g.seen[last], 1))
         own = np.log10(g.p1)[g.at]
         by_pair = np.where(g.kept2[g.pair], np.log10(g.p2)[g.pair], backoff1[g.before] + own)
         score, later = by_pair, np.flatnonzero(g.second)
@@ -321,20 +262,14 @@ def score_rows(rows: DataFrame, learn: Column, rate: Column, key: str = "doc_id"
     asked = rows.select(F.col(key), F.col(text), F.coalesce(learn, F.lit(False)), F.coalesce(rate, F.lit(False)))
     held = written(asked.mapInArrow(_blocks(arrow), f"block_ bigint, keys_ array<{kind}>, words_ binary, at_ binary, sizes_ binary, learn_ binary, rate_ binary, tokens_ bigint"), "lm-blocks")
     tokens = held.agg(F.sum("tokens_")).first()[0] or 0
-    groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // GROUP_TOKENS)
-    bits = max(1, int(groups - 1).bit_length())
-
-    def returned(dealt: DataFrame, summed, name: str) -> DataFrame:
-        return written(dealt.groupBy("order_", "bucket_").applyInArrow(summed, BROUGHT), name)
-
+    bits = range_bits(spark, tokens)
     # One job after the other, so that the shuffle of one is gone before the next.
-    counts, triples = (returned(held.mapInArrow(_counts(bits, *orders), DEALT), _summed_counts, "lm-counts") for orders in ((WORD, PAIR), (TRIPLE,)))
+    counts, triples = (answered(held.mapInArrow(_counts(bits, *orders), DEALT), _summed_counts, "lm-counts") for orders in ((WORD, PAIR), (TRIPLE,)))
     counts = counts.unionByName(triples)
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("total_"), F.sum("distinct_")).first())
     base = total + distinct + 1
-    beside = lambda brought: held.groupBy("block_").cogroup(brought.groupBy("block_"))
-    backoffs = returned(beside(counts).applyInArrow(_contexts(bits, base), DEALT), _summed_backoffs, "lm-backoffs")
-    walked = beside(counts.unionByName(backoffs)).applyInArrow(_walked(base, arrow), f"key_ {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    contexts = answered(beside(held, counts).applyInArrow(_contexts(bits, base), DEALT), _summed_contexts, "lm-contexts")
+    walked = beside(held, counts.unionByName(contexts)).applyInArrow(_walked(base, arrow), f"key_ {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return walked.select(F.col("key_").alias(key), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
