@@ -27,23 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and it survives lost executors.
-
-    The shuffle files of the job that writes it go when it ends.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def _run(spark: SparkSession, write) -> None:
+    """Runs a job whose shuffle files go when it ends."""
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.parquet(at)
+        write()
     finally:
         spark.conf.set(cleanup, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there, and it survives lost executors."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _run(spark, lambda: df.write.parquet(at))
     return spark.read.schema(df.schema).parquet(at)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like ``written``, in as many buckets by ``column`` as there are shuffle partitions: what meets it by that column is shuffled, it is not."""
+    spark = df.sparkSession
+    n, called = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, column)
+    _run(spark, lambda: dealt.write.bucketBy(n, column).option("path", f"{shared_dir(spark)}/{called}").format("parquet").saveAsTable(called))
+    return spark.table(called)
+
+
 #: Rows of a few numbers each that may be broadcast, some tens of MB; more are joined by shuffling both sides.
 BROADCAST_ROWS = 2_000_000
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hashed_words, mixed, texts_of, written
+from .common import blocks, bucketed, hashed_words, mixed, texts_of
 from .exchange import DEALT, Group, answered, beside, dealt, found_by_order, pack, pack_sorted, range_bits, unpack, unpack_sorted
 
 #: Pairs and triples that occur less often in training are left to backoff.
@@ -260,7 +260,7 @@ def score_rows(rows: DataFrame, learn: Column, rate: Column, key: str = "doc_id"
     spark, field = rows.sparkSession, rows.schema[key]
     kind, arrow = field.dataType.simpleString(), rows.select(key).limit(0).toArrow().schema.field(0).type
     asked = rows.select(F.col(key), F.col(text), F.coalesce(learn, F.lit(False)), F.coalesce(rate, F.lit(False)))
-    held = written(asked.mapInArrow(_blocks(arrow), f"block_ bigint, keys_ array<{kind}>, words_ binary, at_ binary, sizes_ binary, learn_ binary, rate_ binary, tokens_ bigint"), "lm-blocks")
+    held = bucketed(asked.mapInArrow(_blocks(arrow), f"block_ bigint, keys_ array<{kind}>, words_ binary, at_ binary, sizes_ binary, learn_ binary, rate_ binary, tokens_ bigint"), "lm-blocks", "block_")
     tokens = held.agg(F.sum("tokens_")).first()[0] or 0
     bits = range_bits(spark, tokens)
     # One job after the other, so that the shuffle of one is gone before the next.
