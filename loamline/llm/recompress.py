@@ -1,64 +1,91 @@
-"""Recompression of word sequences in numpy: a parse that looks alike wherever the same words stand.
+"""Recompression of word sequences: a parse in rounds that looks alike wherever the same words stand.
 
-Rounds name runs of a symbol and pairs of symbols by hashes of what they stand for, so that names agree everywhere without being
-exchanged. A round first gives each symbol a side by its name; a left symbol before a right one joins it. With each
-symbol goes the span of words that its standing there depends on; inside equal windows of words the symbols whose spans lie in the
-window are equal.
+Round 0 names words. Each later round joins runs of one symbol, gives every symbol a side by its name, joins a left symbol before a right
+one, and has the new symbols named. Names are handed out for the whole corpus between rounds (``substring_dedup``): a symbol that stands
+in one place only gets none.
+
+With each symbol goes the span of words that its standing there depends on; inside equal windows of words the symbols whose spans lie in
+the window are equal. So a window that holds the span of a symbol without a name stands nowhere else; such windows are closed, and
+symbols that no open window holds need no name. What stays open after the last round shares all its symbols with other places.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .common import BASE, Spans, mixed
+from .common import BASE, mixed
+
+#: Rounds after that of words. Spans grow with each; three still fit in windows of 20 words.
+ROUNDS = 3
+
 
 class Parse:
-    """Symbols of a block of texts at one level: name, first word, and span [low, high) of words depended on.
+    """Symbols of a block of texts: name (0: none), and span [low, high) of words depended on.
 
     A span that reaches over its text's end goes one past it, so no window inside holds it.
     """
 
-    def __init__(self, words: np.ndarray, starts: np.ndarray):
-        at = np.arange(len(words))
+    def __init__(self, words: np.ndarray, starts: np.ndarray, window: int):
+        at, sizes = np.arange(len(words)), np.diff(starts)
+        self.window = window
         self.name, self.low, self.high = words, at, at + 1
-        self.text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
         self.first, self.last = starts[:-1] - 1, starts[1:] + 1
-
-    def _joined(self) -> np.ndarray:
-        return self.text[:-1] == self.text[1:]
+        self.open = at + window <= np.repeat(starts[1:], sizes)
+        #: Symbols of the last round, and those of them that ask for a name.
+        self.made = np.ones(len(words), bool)
+        self.fresh = self.made.copy()
+
+    def asked(self, round_: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct codes that a round asks names for, and how often each stands here."""
+        if round_:
+            self._runs()
+            self._pairs(round_)
+        before = np.append(0, np.cumsum(self.open))
+        a, b = np.clip(self.high - self.window, 0, len(self.open)), np.clip(self.low + 1, 0, len(self.open))
+        self.fresh &= (self.high - self.low <= self.window) & (before[np.maximum(a, b)] > before[a])
+        codes, self.place, counts = np.unique(self.name[self.fresh], return_inverse=True, return_counts=True)
+        return codes, counts
+
+    def named(self, names: np.ndarray) -> None:
+        """Takes the names of the codes asked (0: stands nowhere else) and closes windows."""
+        given = names[self.place]
+        gone = np.flatnonzero(self.fresh)[given == 0]
+        change = np.zeros(len(self.open) + 1, np.int64)
+        np.add.at(change, np.maximum(self.high[gone] - self.window, 0), 1)
+        np.add.at(change, self.low[gone] + 1, -1)
+        self.open &= np.cumsum(change[:-1]) == 0
+        # Symbols of this round that no open window holds have no name either; older ones keep theirs.
+        self.name = np.where(self.made, np.uint64(0), self.name)
+        self.name[self.fresh] = given
 
     def _neighbours(self) -> tuple[np.ndarray, np.ndarray]:
         """Low of the symbol before and high of the one after; past the end where the text ends."""
-        same = self._joined()
+        same = self.text[:-1] == self.text[1:]
         low, high = self.first[self.text], self.last[self.text]
         low[1:][same] = self.low[:-1][same]
         high[:-1][same] = self.high[1:][same]
         return low, high
 
-    def runs(self) -> None:
-        """Each run of one symbol becomes a symbol. It depends on the symbols around it, which end it."""
-        if not len(self.name):
-            return
-        head = np.concatenate([[True], ~(self._joined() & (self.name[:-1] == self.name[1:]))])
-        if head.all():
-            low, high = self._neighbours()
-            self.low, self.high = np.minimum(self.low, low), np.maximum(self.high, high)
-            return
+    def _runs(self) -> None:
+        """Each run of one symbol becomes a symbol. A symbol depends on those around it, which end its run."""
+        head = np.ones(len(self.name), bool)
+        head[1:] = (self.text[:-1] != self.text[1:]) | (self.name[:-1] != self.name[1:]) | (self.name[1:] == 0)
         a = np.flatnonzero(head)
         b = np.append(a[1:], len(head)) - 1
         low, high = self._neighbours()
         count = (b - a + 1).astype(np.uint64)
-        name = self.name[a]
-        self.name = np.where(count > 1, mixed(name + count * BASE), name)
-        self.low, self.high = np.minimum(low[a], np.minimum.reduceat(self.low, a)), np.maximum(high[b], np.maximum.reduceat(self.high, a))
+        self.made = count > 1
+        self.name = np.where(self.made, mixed(self.name[a] + count * BASE), self.name[a])
+        # Inside a run every symbol's neighbours are of the run, so its ends tell the span.
+        self.low, self.high = (np.minimum(low[a], self.low[a]), np.maximum(high[b], self.high[b])) if len(a) else (self.low, self.high)
         self.text = self.text[a]
 
-    def pairs(self, level: int) -> None:
-        if not len(self.name):
-            return
-        right = mixed(self.name + np.uint64(level + 1)) >> np.uint64(63) == 1
-        merge = np.zeros(len(right), bool)
-        merge[:-1] = ~right[:-1] & right[1:] & self._joined()
+    def _pairs(self, round_: int) -> None:
+        n = len(self.name)
+        right = mixed(self.name + np.uint64(round_)) >> np.uint64(63) == 1
+        merge = np.zeros(n, bool)
+        merge[:-1] = ~right[:-1] & right[1:] & (self.text[:-1] == self.text[1:]) & (self.name[:-1] != 0) & (self.name[1:] != 0)
         low, high = self._neighbours()
         # A symbol that stays depends on the neighbour that it could have joined.
         new_low, new_high = np.where(right, np.minimum(self.low, low), self.low), np.where(right, self.high, np.maximum(self.high, high))
@@ -66,62 +93,8 @@ class Parse:
         name = self.name.copy()
         name[a] = mixed(mixed(self.name[a] + BASE) + self.name[a + 1])
         new_low[a], new_high[a] = np.minimum(self.low[a], self.low[a + 1]), np.maximum(self.high[a], self.high[a + 1])
-        keep = np.ones(len(right), bool)
+        keep = np.ones(n, bool)
         keep[a + 1] = False
-        self.name, self.low, self.high, self.text = name[keep], new_low[keep], new_high[keep], self.text[keep]
-
-
-#: Pair rounds; a run round comes before the first. Three give sparse anchors that still fit in windows of 20 words.
-ROUNDS = 3
-
-
-def anchors(words: np.ndarray, starts: np.ndarray, window: int, rounds: int = ROUNDS, run_rounds=(0,)) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the index of its window's anchor (-1 where no window starts), and the key of each anchor.
-
-    A window's anchor is, of the symbols that depend on its words alone, one of the highest level, there the one with the least
-    scrambled name, there the first. So windows of equal words have anchors of equal key at equal offsets.
-    """
-    n = len(words)
-    sizes = np.diff(starts)
-    open_ = np.zeros(n, bool)
-    place = np.arange(n)
-    ends = np.repeat(starts[1:], sizes)
-    open_[place + window <= ends] = True
-    chosen = np.full(n, -1, np.int64)
-    levels = []
-    p = Parse(words, starts)
-    for r in range(rounds + 1):
-        levels.append((p.name, p.low, p.high))
-        if r < rounds:
-            if r in run_rounds:
-                p.runs()
-            p.pairs(r)
-    spans, keys, count = Spans(words), [], 0
-    for level in range(rounds, -1, -1):
-        if not open_.any():
-            break
-        name, low, high = levels[level]
-        waiting = np.concatenate([[0], np.cumsum(open_)])
-        ok = np.flatnonzero((high - low <= window))
-        a, b = np.maximum(high[ok] - window, 0), low[ok] + 1  # windows from a to b - 1 hold it
-        live = waiting[b] > waiting[a]
-        ok, a, b = ok[live], a[live], b[live]
-        if not len(ok):
-            continue
-        order = np.argsort(mixed(name[ok] ^ BASE), kind="stable")
-        rank = np.empty(len(ok), np.int64)
-        rank[order] = np.arange(len(ok))
-        # Equal names rank in order of place, as the sort is stable.
-        best = np.full(n + 1, len(ok), np.int64)
-        runs = b - a
-        for k in range(int(runs.max())):
-            m = runs > k
-            np.minimum.at(best, a[m] + k, rank[m])
-        take = open_ & (best[:n] < len(ok))
-        used, index = np.unique(best[:n][take], return_inverse=True)
-        occ = ok[order[used]]
-        chosen[take] = index + count
-        keys.append(mixed(spans.of(low[occ], high[occ]) + name[occ] * np.uint64(level + 1)))
-        count += len(used)
-        open_ &= ~take
-    return chosen, np.concatenate([np.zeros(0, np.uint64), *keys])
+        self.made[a] = True
+        self.name, self.low, self.high, self.text, self.made = name[keep], new_low[keep], new_high[keep], self.text[keep], self.made[keep]
+        self.fresh = self.made.copy()

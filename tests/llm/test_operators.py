@@ -265,22 +265,13 @@ def test_repeats_edges(spark, odd, empty):
 
 
 def test_rows_of_one_key_are_not_gathered(spark, monkeypatch):
-    """With one key on most rows, no row carries windows or anchors of another, and whole texts do not multiply."""
+    """With one key on most rows, each row has its own ranges, and whole texts do not multiply."""
     passage = words(70, 40)
     rows = [(None if i % 4 else i, words(5000 + i, 50) + (" " + passage if i % 2 else "")) for i in range(80)] + [(None, words(5001, 50))] * 3
     docs = frame(spark, rows)
     tables = {}
-
-    def kept(df, name, write=substring_dedup.written):
-        tables[name] = write(df, name)
-        return tables[name]
-
-    monkeypatch.setattr(substring_dedup, "written", kept)
     got = substring_dedup.without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text").collect()
     assert sorted(map(tuple, got), key=repr) == brute_repeats(rows, 20)
-    assert max(len(r.alone_) for r in tables["anchors-alone"].collect()) < 100
-    asked = []
-    monkeypatch.setattr(jaccard_join, "_whole_sets", lambda *a, f=jaccard_join._whole_sets: asked.append(a) or f(*a))
     monkeypatch.setattr(jaccard_join, "written", lambda df, name, write=jaccard_join.written: tables.setdefault(name, write(df, name)))
     near = [(None, t.replace("w2", "x2", 1)) for _, t in rows]
     copies = frame(spark, rows + near)
@@ -307,17 +298,33 @@ def test_next_cuts_a_hot_key(spark):
     assert len(seen) == 3000
 
 
-def test_anchors_of_equal_windows_agree():
-    rng = random.Random(9)
-    for vocabulary in (2, 4, 50):
-        w = np.array([rng.randrange(vocabulary) + 1 for _ in range(4000)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        starts = np.array([0, 700, 700, 715, 2000, 4000])
-        chosen, keys = recompress.anchors(w, starts, 20)
-        by = defaultdict(set)
-        for p in np.flatnonzero(chosen >= 0):
-            by[w[p : p + 20].tobytes()].add(keys[chosen[p]])
-        assert all(len(x) == 1 for x in by.values())
-        assert (chosen >= 0).sum() == 681 + 1266 + 1981
+@pytest.mark.parametrize("vocabulary", [2, 4, 50, 5000])
+def test_repeated_windows_stay_open(vocabulary):
+    """Rounds named by their own counts: no window that stands twice is closed, and symbols inside equal windows are equal."""
+    rng = random.Random(vocabulary)
+    texts = [[rng.randrange(vocabulary) + 1 for _ in range(rng.choice([0, 5, 15, 300, 2000]))] for _ in range(12)]
+    for _ in range(40):
+        a, b = rng.choice(texts), rng.choice(texts)
+        at = rng.randrange(max(1, len(a) - 60))
+        b[rng.randrange(len(b) + 1) : 0] = a[at : at + rng.randint(15, 60)]
+    starts = np.cumsum([0, *map(len, texts)])
+    w = np.concatenate([np.zeros(0, np.uint64), *[np.array(t, np.uint64) for t in texts]]) * np.uint64(0x9E3779B97F4A7C15)
+    parse = recompress.Parse(w, starts, 20)
+    places = np.flatnonzero(parse.open)
+    counts = Counter(w[p : p + 20].tobytes() for p in places)
+    repeated = [p for p in places if counts[w[p : p + 20].tobytes()] > 1]
+    assert repeated
+    for k in range(recompress.ROUNDS + 1):
+        codes, n = parse.asked(k)
+        parse.named(np.where(n > 1, hashed_words([b"%d:%d" % (k, i) for i in range(len(codes))])[0], np.uint64(0)))
+        assert parse.open[repeated].all()
+        inside = defaultdict(set)
+        for p in repeated:
+            held = (parse.low >= p) & (parse.high <= p + 20)
+            inside[w[p : p + 20].tobytes()].add((tuple(parse.name[held]), tuple(parse.low[held] - p)))
+        assert all(len(x) == 1 for x in inside.values())
+    if vocabulary == 5000:
+        assert parse.open.sum() < len(repeated) + 800  # some at each end of the 40 passages
 
 
 # Order MinHash
