@@ -15,8 +15,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of a packed k-mer that hold its place: texts may have up to 2 to this power words before places wrap.
-PLACE_BITS = 24
+#: Bits of a packed k-mer that hold its place: arrays, and so texts, have fewer words than 2 to this power. The other 33 are of its hash.
+PLACE_BITS = 31
 BLANKS = r"[\x20\x09-\x0D]+"
 
 

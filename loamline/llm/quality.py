@@ -124,20 +124,21 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000) -> Trees:
     """Trees fitted on at most ``max_rows`` rows of ``labels`` for which ``use`` holds, those with the smallest hashes of ``key``.
 
-    Null keys and labels are left out; labels above 0 count as 1. Repeated rows count each time.
+    Null keys and labels are left out; labels above 0 count as 1. Repeated rows of either table count each time, up to ``max_rows`` in all
+    (those of the smallest hashes of key and text).
     """
     own = labels.where(use if use is not None else F.lit(True)).where(F.col(key).isNotNull() & F.col(label).isNotNull())
     own = own.select(F.col(key).alias("label_key"), (F.col(label) > 0).cast("double").alias("label"))
     own = own.orderBy(F.xxhash64(F.lit(1), "label_key"), "label").limit(max_rows)  # so it is small enough to broadcast
-    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(own), F.col("k") == F.col("label_key")).select("t", "label")
+    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(own), F.col("k") == F.col("label_key")).select("t", "label", F.xxhash64("k", "t").alias("o"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b.column(0))
             for part in blocks(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(list(statistics(texts[part])), pa.list_(pa.float64())), b.column(1)[part.start : part.stop]], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(statistics(texts[part])), pa.list_(pa.float64())), *[b.column(i)[part.start : part.stop] for i in (1, 2)]], names=["x", "y", "o"])
 
-    rows = joined.mapInArrow(measured, "x array<double>, y double").toArrow()
+    rows = joined.mapInArrow(measured, "x array<double>, y double, o bigint").orderBy("o", "y").limit(max_rows).toArrow()
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(STATISTICS))
     y = rows["y"].to_numpy()
     order = np.lexsort([*x.T, y])  # the same trees in whatever order rows arrive
@@ -145,7 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: st
 
 
 def scored(docs: DataFrame, model: Trees, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs``, all columns, with ``score``, the chance of label 1; null texts score as empty ones. Repeated rows stay."""
+    """``docs``, all columns, with ``score``, the chance of label 1.
+
+    Null texts score as empty ones, and rows of equal texts alike. A column that already has the name of ``score`` is replaced. Repeated rows stay; an
+    empty table gives an empty result.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == score.lower()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -86,8 +86,12 @@ def test_trees_walk_like_a_loop():
 
 def test_quality_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1), (99, 1), (5, 1)], "doc_id bigint, quality int")
-    model = quality.train(odd.drop("score"), labels)
-    assert quality.scored(odd.drop("score"), model).count() == len(ODD)
+    model = quality.train(odd, labels)
+    rated = quality.scored(odd, model)
+    assert rated.columns == [*[c for c in odd.columns if c != "score"], "score"] and rated.where("score BETWEEN 0 AND 1").count() == len(ODD)
+    by_text = {(r.text or ""): r.score for r in rated.collect()}
+    want = model.scores(quality.statistics([(t or "").encode() for _, t in ODD]))
+    assert all(math.isclose(by_text[t or ""], x, rel_tol=1e-9) for (_, t), x in zip(ODD, want))
     assert quality.scored(empty, model, score="s").count() == 0 and quality.train(empty, labels).scores(np.zeros((1, len(quality.STATISTICS))))[0] == pytest.approx(0.5)
 
 
@@ -350,7 +354,7 @@ def test_fingerprint_selects_by_occurrence_and_order(spark):
     for i, t in enumerate(texts):
         counts, own = Counter(), []
         for j in range(len(kmers(t))):
-            h = packed[i, j] >> 24
+            h = packed[i, j] >> order_minhash.PLACE_BITS
             counts[h] += 1
             own.append((h, counts[h], j))
             todo |= {(h, counts[h])} if counts[h] > 1 else set()
@@ -360,8 +364,8 @@ def test_fingerprint_selects_by_occurrence_and_order(spark):
     for own in numbered:
         slots = defaultdict(list)
         for h, n, j in own:
-            h = again[h, n] >> 24 if n > 1 else h
-            slots[(h % (1 << 40)) >> 35].append((h, j))
+            h = again[h, n] >> order_minhash.PLACE_BITS if n > 1 else h
+            slots[(h % (1 << 64 - order_minhash.PLACE_BITS)) >> 59 - order_minhash.PLACE_BITS].append((h, j))
         want.append({s: [h for h, _ in sorted(sorted(x)[:2], key=lambda p: p[1])] for s, x in slots.items()})
     folded = spark.createDataFrame([(i, s, x) for i, w in enumerate(want) for s, x in w.items()], "i int, s bigint, x array<bigint>").select("i", "s", F.shiftrightunsigned(F.xxhash64("x"), 5).alias("f")).collect()
     expected = defaultdict(set)
@@ -381,6 +385,11 @@ def test_edited_likeness(spark, data, odd, empty):
         r = got[k]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and 0 <= r.near_next <= 1
         assert (r.fingerprint == r.edited_fingerprint) <= (r.near_edited == 1.0)
+        slots = lambda f: {int(x, 16) for x in f.split(".") if x}
+        for near, other in ((r.near_edited, r.edited_fingerprint), (r.near_next, got[docs[(i + 1) % len(docs)][0]].fingerprint)):
+            a, b = slots(r.fingerprint), slots(other)
+            filled = {x >> 59 for x in a | b}
+            assert math.isclose(near, len(a & b) / len(filled) if filled else 1.0)
     long_ = [got[k] for k, t in docs if len(t) > 400]
     assert sum(r.near_edited > r.near_next for r in long_) / len(long_) > 0.98
     rows = order_minhash.with_edited_likeness(odd).collect()
@@ -388,6 +397,21 @@ def test_edited_likeness(spark, data, odd, empty):
     assert order_minhash.with_edited_likeness(empty).count() == 0
 
 
+def test_places_leave_hashes_alone(spark, monkeypatch):
+    """Places fill their bits only, up to the longest array; more of them than their bits would change hashes."""
+    assert 2**order_minhash.PLACE_BITS > 2**31 - 1
+    ends = spark.createDataFrame([(h, p) for h in (-(2**63), -1, 0, 2**63 - 1) for p in (0, 2**24, 2**24 + 1, 2**31 - 1)], "h bigint, p bigint")
+    kept = order_minhash._packed(F.col("h"), F.col("p"))
+    got = ends.select("h", "p", order_minhash._hash(kept).alias("x"), kept.bitwiseAND(2**order_minhash.PLACE_BITS - 1).alias("y")).collect()
+    assert all(r.x == r.h >> order_minhash.PLACE_BITS and r.y == r.p for r in got)
+    w = words(21, 600, 3000).split()
+    near = order_minhash.likeness(order_minhash.fingerprint(F.col("a")), order_minhash.fingerprint(F.col("b")))
+    one = spark.createDataFrame([(" ".join(w), " ".join([*w, "more"]))], "a string, b string").select(near).first()[0]
+    monkeypatch.setattr(order_minhash, "PLACE_BITS", 10)  # 600 words fit
+    near = order_minhash.likeness(order_minhash.fingerprint(F.col("a")), order_minhash.fingerprint(F.col("b")))
+    assert one > 0.9 and spark.createDataFrame([(" ".join(w), " ".join([*w, "more"]))], "a string, b string").select(near).first()[0] > 0.9
+
+
 def test_order_changes_the_fingerprint(spark):
     w = words(8, 400, 5000).split()
     rows = [(0, " ".join(w)), (1, " ".join(w[200:] + w[:200])), (2, " ".join(sorted(w)))]
@@ -619,6 +643,23 @@ def test_url_rules(spark):
     assert url_rules.judge(df.limit(0), rules).count() == 0 and url_rules.judge(df, rules.limit(0)).count() == len(urls)
 
 
+def test_url_rules_of_many_shapes(spark):
+    """5,000 shapes and 100,000 rules; letters beyond A-Z; no expression is null, so no key is hot."""
+    rules = [(".".join(["x"] * (i % 50) + ["com"]), "/" + "p" * (i // 50), "block" if i % 2 else "allow") for i in range(5000)] + [("É.com", "/x", "block"), ("Z.com", "/", "block")] + [(f"h{i}.org", "/", "block") for i in range(95_000)]
+    urls = [".".join(["x"] * n + ["com"]) + "/" + "p" * m for n, m in ((0, 0), (49, 99), (49, 200), (60, 5), (3, 98))] + ["É.com/x", "é.com/x", "z.com/q", "a.h94999.org/", "h95000.org/"]
+    df = spark.createDataFrame([(i, f"http://{u}") for i, u in enumerate(urls)], "page_id bigint, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    best = {}
+    for h, p, v in rules:
+        h = h.replace("Z", "z")
+        for i, u in enumerate(urls):
+            host, path = u.split("/", 1)
+            if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p):
+                best[i] = max(best.get(i, (0, 0, "", "")), (len(h + p), len(h), h + p, v))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(df, table).collect()}
+    assert got == {i: best[i][2:] if i in best else (None, "allow") for i in range(len(urls))} and len(best) == 9
+
+
 # Word hashing
 
 
