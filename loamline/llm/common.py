@@ -55,13 +55,13 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     return spark.table(called)
 
 
-#: Rows of a few numbers each that may be broadcast, some tens of MB; more are joined by shuffling both sides.
-BROADCAST_ROWS = 2_000_000
+#: Rows of one or two numbers that may be broadcast, some tens of MB; more are joined by shuffling both sides.
+BROADCAST_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it has at most ``BROADCAST_ROWS``."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most ``most``."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def doc_split(doc_id: str, modulus: int):

@@ -5,9 +5,12 @@ share (its tokens times ``max_epochs``) hands the shortage to its siblings, by t
 cannot spend goes to the siblings of an ancestor. A leaf takes whole epochs of its documents and, of the last epoch, the
 prefix of that many tokens in an order seeded for that leaf's last epoch; the document at the cut is taken to its part.
 
-Only DataFrame functions are used. No leaf is sorted in one task: sums over hash ranges find the range where the cut falls, and only
-that range is put in order. Weights are relative within a family; what has none gets weight 1, and families not all of
-whose weights are positive treat non-positive ones as 0. Null domains, languages and sources are groups of their own.
+The order is that of the first 60 bits of an MD5 of seed, epoch, key and text, so that rows without keys, or of one key, have places of their own. Only
+rows alike in key and text share one: at the cut they take the same part each, so that together they stay within what is left.
+
+Only DataFrame functions are used. No leaf is sorted in one task: sums over hash ranges find the range where the cut falls, range by range within it until
+what is left of any leaf is few places, and only these are put in order. Weights are relative within a family; what has none gets weight 1, and
+non-positive ones count as 0. Null domains, languages and sources are groups of their own.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 LEVELS = ("domain", "lang", "source")
-#: Hash ranges of a leaf, 2 to this power.
-RANGE_BITS = 12
+ADDED = ("mix_domain", "mix_tokens", "mix_epochs", "mix_part", "mix_taken")
+#: A place has so many bits; each round of ranges tells so many of them.
+PLACE_BITS, RANGE_BITS = 60, 10
+#: Places of a leaf that are put in order at once.
+EDGE_ROWS = 1000
 
 
 def token_count(text: Column) -> Column:
@@ -85,14 +91,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 0.6, m
     """The chosen rows of ``docs``, all columns, with ``mix_domain``, ``mix_tokens`` (of the text), ``mix_epochs`` (whole epochs that take
     it), ``mix_part`` (tokens taken of it in the last epoch) and ``mix_taken`` (tokens taken in all). Rows taken in no epoch are left out.
 
-    The budget is ``share`` of all tokens. Texts without words cost nothing and come with their place in the leaf's order. Rows that
-    repeat a key have one place; at the cut each of them is taken to the same part. An empty table gives an empty result.
+    The budget is ``share`` of all tokens and is never passed. Null texts, and texts without words, cost nothing and come with their place in the
+    leaf's order. Null keys count as empty ones. Columns named like the added ones are replaced. An empty table gives an empty result.
     """
+    docs = docs.drop(*[c for c in ADDED if c in docs.columns])
     domain = F.lit("all") if domain is None else domain
     named = dict(zip(LEVELS, (domain.cast("string"), F.col(lang).cast("string"), F.col(source).cast("string")), strict=True))
-    n = token_count(F.col(text))
+    n, held = token_count(F.col(text)), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
-    sized = written(docs.select(*[c.alias(k) for k, c in named.items()], F.col(key).alias("key"), n.alias("n")), "mix-sizes")
+    sized = written(docs.select(*[c.alias(k) for k, c in named.items()], F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), held.alias("held"), n.alias("n")), "mix-sizes")
     leaves = written(sized.groupBy(*LEVELS).agg(F.sum("n").cast("bigint").alias("tokens")), "mix-leaves")
     total = leaves.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     some = F.col("tokens") > 0
@@ -101,21 +108,37 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 0.6, m
     )
     plan = written(plan, "mix-plan")
 
-    # The place in the last epoch of the last document taken: first the hash range in which the sum reaches ``rest``, then the document.
-    spot = F.xxhash64(F.lit(seed), F.col("whole"), F.col("key"))
-    ranged = _looked_up(sized, plan, LEVELS).where("rest > 0").withColumn("spot", spot)
-    ranged = ranged.withColumn("range", F.shiftrightunsigned(F.col("spot").bitwiseXOR(F.lit(-(2**63))), 64 - RANGE_BITS))
-    sums = ranged.groupBy(*LEVELS, "rest", "range").agg(F.sum("n").cast("bigint").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
-    cut = written(sums.withColumn("upto", upto).where("upto - n < rest AND rest <= upto").select(*LEVELS, "range", (F.col("upto") - F.col("n")).alias("base")), "mix-ranges")
-    edge = _looked_up(ranged, cut, (*LEVELS, "range")).groupBy(*LEVELS, "range", "rest", "base", "spot").agg(F.sum("n").cast("bigint").alias("n"))
-    run = F.col("base") + F.sum("n").over(Window.partitionBy(*LEVELS, "range").orderBy("spot"))
-    ends = edge.withColumn("run", run).where("run - n < rest AND rest <= run").select(*LEVELS, F.col("spot").alias("last"), (F.col("rest") - F.col("run") + F.col("n")).alias("last_part"))
+    # The place in the last epoch of the last document taken: range by range that in which the sum reaches ``rest``, then the document.
+    ranged = _looked_up(sized, plan, LEVELS).where("rest > 0").withColumn("spot", _place(seed, F.col("whole"), F.col("key"), F.col("held")))
+    cut = plan.where("rest > 0").select(*LEVELS, "rest", F.lit(0).cast("bigint").alias("range"), F.lit(0).cast("bigint").alias("base"))
+    for told in range(RANGE_BITS, PLACE_BITS + 1, RANGE_BITS):
+        above = F.shiftright("spot", PLACE_BITS - told + RANGE_BITS)
+        inside = ranged.select(*LEVELS, "n", "spot", above.alias("range"))
+        sums = _looked_up(inside, cut.drop("rest"), (*LEVELS, "range")).groupBy(*LEVELS, "base", F.shiftright("spot", PLACE_BITS - told).alias("range")).agg(F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).alias("places"))
+        upto = F.col("base") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
+        sums = _looked_up(sums.withColumn("upto", upto), plan.select(*LEVELS, "rest"), LEVELS).where("upto - n < rest AND rest <= upto")
+        cut = written(sums.select(*LEVELS, "rest", "range", (F.col("upto") - F.col("n")).alias("base"), "places"), "mix-ranges")
+        largest = cut.agg(F.max("places").alias("most")).first()["most"] or 0
+        cut = cut.drop("places")
+        if largest <= EDGE_ROWS:
+            break
+    edge = _looked_up(ranged.select(*LEVELS, "n", "spot", F.shiftright("spot", PLACE_BITS - told).alias("range")), cut, (*LEVELS, "range"))
+    edge = edge.groupBy(*LEVELS, "rest", "base", "spot").agg(F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).alias("times"))
+    run = F.col("base") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("spot"))
+    ends = edge.withColumn("run", run).where("run - n < rest AND rest <= run")
+    ends = ends.select(*LEVELS, F.col("spot").alias("last"), F.floor((F.col("rest") - F.col("run") + F.col("n")) / F.col("times")).cast("bigint").alias("last_part"))
     cuts = written(_looked_up(plan, ends, LEVELS, "left").select(*[F.col(k).alias(f"mix_{k}") for k in LEVELS], "whole", "last", "last_part"), "mix-cuts")
 
     own = [f"mix_{k}" for k in LEVELS]
-    out = _looked_up(docs.select(*docs.columns, *[c.alias(f"mix_{k}") for k, c in named.items()], n.alias("mix_tokens")), cuts, tuple(own))
-    spot = F.xxhash64(F.lit(seed), F.col("whole"), F.col(key))
-    inside = F.coalesce(spot <= F.col("last"), F.lit(False))
-    part = F.when(~inside, 0).when(spot == F.col("last"), F.least("mix_tokens", "last_part")).otherwise(F.col("mix_tokens")).cast("bigint")
-    return out.where((F.col("whole") > 0) | inside).select(*docs.columns, "mix_domain", "mix_tokens", F.col("whole").alias("mix_epochs"), part.alias("mix_part"), (F.col("whole") * F.col("mix_tokens") + part).alias("mix_taken"))
+    names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
+    out = docs.select(*[F.col(c).alias(x) for c, x in names.items()], *[c.alias(f"mix_{k}") for k, c in named.items()], n.alias("mix_tokens"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), held.alias("held"))
+    out = _looked_up(out, cuts, tuple(own)).withColumn("spot", _place(seed, F.col("whole"), F.col("key"), F.col("held")))
+    inside = F.coalesce(F.col("spot") <= F.col("last"), F.lit(False))
+    part = F.when(~inside, 0).when(F.col("spot") == F.col("last"), F.least("mix_tokens", "last_part")).otherwise(F.col("mix_tokens")).cast("bigint")
+    kept = out.where((F.col("whole") > 0) | inside)
+    return kept.select(*[F.col(x).alias(c) for c, x in names.items()], "mix_domain", "mix_tokens", F.col("whole").alias("mix_epochs"), part.alias("mix_part"), (F.col("whole") * F.col("mix_tokens") + part).alias("mix_taken"))
+
+
+def _place(seed: int, epoch: Column, key: Column, held: Column) -> Column:
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key, held).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")

@@ -117,13 +117,45 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def domain_of(source: str):
     """Four domains of sources, for want of a column that has them."""
-    return F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(F.col(source), F.lit("")).cast("binary")), F.lit(4)).cast("string"))
+    digest = F.md5(F.coalesce(F.col(source), F.lit("")).cast("binary"))
+    return F.concat(F.lit("d"), F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(4)).cast("string"))
 
 
 def weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DOMAIN_WEIGHTS, "domain string, lang string, source string, weight double")
 
 
+def _spread_sql(name: str, up: str, level: str, keys: str, weight: str, pool: str) -> str:
+    """SQL of one level of budgets: children by capacity over weight, those that are filled first; the rest share by weight."""
+    family = keys.rpartition(", ")[0] or "1"
+    above = f"JOIN {up} u ON " + " AND ".join(f"u.{k} IS NOT DISTINCT FROM c.{k}" for k in keys.split(", ")[:-1]) if up else ""
+    return f"""{name}_c AS (SELECT {keys}, sum(capacity)::BIGINT AS capacity FROM nodes GROUP BY {keys}),
+{name}_w AS (SELECT {", ".join(f"c.{k}" for k in keys.split(", "))}, c.capacity, {pool} AS pool, greatest(coalesce({weight}, 1.0), 0.0)::DOUBLE AS w FROM {name}_c c {above}),
+{name}_f AS (SELECT *, CASE WHEN w > 0 THEN capacity / w END AS fill FROM {name}_w),
+{name}_s AS (SELECT *, coalesce(sum(CASE WHEN w > 0 THEN capacity END) OVER o, 0)::BIGINT AS spent, sum(w) OVER (PARTITION BY {family}) - coalesce(sum(w) OVER o, 0.0) AS left_w FROM {name}_f WINDOW o AS (PARTITION BY {family} ORDER BY fill NULLS LAST, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_l AS (SELECT *, CASE WHEN w > 0 THEN (pool - spent) / left_w END AS level FROM {name}_s),
+{name}_p AS (SELECT *, coalesce(fill <= level, false) AS filled FROM {name}_l),
+{name} AS (SELECT {keys}, least(capacity, CASE WHEN w <= 0 THEN 0 WHEN filled THEN capacity ELSE floor(greatest(0.0, w * first_value(level) OVER (PARTITION BY {family} ORDER BY (NOT filled AND w > 0) DESC, fill NULLS LAST, {level} NULLS FIRST)))::BIGINT END)::BIGINT AS budget FROM {name}_p)"""
+
+
+OP6_SQL = rf"""
+WITH weights(domain, lang, source, weight) AS (VALUES {", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in w) + ")" for w in DOMAIN_WEIGHTS)}),
+d AS (SELECT row_number() OVER () AS rn, doc_id, lang, source, 'd' || (('0x' || md5(coalesce(source, ''))[1:8])::BIGINT % 4) AS domain, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n, coalesce(doc_id::VARCHAR, '') AS k, md5(coalesce(text, '')) AS held FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens FROM d GROUP BY ALL),
+total AS (SELECT floor(sum(tokens) * 0.6::DOUBLE)::BIGINT AS t FROM leaves),
+nodes AS (SELECT *, tokens * 2 AS capacity FROM leaves),
+{_spread_sql("b1", "", "domain", "domain", "(SELECT max(weight) FROM weights x WHERE x.domain = c.domain AND x.lang IS NULL)", "(SELECT t FROM total)")},
+{_spread_sql("b2", "b1", "lang", "domain, lang", "(SELECT max(weight) FROM weights x WHERE x.domain = c.domain AND x.lang = c.lang AND x.source IS NULL)", "u.budget")},
+{_spread_sql("b3", "b2", "source", "domain, lang, source", "(SELECT max(weight) FROM weights x WHERE x.domain = c.domain AND x.lang = c.lang AND x.source = c.source)", "u.budget")},
+plan AS (SELECT l.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM leaves l JOIN b3 ON l.domain = b3.domain AND l.lang IS NOT DISTINCT FROM b3.lang AND l.source IS NOT DISTINCT FROM b3.source),
+placed AS (SELECT d.*, whole, rest, ('0x' || md5('7:' || whole || ':' || k || ':' || held)[1:15])::BIGINT AS spot FROM d JOIN plan p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source),
+run AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY spot RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto, sum(n) OVER (PARTITION BY domain, lang, source, spot)::BIGINT AS here, count(*) OVER (PARTITION BY domain, lang, source, spot) AS times FROM placed),
+cut AS (SELECT *, max(CASE WHEN rest > 0 AND upto - here < rest AND rest <= upto THEN spot END) OVER (PARTITION BY domain, lang, source) AS last FROM run),
+part AS (SELECT *, CASE WHEN last IS NULL OR spot > last THEN 0 WHEN spot = last THEN least(n, (rest - upto + here) // times) ELSE n END AS part FROM cut)
+SELECT doc_id, lang, source, domain AS mix_domain, n AS mix_tokens, whole::BIGINT AS mix_epochs, part::BIGINT AS mix_part, (whole * n + part)::BIGINT AS mix_taken FROM part WHERE whole > 0 OR coalesce(spot <= last, false)
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
@@ -179,4 +211,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}

@@ -484,6 +484,17 @@ def test_mix_takes_a_seeded_prefix_of_each_leaf(spark, data, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_keeps_its_budget_without_keys(spark, monkeypatch):
+    """Null keys, rows that are all alike, and a leaf whose ranges are refined to the last bits: never over budget, and short by less than a row."""
+    kinds = {"null keys": [(None, f"a{i} " * 10) for i in range(100)], "one row": [(5, "b c d e f g h i j k")] * 100, "no words": [(None, " ")] * 5 + [(1, None)]}
+    for edge in (1000, 1):
+        monkeypatch.setattr(mixing, "EDGE_ROWS", edge)
+        for rows in kinds.values():
+            taken = [(r.mix_part, r.mix_taken, r.mix_tokens) for r in mixing.mix(frame(spark, rows, "mix_part", "spot", "whole", "range"), share=0.555, max_epochs=1, source="lang").collect()]
+            budget = int(sum(len((t or "").split()) for _, t in rows) * 0.555)
+            assert budget - 100 < sum(x[1] for x in taken) <= budget and all(x[0] <= x[2] for x in taken)
+
+
 # Token counts
 
 
