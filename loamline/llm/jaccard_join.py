@@ -9,10 +9,10 @@ share ``more``; of two sizes, one less at least:
 3. order of another seeded hash: candidates must share a shingle of its prefixes too.
 
 Only pairs that pass all three are verified on whole sets. To spare groups of many near copies from being paired out, each shingle's classes
-first meet only its most common-looking class (fewest shingles of its own); then only classes that are not yet in one component are
-paired, with the size and position bounds of the order inside the join. All links between components are found, so components are exact.
+first meet only its most common-looking class (fewest shingles of its own); then components that share a shingle are paired, and of these the
+classes that have it, within the size and position bounds of the order. All links between components are found, so components are exact.
 
-Words are runs of bytes outside white space with A-Z lower-cased; sets are compared by 64-bit hashes of shingles.
+Words are runs of bytes outside white space with A-Z lower-cased; sets are compared by 64-bit hashes of shingles, classes by 128 bits.
 """
 
 from __future__ import annotations
@@ -86,12 +86,11 @@ def _first_prefixes(width: int, percent: int):
 
 def _whole_sets(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in _sets(batches, width):
-            wanted = b.column(2).to_pylist()
-            rows = [(w, s) for w, s in zip(wanted, sets, strict=True) if len(s) and signature(s)[0] == w]
-            second = [s[np.argsort(mixed(s ^ SEEDS[1]))[: len(s) - least_common(len(s), percent) + 1]] for _, s in rows]
+        for _, sets in _sets(batches, width):
+            rows = [(*signature(s), s) for s in sets if len(s)]
+            second = [s[np.argsort(mixed(s ^ SEEDS[1]))[: len(s) - least_common(len(s), percent) + 1]] for *_, s in rows]
             lists = lambda xs: pa.array([x.view(BIGINT) for x in xs], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.int64()), lists([s for _, s in rows]), lists(second)], names=["s1", "tokens", "second"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], lists([r[2] for r in rows]), lists(second)], names=["s1", "s2", "tokens", "second"])
 
     return run
 
@@ -104,7 +103,7 @@ def classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b), those that share a prefix shingle under the second hash order and then enough of their whole sets."""
-    side = lambda name, *columns: sets.select(F.col("s1").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    side = lambda name, *columns: sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
     near = pairs.join(side("a", "second"), "a").join(side("b", "second"), "b").where(F.arrays_overlap("a_second", "b_second")).select("a", "b")
     whole = near.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -115,50 +114,67 @@ def _alike_in_size(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def linked(docs: DataFrame, own: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """node, component over the s1 of classes that have links; enough links for exact components are found, not all inside one."""
+def _across(known: DataFrame, percent: int) -> DataFrame:
+    """(a, b) for classes of different components that share a prefix shingle and can be linked by their sizes and its places.
+
+    Components are paired first, then their classes, so that no two classes of one component meet, however many have the shingle.
+    """
+    several = known.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("token")
+    open_ = written(known.join(several, "token"), "jaccard-open")
+    of = open_.select("token", "c").distinct()
+    pairs = of.withColumnRenamed("c", "a_c").join(of.withColumnRenamed("c", "b_c"), "token").where("a_c < b_c")
+    a, b = (open_.select("token", *[F.col(x).alias(f"{side}_{x}") for x in ("node", "n", "at", "c")]) for side in "ab")
+    enough = F.floor((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
+    reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    met = pairs.join(a, ["token", "a_c"]).join(b, ["token", "b_c"]).where(_alike_in_size(F.col("a_n"), F.col("b_n"), percent) & (reach >= enough))
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, own: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes that may have links (s1, s2, node), and node, component for those that have; enough links for exact components are found, not
+    all inside one."""
     texts = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(text).alias("text_"), F.xxhash64(text).alias("t_"))
     prefixes = texts.mapInArrow(_first_prefixes(width, percent), "token bigint, s1 bigint")
     alone = prefixes.groupBy("token").agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).where("s1 = other").groupBy("s1").agg(F.count(F.lit(1)).alias("alone"))
-    first = own.where("n > 0").groupBy("s1").agg(F.min(F.struct("key_", "t_")).alias("row"), F.min("n").alias("n")).select("s1", "row.key_", "row.t_", "n")
+    first = own.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("key_", "t_")).alias("row"), F.min("n").alias("n"))
+    # Sets whose first hashes are equal by chance are counted together; they stay, and are told apart from then on.
+    first = first.groupBy("s1").agg(F.collect_list(F.struct("s2", "row", "n")).alias("sets")).withColumn("mixed_", F.size("sets") > 1)
+    first = first.select("s1", "mixed_", F.inline("sets")).select("s1", "s2", "mixed_", "row.key_", "row.t_", "n")
     lack = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
     more = lack
     taken = F.least(F.col("n"), lack + 1 + more)
     # Partners of other sizes have other prefixes: of linked sets the larger may share one less than its own surplus, from half the union up.
     need = F.greatest(F.lit(1), more) if percent >= 50 else F.lit(1)
-    stay = first.join(alone, "s1", "left").where(taken - F.coalesce("alone", F.lit(0)) >= need)
-    stay = written(stay.select("s1", "key_", "t_"), "jaccard-stay")
+    stay = first.join(alone, "s1", "left").where(F.col("mixed_") | (taken - F.coalesce("alone", F.lit(0)) >= need))
+    stay = stay.select("s1", "s2", "key_", "t_", F.xxhash64("key_", "t_").alias("h_"), F.monotonically_increasing_id().alias("node"))
+    stay = written(stay, "jaccard-stay")
 
-    stay = broadcast_if_small(stay)
-    # By key and text: rows that repeat a key would each meet all classes of that key.
-    asked = texts.join(stay, (texts.t_ == stay.t_) & texts.key_.eqNullSafe(stay.key_)).select(texts.key_, "text_", "s1")
-    sets = asked.mapInArrow(_whole_sets(width, percent), "s1 bigint, tokens array<bigint>, second array<bigint>")
-    sets = written(sets.dropDuplicates(["s1"]), "jaccard-sets")
+    # One row of each class, by a hash of key and text: rows that repeat a key would each meet all classes of that key.
+    asked = texts.withColumn("h_", F.xxhash64("key_", "t_")).join(broadcast_if_small(stay.select("h_")), "h_", "left_semi").select("key_", "text_")
+    sets = asked.mapInArrow(_whole_sets(width, percent), "s1 bigint, s2 bigint, tokens array<bigint>, second array<bigint>").dropDuplicates(["s1", "s2"])
+    sets = written(sets.join(stay.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "tokens", "second"), "jaccard-sets")
 
-    spread = sets.select("s1", F.explode("tokens").alias("token"))
+    spread = sets.select("node", F.explode("tokens").alias("token"))
     common = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = spread.join(common, "token").groupBy("s1").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h"), "token"))).alias("ranked"))
+    ranked = spread.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h"), "token"))).alias("ranked"))
     n = F.size("tokens")
-    ranked = sets.select("s1", n.cast("bigint").alias("n")).join(ranked, "s1").withColumn("u", F.col("n") - F.size("ranked"))
+    ranked = sets.select("node", n.cast("bigint").alias("n")).join(ranked, "node").withColumn("u", F.col("n") - F.size("ranked"))
     room = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - F.col("u")
-    prefix = ranked.where(room > 0).select("s1", "n", "u", F.posexplode(F.slice("ranked", F.lit(1), room.cast("int"))).alias("j", "r"))
-    prefix = written(prefix.select("s1", "n", "u", (F.col("u") + F.col("j")).alias("at"), F.col("r.token").alias("token")), "jaccard-prefixes")
+    prefix = ranked.where(room > 0).select("node", "n", "u", F.posexplode(F.slice("ranked", F.lit(1), room.cast("int"))).alias("j", "r"))
+    prefix = written(prefix.select("node", "n", "u", (F.col("u") + F.col("j")).alias("at"), F.col("r.token").alias("token")), "jaccard-prefixes")
 
-    lead = prefix.groupBy("token").agg(F.min(F.struct("u", "s1", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("l.s1").alias("b"), F.col("l.n").alias("m"))
-    stars = prefix.join(lead, "token").where((F.col("s1") != F.col("b")) & _alike_in_size(F.col("n"), F.col("m"), percent))
-    stars = stars.select(F.least("s1", "b").alias("a"), F.greatest("s1", "b").alias("b")).distinct()
+    lead = prefix.groupBy("token").agg(F.min(F.struct("u", "node", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
+    stars = prefix.join(lead, "token").where((F.col("node") != F.col("b")) & _alike_in_size(F.col("n"), F.col("m"), percent))
+    stars = stars.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     links = written(_verified(stars, sets, percent), "jaccard-links")
 
     labels = written(components(links), "jaccard-labels")
-    known = prefix.join(labels, prefix.s1 == labels.node, "left").select("token", "s1", "n", "at", F.coalesce("component", "s1").alias("c"))
-    a, b = (known.select("token", *[F.col(x).alias(f"{side}_{x}") for x in ("s1", "n", "at", "c")]) for side in "ab")
-    enough = F.floor((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
-    reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    across = a.join(b, (a.token == b.token) & (F.col("a_s1") < F.col("b_s1")) & (F.col("a_c") != F.col("b_c")) & _alike_in_size(F.col("a_n"), F.col("b_n"), percent) & (reach >= enough))
-    across = across.select(F.col("a_s1").alias("a"), F.col("b_s1").alias("b")).distinct()
-    late = written(_verified(across, sets, percent), "jaccard-links")
+    named = labels.withColumnRenamed("node", "of_")
+    known = prefix.join(named, prefix.node == named.of_, "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+    late = written(_verified(_across(known, percent), sets, percent), "jaccard-links")
     # Labels stand for the links that gave them.
-    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
+    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
+    return stay.select("s1", "s2", "node"), labels
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -169,12 +185,14 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     smallest key that is not null, or null. Other columns are not read; an empty table gives an empty result.
     """
     own = classes(docs, key, text, width)
-    labels = linked(docs, own, key, text, width, percent)
-    least = own.where("n > 0").groupBy("s1").agg(F.min("key_").alias("k"))
-    named = least.join(labels, least.s1 == labels.node, "left").select("s1", "k", F.coalesce("component", "s1").alias("c"))
-    named = written(named, "jaccard-named")
-    found = named.join(named.groupBy("c").agg(F.min("k").alias("component_id")), "c").select(F.col("s1").alias("s"), "component_id")
-    return own.join(found, F.col("s1") == F.col("s"), "left").select(F.col("key_").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key_")).alias("component_id"))
+    stay, labels = linked(docs, own, key, text, width, percent)
+    least = own.where("n > 0").groupBy("s1", "s2").agg(F.min("key_").alias("k"))
+    of = stay.join(labels, "node").select("s1", "s2", "component")
+    named = written(least.join(of, ["s1", "s2"], "left"), "jaccard-named")
+    # Classes without links are components of their own.
+    whole = named.where("component IS NOT NULL").groupBy("component").agg(F.min("k").alias("least_"))
+    found = named.join(whole, "component", "left").select("s1", "s2", F.when(F.col("component").isNull(), F.col("k")).otherwise(F.col("least_")).alias("component_id"))
+    return own.join(found, ["s1", "s2"], "left").select(F.col("key_").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key_")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -161,6 +161,24 @@ def test_components_edges(spark, odd, empty):
     assert kept.count(1) == 1 and 2 not in kept and 8 not in kept and {3, 4, 5, 6, 7} <= set(kept)
 
 
+def test_hot_groups_meet_once(spark, monkeypatch):
+    """Classes of one component never meet by a shingle of theirs, however many have it, and links across components are found."""
+    known = [("t", i, 100, 0, 1) for i in range(20_000)] + [("t", 20_000 + i, 100, 0, 2) for i in range(3)] + [("u", 5, 100, 0, 1), ("u", 6, 100, 0, 1), ("v", 7, 100, 90, 1), ("v", 20_001, 100, 0, 2)]
+    known = spark.createDataFrame(known, "token string, node bigint, n bigint, at bigint, c bigint")
+    across = jaccard_join._across(known, 80)
+    assert across.count() == 3 * 20_000
+    base = words(31, 80).split()
+    near = [(i, " ".join([*base[: i % 7], f"x{i}", *base[i % 7 :]])) for i in range(1500)]
+    far = [(5000 + i, " ".join([*base[:72], *[f"y{i}z{j}" for j in range(8)]])) for i in range(3)]
+    got = jaccard_join.grouped(frame(spark, near + far), width=1, percent=80).collect()
+    sets = {k: set(t.split()) for k, t in near + far}
+    linked = lambda a, b: len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b])
+    assert {r.component_id for r in got if r.doc_id < 5000} == {0}
+    for k, _ in far:
+        want = 0 if any(linked(k, i) for i in range(1500)) else min(j for j, _ in far if j == k or linked(j, k))
+        assert next(r.component_id for r in got if r.doc_id == k) == want
+
+
 def test_stars_follow_long_chains(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(300, 301), (301, 300), (7, 7)]
