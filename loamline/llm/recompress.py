@@ -25,22 +25,24 @@ class Parse:
     A span that reaches over its text's end goes one past it, so no window inside holds it.
     """
 
-    def __init__(self, words: np.ndarray, starts: np.ndarray, window: int):
-        at, sizes = np.arange(len(words)), np.diff(starts)
-        self.window = window
-        self.name, self.low, self.high = words, at, at + 1
+    def __init__(self, words: np.ndarray, place: np.ndarray, starts: np.ndarray, window: int):
+        """``words`` are the sorted distinct ones, ``place`` tells for each place of the texts which of them stands there."""
+        at, sizes = np.arange(len(place)), np.diff(starts)
+        self.window, self.words, self.place = window, words, place
+        self.name, self.low, self.high = words[place], at, at + 1
         self.text = np.repeat(np.arange(len(sizes)), sizes)
         self.first, self.last = starts[:-1] - 1, starts[1:] + 1
         self.open = at + window <= np.repeat(starts[1:], sizes)
         #: Symbols of the last round, and those of them that ask for a name.
-        self.made = np.ones(len(words), bool)
+        self.made = np.ones(len(place), bool)
         self.fresh = self.made.copy()
 
     def asked(self, round_: int) -> tuple[np.ndarray, np.ndarray]:
         """The sorted distinct codes that a round asks names for, and how often each stands here."""
-        if round_:
-            self._runs()
-            self._pairs(round_)
+        if not round_:
+            return self.words, np.bincount(self.place, minlength=len(self.words))
+        self._runs()
+        self._pairs(round_)
         before = np.append(0, np.cumsum(self.open))
         a, b = np.clip(self.high - self.window, 0, len(self.open)), np.clip(self.low + 1, 0, len(self.open))
         self.fresh &= (self.high - self.low <= self.window) & (before[np.maximum(a, b)] > before[a])

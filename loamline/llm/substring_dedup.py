@@ -64,9 +64,9 @@ def _blocks(window: int):
 
 def _parsed(row: dict, found: list[list[np.ndarray]], bits: int, window: int) -> tuple[Parse, np.ndarray, np.ndarray]:
     """A block's parse as far as its symbols are named, its words, and where its texts start."""
-    words = unpack_sorted(row["words_"])[unpack(row["at_"], np.uint32)]
     starts = np.append(0, np.cumsum(unpack(row["sizes_"]).astype(np.int64)))
-    parse = Parse(words, starts, window)
+    parse = Parse(unpack_sorted(row["words_"]), unpack(row["at_"], np.uint32).astype(np.int64), starts, window)
+    words = parse.name
     for k, (ranks, *_) in enumerate(found):
         codes, _ = parse.asked(k)
         # A name is a range of codes, a place in it, and the round; 0 stays 0.

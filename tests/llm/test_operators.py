@@ -331,7 +331,7 @@ def test_repeated_windows_stay_open(vocabulary):
         b[rng.randrange(len(b) + 1) : 0] = a[at : at + rng.randint(15, 60)]
     starts = np.cumsum([0, *map(len, texts)])
     w = np.concatenate([np.zeros(0, np.uint64), *[np.array(t, np.uint64) for t in texts]]) * np.uint64(0x9E3779B97F4A7C15)
-    parse = recompress.Parse(w, starts, 20)
+    parse = recompress.Parse(*np.unique(w, return_inverse=True), starts, 20)
     places = np.flatnonzero(parse.open)
     counts = Counter(w[p : p + 20].tobytes() for p in places)
     repeated = [p for p in places if counts[w[p : p + 20].tobytes()] > 1]
