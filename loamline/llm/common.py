@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,17 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_blocks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[slice, list[bytes]]]:
+    """Runs of texts of about ``limit`` bytes, at least one text each; only one run is taken out of the column at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        stop = min(len(sizes), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit)) + 1)
+        yield slice(at, stop), texts_of(column[at:stop])
+        at = stop
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words."""
     x = (x ^ (x >> np.uint64(30))) * MIX_A

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, blocks, broadcast_if_small, mixed, shingle_sets, texts_of, written
+from .common import Spans, broadcast_if_small, mixed, shingle_sets, text_blocks, written
 from .components import components
 
 SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95))
@@ -51,9 +51,8 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in batches:
-        texts = texts_of(b.column(1))
-        for part in blocks(texts, BLOCK_BYTES):
-            yield b.slice(part.start, part.stop - part.start), shingle_sets(texts[part], width)
+        for part, texts in text_blocks(b.column(1), BLOCK_BYTES):
+            yield b.slice(part.start, part.stop - part.start), shingle_sets(texts, width)
 
 
 def _signed(width: int):
@@ -119,14 +118,18 @@ def _across(known: DataFrame, percent: int) -> DataFrame:
 
     Components are paired first, then their classes, so that no two classes of one component meet, however many have the shingle.
     """
+    enough = lambda n, m: F.floor((n + m) * percent / (100 + percent))
     several = known.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("token")
-    open_ = written(known.join(several, "token"), "jaccard-open")
-    of = open_.select("token", "c").distinct()
-    pairs = of.withColumnRenamed("c", "a_c").join(of.withColumnRenamed("c", "b_c"), "token").where("a_c < b_c")
-    a, b = (open_.select("token", *[F.col(x).alias(f"{side}_{x}") for x in ("node", "n", "at", "c")]) for side in "ab")
-    enough = F.floor((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
-    reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    met = pairs.join(a, ["token", "a_c"]).join(b, ["token", "b_c"]).where(_alike_in_size(F.col("a_n"), F.col("b_n"), percent) & (reach >= enough))
+    open_ = written(known.join(several, "token").select("token", "node", "c", "n", (F.col("n") - F.col("at")).alias("left")), "jaccard-open")
+    side = lambda df, name: df.select("token", *[F.col(x).alias(f"{name}_{x}") for x in df.columns if x != "token"])
+    # Of a component the sizes that its classes with the shingle reach, and the most shingles from it on.
+    of = open_.groupBy("token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("far"))
+    col = F.col
+    alike = (col("a_high") * 100 >= col("b_low") * percent) & (col("b_high") * 100 >= col("a_low") * percent)
+    pairs = side(of, "a").join(side(of, "b"), "token").where((col("a_c") < col("b_c")) & alike & (F.least("a_far", "b_far") >= enough(col("a_low"), col("b_low"))))
+    alike = (col("a_n") * 100 >= col("b_low") * percent) & (col("b_high") * 100 >= col("a_n") * percent)
+    half = pairs.drop("a_low", "a_high", "a_far").join(side(open_, "a"), ["token", "a_c"]).where(alike & (F.least("a_left", "b_far") >= enough(col("a_n"), col("b_low"))))
+    met = half.drop("b_low", "b_high", "b_far").join(side(open_, "b"), ["token", "b_c"]).where(_alike_in_size(col("a_n"), col("b_n"), percent) & (F.least("a_left", "b_left") >= enough(col("a_n"), col("b_n"))))
     return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
@@ -135,18 +138,18 @@ def linked(docs: DataFrame, own: DataFrame, key: str, text: str, width: int, per
     all inside one."""
     texts = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(text).alias("text_"), F.xxhash64(text).alias("t_"))
     prefixes = texts.mapInArrow(_first_prefixes(width, percent), "token bigint, s1 bigint")
-    alone = prefixes.groupBy("token").agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).where("s1 = other").groupBy("s1").agg(F.count(F.lit(1)).alias("alone"))
+    alone = prefixes.groupBy("token").agg(F.min("s1").alias("s1"), F.max("s1").alias("other")).where("s1 = other")
     first = own.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("key_", "t_")).alias("row"), F.min("n").alias("n"))
     # Sets whose first hashes are equal by chance are counted together; they stay, and are told apart from then on.
-    first = first.groupBy("s1").agg(F.collect_list(F.struct("s2", "row", "n")).alias("sets")).withColumn("mixed_", F.size("sets") > 1)
-    first = first.select("s1", "mixed_", F.inline("sets")).select("s1", "s2", "mixed_", "row.key_", "row.t_", "n")
+    counts = lambda df, alone, sets: df.select("s1", F.lit(alone).alias("alone"), F.lit(sets).alias("sets"))
+    alone = counts(alone, 1, 0).unionAll(counts(first, 0, 1)).groupBy(F.col("s1").alias("of_")).agg(F.sum("alone").alias("alone"), F.sum("sets").alias("sets"))
     lack = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
     more = lack
     taken = F.least(F.col("n"), lack + 1 + more)
     # Partners of other sizes have other prefixes: of linked sets the larger may share one less than its own surplus, from half the union up.
     need = F.greatest(F.lit(1), more) if percent >= 50 else F.lit(1)
-    stay = first.join(alone, "s1", "left").where(F.col("mixed_") | (taken - F.coalesce("alone", F.lit(0)) >= need))
-    stay = stay.select("s1", "s2", "key_", "t_", F.xxhash64("key_", "t_").alias("h_"), F.monotonically_increasing_id().alias("node"))
+    stay = first.join(alone, F.col("s1") == F.col("of_")).where((F.col("sets") > 1) | (taken - F.col("alone") >= need))
+    stay = stay.select("s1", "s2", "row.key_", "row.t_", F.xxhash64("row.key_", "row.t_").alias("h_"), F.monotonically_increasing_id().alias("node"))
     stay = written(stay, "jaccard-stay")
 
     # One row of each class, by a hash of key and text: rows that repeat a key would each meet all classes of that key.
@@ -190,8 +193,9 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     of = stay.join(labels, "node").select("s1", "s2", "component")
     named = written(least.join(of, ["s1", "s2"], "left"), "jaccard-named")
     # Classes without links are components of their own.
-    whole = named.where("component IS NOT NULL").groupBy("component").agg(F.min("k").alias("least_"))
-    found = named.join(whole, "component", "left").select("s1", "s2", F.when(F.col("component").isNull(), F.col("k")).otherwise(F.col("least_")).alias("component_id"))
+    lone, joined = named.where("component IS NULL"), named.where("component IS NOT NULL")
+    joined = joined.join(joined.groupBy("component").agg(F.min("k").alias("component_id")), "component").select("s1", "s2", "component_id")
+    found = joined.unionAll(lone.select("s1", "s2", "k"))
     return own.join(found, ["s1", "s2"], "left").select(F.col("key_").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key_")).alias("component_id"))
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bucketed, hashed_words, mixed, texts_of
+from .common import bucketed, hashed_words, mixed, text_blocks
 from .exchange import DEALT, Group, answered, beside, dealt, found_by_order, pack, pack_sorted, range_bits, unpack, unpack_sorted
 
 #: Pairs and triples that occur less often in training are left to backoff.
@@ -127,9 +127,8 @@ def _blocks(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for b in batches:
-            texts = texts_of(b.column(1))
-            for part in blocks(texts, BLOCK_BYTES):
-                tokens, starts = token_hashes(texts[part])
+            for part, texts in text_blocks(b.column(1), BLOCK_BYTES):
+                tokens, starts = token_hashes(texts)
                 words, at = np.unique(tokens, return_inverse=True)
                 learn, rate = (b.column(i)[part.start : part.stop].to_numpy(zero_copy_only=False).astype(np.uint8) for i in (2, 3))
                 keys = b.column(0)[part.start : part.stop].filter(pa.array(rate.astype(bool)))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import blocks, hashed_words, shingled, texts_of
+from .common import hashed_words, shingled, text_blocks
 
 #: Byte classes whose share of a text is a statistic.
 CLASSES = {
@@ -134,9 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: st
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(0))
-            for part in blocks(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(list(statistics(texts[part])), pa.list_(pa.float64())), *[b.column(i)[part.start : part.stop] for i in (1, 2)]], names=["x", "y", "o"])
+            for part, texts in text_blocks(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(list(statistics(texts)), pa.list_(pa.float64())), *[b.column(i)[part.start : part.stop] for i in (1, 2)]], names=["x", "y", "o"])
 
     rows = joined.mapInArrow(measured, "x array<double>, y double, o bigint").orderBy("o", "y").limit(max_rows).toArrow()
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(STATISTICS))
@@ -155,8 +154,7 @@ def scored(docs: DataFrame, model: Trees, text: str = "text", score: str = "scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(b.schema.get_field_index(text)))
-            values = [model.scores(statistics(texts[part])) for part in blocks(texts)]
+            values = [model.scores(statistics(texts)) for _, texts in text_blocks(b.column(b.schema.get_field_index(text)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *values]))], names=[*b.schema.names, score])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Spans, blocks, bucketed, hashed_words, mixed, texts_of, written
+from .common import Spans, bucketed, hashed_words, mixed, text_blocks, written
 from .exchange import DEALT, Group, answered, beside, dealt, found_by_order, pack, pack_sorted, range_bits, unpack, unpack_sorted
 from .recompress import ROUNDS, Parse
 
@@ -45,9 +45,8 @@ def _blocks(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for b in batches:
-            texts = texts_of(b.column(3))
-            for part in blocks(texts, BLOCK_BYTES):
-                tokens, starts = hashed_words(texts[part])
+            for part, texts in text_blocks(b.column(3), BLOCK_BYTES):
+                tokens, starts = hashed_words(texts)
                 sizes = np.diff(starts)
                 whole = sizes >= window
                 if not whole.any():
