@@ -44,7 +44,7 @@ def _failed(df: DataFrame, id_: str, tests: dict) -> DataFrame:
 def violations(files: DataFrame, chunks: DataFrame, inventory: DataFrame, config_hash: str) -> DataFrame:
     """``files`` (id, path, content_hash, byte_length, chunk_count, source_text, config_hash), ``chunks``, ``inventory`` (path, status, file_id, content_hash)."""
     digest = content_hash(F.col("source_text"))
-    counts = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
     listed = inventory.where("status = 'included'").select(F.col("file_id").alias("listed_id"), F.col("path").alias("listed_path"), F.col("content_hash").alias("listed_hash"))
     f = files.join(counts, files.id == counts.file_id, "left").drop("file_id").join(listed, F.col("id") == F.col("listed_id"), "full_outer")
     there, n = F.col("id").isNotNull(), F.coalesce("n", F.lit(0))
@@ -57,6 +57,7 @@ def violations(files: DataFrame, chunks: DataFrame, inventory: DataFrame, config
         "file-not-listed": (F.col("listed_id").isNull(), F.col("path")),
         "file-inventory": ((F.col("path") != F.col("listed_path")) | (F.col("content_hash") != F.col("listed_hash")), F.col("path")),
         "chunk-count": (there & (n != F.col("chunk_count")), n),
+        "chunk-ordinals": (there & ((F.col("first") != 0) | (F.col("last") != F.col("n") - 1)), F.col("last")),
     })
     own = files.select(F.col("id").alias("of_file"), "source_text", "byte_length", F.col("content_hash").alias("of_hash"), F.col("path").alias("of_path"))
     c = chunks.join(own, F.col("file_id") == F.col("of_file"))

@@ -1,4 +1,7 @@
-"""Lexical search: an inverted index as two tables, BM25 over the terms of a query, exact filters, top k.
+"""Lexical search: an inverted index as tables, BM25 over the terms of a query, exact filters, top k.
+
+An index is written once: postings in folders by a hash of their terms, in order of terms, and one row of totals. A query reads the folders of its own
+terms, and there the row groups that hold them.
 
 Every part of a query is literal. Terms are lower-cased runs of letters, digits and ``_`` that single dots or apostrophes may join, so
 ``code.ts`` is one term. Scores: k1 1.2, b 0.75, idf ln(1 + (N - df + 0.5) / (df + 0.5)); any term matches; ties go by id.
@@ -8,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TERM = r"[\p{L}\p{N}_]+(?:[.'][\p{L}\p{N}_]+)*"
@@ -33,28 +36,42 @@ def postings(docs: DataFrame, id_: str = "id", text: str = "search_text") -> Dat
     return each.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _frequency(terms_: str, word: str) -> Column:
-    return F.size(F.filter(terms_, lambda x: x == F.lit(word)))
-
-
-def ranked(docs: DataFrame, text: str, limit: int = 10, keep: Column | None = None, id_: str = "id", body: str = "search_text") -> DataFrame:
-    """id, score of the ``limit`` best of ``docs`` for which ``keep`` holds; statistics are those of all ``docs``.
-
-    One pass counts, one scores; only counts of the query's terms leave the tasks.
-    """
-    wanted = query_terms(text, limit)
-    found = terms(F.coalesce(F.col(body), F.lit("")))
-    measured = docs.select("*", found.alias("t_"))
-    measured = measured.select(*docs.columns, F.size("t_").alias("len_"), *[_frequency("t_", w).alias(f"tf_{i}") for i, w in enumerate(wanted)])
-    stats = measured.agg(F.count(F.lit(1)).alias("n"), F.avg("len_").alias("avg"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))])
-    joined = measured.where(keep if keep is not None else F.lit(True)).crossJoin(F.broadcast(stats))  # one row of totals
-    norm = K1 * (1 - B + B * F.col("len_") / F.col("avg"))
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        tf, df = F.col(f"tf_{i}"), F.col(f"df_{i}")
-        score = score + F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
-    scored = joined.select(F.col(id_).alias("id"), F.round(score, 6).alias("score")).where("score > 0")
-    return scored.orderBy(F.desc("score"), "id").limit(limit)
+class Index:
+    """Postings and totals under a folder that Spark writes."""
+
+    #: Folders of postings.
+    PARTS = 64
+
+    def __init__(self, spark: SparkSession, at: str):
+        self.spark, self.at = spark, at
+
+    @classmethod
+    def write(cls, docs: DataFrame, at: str, id_: str = "id", text: str = "search_text") -> Index:
+        """Each text is cut into terms once. Hot terms are dealt by document too, so none fills a task."""
+        part = F.pmod(F.xxhash64("term"), F.lit(cls.PARTS)).cast("int")
+        found = postings(docs, id_, text).withColumn("part", part)
+        found.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{at}/postings")
+        held = docs.sparkSession.read.parquet(f"{at}/postings")
+        sums = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("terms"))
+        sums.crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).coalesce(1).write.parquet(f"{at}/totals")  # one row each
+        return cls(docs.sparkSession, at)
+
+    def hits(self, wanted: list[str]) -> DataFrame:
+        """Postings of some terms: part, term, id, length, tf."""
+        words = self.spark.createDataFrame([(w,) for w in wanted], "w string").select(F.pmod(F.xxhash64("w"), F.lit(self.PARTS)).cast("int").alias("p"))
+        parts = [r.p for r in words.distinct().collect()]
+        return self.spark.read.parquet(f"{self.at}/postings").where(F.col("part").isin(parts) & F.col("term").isin(wanted))
+
+    def ranked(self, text: str, limit: int = 10, keep: DataFrame | None = None) -> DataFrame:
+        """id, score of the ``limit`` best, of those in ``keep`` (ids) if given; statistics are those of all documents."""
+        hits = self.hits(query_terms(text, limit))
+        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
+        totals = self.spark.read.parquet(f"{self.at}/totals")
+        kept = hits if keep is None else hits.join(keep.distinct(), "id", "left_semi")
+        joined = kept.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))
+        norm = K1 * (1 - B + B * F.col("length") * F.col("n") / F.col("terms"))
+        score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+        return joined.groupBy("id").agg(F.round(F.sum(score), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def matching_any(docs: DataFrame, text: str, id_: str = "id", body: str = "search_text") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loamline.functions.identity import base64, content_hash, file_id, multiset_digest
 from loamline.functions.text import language
 from loamline.operators import chunking, versions
+from loamline.sources.tables import stored
 from loamline.operators.classify import MAX_BYTES, classified
 
 BUILDER = "loamline-builder-1"
@@ -81,6 +82,7 @@ def build(tree: DataFrame, config: dict | None = None, previous: Build | None =
     if previous:
         held = versions.reused(previous.chunks, included.join(kept, ["path", "oid", "mode"], "left_semi").select(file_id(base64(F.col("path")), content_hash(F.col("content"))).alias("file_id")), "file_id")
         cut = cut.unionByName(held)
+    cut = stored(cut, "cut")  # files, counts and digests read it; cutting is the costly part
     counts = cut.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     digest = content_hash(F.col("content"))
     files = included.select(

@@ -7,13 +7,15 @@ latest by time wins. The folder can be in any store that Spark writes.
 
 from __future__ import annotations
 
+import json
 import uuid
+from base64 import b64decode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from loamline.functions.identity import build_id, version_tag
+from loamline.functions.identity import base64, build_id, content_hash, version_tag
 from loamline.functions.text import excerpt
 from loamline.operators import checks, search
 from loamline.operators.reading import read_lines
@@ -31,7 +33,9 @@ class Corpus:
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # nothing has been written yet
+                raise
             return self.spark.createDataFrame([], schema)
 
     def versions(self) -> DataFrame:
@@ -40,6 +44,11 @@ class Corpus:
 
     def publish(self, build: Build, commit: str, commit_time: str) -> str:
         """The tag of the version; publishing a commit again with equal records changes nothing, with others it fails."""
+        known = self._table("published", PUBLISHED).where((F.col("commit") == commit) & (F.col("config_hash") == build.config_hash)).limit(1).collect()
+        if known:
+            if (known[0].n_records, known[0].hash_sum, known[0].hash_xor) != tuple(build.digest().first()):
+                raise ValueError("this commit is published with other records")
+            return known[0].tag
         at = f"{self.root}/versions/{uuid.uuid4().hex}"
         build.files.write.parquet(f"{at}/files")
         build.chunks.write.parquet(f"{at}/chunks")
@@ -49,12 +58,7 @@ class Corpus:
         if wrong:
             raise ValueError(f"the build is not valid: {wrong[:3]}")
         digest = stored.digest().first()
-        known = self._table("published", PUBLISHED).where((F.col("commit") == commit) & (F.col("config_hash") == build.config_hash)).limit(1).collect()
-        if known:
-            if (known[0].n_records, known[0].hash_sum, known[0].hash_xor) != tuple(digest):
-                raise ValueError("this commit is published with other records")
-            return known[0].tag
-        search.postings(stored.chunks).write.parquet(f"{at}/postings")
+        search.Index.write(stored.chunks, f"{at}/index")
         c = F.lit(commit)
         row = self.spark.range(1).select(
             c.alias("commit"), F.lit(commit_time).alias("commit_time"), version_tag(c).alias("tag"), build_id(F.lit(self.name), c, F.lit(build.config_hash), BUILDER).alias("build_id"), F.lit(at).alias("snapshot"),
@@ -80,26 +84,57 @@ class Corpus:
         if named:
             if named[0].status != "available":
                 raise LookupError(f"{ref} is pending: publish {named[0].commit} first")
-            return published.where(F.col("tag") == named[0].tag).first()
+            return self._only(published.where(F.col("tag") == named[0].tag), selector)
         hit = (F.col("commit") == selector) | (F.col("tag") == selector)
         if 7 <= len(selector) <= 64 and set(selector) <= set("0123456789abcdef"):
             hit = hit | F.startswith("commit", F.lit(selector))
-        found = published.where(hit).limit(2).collect()
+        return self._only(published.where(hit), selector)
+
+    def _only(self, versions: DataFrame, selector: str):
+        """A commit published under two configurations is two versions, which no name or commit tells apart."""
+        found = versions.limit(2).collect()
         if len(found) != 1:
             raise LookupError(f"{selector} is {'ambiguous' if found else 'not published'}")
         return found[0]
 
     def search(self, selector: str, text: str, limit: int = 10, path: str | None = None, language: str | None = None) -> DataFrame:
-        """The best chunks of a version, with excerpt and citation; ``path`` and ``language`` are exact filters."""
+        """The best chunks of a version, with excerpt, citation and a handle for ``open``; ``path`` and ``language`` are exact filters.
+
+        A hit whose file the version's inventory does not list, with the same content, is an error.
+        """
         v = self.resolve(selector)
         keep = F.lit(True)
         for name, value in (("path", path), ("language", language)):
             keep = keep & (F.col(name) == value) if value is not None else keep
         chunks = self.spark.read.parquet(f"{v.snapshot}/chunks")
-        best = search.ranked(chunks.select("id", "path", "language", "search_text"), text, limit, keep)
-        found = best.join(chunks, "id")
+        kept = None if path is None and language is None else chunks.where(keep).select("id")
+        best = search.Index(self.spark, f"{v.snapshot}/index").ranked(text, limit, kept)
+        listed = self.spark.read.parquet(f"{v.snapshot}/inventory").where("status = 'included'").select(F.col("file_id").alias("listed_"), F.col("content_hash").alias("hash_"), F.col("path").alias("path_"))
+        # The best are at most 100 rows.
+        found = F.broadcast(best).join(chunks, "id").join(listed, (F.col("file_id") == F.col("listed_")) & (F.col("content_hash") == F.col("hash_")) & (F.col("path") == F.col("path_")), "left")
+        found = found.withColumn("id", F.when(F.col("listed_").isNull(), F.raise_error(F.concat(F.lit("not in the inventory: "), "id"))).otherwise(F.col("id")))
         cite = F.format_string("%s@%s:%s:%d-%d", F.lit(self.name), F.lit(v.commit), "path", "start_line", "end_line")
-        return found.select("id", "score", "path", "language", "chunk_kind", "symbol", "start_line", "end_line", "file_id", "content_hash", excerpt(F.col("search_text")).alias("excerpt"), cite.alias("citation")).orderBy(F.desc("score"), "id")
+        return found.select("id", "score", "path", "language", "chunk_kind", "symbol", "start_line", "end_line", "file_id", "content_hash", excerpt(F.col("search_text")).alias("excerpt"), cite.alias("citation"), self._handle(v).alias("handle")).orderBy(F.desc("score"), "id")
+
+    def _handle(self, v):
+        parts = [F.lit(self.name), F.lit(v.commit), F.lit(v.config_hash), F.col("content_hash"), F.col("start_line").cast("string"), F.col("end_line").cast("string"), F.col("path")]
+        return F.concat(F.lit("ev1."), base64(F.to_json(F.array(*parts))))
+
+    def open(self, handle: str, context: int = 0) -> DataFrame:
+        """The lines that a handle of ``search`` stands for. It holds only for this corpus, and only while the file has the content that was found."""
+        try:
+            name, commit, config, digest, first, last, path = json.loads(b64decode(handle.removeprefix("ev1."), validate=True))
+        except ValueError as e:
+            raise ValueError("this is not a handle") from e
+        if not handle.startswith("ev1.") or name != self.name:
+            raise LookupError("this handle is of another corpus")
+        v = self._only(self._table("published", PUBLISHED).where((F.col("commit") == commit) & (F.col("config_hash") == config)), commit)
+        files = self.spark.read.parquet(f"{v.snapshot}/files").where(F.col("path") == path)
+        same = (F.col("content_hash") == digest) & (content_hash(F.col("source_text")) == digest)
+        held = files.select("*", same.alias("same_")).limit(1).collect()
+        if not held or not held[0].same_:
+            raise LookupError(f"{path} does not have the content that was found")
+        return read_lines(files, F.lit(v.commit), F.lit(int(first)), F.lit(int(last)), context, text="source_text")
 
     def read(self, selector: str, path: str, first: int | None = None, last: int | None = None, context: int = 0) -> DataFrame:
         """Lines of a file of a version, all by default; a path that is excluded reports why."""

@@ -25,7 +25,7 @@ def commit_of(folder: str, ref: str) -> tuple[str, str]:
         raise ValueError(f"{ref!r} is not a plain ref")
     if ref == "HEAD":
         return tuple(_git(folder, "show", "-s", "--format=%H %cI", "HEAD").decode().strip().split(" ", 1))
-    known = _git(folder, "for-each-ref", "--format=%(refname)").decode().split("\n")
+    known = _git(folder, "for-each-ref", "--format=%(refname)", "refs/heads", "refs/tags").decode().split("\n")
     names = [x for x in (ref, f"refs/heads/{ref}", f"refs/tags/{ref}") if x in known]
     if len(names) > 1:
         raise ValueError(f"{ref!r} is both a branch and a tag")
@@ -46,7 +46,7 @@ def tags(spark: SparkSession, folder: str) -> DataFrame:
 def tree(spark: SparkSession, folder: str, commit: str, per_task: int = 2000) -> DataFrame:
     """path (null if its bytes are not UTF-8), path_bytes, mode, type, oid, bytes, content (binary; null for submodules)."""
     rows = []
-    for entry in _git(folder, "ls-tree", "-r", "-z", "-l", commit).split(b"\0")[:-1]:
+    for entry in _git(folder, "ls-tree", "--full-tree", "-r", "-z", "-l", commit).split(b"\0")[:-1]:
         head, _, path = entry.partition(b"\t")
         mode, kind, oid, size = head.decode().split()
         try:
@@ -66,8 +66,10 @@ def tree(spark: SparkSession, folder: str, commit: str, per_task: int = 2000) ->
                         continue
                     p.stdin.write(oid.encode() + b"\n")
                     p.stdin.flush()
-                    size = int(p.stdout.readline().split()[2])
-                    out.append(p.stdout.read(size))
+                    head = p.stdout.readline().split()
+                    if len(head) != 3 or head[0] != oid.encode() or head[1] != b"blob":
+                        raise LookupError(f"git has no blob {oid}: {head}")
+                    out.append(p.stdout.read(int(head[2])))
                     p.stdout.read(1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "content"])
             p.stdin.close()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; set to a new local one only where none is set (tests)."""
+    """The folder that the cluster shares. Where none is set a session of one machine (tests) gets a new one; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -38,19 +41,19 @@ def document_path(key: Column, source: Column) -> Column:
     return F.concat_ws("/", source, folder, F.concat(key, F.lit("."), ending))
 
 
-def tree(spark: SparkSession, sf_dir: str, version: str = "A") -> DataFrame:
-    """doc_id, path, mode, oid, bytes, content (text) of a version of ``documents`` as a tree.
+def tree(spark: SparkSession, sf_dir: str, version: str | None = None) -> DataFrame:
+    """doc_id, path, mode, oid, bytes, content (text) of ``documents`` as a tree: all of them, or one of two versions to compare.
 
     Version A lacks keys that end in 0, B those that end in 1; B adds a line to those that end in 2. Modes make some entries symlinks and
     submodules.
     """
     key = F.col("doc_id")
-    missing, edited = {"A": (0, None), "B": (1, 2)}[version]
+    missing, edited = {None: (None, None), "A": (0, None), "B": (1, 2)}[version]
     text = F.coalesce("text", F.lit(""))
     if edited is not None:
         text = F.when(key % 10 == edited, F.concat(text, F.lit("\nrevised\n"))).otherwise(text)
     mode = F.when(key % 97 == 5, F.lit("120000")).when(key % 97 == 6, F.lit("160000")).otherwise(F.lit("100644"))
-    docs = table(spark, sf_dir, "documents").where(key % 10 != missing).select("doc_id", document_path(key, F.col("source")).alias("path"), mode.alias("mode"), text.alias("content"))
+    docs = table(spark, sf_dir, "documents").where(F.lit(True) if missing is None else key % 10 != missing).select("doc_id", document_path(key, F.col("source")).alias("path"), mode.alias("mode"), text.alias("content"))
     return docs.select("doc_id", "path", "mode", F.sha2("content", 256).alias("oid"), F.octet_length("content").cast("bigint").alias("bytes"), "content")
 
 

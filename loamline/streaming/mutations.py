@@ -30,9 +30,10 @@ def follow(spark: SparkSession, source: str, schema, key: str, order: tuple[str,
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    number = last["batchId"] if last and last["numInputRows"] else (last["batchId"] if last else 0)
-    return spark.read.parquet(f"{out}/state/{number}")
+    # The progress folder knows the batches that are done, also where this run had none of its own.
+    done = spark.read.format("binaryFile").load(f"{out}/progress/commits").select(F.regexp_extract("path", r"/(\d+)\z", 1).alias("n")).where("n <> ''")
+    number = done.agg(F.max(F.col("n").cast("bigint")).alias("n")).first()["n"]
+    return spark.read.schema(schema).parquet(f"{out}/state/{number}")
 
 
 def windowed(log: DataFrame, time: str, kind: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:

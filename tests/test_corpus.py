@@ -114,6 +114,17 @@ def test_build_checks_publish_search_read(spark, tmp_path):
         corpus.read("v2", "vendor/v.ts")
     hits = corpus.search("v2", "Next heading", 5, language="markdown").collect()
     assert hits and {h.path for h in hits} == {"doc.md"} and hits[0].score == max(h.score for h in hits)
+    again = corpus.open(hits[0].handle).first()
+    assert again.path == "doc.md" and (again.start_line, again.end_line) == (hits[0].start_line, hits[0].end_line) and again.citation.endswith(hits[0].citation.split("@")[1])
+    with pytest.raises(LookupError, match="another corpus"):
+        Corpus(spark, corpus.root, "other").open(hits[0].handle)
+    with pytest.raises(ValueError):
+        corpus.open("ev1.?")
+    snapshot = corpus.resolve("v2").snapshot
+    kept = spark.createDataFrame(spark.read.parquet(f"{snapshot}/inventory").collect(), spark.read.parquet(f"{snapshot}/inventory").schema)
+    kept.where("path <> 'doc.md'").write.mode("overwrite").parquet(f"{snapshot}/inventory")
+    with pytest.raises(Exception, match="not in the inventory"):
+        corpus.search("v2", "Next heading", 5).collect()
 
 
 def test_checks_find_each_corruption(spark):
@@ -128,6 +139,7 @@ def test_checks_find_each_corruption(spark):
     assert names(f=files.where(~long_)) >= {"orphan-chunk", "file-missing"}
     assert "file-content-hash" in names(f=files.withColumn("source_text", F.when(long_, F.concat("source_text", F.lit("!"))).otherwise(F.col("source_text"))))
     assert "chunk-text" in names(c=parts.withColumn("search_text", F.when(long_, "x").otherwise(F.col("search_text"))))
+    assert "chunk-ordinals" in names(c=parts.withColumn("ordinal", F.col("ordinal") + F.when(long_, 1).otherwise(0)))
     assert "chunk-lines" in names(c=parts.withColumn("start_line", F.col("start_line") + F.when(long_, 1).otherwise(0)))
 
 
@@ -137,6 +149,27 @@ def test_packing_starts_anew(spark):
     assert got == [0, 0, 0, 1, 1, 1, 2, 2]
 
 
+def test_index_reads_only_its_terms(spark, tmp_path):
+    rows = [(i, f"alpha {'beta ' * (i % 3)}word{i}") for i in range(200)] + [(900, None), (901, "")]
+    index = search.Index.write(spark.createDataFrame(rows, "id bigint, search_text string"), str(tmp_path / "i"))
+    plan = index.hits(["word7"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan and "PushedFilters: [In(term" in plan or "EqualTo(term" in plan
+    got = index.ranked("Word7 beta", 5).collect()
+    assert got[0].id == 7 and len(got) == 5 and index.ranked("nothing", 5).count() == 0
+    assert [r.id for r in index.ranked("alpha", 3, spark.createDataFrame([(5,), (5,), (6,)], "id bigint")).collect()] == [6, 5]
+
+
+def test_stream_starts_again(spark, tmp_path):
+    from loamline.streaming import mutations
+
+    put = lambda n, rows: spark.createDataFrame(rows, "k string, at int, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    read = lambda: {r.k: r.v for r in mutations.follow(spark, str(tmp_path / "log"), spark.read.parquet(str(tmp_path / "log")).schema, "k", ("at",), str(tmp_path / "out")).collect()}
+    put(0, [("a", 1, 1), ("b", 1, 1)])
+    assert read() == {"a": 1, "b": 1} and read() == {"a": 1, "b": 1}  # the second run has no batch
+    put(1, [("a", 2, 2), ("b", 0, 9)])
+    assert read() == {"a": 2, "b": 1}
+
+
 def test_query_limits():
     for bad in (("", 1), ("x" * 4097, 1), ("x", 0), ("x", 101)):
         with pytest.raises(ValueError):
