@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import blocks, broadcast_if_small, hashed_words, mixed, shingle_sets, shingled, texts_of, written
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the largest filter (16 MB); a smaller one has 16 to 32 bits for each shingle.
+#: Bits of the largest filter (16 MB); a smaller one has 256 to 512 bits for each shingle, so few others pass.
 FILTER_BITS = 1 << 27
 
 
@@ -64,7 +64,7 @@ def _bits(codes: np.ndarray, size: int) -> list[np.ndarray]:
 def _filter_of(items: DataFrame) -> np.ndarray:
     """The Bloom filter: its bytes are summed up by Spark, and only those that are not zero come to the driver."""
     n = items.agg(F.sum("size_")).first()[0] or 0
-    size = min(FILTER_BITS, max(1 << 10, 1 << int(16 * n).bit_length()))
+    size = min(FILTER_BITS, max(1 << 10, 1 << int(256 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
