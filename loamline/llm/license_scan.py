@@ -11,7 +11,8 @@ Only those that can reach ``least`` are scored: each template's weightiest terms
 ``least`` of it, so by the Cauchy-Schwarz inequality one without any of them stays below. This drops no statement.
 
 Only DataFrame functions are used. Templates and their term counts are on the driver (a few hundred terms). Directories are resolved
-once each, from distinct directories, before files join them. Null texts have no statement; rows of one path count as one file; a null path
+once each, from distinct directories, before files join them. Null texts have no statement. Every row counts as a file in the
+frequencies of terms; rows of one path share the best statement of any of them. Very long lines are scored whole. A null path
 has no directory and inherits nothing. Other columns are not read; empty tables give empty results.
 """
 
