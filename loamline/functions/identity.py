@@ -48,10 +48,10 @@ def release_alias(ref: Column) -> Column:
 def canonical_json(*columns: str) -> Column:
     """The named columns as JSON with sorted keys, nulls left out, and lower-case escapes."""
     text = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
-    for code in "abcdef":
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u001{code.upper()}", rf"$1\\u001{code}")
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u000{code.upper()}", rf"$1\\u000{code}")
-    return text
+    low = text
+    for code in "ABCDEF":  # an odd number of backslashes before u makes an escape
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u00([01]){code}", rf"$1\\\\u00$2{code.lower()}")
+    return F.when(text.rlike(r"\\u00[01][A-F]"), low).otherwise(text)
 
 
 def multiset_digest(hash_hex: Column) -> list[Column]:

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.identity import base64, chunk_id, content_hash, file_id
-from loamline.functions.text import line_at_byte
+from loamline.functions.identity import base64, build_id, chunk_id, content_hash, file_id, valid_vector
+from loamline.functions.text import enrichment, line_at_byte
 
 from .chunking import MOST
+from .embedding import skip_reason
 
 
 def _row(df: DataFrame, name: str, id_: str, detail) -> DataFrame:
@@ -69,9 +70,51 @@ def violations(files: DataFrame, chunks: DataFrame, inventory: DataFrame, config
         "chunk-id": (again != F.col("id"), again),
         "chunk-utf8": (~F.is_valid_utf8(body), start),
         "chunk-text": (~F.endswith("search_text", body), start),
+        "chunk-prefix": (~F.col("search_text").eqNullSafe(F.concat(enrichment(F.col("path"), F.col("scope"), F.col("symbol")), body)), start),
         "chunk-file": ((F.col("content_hash") != F.col("of_hash")) | (F.col("path") != F.col("of_path")), F.col("path")),
         "chunk-lines": ((F.col("start_line") != line_at_byte(text, start)) | (F.col("end_line") != line_at_byte(text, F.greatest(start, end - 1))), F.col("start_line")),
         "chunk-tokens": (F.col("token_count") > MOST, F.col("token_count")),
         "chunk-config": (F.col("config_hash") != config_hash, F.col("config_hash")),
     })
     return reduce(DataFrame.unionByName, [of_files, of_chunks, duplicates(files.select("id").unionByName(chunks.select("id"))), orphans(chunks, files), gaps(chunks, files)])
+
+
+def records(found: DataFrame, listed: DataFrame) -> DataFrame:
+    """Records (id, file_id, hash) against those that the version lists: missing, not listed, of another hash, or of another file."""
+    a = listed.select(F.col("id").alias("listed_id"), F.col("file_id").alias("listed_file"), F.col("hash").alias("listed_hash"))
+    both = found.select("id", "file_id", "hash").join(a, F.col("id") == F.col("listed_id"), "full_outer")
+    there, known = F.col("id").isNotNull(), F.col("listed_id").isNotNull()
+    return _failed(both.withColumn("which", F.coalesce("id", "listed_id")), "which", {
+        "record-missing": (~there, F.col("listed_hash")),
+        "record-not-listed": (~known, F.col("hash")),
+        "record-hash": (there & known & ~F.col("hash").eqNullSafe(F.col("listed_hash")), F.col("hash")),
+        "record-file": (there & known & ~F.col("file_id").eqNullSafe(F.col("listed_file")), F.col("file_id")),
+    })
+
+
+def identities(builds: DataFrame, builder: str) -> DataFrame:
+    """Builds (repository, commit, config, config_hash, build_id) whose commit is no object name, or whose hashes are not those of what they name."""
+    config = F.sha2("config", 256)
+    again = build_id(F.col("repository"), F.col("commit"), F.col("config_hash"), builder)
+    return _failed(builds, "build_id", {
+        "commit-form": (~F.coalesce(F.col("commit").rlike(r"\A([a-f0-9]{40}|[a-f0-9]{64})\z"), F.lit(False)), F.col("commit")),
+        "config-hash": (~config.eqNullSafe(F.col("config_hash")), config),
+        "build-id": (~again.eqNullSafe(F.col("build_id")), again),
+    })
+
+
+def embeddings(chunks: DataFrame, dimensions: int | None) -> DataFrame:
+    """Chunks (id, chunk_kind, embedding, embedding_status, embedding_skip_reason) whose state is not the one due, or whose vector is not valid."""
+    due, done = skip_reason(F.col("chunk_kind"), dimensions is not None), F.col("embedding_status").eqNullSafe(F.lit("embedded"))
+    return _failed(chunks, "id", {
+        "embedding-vector": (done & ~valid_vector(F.col("embedding"), dimensions or 0), F.size("embedding")),
+        "embedding-state": (~done & (~F.col("embedding_status").eqNullSafe(F.lit("skipped")) | F.col("embedding").isNotNull()), F.col("embedding_status")),
+        "embedding-reason": (~F.col("embedding_skip_reason").eqNullSafe(due) | (done & due.isNotNull()), F.col("embedding_skip_reason")),
+    })
+
+
+def recount(chunks: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Chunks whose token count is not that of their search text."""
+    from .chunking import counted
+
+    return _row(counted(chunks.select("id", "search_text", "token_count"), tokenizer).where("n_tokens <> token_count"), "chunk-recount", "id", F.col("n_tokens"))

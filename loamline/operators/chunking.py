@@ -8,19 +8,26 @@ configuration; the one here counts words and single marks.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cache
+from itertools import accumulate, pairwise
+from operator import xor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loamline.functions.identity import base64, chunk_id, content_hash, file_id
 from loamline.functions.text import LANGUAGES
 
 #: Fixed values of the chunk budget.
 TARGET, MOST, OVERLAP = 800, 1500, 0.1
+#: Levels of classes in classes; what lies deeper stays one unit, split by the budget.
+DEEPEST = 64
 COUNTER = "words-and-marks-v1"
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _LINE = re.compile(r"[^\n]*\n|[^\n]+\Z")
@@ -30,6 +37,10 @@ _FENCE = re.compile(rf"{_SPACE}*(```|~~~)")
 _HEADING = re.compile(rf"#{{1,6}}{_SPACE}")
 _BRACES = ("java", "typescript", "tsx", "javascript")
 _LEX = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[{}]", re.S)
+_CONTAINER = re.compile(r"\b(?:class|interface)\s+[A-Za-z_$]")
+_COMMENTS = re.compile(r"\A(?:\s*(?://[^\n]*|/\*.*?\*/|@\w+(?:\([^)\n]*\))?))*\s*", re.S)
+BLANK = " \t\n\r\x0b\x0c\ufeff"
+_GAP = re.compile(f"[{BLANK}]*")
 _NAMED = re.compile(r"\b(?:function|class|interface|enum|type|const|let|var)\s+([A-Za-z_$][\w$]*)|([A-Za-z_$][\w$]*)\s*\(")
 
 
@@ -38,111 +49,165 @@ class Unit:
     start: int
     end: int
     kind: str
+    scope: str | None = None
     symbol: str | None = None
     signature: str | None = None
 
 
-def count_tokens(text: str) -> int:
-    return sum(1 for _ in _TOKEN.finditer(text))
+@dataclass(frozen=True)
+class Counter:
+    """How tokens are counted. ``spans`` gives the ranges of tokens where counts of neighbouring texts add up; without it, prefixes are tried."""
+
+    name: str
+    count: Callable[[str], int]
+    spans: Callable[[str], list[tuple[int, int]]] | None = None
+
+
+def words_and_marks() -> Counter:
+    return Counter(COUNTER, lambda text: sum(1 for _ in _TOKEN.finditer(text)), lambda text: [m.span() for m in _TOKEN.finditer(text)])
+
+
+def vocabulary(path: str) -> Counter:
+    """Tokens of a tokenizer file (``.json``, or ``.model`` of sentencepiece), special strings taken as text; named by the file's content."""
+    with open(path, "rb") as f:
+        name = f"vocabulary-{hashlib.sha256(f.read()).hexdigest()[:16]}"
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces_of = sentencepiece.SentencePieceProcessor(model_file=path)
+        return Counter(name, lambda text: len(pieces_of.encode(text)))
+    import tokenizers
+
+    known = tokenizers.Tokenizer.from_file(path)
+    known.no_truncation()
+    known.no_padding()
+    known.encode_special_tokens = True
+    return Counter(name, lambda text: len(known.encode(text, add_special_tokens=False).ids))
 
 
 def prefix_of(path: str, unit: Unit) -> str:
-    return "\n".join(x for x in (path[:240], (unit.symbol or "")[:160]) if x) + "\n"
+    """As ``functions.text.enrichment``."""
+    return "\n".join(x for x in (path[:240], (unit.scope or "")[:160], (unit.symbol or "")[:160]) if x) + "\n"
 
 
 def line_units(text: str, markdown: bool) -> list[Unit]:
-    """A heading or blank line outside a fence starts a unit in Markdown, a section or setting line elsewhere."""
-    kind = "documentation" if markdown else "configuration"
-    cuts, at, fenced = [0], 0, False
-    for m in _LINE.finditer(text):
-        line = m.group()
-        if markdown:
-            begins = not fenced and (_HEADING.match(line) or not line.strip(" \t\n\r\x0b\x0c﻿"))
-        else:
-            begins = _SETTING.match(line)
-        if begins and at > cuts[-1]:
-            cuts.append(at)
-        fenced ^= bool(_FENCE.match(line))
-        at = m.end()
-    return [Unit(a, b, kind) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True) if b > a]
+    """As ``operators.units``: a heading or blank line outside a fence starts a unit in Markdown, a section or setting line elsewhere."""
+    rows = list(_LINE.finditer(text))
+    if markdown:
+        inside = accumulate((bool(_FENCE.match(m.group())) for m in rows), xor, initial=False)
+        starts = [m.start() for m, held in zip(rows, inside) if not held and (_HEADING.match(m.group()) or not m.group().strip(BLANK))]
+    else:
+        starts = [m.start() for m in rows if _SETTING.match(m.group())]
+    return [Unit(a, b, "documentation" if markdown else "configuration") for a, b in pairwise(sorted({0, len(text), *starts}))]
 
 
-def brace_units(text: str) -> list[Unit] | None:
-    """Statements and blocks at the outermost level of braces, by lines; None if braces do not close."""
-    depth, low, ends = 0, {}, []
+def _lexed(text: str) -> tuple[dict[int, int], list[tuple[int, int]]] | None:
+    """Closing brace of each opening one, in order, and comments and strings of several lines; None if braces do not close."""
+    close, opened, long = {}, [], []
     for m in _LEX.finditer(text):
         if m.group() == "{":
-            depth += 1
+            opened.append(m.start())
+            close[m.start()] = 0
         elif m.group() == "}":
-            depth -= 1
-            if depth < 0:
+            if not opened:
                 return None
-            if depth == 0:
-                ends.append(m.end())
+            close[opened.pop()] = m.end()
         elif "\n" in m.group():
-            low[m.start()] = m.end()  # comments and strings of several lines stay whole
-    if depth:
-        return None
-    cuts, inside, blocks = [0], sorted(low.items()), iter(_blocks(text))
-    block = next(blocks, None)
-    for m in _LINE.finditer(text):
-        at = m.end()
-        while block and block[1] <= at:
-            block = next(blocks, None)
-        held = (block and block[0] < at) or any(a < at < b for a, b in inside)
-        if not held and at < len(text) and m.group().strip():
-            cuts.append(at)
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
-        body = text[a:b].strip(" \t\r\n﻿")
+            long.append(m.span())
+    return None if opened else (close, long)
+
+
+class Braces:
+    """Statements of languages with braces, by lines; classes and interfaces, and what is over the limit, are entered, down to ``DEEPEST`` levels."""
+
+    def __init__(self, text: str, path: str, count: Callable[[str], int], close: dict[int, int], long: list[tuple[int, int]]):
+        self.text, self.path, self.count, self.close = text, path, count, close
+        self.opens, self.long, self.depth = list(close), long, []
+
+    def blocks(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Outermost blocks of a range."""
+        out, i = [], bisect.bisect_left(self.opens, a)
+        while i < len(self.opens) and self.opens[i] < b:
+            out.append((self.opens[i], self.close[self.opens[i]]))
+            i = bisect.bisect_left(self.opens, out[-1][1])
+        return out
+
+    def statements(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """Ranges without white space around them that end where a line does, outside blocks and long tokens."""
+        i, j = (bisect.bisect_left(self.long, (x,)) for x in (a, b))
+        held, start = iter(sorted(self.blocks(a, b) + self.long[i:j])), a
+        span = next(held, None)
+        for m in _LINE.finditer(self.text, a, b):
+            while span and span[1] <= m.end():
+                span = next(held, None)
+            goes_on = span and span[0] < m.end() or self.text.startswith("{", _GAP.match(self.text, m.end()).end())
+            if goes_on and m.end() < b:
+                continue
+            body = self.text[start : m.end()]
+            left, right = len(body) - len(body.lstrip(BLANK)), len(body.rstrip(BLANK))
+            if right > left:
+                yield start + left, start + right
+                start = m.end()
+
+    def visit(self, a: int, b: int, scope: str | None = None) -> Iterator[Unit]:
+        for s, e in self.statements(a, b):
+            unit = self.unit(s, e, scope)
+            block = next(iter(self.blocks(s, e)), None)
+            enter = block and len(self.depth) < DEEPEST and (_CONTAINER.search(_COMMENTS.sub("", self.text[s : block[0]])) or self.count(prefix_of(self.path, unit) + self.text[s:e]) > MOST)
+            if not enter:
+                yield unit
+                continue
+            inner = ".".join(x for x in (scope, unit.symbol) if x) or None
+            yield Unit(s, block[0] + 1, "declaration", inner)
+            self.depth.append(inner)
+            yield from self.visit(block[0] + 1, block[1] - 1, inner)
+            self.depth.pop()
+
+    def unit(self, s: int, e: int, scope: str | None) -> Unit:
+        body = self.text[s:e]
         if re.match(r"(import|package)\b", body):
-            unit = Unit(a, b, "imports")
-        elif re.match(r"//|/\*", body):
-            unit = Unit(a, b, "documentation")
-        else:
-            head = re.split(r"[\n{]", body, maxsplit=1)[0]
-            named = _NAMED.search(head)
-            symbol = (named.group(1) or named.group(2))[:200] if named else None
-            is_function = "{" in body and re.search(r"\bfunction\b|\)\s*(:[^{]*)?$|=>\s*$", head.rstrip()) and not re.search(r"\b(class|interface|enum)\b", head)
-            unit = Unit(a, b, "function" if is_function else "declaration", symbol, head[:240] if is_function else None)
-        out.append(unit)
-    return out
-
-
-def _blocks(text: str) -> list[tuple[int, int]]:
-    depth, start, out = 0, 0, []
-    for m in _LEX.finditer(text):
-        if m.group() == "{":
-            start = m.start() if depth == 0 else start
-            depth += 1
-        elif m.group() == "}":
-            depth -= 1
-            if depth == 0:
-                out.append((start, m.end()))
-    return out
+            return Unit(s, e, "imports", scope)
+        if re.match(r"//|/\*", body) and not self.blocks(s, e):
+            return Unit(s, e, "documentation", scope)
+        head = re.split(r"[\n{]", _COMMENTS.sub("", body), maxsplit=1)[0]
+        named = _NAMED.search(head)
+        symbol = (named.group(1) or named.group(2))[:200] if named else None
+        called = "{" in body and re.search(r"\bfunction\b|\)\s*(:[^{]*|throws\b[^{]*)?$|=>\s*$", head.rstrip()) and not _CONTAINER.search(head)
+        return Unit(s, e, "function" if called else "declaration", scope, symbol, head[:240] if called else None)
+
+
+def brace_units(text: str, path: str, count: Callable[[str], int]) -> list[Unit] | None:
+    """Units that cover the text; between two, white space goes to the first and anything else to the second. None if braces do not close."""
+    lexed = _lexed(text)
+    if lexed is None:
+        return None
+    found = list(Braces(text, path, count, *lexed).visit(0, len(text)))
+    if not found:
+        return [Unit(0, len(text), "declaration")]
+    edges = [0, *[_GAP.match(text, u.end).end() for u in found[:-1]], len(text)]
+    return [replace(u, start=a, end=b) for u, (a, b) in zip(found, pairwise(edges), strict=True)]
 
 
 def merged(text: str, path: str, units: list[Unit], count: Callable[[str], int]) -> list[Unit]:
-    """Neighbours of one kind, functions apart, as long as they fit the target; what is merged has no symbol."""
+    """Neighbours of one kind and scope, functions apart, as long as they fit the target; what is merged has no symbol."""
     out: list[Unit] = []
     for u in units:
-        if out and out[-1].kind == u.kind != "function" and count(prefix_of(path, out[-1])) + count(text[out[-1].start : u.end]) <= TARGET:
-            out[-1] = Unit(out[-1].start, u.end, u.kind)
+        last = out[-1] if out else None
+        if last and (last.kind, last.scope) == (u.kind, u.scope) and u.kind != "function" and count(prefix_of(path, last) + text[last.start : u.end]) <= TARGET:
+            out[-1] = Unit(last.start, u.end, u.kind, u.scope)
         else:
             out.append(replace(u))
     return out
 
 
-def pieces(text: str, path: str, unit: Unit, overlap: float) -> Iterator[Unit]:
+def pieces(text: str, path: str, unit: Unit, overlap: float, counter: Counter) -> Iterator[Unit]:
     """The unit if it fits the limit; otherwise prefixes that fit the target, cut after a newline where one is in their second half."""
-    spans = [(m.start() + unit.start, m.end() + unit.start) for m in _TOKEN.finditer(text[unit.start : unit.end])]
-    begins, ends = [a for a, _ in spans], [b for _, b in spans]
-    own = count_tokens(prefix_of(path, unit))
+    fit = _by_spans if counter.spans else _by_trial
+    end_of = fit(text, prefix_of(path, unit), unit, counter)
     start = unit.start
     while start < unit.end:
-        first, end = bisect.bisect_right(ends, start), unit.end
-        if own + len(spans) - first > MOST:
-            end = begins[first + max(1, TARGET - own)]
+        end = end_of(start)
+        if end < unit.end:
             newline = text.rfind("\n", start, end)
             if newline >= start + (end - start) / 2:
                 end = newline + 1
@@ -152,8 +217,36 @@ def pieces(text: str, path: str, unit: Unit, overlap: float) -> Iterator[Unit]:
         start = max(start + 1, end - int((end - start) * overlap))
 
 
-def spans(text: str, path: str, mode: str = "syntax") -> tuple[str, list[Unit]]:
+def _by_spans(text: str, prefix: str, unit: Unit, counter: Counter) -> Callable[[int], int]:
+    found = [(a + unit.start, b + unit.start) for a, b in counter.spans(text[unit.start : unit.end])]
+    begins, ends, own = [a for a, _ in found], [b for _, b in found], counter.count(prefix)
+
+    def end_of(start: int) -> int:
+        first = bisect.bisect_right(ends, start)
+        return unit.end if own + len(found) - first <= MOST else begins[first + max(1, TARGET - own)]
+
+    return end_of
+
+
+def _by_trial(text: str, prefix: str, unit: Unit, counter: Counter) -> Callable[[int], int]:
+    """Looks no further than a range that is over the limit, which is doubled until it is."""
+
+    def end_of(start: int) -> int:
+        tokens = lambda end: counter.count(prefix + text[start:end])
+        size = 4096
+        while tokens(min(start + size, unit.end)) <= MOST:
+            if start + size >= unit.end:
+                return unit.end
+            size *= 2
+        ends = range(start + 1, min(start + size, unit.end))
+        return max(start + 1, start + bisect.bisect_right(ends, TARGET, key=tokens))
+
+    return end_of
+
+
+def spans(text: str, path: str, mode: str = "syntax", counter: Counter | None = None) -> tuple[str, list[Unit]]:
     """How the file was read, and its chunks in order."""
+    counter = counter or words_and_marks()
     language = LANGUAGES.get(path.rsplit(".", 1)[-1].lower(), "text")
     if not text:
         return "empty", []
@@ -161,7 +254,7 @@ def spans(text: str, path: str, mode: str = "syntax") -> tuple[str, list[Unit]]:
     if mode == "window":
         status, units = "window-baseline", whole
     elif language in _BRACES:
-        found = brace_units(text)
+        found = brace_units(text, path, counter.count)
         status, units = ("brace-boundaries", found) if found else ("parse-error-fallback", whole)
     elif language == "markdown":
         status, units = "markdown-boundaries", line_units(text, True)
@@ -170,18 +263,25 @@ def spans(text: str, path: str, mode: str = "syntax") -> tuple[str, list[Unit]]:
     else:
         status, units = "unsupported-language-fallback", whole
     overlap = OVERLAP if mode == "window" or "fallback" in status else 0.0
-    return status, [p for u in merged(text, path, units, count_tokens) for p in pieces(text, path, u, overlap)]
+    return status, [p for u in merged(text, path, units, counter.count) for p in pieces(text, path, u, overlap, counter)]
+
 
+_SCHEMA = "path string, content_hash string, language string, parse_status string, ordinal bigint, start_byte bigint, end_byte bigint, start_line bigint, end_line bigint, chunk_kind string, scope string, symbol string, signature string, search_text string, token_count bigint"
 
-_SCHEMA = "path string, content_hash string, language string, parse_status string, ordinal bigint, start_byte bigint, end_byte bigint, start_line bigint, end_line bigint, chunk_kind string, symbol string, signature string, search_text string, token_count bigint"
 
+@cache
+def _counter(path: str | None) -> Counter:
+    """Once for each Python worker."""
+    return vocabulary(path) if path else words_and_marks()
 
-def _chunked(mode: str):
+
+def _chunked(mode: str, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(tokenizer)
         for b in batches:
             rows: list[tuple] = []
             for path, content, digest in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                status, found = spans(content, path, mode)
+                status, found = spans(content, path, mode, counter)
                 language = LANGUAGES.get(path.rsplit(".", 1)[-1].lower(), "text")
                 byte, line, at = 0, 1, 0
                 for k, u in enumerate(found):
@@ -191,32 +291,44 @@ def _chunked(mode: str):
                     body = content[u.start : u.end]
                     size, inner = len(body.encode()), body[:-1].count("\n")
                     search = prefix_of(path, u) + body
-                    kind = u.kind if body.strip(" \t\n\r\x0b\x0c﻿") else "structural"
-                    rows.append((path, digest, language, status, k, byte, byte + size, line, line + inner, kind, u.symbol, u.signature, search, count_tokens(search)))
+                    kind = u.kind if body.strip(BLANK) else "structural"
+                    rows.append((path, digest, language, status, k, byte, byte + size, line, line + inner, kind, u.scope, u.symbol, u.signature, search, counter.count(search)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if i not in (10, 11) else pa.array(c, pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c) if i not in (10, 11, 12) else pa.array(c, pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     return run
 
 
-def chunks(files: DataFrame, config_hash: str, mode: str = "syntax") -> DataFrame:
-    """Chunk records of included ``files`` (path, content): content-derived ids, ranges, kind, symbol, search text, token count.
+def chunks(files: DataFrame, config_hash: str, mode: str = "syntax", tokenizer: str | None = None) -> DataFrame:
+    """Chunk records of included ``files`` (path, content): content-derived ids, ranges, kind, scope, symbol, search text, token count.
+
+    ``tokenizer`` is a file that all executors can read; without one, words and single marks are counted.
 
     Empty files have no chunks; rows without a path or content are left out.
     """
     own = files.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content", content_hash(F.col("content")).alias("content_hash"))
-    cut = own.mapInArrow(_chunked(mode), _SCHEMA)
+    cut = own.mapInArrow(_chunked(mode, tokenizer), _SCHEMA)
     named = cut.withColumn("file_id", file_id(base64(F.col("path")), F.col("content_hash"))).withColumn("config_hash", F.lit(config_hash))
     return named.withColumn("id", chunk_id(F.col("file_id"), F.col("config_hash"), F.col("start_byte"), F.col("end_byte"), F.col("ordinal")))
 
 
+def counted(rows: DataFrame, tokenizer: str | None = None, text: str = "search_text") -> DataFrame:
+    """``rows`` plus n_tokens of a text, by the counter of ``chunks``; of a null, 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(tokenizer)
+        for b in batches:
+            n = [counter.count(t or "") for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "n_tokens"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("n_tokens", LongType())]))
+
+
 def pack(rows: DataFrame, group: str, order: str, size: str, most_rows: int = 500, most_bytes: int = 4_900_000, each: int = 32) -> DataFrame:
     """``rows`` plus ``batch``: rows of a group in order, a new batch when one more would pass ``most_rows`` or ``most_bytes``.
 
     The fold starts anew at each cut, so it runs within groups; choose groups (hash ranges of ids, say) that fit a task.
     """
-    from pyspark.sql.types import LongType, StructField, StructType
-
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by(order)
         batch, count, held, out = 0, 0, each, []

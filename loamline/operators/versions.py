@@ -39,3 +39,24 @@ def mismatches(expected: DataFrame, found: DataFrame, key: str = "id", hash_: st
     b = found.select(F.col(key).alias("b_key"), F.col(hash_).alias("found_hash"))
     both = a.join(b, F.col("a_key") == F.col("b_key"), "full_outer")
     return both.where(~F.col("expected_hash").eqNullSafe(F.col("found_hash"))).select(F.coalesce("a_key", "b_key").alias(key), "expected_hash", "found_hash")
+
+
+def release_status(names: DataFrame, published: DataFrame, aliases: DataFrame) -> DataFrame:
+    """ref, commit, tag, status of names (ref, commit, alias): ``pending`` until the commit is published (commit, tag), ``out-of-sync`` while
+    its alias (alias, target) is not there or points to another tag, else ``available``."""
+    joined = names.join(published.select("commit", "tag").distinct(), "commit", "left").join(aliases.select("alias", "target"), "alias", "left")
+    status = F.when(F.col("tag").isNull(), "pending").when(~F.col("target").eqNullSafe(F.col("tag")), "out-of-sync").otherwise("available")
+    return joined.select("ref", "commit", "tag", status.alias("status"))
+
+
+def matching(published: DataFrame, selectors: DataFrame) -> DataFrame:
+    """selector and the rows of ``published`` (commit, tag, ...) that it names: a tag, a commit, or 7 to 64 lower-case hex digits that start one.
+
+    Both sides meet by equal tags, or by equal leading seven digits of commits.
+    """
+    short = F.when(F.col("selector").rlike(r"\A[0-9a-f]{7,64}\z"), F.substring("selector", 1, 7)).otherwise(F.col("selector"))
+    asked = selectors.select("selector").distinct().select("selector", short.alias("key_"))
+    keys = F.array_distinct(F.array(F.substring("commit", 1, 7), F.col("commit"), F.col("tag")))
+    both = published.withColumn("key_", F.explode(keys)).join(asked, "key_")
+    hit = (F.col("commit") == F.col("selector")) | (F.col("tag") == F.col("selector")) | ((F.length("key_") == 7) & F.startswith("commit", "selector"))
+    return both.where(hit).drop("key_").select("selector", *published.columns)

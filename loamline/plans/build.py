@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.functions.identity import base64, content_hash, file_id, multiset_digest
+from loamline.functions.identity import base64, build_id, canonical_json, content_hash, file_id, multiset_digest
 from loamline.functions.text import language
 from loamline.operators import chunking, versions
 from loamline.sources.tables import stored
@@ -18,12 +18,18 @@ from loamline.operators.classify import MAX_BYTES, classified
 BUILDER = "loamline-builder-1"
 
 
-def preset(mode: str = "syntax", max_bytes: int = MAX_BYTES) -> dict:
-    return {"schemaVersion": 1, "mode": mode, "maxFileBytes": max_bytes, "targetTokens": chunking.TARGET, "maxTokens": chunking.MOST, "overlap": chunking.OVERLAP, "counter": chunking.COUNTER, "embedding": None}
+def preset(mode: str = "syntax", max_bytes: int = MAX_BYTES, tokenizer: str | None = None, embedding: dict | None = None) -> dict:
+    """``tokenizer``: file of a vocabulary to count by; ``embedding``: model and dimensions."""
+    counter = chunking.vocabulary(tokenizer) if tokenizer else chunking.words_and_marks()
+    return {"schemaVersion": 1, "mode": mode, "maxFileBytes": max_bytes, "targetTokens": chunking.TARGET, "maxTokens": chunking.MOST, "overlap": chunking.OVERLAP, "counter": counter.name, "embedding": embedding}
+
+
+def canonical(config: dict) -> str:
+    return json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 def config_hash(config: dict) -> str:
-    return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    return hashlib.sha256(canonical(config).encode()).hexdigest()
 
 
 @dataclass
@@ -42,10 +48,10 @@ class Build:
         return config_hash(self.config)
 
     def records(self) -> DataFrame:
-        """id and hash of every record; the hash covers what the record says, not where it is kept."""
-        named = lambda df, *columns: df.select("id", F.sha2(F.to_json(F.struct(*sorted(columns))), 256).alias("hash"))
-        return named(self.files, "id", "path", "content_hash", "byte_length", "chunk_count", "config_hash", "language").unionByName(
-            named(self.chunks, "id", "file_id", "start_byte", "end_byte", "start_line", "end_line", "ordinal", "chunk_kind", "search_text", "token_count", "config_hash")
+        """id, file_id and hash of every record; the hash covers what the record says, not where it is kept."""
+        named = lambda df, file, *columns: df.select("id", F.col(file).alias("file_id"), F.sha2(canonical_json(*columns), 256).alias("hash"))
+        return named(self.files, "id", "id", "path", "content_hash", "byte_length", "chunk_count", "config_hash", "language").unionByName(
+            named(self.chunks, "file_id", "id", "file_id", "start_byte", "end_byte", "start_line", "end_line", "ordinal", "chunk_kind", "scope", "symbol", "search_text", "token_count", "config_hash")
         )
 
     def counts(self) -> DataFrame:
@@ -56,6 +62,12 @@ class Build:
     def digest(self) -> DataFrame:
         return self.records().agg(*multiset_digest(F.col("hash")))
 
+    def metadata(self, repository: str, commit: str) -> DataFrame:
+        """One row: repository, commit, builder, config (JSON), config_hash, build_id and the digest of the inventory."""
+        own, listed = F.lit(self.config_hash), self.inventory.agg(*multiset_digest(F.sha2(canonical_json("path", "mode", "oid", "status", "reason", "content_hash"), 256)))
+        named = [F.lit(repository).alias("repository"), F.lit(commit).alias("commit"), F.lit(BUILDER).alias("builder"), F.lit(canonical(self.config)).alias("config"), own.alias("config_hash"), build_id(F.lit(repository), F.lit(commit), own, BUILDER).alias("build_id")]
+        return listed.select(*named, F.col("n_records").alias("n_entries"), F.col("hash_sum").alias("inventory_sum"), F.col("hash_xor").alias("inventory_xor"))
+
 
 def inventory(tree: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, path_base64, mode, oid, bytes, status, reason, content_hash, file_id for each entry of the tree."""
@@ -66,9 +78,11 @@ def inventory(tree: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return own.withColumn("file_id", file_id(F.col("path_base64"), F.col("content_hash")))
 
 
-def build(tree: DataFrame, config: dict | None = None, previous: Build | None = None) -> Build:
-    """``tree`` has path, mode, oid, bytes, content (text or bytes). Files that ``previous`` includes with the same path, oid and mode are not cut again."""
-    config = config or preset()
+def build(tree: DataFrame, config: dict | None = None, previous: Build | None = None, tokenizer: str | None = None) -> Build:
+    """``tree`` has path, mode, oid, bytes, content (text or bytes); ``tokenizer`` is the file that ``config`` counts by. Files that ``previous`` includes with the same path, oid and mode are not cut again."""
+    config = config or preset(tokenizer=tokenizer)
+    if tokenizer and config["counter"] != chunking.vocabulary(tokenizer).name:
+        raise ValueError("the tokenizer is not the one that the configuration names")
     own = config_hash(config)
     listed = inventory(tree, config["maxFileBytes"])
     included = classified(tree, max_bytes=config["maxFileBytes"]).where("reason IS NULL").withColumn("content", F.col("content").cast("string"))
@@ -78,7 +92,7 @@ def build(tree: DataFrame, config: dict | None = None, previous: Build | None =
     if previous:
         kept = previous.inventory.where("status = 'included'").select("path", "oid", "mode")
         fresh = included.join(kept, ["path", "oid", "mode"], "left_anti")
-    cut = chunking.chunks(fresh, own, config["mode"])
+    cut = chunking.chunks(fresh, own, config["mode"], tokenizer)
     if previous:
         held = versions.reused(previous.chunks, included.join(kept, ["path", "oid", "mode"], "left_semi").select(file_id(base64(F.col("path")), content_hash(F.col("content"))).alias("file_id")), "file_id")
         cut = cut.unionByName(held)

@@ -10,40 +10,78 @@ from __future__ import annotations
 import json
 import uuid
 from base64 import b64decode
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from loamline.functions.identity import base64, build_id, content_hash, version_tag
-from loamline.functions.text import excerpt
-from loamline.operators import checks, search
+from loamline.functions.identity import base64, build_id, content_hash, release_alias, version_tag
+from loamline.functions.text import excerpt, first_token, normalized_remote, slug
+from loamline.operators import catalog, checks, search, versions
 from loamline.operators.reading import read_lines
 
 from .build import BUILDER, Build
 
 PUBLISHED = "commit string, commit_time string, tag string, build_id string, snapshot string, config_hash string, n_records bigint, hash_sum string, hash_xor bigint"
 RELEASES = "ref string, commit string, at timestamp"
+ALIASES = "alias string, target string, at timestamp"
 
 
-class Corpus:
-    def __init__(self, spark: SparkSession, root: str, name: str):
-        self.spark, self.root, self.name = spark, root.rstrip("/"), name
+
+class _Folder:
+    """Tables under one folder, which are empty until something has been written."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # nothing has been written yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
+
+class Corpus(_Folder):
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        super().__init__(spark, root)
+        self.name = name
+
     def versions(self) -> DataFrame:
         """Published versions, by commit time as text, then commit."""
         return self._table("published", PUBLISHED).orderBy("commit_time", "commit")
 
+    @contextmanager
+    def _alone(self):
+        """One writer at a time, by a file that is created only if it is not there (in stores that can tell)."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/writer.lock")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at.getParent())
+        try:
+            fs.create(at, False).close()
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e) and "already exists" not in str(e):
+                raise
+            raise RuntimeError(f"another writer holds {at}; remove it if none is running") from e
+        try:
+            yield
+        finally:
+            fs.delete(at, False)
+
     def publish(self, build: Build, commit: str, commit_time: str) -> str:
-        """The tag of the version; publishing a commit again with equal records changes nothing, with others it fails."""
+        """The tag of the version; publishing a commit again with equal records changes nothing, with others it fails.
+
+        Names that wait for the commit are pointed to it.
+        """
+        with self._alone():
+            tag = self._publish(build, commit, commit_time)
+            self._point()
+        return tag
+
+    def _publish(self, build: Build, commit: str, commit_time: str) -> str:
         known = self._table("published", PUBLISHED).where((F.col("commit") == commit) & (F.col("config_hash") == build.config_hash)).limit(1).collect()
         if known:
             if (known[0].n_records, known[0].hash_sum, known[0].hash_xor) != tuple(build.digest().first()):
@@ -54,11 +92,13 @@ class Corpus:
         build.chunks.write.parquet(f"{at}/chunks")
         build.inventory.write.parquet(f"{at}/inventory")
         stored = Build(build.config, *[self.spark.read.parquet(f"{at}/{x}") for x in ("inventory", "files", "chunks")])
-        wrong = checks.violations(stored.files, stored.chunks, stored.inventory, build.config_hash).limit(20).collect()
+        stored.records().write.parquet(f"{at}/records")
+        stored.metadata(self.name, commit).coalesce(1).write.parquet(f"{at}/build")
+        wrong = self._wrong(at, build.config_hash).limit(20).collect()
         if wrong:
             raise ValueError(f"the build is not valid: {wrong[:3]}")
         digest = stored.digest().first()
-        search.Index.write(stored.chunks, f"{at}/index")
+        self._probe(search.Index.write(stored.chunks, f"{at}/index"), stored.chunks)
         c = F.lit(commit)
         row = self.spark.range(1).select(
             c.alias("commit"), F.lit(commit_time).alias("commit_time"), version_tag(c).alias("tag"), build_id(F.lit(self.name), c, F.lit(build.config_hash), BUILDER).alias("build_id"), F.lit(at).alias("snapshot"),
@@ -67,14 +107,48 @@ class Corpus:
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/published")
         return row.first().tag
 
+    def _wrong(self, at: str, config_hash: str) -> DataFrame:
+        """Violations of a version as it is stored, against the records and the metadata that were written with it."""
+        read = lambda x: self.spark.read.parquet(f"{at}/{x}")
+        meta = read("build")
+        own = Build(json.loads(meta.first().config), read("inventory"), read("files"), read("chunks"))
+        again = own.metadata(self.name, meta.first().commit).select(*[F.col(c).alias(f"{c}_") for c in ("n_entries", "inventory_sum", "inventory_xor")])
+        both = meta.crossJoin(again)  # one row each
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("n_entries", "inventory_sum", "inventory_xor")]
+        listed = both.where(~(same[0] & same[1] & same[2])).select(F.lit("inventory-digest").alias("check_name"), F.col("build_id").alias("id"), F.col("inventory_sum_").alias("detail"))
+        found = checks.violations(own.files, own.chunks, own.inventory, config_hash)
+        return found.unionByName(checks.records(own.records(), read("records"))).unionByName(checks.identities(meta, BUILDER)).unionByName(listed)
+
+    def verify(self, selector: str) -> DataFrame:
+        """All violations (check_name, id, detail) of a published version."""
+        v = self.resolve(selector)
+        return self._wrong(v.snapshot, v.config_hash)
+
+    def _probe(self, index: search.Index, chunks: DataFrame) -> None:
+        """The first token of some chunk must be found, in the file of that chunk."""
+        word = first_token(F.coalesce("symbol", "search_text"))
+        one = chunks.select("id", "file_id", word.alias("word")).where(F.size(search.terms(F.col("word"))) > 0).limit(1).collect()
+        if one and index.ranked(one[0].word, 1, chunks.where(F.col("file_id") == one[0].file_id).select("id")).limit(1).count() == 0:
+            raise ValueError(f"the index does not find {one[0].word!r}")
+
     def release(self, refs: DataFrame) -> None:
-        """Points names (ref, commit, at) to commits, published or not."""
-        refs.select("ref", "commit", F.col("at").cast("timestamp")).write.mode("append").parquet(f"{self.root}/releases")
+        """Points names (ref, commit, at) to commits, published or not. What is wanted is written first; aliases of published commits follow."""
+        with self._alone():
+            refs.select("ref", "commit", F.col("at").cast("timestamp")).write.mode("append").parquet(f"{self.root}/releases")
+            self._point()
+
+    def _aliases(self) -> DataFrame:
+        return self._table("aliases", ALIASES).groupBy("alias").agg(F.max_by("target", "at").alias("target"))
+
+    def _point(self) -> None:
+        behind = self.releases().where("status = 'out-of-sync'").select(release_alias(F.col("ref")).alias("alias"), F.col("tag").alias("target"), F.current_timestamp().alias("at"))
+        if behind.limit(1).count():
+            behind.write.mode("append").parquet(f"{self.root}/aliases")
 
     def releases(self) -> DataFrame:
-        """ref, commit, tag, status: ``available`` once the commit is published, else ``pending``."""
+        """ref, commit, tag, status, see ``versions.release_status``."""
         latest = self._table("releases", RELEASES).groupBy("ref").agg(F.max_by("commit", F.struct("at", "commit")).alias("commit"))
-        return latest.join(self._table("published", PUBLISHED).select("commit", "tag").distinct(), "commit", "left").select("ref", "commit", "tag", F.when(F.col("tag").isNull(), "pending").otherwise("available").alias("status"))
+        return versions.release_status(latest.withColumn("alias", release_alias(F.col("ref"))), self._table("published", PUBLISHED), self._aliases())
 
     def resolve(self, selector: str):
         """The version that a name, tag, commit or 7 to 64 hex digits of one stand for. A known name goes before a commit, even while pending."""
@@ -83,19 +157,16 @@ class Corpus:
         published = self._table("published", PUBLISHED)
         if named:
             if named[0].status != "available":
-                raise LookupError(f"{ref} is pending: publish {named[0].commit} first")
+                raise LookupError(f"{ref} is {named[0].status}: {'publish' if named[0].status == 'pending' else 'point names to'} {named[0].commit} first")
             return self._only(published.where(F.col("tag") == named[0].tag), selector)
-        hit = (F.col("commit") == selector) | (F.col("tag") == selector)
-        if 7 <= len(selector) <= 64 and set(selector) <= set("0123456789abcdef"):
-            hit = hit | F.startswith("commit", F.lit(selector))
-        return self._only(published.where(hit), selector)
+        return self._only(versions.matching(published, self.spark.createDataFrame([(selector,)], "selector string")).drop("selector"), selector)
 
-    def _only(self, versions: DataFrame, selector: str):
+    def _only(self, found: DataFrame, selector: str):
         """A commit published under two configurations is two versions, which no name or commit tells apart."""
-        found = versions.limit(2).collect()
-        if len(found) != 1:
-            raise LookupError(f"{selector} is {'ambiguous' if found else 'not published'}")
-        return found[0]
+        rows = found.limit(2).collect()
+        if len(rows) != 1:
+            raise LookupError(f"{selector} is {'ambiguous' if rows else 'not published'}")
+        return rows[0]
 
     def search(self, selector: str, text: str, limit: int = 10, path: str | None = None, language: str | None = None) -> DataFrame:
         """The best chunks of a version, with excerpt, citation and a handle for ``open``; ``path`` and ``language`` are exact filters.
@@ -114,7 +185,7 @@ class Corpus:
         found = F.broadcast(best).join(chunks, "id").join(listed, (F.col("file_id") == F.col("listed_")) & (F.col("content_hash") == F.col("hash_")) & (F.col("path") == F.col("path_")), "left")
         found = found.withColumn("id", F.when(F.col("listed_").isNull(), F.raise_error(F.concat(F.lit("not in the inventory: "), "id"))).otherwise(F.col("id")))
         cite = F.format_string("%s@%s:%s:%d-%d", F.lit(self.name), F.lit(v.commit), "path", "start_line", "end_line")
-        return found.select("id", "score", "path", "language", "chunk_kind", "symbol", "start_line", "end_line", "file_id", "content_hash", excerpt(F.col("search_text")).alias("excerpt"), cite.alias("citation"), self._handle(v).alias("handle")).orderBy(F.desc("score"), "id")
+        return found.select("id", "score", "path", "language", "chunk_kind", "scope", "symbol", "start_line", "end_line", "file_id", "content_hash", excerpt(F.col("search_text")).alias("excerpt"), cite.alias("citation"), self._handle(v).alias("handle")).orderBy(F.desc("score"), "id")
 
     def _handle(self, v):
         parts = [F.lit(self.name), F.lit(v.commit), F.lit(v.config_hash), F.col("content_hash"), F.col("start_line").cast("string"), F.col("end_line").cast("string"), F.col("path")]
@@ -144,3 +215,46 @@ class Corpus:
             raise LookupError(f"{path} is {'not in this version' if entry is None else 'excluded: ' + entry.reason}")
         files = self.spark.read.parquet(f"{v.snapshot}/files").where(F.col("path") == path)
         return read_lines(files, F.lit(v.commit), F.lit(first or 1), F.lit(last or 2**31 - 1), context, text="source_text")
+
+
+REPOSITORIES = "collection string, name string, repo_key string, description string, tags map<string,string>, schema_version int, at timestamp"
+COLLECTIONS = "collection string, purpose string, at timestamp"
+#: Of the collections that this library makes.
+PURPOSE = "source-corpus"
+
+
+class Catalog(_Folder):
+    """Repositories under one folder, each with a corpus of its own. A collection is listed first, its descriptor follows."""
+
+    def register(self, name: str, remote: str, description: str = "", tags: dict[str, str] | None = None) -> str:
+        """The collection of a repository, by its normalized remote; registering it again changes its name, description and tags."""
+        row = self.spark.range(1).select(normalized_remote(F.lit(remote)).alias("repo_key"), slug(F.lit(name)).alias("slug")).withColumn("hash", F.sha2("repo_key", 256)).first()
+        if row.repo_key is None:
+            raise ValueError(f"{remote!r} is not the address of a repository")
+        known = self.repositories().where(F.col("repo_key") == row.repo_key).first()
+        collection = known.collection if known else f"{row.slug or 'repository'}-{row.hash[:12]}"
+        now = F.current_timestamp().alias("at")
+        if not known:
+            self.spark.range(1).select(F.lit(collection).alias("collection"), F.lit(PURPOSE).alias("purpose"), now).coalesce(1).write.mode("append").parquet(f"{self.root}/collections")
+        made = self.spark.createDataFrame([(collection, name, row.repo_key, description, tags or {}, 1)], REPOSITORIES.rpartition(",")[0])
+        made.select("*", now).coalesce(1).write.mode("append").parquet(f"{self.root}/repositories")
+        return collection
+
+    def _descriptors(self) -> DataFrame:
+        rows = self._table("repositories", REPOSITORIES)
+        return rows.groupBy("collection").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("collection", "at")]), "at").alias("r")).select("collection", "r.*")
+
+    def discover(self) -> DataFrame:
+        """collection, status (ready or partial), repo_key, name."""
+        return catalog.discovered(self._table("collections", COLLECTIONS).drop("at").distinct(), self._descriptors(), PURPOSE)
+
+    def repositories(self) -> DataFrame:
+        """collection, name, repo_key, description, tags, schema_version of those that are ready."""
+        return self._descriptors().join(self.discover().where("status = 'ready'").select("collection"), "collection", "left_semi")
+
+    def select(self, selector: str) -> Corpus:
+        """The corpus of the one repository that a name, key, key without host, or collection stands for."""
+        row = catalog.selected(self.repositories(), self.spark.createDataFrame([(selector,)], "selector string")).first()
+        if row.matches != 1:
+            raise LookupError(f"{selector} is {'ambiguous' if row.matches else 'not registered'}")
+        return Corpus(self.spark, f"{self.root}/corpora/{row.collection}", row.collection)
