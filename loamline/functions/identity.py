@@ -50,7 +50,7 @@ def canonical_json(*columns: str) -> Column:
     text = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
     low = text
     for code in "ABCDEF":  # an odd number of backslashes before u makes an escape
-        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u00([01]){code}", rf"$1\\\\u00$2{code.lower()}")
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u00([01]){code}", rf"$1\\u00$2{code.lower()}")
     return F.when(text.rlike(r"\\u00[01][A-F]"), low).otherwise(text)
 
 

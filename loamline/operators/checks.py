@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loamline.functions.identity import base64, build_id, chunk_id, content_hash, file_id, valid_vector
 from loamline.functions.text import enrichment, line_at_byte
 
-from .chunking import MOST
+from .chunking import MOST, counted
 from .embedding import skip_reason
 
 
@@ -115,6 +115,4 @@ def embeddings(chunks: DataFrame, dimensions: int | None) -> DataFrame:
 
 def recount(chunks: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Chunks whose token count is not that of their search text."""
-    from .chunking import counted
-
     return _row(counted(chunks.select("id", "search_text", "token_count"), tokenizer).where("n_tokens <> token_count"), "chunk-recount", "id", F.col("n_tokens"))

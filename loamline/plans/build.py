@@ -42,6 +42,7 @@ class Build:
     chunks: DataFrame
     changes: DataFrame | None = None
     obsolete: DataFrame | None = None
+    tokenizer: str | None = None
 
     @property
     def config_hash(self) -> str:
@@ -103,7 +104,7 @@ def build(tree: DataFrame, config: dict | None = None, previous: Build | None =
         file_id(base64(F.col("path")), digest).alias("id"), "path", F.col("oid").alias("blob_oid"), digest.alias("content_hash"), F.octet_length("content").cast("bigint").alias("byte_length"), F.col("content").alias("source_text"), language(F.col("path")).alias("language"), F.lit(own).alias("config_hash")
     )
     files = files.join(counts, files.id == counts.file_id, "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0).cast("bigint"))).drop("file_id")
-    done = Build(config, listed, files, cut)
+    done = Build(config, listed, files, cut, tokenizer=tokenizer)
     if previous:
         done.changes = versions.change_classes(previous.inventory, listed)
         done.obsolete = versions.obsolete(previous.records(), done.records())

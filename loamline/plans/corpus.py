@@ -18,7 +18,7 @@ from pyspark.sql.utils import AnalysisException
 
 from loamline.functions.identity import base64, build_id, content_hash, release_alias, version_tag
 from loamline.functions.text import excerpt, first_token, normalized_remote, slug
-from loamline.operators import catalog, checks, search, versions
+from loamline.operators import catalog, checks, chunking, search, versions
 from loamline.operators.reading import read_lines
 
 from .build import BUILDER, Build
@@ -94,7 +94,7 @@ class Corpus(_Folder):
         stored = Build(build.config, *[self.spark.read.parquet(f"{at}/{x}") for x in ("inventory", "files", "chunks")])
         stored.records().write.parquet(f"{at}/records")
         stored.metadata(self.name, commit).coalesce(1).write.parquet(f"{at}/build")
-        wrong = self._wrong(at, build.config_hash).limit(20).collect()
+        wrong = self._wrong(at, build.config_hash, build.tokenizer).limit(20).collect()
         if wrong:
             raise ValueError(f"the build is not valid: {wrong[:3]}")
         digest = stored.digest().first()
@@ -107,7 +107,7 @@ class Corpus(_Folder):
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/published")
         return row.first().tag
 
-    def _wrong(self, at: str, config_hash: str) -> DataFrame:
+    def _wrong(self, at: str, config_hash: str, tokenizer: str | None) -> DataFrame:
         """Violations of a version as it is stored, against the records and the metadata that were written with it."""
         read = lambda x: self.spark.read.parquet(f"{at}/{x}")
         meta = read("build")
@@ -117,12 +117,15 @@ class Corpus(_Folder):
         same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("n_entries", "inventory_sum", "inventory_xor")]
         listed = both.where(~(same[0] & same[1] & same[2])).select(F.lit("inventory-digest").alias("check_name"), F.col("build_id").alias("id"), F.col("inventory_sum_").alias("detail"))
         found = checks.violations(own.files, own.chunks, own.inventory, config_hash)
+        if own.config["counter"] != (chunking.vocabulary(tokenizer).name if tokenizer else chunking.COUNTER):
+            raise ValueError(f"tokens were counted by {own.config['counter']}: name its file")
+        found = found.unionByName(checks.recount(own.chunks, tokenizer))
         return found.unionByName(checks.records(own.records(), read("records"))).unionByName(checks.identities(meta, BUILDER)).unionByName(listed)
 
-    def verify(self, selector: str) -> DataFrame:
-        """All violations (check_name, id, detail) of a published version."""
+    def verify(self, selector: str, tokenizer: str | None = None) -> DataFrame:
+        """All violations (check_name, id, detail) of a published version; ``tokenizer`` is the file that its tokens were counted by."""
         v = self.resolve(selector)
-        return self._wrong(v.snapshot, v.config_hash)
+        return self._wrong(v.snapshot, v.config_hash, tokenizer)
 
     def _probe(self, index: search.Index, chunks: DataFrame) -> None:
         """The first token of some chunk must be found, in the file of that chunk."""

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import identity, text
-from loamline.operators import checks, chunking, classify, reading, search, units, versions
-from loamline.plans.build import config_hash, inventory, preset
+from loamline.operators import catalog, checks, chunking, classify, embedding, reading, search, units, versions
+from loamline.plans.build import BUILDER, config_hash, inventory, preset
 from loamline.sources.tables import shared_dir, stored, table, tree
 from loamline.streaming import mutations
 
@@ -277,8 +277,8 @@ def embedding_valid(spark, sf_dir):
 @query(f"WITH {_A}, {_B}, c AS (SELECT DISTINCT sha256(language || chr(0) || content) AS h FROM a WHERE reason IS NULL) SELECT DISTINCT sha256(language || chr(0) || content) AS input_hash FROM b WHERE reason IS NULL AND sha256(language || chr(0) || content) NOT IN (SELECT h FROM c)")
 def embedding_cache_misses(spark, sf_dir):
     """Inputs of version B that a cache filled from A lacks."""
-    own = lambda v: _included(spark, sf_dir, v).select(F.sha2(F.concat(text.language(F.col("path")), F.lit("\x00"), "content"), 256).alias("input_hash")).distinct()
-    return own("B").join(own("A"), "input_hash", "left_anti")
+    own = lambda v: _included(spark, sf_dir, v).select(embedding.input_hash(text.language(F.col("path")), F.col("content")).alias("input_hash"))
+    return embedding.misses(own("B"), own("A"))
 
 
 @query("""SELECT conv_id, turn, (row_number() OVER w - 1)::BIGINT AS ordinal, coalesce(sum(octet_length(encode(coalesce(text, '')))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_byte,
@@ -317,10 +317,10 @@ def release_status(spark, sf_dir):
     commit, ref = F.sha2(F.col("o_orderkey").cast("string"), 256), F.concat(F.lit("refs/tags/o"), F.col("o_orderkey"))
     orders = table(spark, sf_dir, "orders")
     names = orders.select(ref.alias("ref"), commit.alias("commit"), identity.release_alias(ref).alias("alias"))
-    published = orders.where("o_orderstatus = 'F'").select(commit.alias("commit"), F.lit(True).alias("is_published"))
-    aliases = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select(identity.release_alias(F.concat(F.lit("refs/tags/o"), F.col("l_orderkey"))).alias("alias"), F.lit(True).alias("has_alias")).distinct()
-    status = F.when(F.col("is_published").isNull(), "pending").when(F.col("has_alias").isNull(), "out-of-sync").otherwise("available")
-    return names.join(published, "commit", "left").join(aliases, "alias", "left").select("ref", status.alias("status"), identity.version_tag(F.col("commit")).alias("tag"))
+    published = orders.where("o_orderstatus = 'F'").select(commit.alias("commit"), identity.version_tag(commit).alias("tag"))
+    second = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select("l_orderkey").distinct()
+    aliases = second.select(identity.release_alias(F.concat(F.lit("refs/tags/o"), F.col("l_orderkey"))).alias("alias"), identity.version_tag(F.sha2(F.col("l_orderkey").cast("string"), 256)).alias("target"))
+    return versions.release_status(names, published, aliases).select("ref", "status", identity.version_tag(F.col("commit")).alias("tag"))
 
 
 @query("""WITH v AS (SELECT sha256(o_orderkey::VARCHAR) AS oid FROM orders), s AS (SELECT o_custkey, sha256(min(o_orderkey)::VARCHAR)[1:7] AS prefix FROM orders GROUP BY o_custkey)
@@ -329,9 +329,79 @@ def resolve_prefix(spark, sf_dir):
     """Commit prefixes of seven digits, each met with all commits by equality of their leading digits."""
     oid = lambda c: F.sha2(c.cast("string"), 256)
     orders = table(spark, sf_dir, "orders")
-    commits = orders.select(oid(F.col("o_orderkey")).alias("oid")).withColumn("prefix", F.substring("oid", 1, 7))
-    asked = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("k")).select("o_custkey", F.substring(oid(F.col("k")), 1, 7).alias("prefix"))
-    return asked.join(commits, "prefix").groupBy("o_custkey", "prefix").agg(F.count(F.lit(1)).alias("matches"), F.min("oid").alias("oid"))
+    commits = orders.select(oid(F.col("o_orderkey")).alias("commit")).withColumn("tag", identity.version_tag(F.col("commit")))
+    asked = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("k")).select("o_custkey", F.substring(oid(F.col("k")), 1, 7).alias("selector"))
+    found = versions.matching(commits, asked.select("selector")).groupBy("selector").agg(F.count(F.lit(1)).alias("matches"), F.min("commit").alias("oid"))
+    return asked.join(found, "selector").select("o_custkey", F.col("selector").alias("prefix"), "matches", "oid")
+
+
+# Pages as repositories of a catalogue: some of another purpose, some without a descriptor, some of another schema.
+_REPOSITORIES = ORACLES["url_normalize"].replace("SELECT page_id, CASE", ", n AS (SELECT page_id, CASE", 1) + """),
+d AS (SELECT 'c-' || page_id AS collection, slug AS name, remote AS repo_key, CASE WHEN page_id % 11 = 5 THEN 2 ELSE 1 END AS schema_version FROM n WHERE page_id % 7 <> 3),
+x AS (SELECT 'c-' || p.page_id AS collection, name, repo_key, coalesce(name IS NOT NULL AND repo_key IS NOT NULL AND schema_version = 1, FALSE) AS ok FROM pages p LEFT JOIN d ON d.collection = 'c-' || p.page_id WHERE p.page_id % 5 <> 4)"""
+
+
+def _catalog(spark, sf_dir):
+    named = url_normalize(spark, sf_dir).withColumn("collection", F.concat(F.lit("c-"), "page_id"))
+    collections = named.select("collection", F.when(F.col("page_id") % 5 == 4, "other").otherwise("corpus").alias("purpose"))
+    own = named.where("page_id % 7 <> 3").select("collection", F.col("slug").alias("name"), F.col("remote").alias("repo_key"), F.when(F.col("page_id") % 11 == 5, 2).otherwise(1).alias("schema_version"))
+    return catalog.discovered(collections, own, "corpus"), named
+
+
+@query(_REPOSITORIES + " SELECT collection, CASE WHEN ok THEN 'ready' ELSE 'partial' END AS status, CASE WHEN ok THEN repo_key END AS repo_key, CASE WHEN ok THEN name END AS name FROM x")
+def catalog_discovery(spark, sf_dir):
+    return _catalog(spark, sf_dir)[0]
+
+
+@query(_REPOSITORIES + """, e AS (SELECT DISTINCT collection, unnest([name, repo_key, nullif(regexp_extract(repo_key, '^[^/]*/(.+)$', 1), ''), collection]) AS selector FROM x WHERE ok),
+s AS (SELECT DISTINCT unnest([remote, slug, regexp_extract(remote, '^[^/]*/(.+)$', 1), 'c-' || page_id]) AS selector FROM n)
+SELECT s.selector, count(e.collection) AS matches, CASE WHEN count(e.collection) = 1 THEN min(e.collection) END AS collection FROM s LEFT JOIN e ON e.selector = s.selector WHERE s.selector IS NOT NULL GROUP BY s.selector""")
+def catalog_selection(spark, sf_dir):
+    """Repositories asked for by every name, key, key without host and collection of all pages."""
+    found, named = _catalog(spark, sf_dir)
+    asked = named.select(F.explode(F.array("remote", "slug", F.regexp_extract("remote", r"\A[^/]*/(.+)\z", 1), "collection")).alias("selector")).where("selector IS NOT NULL")
+    return catalog.selected(found.where("status = 'ready'"), asked)
+
+
+@query(f"""WITH {_A}, {_B}, r AS (SELECT coalesce(b.path, a.path) AS id, a.path AS l, b.path AS f, a.oid AS lh, b.oid AS fh, a.language AS lf, b.mode AS ff FROM (SELECT *, mode AS m FROM a) a FULL JOIN b ON a.path = b.path)
+SELECT 'record-missing' AS check_name, id, lh AS detail FROM r WHERE f IS NULL UNION ALL SELECT 'record-not-listed', id, fh FROM r WHERE l IS NULL
+UNION ALL SELECT 'record-hash', id, fh FROM r WHERE l IS NOT NULL AND f IS NOT NULL AND lh <> fh UNION ALL SELECT 'record-file', id, ff FROM r WHERE l IS NOT NULL AND f IS NOT NULL AND ff <> lf""")
+def record_violations(spark, sf_dir):
+    """Entries of version B against the list of version A; what B calls the file of an entry is its mode, which A's list never has."""
+    listed = tree(spark, sf_dir, "A").select(F.col("path").alias("id"), text.language(F.col("path")).alias("file_id"), F.col("oid").alias("hash"))
+    found = tree(spark, sf_dir, "B").select(F.col("path").alias("id"), F.col("mode").alias("file_id"), F.col("oid").alias("hash"))
+    return checks.records(found, listed)
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN upper(sha256(o_orderkey::VARCHAR)) ELSE sha256(o_orderkey::VARCHAR) END AS commit, '{"n":' || o_custkey || '}' AS config FROM orders),
+c AS (SELECT *, CASE WHEN k % 5 = 0 THEN sha256('') ELSE sha256(config) END AS config_hash FROM b), d AS (SELECT *, sha256('["c","' || commit || '","' || config_hash || '","loamline-builder-1"]') AS due FROM c),
+e AS (SELECT *, CASE WHEN k % 7 = 0 THEN sha256(k::VARCHAR) ELSE due END AS id FROM d)
+SELECT 'commit-form' AS check_name, id, commit AS detail FROM e WHERE k % 6 = 0 UNION ALL SELECT 'config-hash', id, sha256(config) FROM e WHERE k % 5 = 0 UNION ALL SELECT 'build-id', id, due FROM e WHERE k % 7 = 0""")
+def identity_violations(spark, sf_dir):
+    """Orders as builds, some with a commit, a configuration or a name that does not hold."""
+    k, key = F.col("o_orderkey"), F.sha2(F.col("o_orderkey").cast("string"), 256)
+    b = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("c").alias("repository"), F.when(k % 6 == 0, F.upper(key)).otherwise(key).alias("commit"), F.concat(F.lit('{"n":'), "o_custkey", F.lit("}")).alias("config"))
+    b = b.withColumn("config_hash", F.sha2(F.when(k % 5 == 0, F.lit("")).otherwise(F.col("config")), 256))
+    due = identity.build_id(F.col("repository"), F.col("commit"), F.col("config_hash"), BUILDER)
+    return checks.identities(b.withColumn("build_id", F.when(k % 7 == 0, key).otherwise(due)), BUILDER)
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    return [[t.count("e"), t.count("\n"), len(t)] for t in texts]
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN coalesce(text, '') = '' THEN 'structural-only' WHEN lang = 'de' THEN 'imports-only' END AS reason FROM documents)
+SELECT doc_id, CASE WHEN reason IS NULL THEN 'embedded' ELSE 'skipped' END AS embedding_status, coalesce(reason, '') AS embedding_skip_reason, CASE WHEN reason IS NULL THEN (len(t) - len(replace(t, 'e', '')))::DOUBLE ELSE -1 END AS e,
+  CASE WHEN reason IS NULL THEN (len(t) - len(replace(t, chr(10), '')))::DOUBLE ELSE -1 END AS lines, CASE WHEN reason IS NULL THEN len(t)::DOUBLE ELSE -1 END AS size FROM d""")
+def embedded_documents(spark, sf_dir):
+    """Documents embedded by counts of letters, through a cache that holds those of one language."""
+    model = embedding.Embedder("letters", 3, _letters)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("search_text"))
+    docs = docs.withColumn("chunk_kind", F.when(F.col("search_text") == "", "structural").when(F.col("lang") == "de", "imports").otherwise("documentation"))
+    cache = stored(embedding.embedded(docs.where("lang = 'en'"), model)[1], "vectors")
+    done, _ = embedding.embedded(docs, model, cache)
+    part = lambda k: F.coalesce(F.col("embedding")[k], F.lit(-1.0))
+    return done.select("doc_id", "embedding_status", F.coalesce("embedding_skip_reason", F.lit("")).alias("embedding_skip_reason"), part(0).alias("e"), part(1).alias("lines"), part(2).alias("size"))
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

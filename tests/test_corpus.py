@@ -143,6 +143,109 @@ def test_checks_find_each_corruption(spark):
     assert "chunk-lines" in names(c=parts.withColumn("start_line", F.col("start_line") + F.when(long_, 1).otherwise(0)))
 
 
+def test_units_have_scopes_and_cover(spark):
+    source = "import a from 'b';\n\nexport class K<T>\n{\n  x = 1;\n\n  // about m\n  m(a: number): void {\n    return `}`;\n  }\n  class L {\n    n() {}\n  }\n}\n\nfunction f() {\n}\n"
+    found = chunking.brace_units(source, "a.ts", chunking.words_and_marks().count)
+    assert [(u.kind, u.scope, u.symbol) for u in found] == [
+        ("imports", None, None), ("declaration", "K", None), ("declaration", "K", None), ("documentation", "K", None), ("function", "K", "m"), ("declaration", "K.L", None), ("function", "K.L", "n"), ("function", None, "f"),
+    ]
+    assert "".join(source[u.start : u.end] for u in found) == source and not any(source[u.start].isspace() for u in found)
+    deep = "class a {\n" * 3000 + "}\n" * 3000
+    own = chunking.spans(deep, "a.java")[1]
+    assert own[0].start == 0 and own[-1].end == len(deep) and all(a.end == b.start for a, b in zip(own, own[1:]))
+
+
+def test_large_functions_are_entered():
+    body = "".join(f"  step{i}(value, other);\n" for i in range(600))
+    own = chunking.spans(f"class K {{\n  go() {{\n{body}  }}\n}}\n", "k.js")[1]
+    assert len(own) > 2 and {u.scope for u in own} == {"K", "K.go"}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_vocabulary_counts(spark, name):
+    places = pytest.importorskip("public_tokenizers")
+    path = places.path(name)
+    counter = chunking.vocabulary(path)
+    own = build(entries(spark, list(SOURCES.items())), tokenizer=path)
+    rows = own.chunks.collect()
+    assert own.config["counter"] == counter.name and rows
+    assert all(r.token_count == counter.count(r.search_text) <= chunking.MOST for r in rows)
+    assert checks.violations(own.files, own.chunks, own.inventory, own.config_hash).count() == 0 and checks.recount(own.chunks, path).count() == 0
+    assert checks.recount(own.chunks).count() > 0  # counted in another way
+    with pytest.raises(ValueError):
+        build(entries(spark, [("a.txt", "x")]), preset(), tokenizer=path)
+
+
+def test_catalogue(spark, tmp_path):
+    from loamline.plans.corpus import Catalog
+
+    all_ = Catalog(spark, str(tmp_path))
+    assert all_.repositories().count() == 0
+    one = all_.register("Tool", "git@github.com:Ann/Tool.git", "first", {"team": "x"})
+    two = all_.register("Tool", "https://example.org/ann/tool")
+    assert all_.register("Renamed", "https://github.com/ann/tool/") == one and one != two
+    assert {(r.collection, r.name) for r in all_.repositories().collect()} == {(one, "Renamed"), (two, "Tool")}
+    assert all_.select("Tool").name == two == all_.select("example.org/ann/tool").name and all_.select(one).name == one
+    for bad, why in (("ann/tool", "ambiguous"), ("none", "not registered")):
+        with pytest.raises(LookupError, match=why):
+            all_.select(bad)
+    with pytest.raises(ValueError):
+        all_.register("x", "/local")
+    spark.createDataFrame([("lost", "source-corpus")], "collection string, purpose string").selectExpr("*", "current_timestamp() AS at").write.mode("append").parquet(f"{tmp_path}/collections")
+    assert all_.discover().where("collection = 'lost'").first().status == "partial"
+
+
+def test_embedding_through_a_cache(spark):
+    from loamline.operators import embedding
+
+    rows = spark.createDataFrame([(1, "function", "a"), (2, "function", "a"), (3, "imports", "b"), (4, "structural", None), (5, "function", "c"), (6, None, None)], "id int, chunk_kind string, search_text string")
+    model = embedding.Embedder("m", 2, lambda texts: [[len(t), 1] for t in texts])
+    done, new = embedding.embedded(rows, model)
+    got = {r.id: (r.embedding, r.embedding_status, r.embedding_skip_reason) for r in done.collect()}
+    assert got == {1: ([1, 1], "embedded", None), 2: ([1, 1], "embedded", None), 3: (None, "skipped", "imports-only"), 4: (None, "skipped", "structural-only"), 5: ([1, 1], "embedded", None), 6: ([0, 1], "embedded", None)}
+    assert new.count() == 3 and checks.embeddings(done, 2).count() == 0
+    cache = spark.createDataFrame(new.collect(), new.schema)
+    assert embedding.embedded(rows, model, cache)[1].count() == 0
+    assert embedding.embedded(rows, embedding.Embedder("n", 2, model.embed), cache)[1].count() == 3
+    bad = cache.withColumn("embedding", F.array(F.lit(1.0)))
+    with pytest.raises(Exception, match="not a valid vector"):
+        embedding.embedded(rows, model, bad)[0].collect()
+    wrong = done.withColumn("embedding", F.when(F.col("id") == 1, F.array(F.lit(float("nan")), F.lit(1.0))).when(F.col("id") == 3, F.array(F.lit(1.0))).otherwise(F.col("embedding"))).withColumn("embedding_skip_reason", F.when(F.col("id") == 4, None).otherwise(F.col("embedding_skip_reason")))
+    assert {(r.check_name, r.id) for r in checks.embeddings(wrong, 2).collect()} == {("embedding-vector", "1"), ("embedding-state", "3"), ("embedding-reason", "4")}
+
+
+def test_canonical_json(spark):
+    import json
+
+    value = "\x1f\x0b \\u001F \\\\u000B \u007f\u2028\"é"
+    got = spark.createDataFrame([(2, value, None)], "b int, a string, c string").select(identity.canonical_json("b", "a", "c").alias("j")).first().j
+    assert got == json.dumps({"a": value, "b": 2}, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_one_writer_and_verified_versions(spark, tmp_path):
+    corpus = Corpus(spark, str(tmp_path / "c"), "demo")
+    own, commit = build(entries(spark, list(SOURCES.items()))), hashlib.sha1(b"1").hexdigest()
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "writer.lock").touch()
+    with pytest.raises(RuntimeError, match="another writer"):
+        corpus.publish(own, commit, "2024")
+    (tmp_path / "c" / "writer.lock").unlink()
+    with pytest.raises(ValueError, match="commit-form"):
+        corpus.publish(own, "not-a-commit", "2024")
+    corpus.publish(own, commit, "2024")
+    assert corpus.verify(commit).count() == 0
+    at = f"{corpus.resolve(commit).snapshot}/records"
+    listed = spark.createDataFrame(spark.read.parquet(at).collect(), spark.read.parquet(at).schema)
+    listed.where("id NOT LIKE 'f-%'").unionByName(listed.limit(1).withColumn("id", F.lit("x"))).write.mode("overwrite").parquet(at)
+    assert {r.check_name for r in corpus.verify(commit).collect()} == {"record-not-listed", "record-missing"}
+    corpus.release(spark.createDataFrame([("refs/tags/v", commit, "2024-01-01 00:00:00")], "ref string, commit string, at string"))
+    assert corpus.resolve("v").commit == commit
+    spark.createDataFrame([("ver-other",)], "target string").select(identity.release_alias(F.lit("refs/tags/v")).alias("alias"), "target", F.expr("current_timestamp() + INTERVAL 1 HOUR").alias("at")).write.mode("append").parquet(f"{corpus.root}/aliases")
+    assert corpus.releases().first().status == "out-of-sync"
+    with pytest.raises(LookupError, match="out-of-sync"):
+        corpus.resolve("v")
+
+
 def test_packing_starts_anew(spark):
     rows = spark.createDataFrame([("g", i, s) for i, s in enumerate([10, 10, 10, 90, 5, 5, 5, 5])], "g string, i int, n bigint")
     got = [r.batch for r in chunking.pack(rows, "g", "i", "n", most_rows=3, most_bytes=100, each=0).orderBy("i").collect()]
