@@ -324,3 +324,11 @@ def test_command_line(spark, tmp_path, capsys):
     do("import", "--path", str(repo), "--ref", "main", "--previous", first)
     assert len(do("versions")) == 2 and do("resolve", "v2")[0].commit != first
     assert do("search", "v1", "needle")[0].path == "a.md" and do("read", "v2", "a.md", "--lines", "1:1")[0].text == "# Needle\n"
+    hit = do("search", "v1", "needle")[0]
+    assert do("read", "--handle", hit.handle)[0].path == "a.md" and do("verify", "v2") == []
+    with pytest.raises(ValueError):
+        do("read", "v2", "a.md", "--handle", hit.handle)
+    made = do("repo-add", "https://github.com/a/b", "--title", "B", "--tag", "k=v")[0]
+    assert made.tags == {"k": "v"} and do("repo-list")[0].status == "ready"
+    do("--repo", "a/b", "import", "--path", str(repo), "--ref", "v1")
+    assert len(do("--repo", "B", "versions")) == 1
