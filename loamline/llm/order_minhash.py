@@ -2,7 +2,8 @@
 
 K-mers are runs of ``k`` words, numbered by occurrence so that repeats count. Each of the slots takes, of the numbered
 k-mers whose hash falls to it, the ``keep`` with the smallest hashes, puts them back into text order and hashes the tuple.
-The share of equal slots between two fingerprints estimates how alike the texts are in words and order.
+The share of equal slots between two fingerprints estimates how alike the texts are in words and order. With ``fill``, a slot with fewer
+k-mers goes on with the least of the slots after it, round from the last to the first, so that short texts are compared by order too.
 
 Only DataFrame functions are used. A text of fewer than ``k`` words is one k-mer; one without words has only empty slots.
 Slots empty in both texts do not count; two texts whose slots are all empty are alike (1.0).
@@ -20,11 +21,11 @@ PLACE_BITS = 31
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def fingerprint(text: Column, k: int = 3, slot_bits: int = 5, keep: int = 2) -> Column:
-    """array<bigint> with one entry for each filled slot, by slot; the first ``slot_bits`` bits of an entry tell its slot."""
+def fingerprint(text: Column, k: int = 3, slot_bits: int = 5, keep: int = 2, fill: bool = False) -> Column:
+    """array<bigint> with one entry for each filled slot; the first ``slot_bits`` bits of an entry tell its slot. ``fill``: all slots, if there are words."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANKS))
-    return _let(words, lambda w: _let(F.sort_array(_kmers(w, k)), lambda s: _let(_numbered(s), lambda a: _slots(a, slot_bits, keep))))
+    return _let(words, lambda w: _let(F.sort_array(_kmers(w, k)), lambda s: _let(_numbered(s), lambda a: _slots(a, slot_bits, keep, fill))))
 
 
 def _let(value: Column, body) -> Column:
@@ -68,19 +69,32 @@ def _slot(x: Column, bits: int) -> Column:
     return F.shiftrightunsigned(x, 64 - bits)
 
 
-def _slots(a: Column, bits: int, keep: int) -> Column:
+def _slots(a: Column, bits: int, keep: int, fill: bool) -> Column:
     """The leading bits of a hash tell its slot, so in sorted order each slot's smallest come first."""
     least = F.filter(a, lambda x, j: (j < keep) | (_slot(F.get(a, j - keep), bits) != _slot(x, bits)))
 
-    def entry(m: Column, x: Column, j: Column) -> Column:
-        own = F.filter(F.slice(m, j + 1, F.lit(keep)), lambda y: _slot(y, bits) == _slot(x, bits))
+    def folded(own: Column) -> Column:
         in_text_order = F.sort_array(F.transform(own, lambda y: F.struct(y.bitwiseAND(2**PLACE_BITS - 1), _hash(y).alias("h"))))
-        folded = F.shiftrightunsigned(F.xxhash64(F.transform(in_text_order, lambda y: y["h"])), bits)
-        return F.shiftleft(_slot(x, bits), 64 - bits).bitwiseOR(folded)
+        return F.shiftrightunsigned(F.xxhash64(F.transform(in_text_order, lambda y: y["h"])), bits)
+
+    def tagged(slot: Column, of: Column) -> Column:
+        return F.shiftleft(slot, 64 - bits).bitwiseOR(of)
+
+    def entry(m: Column, x: Column, j: Column) -> Column:
+        return tagged(_slot(x, bits), folded(F.filter(F.slice(m, j + 1, F.lit(keep)), lambda y: _slot(y, bits) == _slot(x, bits))))
+
+    def entries(m: Column, ring: Column, x: Column, j: Column) -> Column:
+        """Of the slot that starts at ``x`` and the empty ones before it: all go on from ``x``."""
+        empty = F.pmod(_slot(x, bits) - _slot(F.get(ring, j + F.size(m) - 1), bits) - 1, F.lit(2**bits).cast("bigint"))
+        of_slots = lambda f: F.transform(F.sequence(F.lit(0).cast("bigint"), empty), lambda i: tagged(F.pmod(_slot(x, bits) - i, F.lit(2**bits).cast("bigint")), f))
+        return _let(folded(F.slice(ring, j + 1, F.least(F.size(m), F.lit(keep)))), of_slots)
 
     def heads(m: Column) -> Column:
-        marked = F.transform(m, lambda x, j: F.when((j == 0) | (_slot(F.get(m, j - 1), bits) != _slot(x, bits)), entry(m, x, j)))
-        return F.array_compact(marked)
+        first = lambda x, j: (j == 0) | (_slot(F.get(m, j - 1), bits) != _slot(x, bits))
+        if not fill:
+            return F.array_compact(F.transform(m, lambda x, j: F.when(first(x, j), entry(m, x, j))))
+        whole = lambda ring: F.flatten(F.array_compact(F.transform(m, lambda x, j: F.when(first(x, j), entries(m, ring, x, j)))))
+        return _let(F.concat(m, m), whole)
 
     return _let(least, heads)
 

@@ -107,7 +107,7 @@ SELECT doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_removed, 0) AS n_remo
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_edited_likeness(table(spark, sf_dir, "documents"))
+    return with_edited_likeness(table(spark, sf_dir, "documents"), fill=True)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,8 @@ def _spread_sql(name: str, up: str, level: str, keys: str, weight: str, pool: st
 
 OP6_SQL = rf"""
 WITH weights(domain, lang, source, weight) AS (VALUES {", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in w) + ")" for w in DOMAIN_WEIGHTS)}),
-d AS (SELECT row_number() OVER () AS rn, doc_id, lang, source, 'd' || (('0x' || md5(coalesce(source, ''))[1:8])::BIGINT % 4) AS domain, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n, coalesce(doc_id::VARCHAR, '') AS k, md5(coalesce(text, '')) AS held FROM documents),
+d AS (SELECT row_number() OVER () AS rn, doc_id, lang, source, 'd' || (('0x' || md5(coalesce(source, ''))[1:8])::BIGINT % 4) AS domain, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS n, coalesce(doc_id::VARCHAR, '') AS k, md5(coalesce(text, '')) AS held FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens FROM d GROUP BY ALL),
 total AS (SELECT floor(sum(tokens) * 0.6::DOUBLE)::BIGINT AS t FROM leaves),
 nodes AS (SELECT *, tokens * 2 AS capacity FROM leaves),

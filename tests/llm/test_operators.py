@@ -440,6 +440,51 @@ def test_order_changes_the_fingerprint(spark):
     assert near[0, 2] < 0.1 and 0.3 < near[0, 1] < 1
 
 
+def test_filled_slots(spark):
+    """Every slot, against the ring of sorted k-mers; a slot that has enough of its own is as without filling."""
+    texts = [words(4, 300, 30), words(5, 40), "a b", "a", "x y z x y z x y z", words(6, 12), words(7, 3000, 900), "", " "]
+    f = lambda **options: order_minhash.fingerprint(F.col("t"), **options).alias("f")
+    of = lambda texts, **options: [r.f for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", f(**options)).orderBy("i").collect()]
+    slot = lambda x: (x % (1 << 64)) >> 59
+    plain, filled = of(texts), of(texts, fill=True)
+    lone = of(texts, slot_bits=5, keep=1)
+    for t, p, q, one in zip(texts, plain, filled, lone, strict=True):
+        assert sorted(map(slot, q)) == (list(range(32)) if t.split() else [])
+        assert {slot(x) for x in p} == {slot(x) for x in one}
+    assert set(plain[6]) == set(filled[6])  # every slot has two k-mers
+    # With one k-mer a slot, an empty slot has what the next filled one has.
+    low = lambda x: x % (1 << 59)
+    for p, q in zip(lone, of(texts, keep=1, fill=True), strict=True):
+        held = {slot(x): low(x) for x in p}
+        for x in q:
+            s = next(s % 32 for s in range(slot(x), slot(x) + 32) if s % 32 in held)
+            assert low(x) == held[s]
+    # With two, a slot of one k-mer and a slot of none: tuples of neighbours in the ring, in text order.
+    h = lambda xs: spark.createDataFrame([(list(xs),)], "x array<bigint>").select(F.shiftrightunsigned(F.xxhash64("x"), 5)).first()[0]
+    t = texts[5]
+    own = sorted((v >> order_minhash.PLACE_BITS, j) for (_, j), v in brute_fingerprint(spark, [t]).items())
+    assert len({x for x, _ in own}) == len(own)
+    place = lambda x: (x % (1 << 33)) >> 28
+    ring = sorted(own, key=lambda p: p[0] % (1 << 33)) * 2
+    for x in filled[5]:
+        i = next((i for i, p in enumerate(ring[: len(own)]) if place(p[0]) >= slot(x)), len(own))
+        assert low(x) == h([v for v, _ in sorted(ring[i : i + 2], key=lambda p: p[1])])
+
+
+def test_order_changes_fingerprints_of_short_texts(spark):
+    """Halves swapped: slots that are filled tell short texts apart by order, about as they do long ones."""
+    rows = []
+    for i in range(120):
+        w = words(100 + i, (12, 24, 36, 60)[i % 4], 5000).split()
+        rows.append((len(w), " ".join(w), " ".join(w[len(w) // 2 :] + w[: len(w) // 2])))
+    f = lambda c, fill: order_minhash.fingerprint(F.col(c), fill=fill)
+    near = lambda fill: order_minhash.likeness(f("a", fill), f("b", fill))
+    df = spark.createDataFrame(rows, "n int, a string, b string").select("n", near(False).alias("plain"), near(True).alias("filled"))
+    got = {r.n: r for r in df.groupBy("n").agg(F.avg("plain").alias("plain"), F.avg("filled").alias("filled")).collect()}
+    print({n: (round(r.plain, 2), round(r.filled, 2)) for n, r in sorted(got.items())})
+    assert got[12].filled < 0.4 and all(r.filled < 0.6 for r in got.values()) and all(got[n].filled < got[n].plain - 0.1 for n in (12, 24, 36))
+
+
 # Mixing
 
 
