@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, quality
+from . import lm_scoring, quality, toxicity
 from .common import doc_split, table
 from .decontaminate import leaks
 from .jaccard_join import grouped
 from .license_scan import scan
 from .mixing import mix
 from .order_minhash import with_edited_likeness
+from .prefix_trie import prefix_trie
+from .spelling import variants
 from .substring_dedup import without_repeats
 from .token_counts import count_tokens
 from .url_rules import judge
@@ -200,6 +202,64 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 in SQL: the table of its 256 steps as a list, and the sum of a string of code points below 2,048.
+CRC_SQL = """steps(i, v, k) AS (SELECT range, range::BIGINT, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS crc_steps FROM steps WHERE k = 8)"""
+
+
+def _crc_sql(s: str) -> str:
+    data = f"flatten(list_transform(list_filter(string_split({s}, ''), lambda x: x <> ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda a, b: xor(a >> 8, crc_steps[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS pos FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS w FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS p, ({_crc_sql("conv_id::VARCHAR")}) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+r AS (SELECT c.conv_id, 0 AS own, pos, m, w FROM c JOIN t ON t.conv_id = c.p WHERE pos <= h UNION ALL SELECT c.conv_id, 1, pos, m, w FROM c JOIN t USING (conv_id) WHERE pos > h),
+s AS (SELECT conv_id, list(m ORDER BY own, pos) AS ms, list(w ORDER BY own, pos) AS ws FROM r GROUP BY conv_id),
+a AS (SELECT conv_id, coalesce(ms, []) AS ms, coalesce(ws, []) AS ws FROM c LEFT JOIN s USING (conv_id)),
+x AS (SELECT conv_id, d, md5(array_to_string(ms[1:d], ',')) AS name, CASE WHEN d > 0 THEN md5(array_to_string(ms[1:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(ms) AS ends FROM (SELECT *, unnest(range(len(ms) + 1)) AS d FROM a)),
+n AS (SELECT name, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM x GROUP BY name, d),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.name),
+z AS (SELECT x.name, x.d, sum((m.n_convs - 1) * m.w) AS saved, count_if(m.n_children = 0) AS leaves FROM m JOIN x ON x.conv_id = m.conv_id AND x.d <= m.d GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256 FROM m JOIN z ON z.name = m.name AND z.d = m.d LEFT JOIN m u ON u.name = m.up
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), use=doc_split("doc_id", 5) != 0)
+    rated = toxicity.scored(docs, model).drop("text")
+    return rated.select("doc_id", (doc_split("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT k, run, count(*) AS n FROM runs GROUP BY ALL),
+h AS (SELECT run, n, {_crc_sql("k || ':' || run")} AS h FROM c, crc),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+form AS (SELECT near.word, min(other) AS form, any_value(top) AS form_n FROM near JOIN best ON best.word = near.word AND near.n = top JOIN w ON w.word = near.word WHERE top >= 2 * w.n GROUP BY near.word),
+chain(word, root) AS (SELECT word, form FROM form UNION SELECT chain.word, form.form FROM chain JOIN form ON form.word = chain.root),
+last AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM form))
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n FROM w LEFT JOIN best USING (word) LEFT JOIN form USING (word) LEFT JOIN last USING (word)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_jaccard_join": op2_jaccard_join,
@@ -211,5 +271,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_toxicity": op12_toxicity,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_spelling_variants": OP13_SQL}
