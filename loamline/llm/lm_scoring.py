@@ -9,9 +9,9 @@ block of texts (about ``BLOCK_BYTES``) is brought those of its own distinct n-gr
    Counts are summed, and each block gets back the sums in the order of its hashes. A hot n-gram comes once from each block.
 3. One block of those that hold an n-gram adds it to its context's sums, which are whole numbers; these are dealt and brought back likewise, and give
    the backoff weights.
-4. Each block is walked with its own part of the automaton.
+4. Each block builds its own part of the automaton (``BlockAutomaton``) and walks its texts through it from left to right, many lanes side by side.
 
-A state is the longest kept suffix of what has been read. A walk takes the arc for the next word if the state has it; otherwise it adds the
+A state is the longest kept suffix of what has been read. A walk carries its state: it takes the arc for the next word if the state has it; otherwise it adds the
 state's backoff weight, follows the failure arc to the next shorter suffix, and at the root takes the word's own probability,
 ``(c + 1) / (N + V + 1)``. Words are told apart by 64-bit hashes; words are lower-cased (A-Z) runs of bytes outside white space, then one end.
 
@@ -228,28 +228,86 @@ def _contexts(bits: int, base: int):
     return run
 
 
+class BlockAutomaton:
+    """The part of the automaton that a block's texts can reach, from what the block was brought.
+
+    States: the block's distinct words by number, the start of a text after them, then its kept pairs. ``keys`` (state times words plus word) are the arcs, sorted; an arc has
+    a weight and leads to a state. A state without an arc for a word has a backoff weight and a failure arc: a pair's to its last word, a word's to the root.
+    """
+
+    ROOT = -1
+    #: Tokens of a text that one lane walks. States hold two words at most, so a lane that reads the two tokens before its own from the root on has the state of a walk
+    #: through all of the text.
+    LANE, WARM = 256, 2
+
+    def __init__(self, g: _Grams, brought: list[list[np.ndarray]], base: int):
+        g.weights(brought, base)
+        self.n_words = self.start = len(g.words)
+        names = np.append(g.words, START)
+        order = np.argsort(names)
+        arcs, spent, lower = (x.astype(np.float64) for x in brought[WORD_BACKOFF])
+        backoff = np.empty(len(names))
+        backoff[order] = _log_backoff((spent - DISCOUNT * arcs) / np.maximum(g.seen[order], 1), lower / base)
+        arcs, spent, lower = (x.astype(np.float64) for x in brought[PAIR_BACKOFF])
+        pairs, triples = np.flatnonzero(g.kept2), np.flatnonzero(g.kept3)
+        last = g.at[g.pair_first]
+        of_pair = np.full(len(g.pairs), self.ROOT)
+        of_pair[pairs] = self.start + 1 + np.arange(len(pairs))
+        self.own = np.log10(g.p1)
+        self.backoff = np.append(backoff, _log_backoff((spent - DISCOUNT * arcs) / g.n2[pairs], (lower - DISCOUNT * arcs) / np.maximum(g.seen[last[pairs]], 1)))
+        self.failure = np.append(np.full(self.start + 1, self.ROOT), last[pairs])
+        word, longer = g.at[g.triple_first[triples]], of_pair[g.pair[g.triple_first[triples]]]
+        keys = np.append(g.context2[pairs] * self.n_words + last[pairs], of_pair[g.context3[triples]] * self.n_words + word)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.weight = np.append(np.log10(g.p2)[pairs], np.log10(g.p3)[triples])[order]
+        self.to = np.append(of_pair[pairs], np.where(longer >= 0, longer, word))[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What reading a word each adds to the scores of some lanes, and their states after it."""
+        gain, after, left = np.zeros(len(state)), state.copy(), np.arange(len(state))
+        while len(left):
+            root = after[left] == self.ROOT
+            done = left[root]
+            gain[done] += self.own[word[done]]
+            after[done] = word[done]
+            left = left[~root]
+            key = after[left] * self.n_words + word[left]
+            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            hit = self.keys[at] == key if len(self.keys) else np.zeros(len(left), bool)
+            gain[left[hit]] += self.weight[at[hit]]
+            after[left[hit]] = self.to[at[hit]]
+            left = left[~hit]
+            gain[left] += self.backoff[after[left]]
+            after[left] = self.failure[after[left]]
+        return gain, after
+
+    def walk(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probability of each token of texts (``words``, of which each text has a run) and the state after it. All lanes of all texts go on side by side."""
+        lanes = -(-sizes // self.LANE)
+        nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        own = np.repeat(starts, lanes) + nth * self.LANE
+        end = np.minimum(own + self.LANE, np.repeat(starts + sizes, lanes))
+        at, state = own - self.WARM * (nth > 0), np.where(nth > 0, self.ROOT, self.start)
+        gains, states = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        while len(at):
+            gain, state = self.step(state, words[at])
+            scored = at >= own
+            gains[at[scored]], states[at[scored]] = gain[scored], state[scored]
+            on = at + 1 < end
+            at, own, end, state = at[on] + 1, own[on], end[on], state[on]
+        return gains, states
+
+
 def _walked(base: int, kind: pa.DataType):
     def run(held: pa.Table, brought: pa.Table) -> pa.Table:
         row, found = held.to_pylist()[0], found_by_order(brought, PAIR_BACKOFF + 1)
         g = _Grams(row, PAIR, TRIPLE)
-        g.weights(found, base)
-        names = np.append(g.words, START)
-        order = np.argsort(names)
-        arcs, spent, lower = (x.astype(np.float64) for x in found[WORD_BACKOFF])
-        backoff1 = np.empty(len(names))
-        backoff1[order] = _log_backoff((spent - DISCOUNT * arcs) / np.maximum(g.seen[order], 1), lower / base)
-        backoff2 = np.zeros(len(g.pairs))
-        arcs, spent, lower = (x.astype(np.float64) for x in found[PAIR_BACKOFF])
-        last = g.at[g.pair_first[g.kept2]]
-        backoff2[g.kept2] = _log_backoff((spent - DISCOUNT * arcs) / g.n2[g.kept2], (lower - DISCOUNT * arcs) / np.maximum(g.seen[last], 1))
-        own = np.log10(g.p1)[g.at]
-        by_pair = np.where(g.kept2[g.pair], np.log10(g.p2)[g.pair], backoff1[g.before] + own)
-        score, later = by_pair, np.flatnonzero(g.second)
-        kept = g.kept3[g.triple[later]]
-        score[later] = np.where(kept, np.log10(g.p3)[g.triple[later]], backoff2[g.pair[later - 1]] + by_pair[later])
+        automaton = BlockAutomaton(g, found, base)
+        gains, _ = automaton.walk(g.at, g.starts, g.sizes)
         known = (g.n1 > 0)[g.at].astype(np.int64)
         rated = lambda x: pa.array(np.add.reduceat(x, g.starts)[g.rate])
-        return pa.table({"key_": held["keys_"].chunk(0).flatten().cast(kind), "n_tokens": pa.array(g.sizes[g.rate]), "n_known": rated(known), "base_score": rated(own), "score": rated(score)})
+        return pa.table({"key_": held["keys_"].chunk(0).flatten().cast(kind), "n_tokens": pa.array(g.sizes[g.rate]), "n_known": rated(known), "base_score": rated(automaton.own[g.at]), "score": rated(gains)})
 
     return run
 

@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: st
     own = own.select(F.col(key).alias("label_key"), (F.col(label) > 0).cast("int").alias("label"))
     own = own.orderBy(F.xxhash64(F.lit(1), "label_key"), "label").limit(max_rows)  # so it is small enough to broadcast
     joined = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(own), F.col("k") == F.col("label_key"))
-    rows = written(joined.select("t", "label", F.xxhash64("k", "t").alias("o")).orderBy("o", "label").limit(max_rows), "labelled")
+    rows = written(joined.select("t", "label", F.xxhash64("k", "t").alias("o")).orderBy("o", "label").limit(max_rows).repartition("o"), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

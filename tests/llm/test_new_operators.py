@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.llm import prefix_trie, queries, spelling, toxicity
+from loamline.llm import lm_scoring, prefix_trie, queries, spelling, toxicity
 from test_operators import CLASH, ODD, frame
 
 # Prefix trie
@@ -164,6 +164,51 @@ def test_toxicity_edges(spark):
     assert toxicity.train(odd, labels.where("toxic = 1")).scores([b"x"])[0] > 0.5 and toxicity.train(odd, labels.limit(0)).scores([b"x"])[0] == pytest.approx(0.5)
 
 
+# Automaton of a block
+
+
+def test_block_automaton_carries_states():
+    """Lanes that start inside a text have the states of the walk through the whole automaton, token by token, and so the scores."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(rng.randrange(30), rng.randrange(30))}" for _ in range(n)).encode() for n in (0, 1, 2, 3, 255, 256, 257, 258, 600, 5000)]
+    tokens, starts = lm_scoring.token_hashes(texts)
+    words, at = np.unique(tokens, return_inverse=True)
+    sizes = np.diff(starts)
+    pairs, triples = Counter(), Counter()
+    for a, n in zip(starts, sizes):
+        x = [len(words), *at[a : a + n].tolist()]
+        pairs.update(zip(x, x[1:]))
+        triples.update(zip(x[:-2], x[1:-1], x[2:]))
+    kept2, kept3 = ({k: n for k, n in c.items() if n >= lm_scoring.LEAST} for c in (pairs, triples))
+    counts = np.bincount(at, minlength=len(words))
+    whole = lm_scoring.Automaton(words, counts, len(tokens), len(words), len(texts), kept2, kept3)
+    packed = {"words_": lm_scoring.pack_sorted(words), "at_": lm_scoring.pack(at.astype(np.uint32)), "sizes_": lm_scoring.pack(sizes.astype(np.uint64)), "learn_": b"\1" * len(texts), "rate_": b"\1" * len(texts)}
+    g = lm_scoring._Grams(packed, lm_scoring.PAIR, lm_scoring.TRIPLE)
+    number = lambda k: (int(g.before[k]), int(at[k]))
+    of_pair, of_triple = [number(k) for k in g.pair_first], [(int(g.before[k - 1]), *number(k)) for k in g.triple_first]
+    doubled = lambda c, keys: np.array([2 * (c[k] if c[k] >= lm_scoring.LEAST else 0) + 1 for k in keys], np.uint64)
+    order = np.argsort(np.append(words, lm_scoring.START))
+    sums = lambda n, items: [np.array(x, np.uint64) for x in zip(*[[sum(v[i] for k, v in items if k == c) for i in range(3)] for c in n])] or [np.zeros(0, np.uint64)] * 3
+    of_words = sums(order.tolist(), [(k[0], (1, n, int(counts[k[1]]) + 1)) for k, n in kept2.items()])
+    of_pairs = sums([p for p in of_pair if p in kept2], [(k[:2], (1, n, kept2[k[1:]])) for k, n in kept3.items()])
+    own = lm_scoring.BlockAutomaton(g, [[(2 * counts + 1).astype(np.uint64)], [doubled(pairs, of_pair)], [doubled(triples, of_triple)], of_words, of_pairs], whole.base)
+    gains, states = own.walk(g.at, g.starts, g.sizes)
+    name_of = {v: k for k, v in whole.state_of.items()}
+    mine = {len(words) + 1 + i: p for i, p in enumerate(p for p in of_pair if p in kept2)}
+    for a, n in zip(starts, sizes):
+        state, total = whole.start, 0.0
+        for k in range(a, a + n):
+            before, w = state, int(at[k])
+            while state != whole.root and state * whole.width + w not in whole.arcs:
+                total += whole.backoff[state]
+                state = whole.failure[state]
+            weight, state = (whole.own[w], w) if state == whole.root else whole.arcs[state * whole.width + w]
+            total += weight
+            assert mine.get(int(states[k]), int(states[k])) == name_of.get(state, state), (k - a, before)
+        assert math.isclose(gains[a : a + n].sum(), total, rel_tol=1e-9, abs_tol=1e-12)
+    assert len(set(states.tolist()) - set(range(len(words)))) > 100
+
+
 # Spelling variants
 
 
