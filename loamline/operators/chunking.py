@@ -323,20 +323,3 @@ def counted(rows: DataFrame, tokenizer: str | None = None, text: str = "search_t
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("n_tokens", LongType())]))
 
-
-def pack(rows: DataFrame, group: str, order: str, size: str, most_rows: int = 500, most_bytes: int = 4_900_000, each: int = 32) -> DataFrame:
-    """``rows`` plus ``batch``: rows of a group in order, a new batch when one more would pass ``most_rows`` or ``most_bytes``.
-
-    The fold starts anew at each cut, so it runs within groups; choose groups (hash ranges of ids, say) that fit a task.
-    """
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        batch, count, held, out = 0, 0, each, []
-        for n in t.column(size).to_pylist():
-            if count and (count >= most_rows or held + n > most_bytes):
-                batch, count, held = batch + 1, 0, each
-            out.append(batch)
-            count, held = count + 1, held + n
-        return t.append_column("batch", pa.array(out, pa.int64()))
-
-    return rows.groupBy(group).applyInArrow(run, StructType([*rows.schema.fields, StructField("batch", LongType())]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import identity, text
-from loamline.operators import catalog, checks, chunking, classify, embedding, reading, search, units, versions
+from loamline.operators import catalog, checks, chunking, classify, embedding, packing, reading, search, units, versions
 from loamline.plans.build import BUILDER, config_hash, inventory, preset
 from loamline.sources.tables import shared_dir, stored, table, tree
 from loamline.streaming import mutations
@@ -422,11 +422,27 @@ def nation_reconciliation(spark, sf_dir):
     return c.join(s, F.col("ck") == F.col("sk"), "full_outer").select(F.coalesce("ck", "sk").alias("nation"), "customers", "suppliers")
 
 
-@query()
+def _fold_sql(most_rows: int | None, most_bytes: int, each: int) -> str:
+    """A loop over rows ``r`` (row from 0, size) in SQL: ``f`` has the batch of each."""
+    full = f"held + size > {most_bytes}" + (f" OR count >= {most_rows}" if most_rows else "")
+    return f"""f AS (SELECT row, 0 AS batch, 1 AS count, {each} + size AS held FROM r WHERE row = 0
+  UNION ALL SELECT r.row, batch + ({full})::INT, CASE WHEN {full} THEN 1 ELSE count + 1 END, size + CASE WHEN {full} THEN {each} ELSE held END FROM f JOIN r ON r.row = f.row + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_ALL}, r AS (SELECT row_number() OVER (ORDER BY path) - 1 AS row, path, bytes + 200 AS size FROM a), {_fold_sql(50, 200_000, 32)}
+  SELECT batch::BIGINT AS batch, count(*) AS n, sum(size)::BIGINT AS bytes, min(path) AS first_path, max(path) AS last_path FROM f JOIN r USING (row) GROUP BY batch""")
 def mutation_batches(spark, sf_dir):
-    """Changed records packed in order into bounded batches within ranges of hashes."""
-    rows = tree(spark, sf_dir).select(F.substring("oid", 1, 2).alias("range"), "path", (F.col("bytes") + 200).alias("size"))
-    return chunking.pack(rows, "range", "path", "size", most_rows=50, most_bytes=200_000).groupBy("range", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    """All records in one order, packed greedily into bounded batches."""
+    rows = tree(spark, sf_dir).select("path", (F.col("bytes") + 200).alias("size"))
+    return packing.pack(rows, ["path"], "size", most_rows=50, most_bytes=200_000).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+
+
+@query(f"""WITH RECURSIVE {_ALL}, r AS (SELECT row_number() OVER (ORDER BY path) - 1 AS row, e, length(e) AS size FROM (SELECT path, coalesce(reason, 'included') || ' ' || oid || ' ' || path AS e FROM a)), {_fold_sql(None, 4_000, 0)}
+  SELECT batch::BIGINT AS part, count(*) AS n_entries, sum(size)::BIGINT AS bytes, sha256(string_agg(sha256(e), ',' ORDER BY row)) AS part_hash FROM f JOIN r USING (row) GROUP BY batch""")
+def inventory_parts(spark, sf_dir):
+    """The inventory in order, in bounded parts, each named by a hash of its entries."""
+    rows = classify.classified(tree(spark, sf_dir)).select("path", F.concat_ws(" ", F.coalesce("reason", F.lit("included")), "oid", "path").alias("entry"))
+    return packing.parts(rows, ["path"], "entry", most_bytes=4_000)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamline.functions import identity, text
-from loamline.operators import checks, chunking, classify, search
+from loamline.operators import checks, chunking, classify, packing, search
 from loamline.plans.build import build, preset
 from loamline.plans.corpus import Corpus
 from loamline.sources import git
@@ -246,10 +246,31 @@ def test_one_writer_and_verified_versions(spark, tmp_path):
         corpus.resolve("v")
 
 
-def test_packing_starts_anew(spark):
-    rows = spark.createDataFrame([("g", i, s) for i, s in enumerate([10, 10, 10, 90, 5, 5, 5, 5])], "g string, i int, n bigint")
-    got = [r.batch for r in chunking.pack(rows, "g", "i", "n", most_rows=3, most_bytes=100, each=0).orderBy("i").collect()]
-    assert got == [0, 0, 0, 1, 1, 1, 2, 2]
+@pytest.mark.parametrize("most_rows, most_bytes, each, n", [(500, 4_900_000, 32, 1), (7, 900, 32, 9000), (None, 300, 0, 5000), (3, 10**9, 0, 1000), (50, 1, 32, 40), (1, 100, 0, 30)])
+def test_packing_is_the_loop(spark, most_rows, most_bytes, each, n):
+    """Rows of size 0 and null, rows over the limit alone, and batches across the blocks that sums are made in."""
+    rng = random.Random(n)
+    rows = [(k, rng.choice([0, None, 1, 30, 120, 120, 1200])) for k in range(n)]
+    want, batch, count, held = {}, 0, 0, each
+    for k, size in rows:
+        if count and (most_rows and count >= most_rows or held + (size or 0) > most_bytes):
+            batch, count, held = batch + 1, 0, each
+        want[k], count, held = batch, count + 1, held + (size or 0)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k bigint, size bigint").repartition(5)
+    got = {r.k: (r.row_, r.batch) for r in packing.pack(df, ["k"], "size", most_rows, most_bytes, each).collect()}
+    assert got == {k: (k, b) for k, b in want.items()}
+
+
+def test_parts_of_an_inventory(spark):
+    entries = spark.createDataFrame([(k, "e" * (k % 40)) for k in range(300)], "k int, e string")
+    got = packing.parts(entries, ["k"], "e", 100).orderBy("part").collect()
+    assert sum(p.n_entries for p in got) == 300 and max(p.bytes for p in got) <= 100 and [p.part for p in got] == list(range(len(got)))
+    whole = packing.parts(entries, ["k"], "e").first()
+    assert whole.part_hash == hashlib.sha256(",".join(hashlib.sha256(b"e" * (k % 40)).hexdigest() for k in range(300)).encode()).hexdigest()
+    assert packing.parts(entries.limit(0), ["k"], "e").count() == 0
+    with pytest.raises(Exception, match="too large"):
+        packing.parts(entries, ["k"], "e", 100, single=39).collect()
 
 
 def test_index_reads_only_its_terms(spark, tmp_path):
