@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.plans.build import Build, build, preset
+from loamline.plans.build import build, preset
 from loamline.plans.corpus import Catalog, Corpus
 from loamline.sources import git
 
@@ -71,8 +71,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         commit, when = git.commit_of(args.path, args.ref)
         earlier, config = None, preset(args.mode, tokenizer=args.tokenizer)
         if args.previous:
-            v = corpus.resolve(args.previous)
-            earlier = Build(config, *[spark.read.parquet(f"{v.snapshot}/{x}") for x in ("inventory", "files", "chunks")])
+            earlier = corpus.build_of(args.previous, config)
         own = build(git.tree(spark, args.path, commit), config, earlier, args.tokenizer)
         if args.dry_run:
             counts = own.counts().withColumn("commit", F.lit(commit))

@@ -10,6 +10,8 @@ Every part of a query is literal. Terms are lower-cased runs of letters, digits
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,37 +39,53 @@ def postings(docs: DataFrame, id_: str = "id", text: str = "search_text") -> Dat
 
 
 class Index:
-    """Postings and totals under a folder that Spark writes."""
+    """Postings and totals under folders that Spark writes: one, or the segments of a version, each with the postings of the texts that it adds.
+
+    ``alive`` leaves out the hits (with segment_, the number of their folder) of texts that later segments have as gone. Their terms are taken off in the totals of those
+    segments, so scores are those of an index made anew.
+    """
 
     #: Folders of postings.
     PARTS = 64
 
-    def __init__(self, spark: SparkSession, at: str):
-        self.spark, self.at = spark, at
+    def __init__(self, spark: SparkSession, at: str | list[str], alive: Callable[[DataFrame], DataFrame] = lambda hits: hits, id_type: str = "string"):
+        self.spark, self.at, self.alive, self.id_type = spark, [at] if isinstance(at, str) else at, alive, id_type
 
     @classmethod
-    def write(cls, docs: DataFrame, at: str, id_: str = "id", text: str = "search_text") -> Index:
-        """Each text is cut into terms once. Hot terms are dealt by document too, so none fills a task."""
+    def write(cls, docs: DataFrame, at: str, id_: str = "id", text: str = "search_text", less: DataFrame | None = None) -> Index:
+        """Each text is cut into terms once. Postings are dealt by ranges of (folder, term, document), so tasks are alike whatever the size and a hot term
+        is in many. ``less``: texts of earlier segments that are gone."""
         part = F.pmod(F.xxhash64("term"), F.lit(cls.PARTS)).cast("int")
         found = postings(docs, id_, text).withColumn("part", part)
-        found.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{at}/postings")
-        held = docs.sparkSession.read.parquet(f"{at}/postings")
-        sums = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("terms"))
-        sums.crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).coalesce(1).write.parquet(f"{at}/totals")  # one row each
-        return cls(docs.sparkSession, at)
+        found.repartitionByRange("part", "term", "id").sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{at}/postings")
+        held = docs.sparkSession.read.schema(found.schema).parquet(f"{at}/postings")
+        sums = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("terms")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n")))  # one row each
+        if less is not None:
+            off = less.agg((-F.coalesce(F.sum(F.size(terms(F.coalesce(F.col(text), F.lit(""))))), F.lit(0))).cast("double").alias("terms"), (-F.count(F.lit(1))).alias("n"))
+            sums = sums.unionByName(off)
+        sums.agg(F.sum("terms").alias("terms"), F.sum("n").alias("n")).coalesce(1).write.parquet(f"{at}/totals")
+        return cls(docs.sparkSession, at, id_type=found.schema["id"].dataType.simpleString())
 
     def hits(self, wanted: list[str]) -> DataFrame:
         """Postings of some terms: part, term, id, length, tf."""
         words = self.spark.createDataFrame([(w,) for w in wanted], "w string").select(F.pmod(F.xxhash64("w"), F.lit(self.PARTS)).cast("int").alias("p"))
         parts = [r.p for r in words.distinct().collect()]
-        return self.spark.read.parquet(f"{self.at}/postings").where(F.col("part").isin(parts) & F.col("term").isin(wanted))
+        found = [self._postings(at).where(F.col("part").isin(parts) & F.col("term").isin(wanted)).withColumn("segment_", F.lit(n)) for n, at in enumerate(self.at)]
+        return self.alive(reduce(DataFrame.unionByName, found)).drop("segment_")
+
+    def _postings(self, at: str) -> DataFrame:
+        """With its schema, as a segment that adds no text has no file to take it from."""
+        return self.spark.read.schema(f"term string, id {self.id_type}, length bigint, tf bigint, part int").parquet(f"{at}/postings")
+
+    def totals(self) -> DataFrame:
+        return self.spark.read.parquet(*[f"{at}/totals" for at in self.at]).agg(F.sum("terms").alias("terms"), F.sum("n").alias("n"))
 
     def ranked(self, text: str, limit: int = 10, keep: DataFrame | None = None) -> DataFrame:
         """id, score of the ``limit`` best, of those in ``keep`` (ids) if given; statistics are those of all documents."""
         hits = self.hits(query_terms(text, limit))
         df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
-        totals = self.spark.read.parquet(f"{self.at}/totals")
-        kept = hits if keep is None else hits.join(keep.distinct(), "id", "left_semi")
+        totals = self.totals()
+        kept = hits if keep is None else hits.join(keep, "id", "left_semi")
         joined = kept.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))
         norm = K1 * (1 - B + B * F.col("length") * F.col("n") / F.col("terms"))
         score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)

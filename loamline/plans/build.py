@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -65,11 +66,15 @@ class Build:
 
     def metadata(self, repository: str, commit: str) -> DataFrame:
         """One row: repository, commit, builder, config (JSON), config_hash, build_id and the digest of the inventory."""
-        own, listed = F.lit(self.config_hash), self.inventory.agg(*multiset_digest(F.sha2(canonical_json("path", "mode", "oid", "status", "reason", "content_hash"), 256)))
+        own, listed = F.lit(self.config_hash), inventory_digest(self.inventory)
         named = [F.lit(repository).alias("repository"), F.lit(commit).alias("commit"), F.lit(BUILDER).alias("builder"), F.lit(canonical(self.config)).alias("config"), own.alias("config_hash"), build_id(F.lit(repository), F.lit(commit), own, BUILDER).alias("build_id")]
         return listed.select(*named, F.col("n_records").alias("n_entries"), F.col("hash_sum").alias("inventory_sum"), F.col("hash_xor").alias("inventory_xor"))
 
 
+def inventory_digest(listed: DataFrame) -> DataFrame:
+    return listed.agg(*multiset_digest(F.sha2(canonical_json("path", "mode", "oid", "status", "reason", "content_hash"), 256)))
+
+
 def inventory(tree: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, path_base64, mode, oid, bytes, status, reason, content_hash, file_id for each entry of the tree."""
     c = classified(tree, max_bytes=max_bytes)
@@ -79,8 +84,10 @@ def inventory(tree: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return own.withColumn("file_id", file_id(F.col("path_base64"), F.col("content_hash")))
 
 
-def build(tree: DataFrame, config: dict | None = None, previous: Build | None = None, tokenizer: str | None = None) -> Build:
-    """``tree`` has path, mode, oid, bytes, content (text or bytes); ``tokenizer`` is the file that ``config`` counts by. Files that ``previous`` includes with the same path, oid and mode are not cut again."""
+def build(tree: DataFrame, config: dict | None = None, previous: Build | None = None, tokenizer: str | None = None, keep: Callable[[DataFrame, str], DataFrame] = stored) -> Build:
+    """``tree`` has path, mode, oid, bytes, content (text or bytes); ``tokenizer`` is the file that ``config`` counts by. Files that ``previous`` includes with the same path, oid and mode are not cut again.
+
+    ``keep`` stores the cut of the others, which is the costly part and is read several times."""
     config = config or preset(tokenizer=tokenizer)
     if tokenizer and config["counter"] != chunking.vocabulary(tokenizer).name:
         raise ValueError("the tokenizer is not the one that the configuration names")
@@ -93,11 +100,10 @@ def build(tree: DataFrame, config: dict | None = None, previous: Build | None =
     if previous:
         kept = previous.inventory.where("status = 'included'").select("path", "oid", "mode")
         fresh = included.join(kept, ["path", "oid", "mode"], "left_anti")
-    cut = chunking.chunks(fresh, own, config["mode"], tokenizer)
+    cut = keep(chunking.chunks(fresh, own, config["mode"], tokenizer), "cut")
     if previous:
         held = versions.reused(previous.chunks, included.join(kept, ["path", "oid", "mode"], "left_semi").select(file_id(base64(F.col("path")), content_hash(F.col("content"))).alias("file_id")), "file_id")
         cut = cut.unionByName(held)
-    cut = stored(cut, "cut")  # files, counts and digests read it; cutting is the costly part
     counts = cut.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     digest = content_hash(F.col("content"))
     files = included.select(

@@ -1,8 +1,8 @@
-"""A published corpus: immutable versions as tables under one folder, names that point to them, search and reads pinned to a version.
+"""A published corpus: immutable versions under one folder, names that point to them, search and reads pinned to a version.
 
-Every version is written to a folder of its own and checked there before a row in ``published`` makes it visible; that append is the
-commit, so a job that fails on the way leaves nothing that readers see and can be run again. Names (releases) are rows too: the
-latest by time wins. The folder can be in any store that Spark writes.
+What a version adds is written to a folder of its own, phase by phase, and checked there before an entry in the log makes it visible; that entry is the
+commit, so a job that fails on the way leaves nothing that readers see, and the next one for the same commit goes on behind its last whole phase. Names (releases) are rows;
+the latest by time wins. The folder can be in any store that Spark writes.
 """
 
 from __future__ import annotations
@@ -10,20 +10,24 @@ from __future__ import annotations
 import json
 import uuid
 from base64 import b64decode
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from loamline.functions.identity import base64, build_id, content_hash, release_alias, version_tag
+from loamline.functions.identity import base64, content_hash, release_alias, version_tag
 from loamline.functions.text import excerpt, first_token, normalized_remote, slug
 from loamline.operators import catalog, checks, chunking, search, versions
 from loamline.operators.reading import read_lines
 
-from .build import BUILDER, Build
+from . import segments as segments_
+from .build import BUILDER, Build, config_hash, inventory, inventory_digest, preset
+from .build import build as make
+from .log import Attempt, Log, State
 
-PUBLISHED = "commit string, commit_time string, tag string, build_id string, snapshot string, config_hash string, n_records bigint, hash_sum string, hash_xor bigint"
+PUBLISHED = "commit string, commit_time string, tag string, build_id string, snapshot string, config_hash string, n_records bigint, hash_sum string, hash_xor bigint, number int"
+#: What a manifest says beside the digest of its records.
+MANIFEST = ("repository", "commit", "builder", "config_hash", "build_id", "n_entries", "inventory_sum", "inventory_xor")
 RELEASES = "ref string, commit string, at timestamp"
 ALIASES = "alias string, target string, at timestamp"
 
@@ -45,78 +49,156 @@ class _Folder:
 
 
 class Corpus(_Folder):
+    """Versions of one repository. ``log`` says what there is (see ``plans.log``); a version is a list of segments (see ``plans.segments``)."""
+
+    TABLES = ("inventory", "files", "chunks", "records")
+
     def __init__(self, spark: SparkSession, root: str, name: str):
         super().__init__(spark, root)
-        self.name = name
+        self.name, self.log = name, Log(spark, self.root)
+
+    def _published(self) -> DataFrame:
+        rows = [(v["commit"], v["commit_time"], v["tag"], v["build_id"], f"{self.root}/data/{v['segments'][-1]}", v["config_hash"], v["n_records"], v["hash_sum"], v["hash_xor"], n) for n, v in self.log.state().versions.items()]
+        return self.spark.createDataFrame(rows, PUBLISHED)
 
     def versions(self) -> DataFrame:
         """Published versions, by commit time as text, then commit."""
-        return self._table("published", PUBLISHED).orderBy("commit_time", "commit")
-
-    @contextmanager
-    def _alone(self):
-        """One writer at a time, by a file that is created only if it is not there (in stores that can tell)."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/writer.lock")
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.mkdirs(at.getParent())
-        try:
-            fs.create(at, False).close()
-        except Exception as e:
-            if "FileAlreadyExists" not in str(e) and "already exists" not in str(e):
-                raise
-            raise RuntimeError(f"another writer holds {at}; remove it if none is running") from e
-        try:
-            yield
-        finally:
-            fs.delete(at, False)
+        return self._published().orderBy("commit_time", "commit")
+
+    def _segments(self, number: int | None, state: State) -> list[dict[str, str]]:
+        """The tables of each segment of a version, in order."""
+        if number is None:
+            return []
+        of = {v["segments"][-1]: v["phases"] for v in state.versions.values()}
+        return [of[s] for s in state.versions[number]["segments"]]
+
+    def _live(self, segments: list[dict[str, str]], table: str) -> DataFrame:
+        return segments_.live(self.spark, f"{self.root}/data", segments, table)
+
+    def table(self, selector: str, name: str) -> DataFrame:
+        """One of ``TABLES`` of a version."""
+        return self._table_of(self.resolve(selector).number, name)
+
+    def _table_of(self, number: int, name: str) -> DataFrame:
+        return self._live(self._segments(number, self.log.state()), name).drop(*segments_.KEYS)
 
-    def publish(self, build: Build, commit: str, commit_time: str) -> str:
+    def build_of(self, selector: str, config: dict) -> Build:
+        """A version as something to build on."""
+        number = self.resolve(selector).number
+        return Build(config, *[self._table_of(number, x) for x in ("inventory", "files", "chunks")])
+
+    def publish(self, build: Build, commit: str, commit_time: str, branch: str = "main") -> str:
         """The tag of the version; publishing a commit again with equal records changes nothing, with others it fails.
 
-        Names that wait for the commit are pointed to it.
+        What the head of the branch has is not written again. Names that wait for the commit are pointed to it. After a failure, publishing the same commit again goes on
+        behind the phases that were whole; while two writers publish to one branch, the one that began last wins and the other is told so (``Fenced``).
         """
-        with self._alone():
-            tag = self._publish(build, commit, commit_time)
-            self._point()
+        tag = self._known(build, commit)
+        if tag is None:
+            tag = self._publish(self._begin(branch, commit, build.config_hash, build.inventory), build, commit, commit_time)
+        self._point()
+        return tag
+
+    def publish_tree(self, tree: DataFrame, commit: str, commit_time: str, config: dict | None = None, tokenizer: str | None = None, branch: str = "main") -> str:
+        """``build`` of a tree on the head of the branch, and ``publish``; the cut is a phase too, so that it is not done twice after a failure."""
+        config = config or preset(tokenizer=tokenizer)
+        state, own = self.log.state(), config_hash(config)
+        head = state.heads.get(branch)
+        previous = None
+        if head is not None and state.versions[head]["config_hash"] == own:
+            held = self._segments(head, state)
+            previous = Build(config, *[self._live(held, x).drop(*segments_.KEYS) for x in ("inventory", "files", "chunks")])
+        if any(v["commit"] == commit and v["config_hash"] == own for v in state.versions.values()):
+            return self.publish(make(tree, config, previous, tokenizer), commit, commit_time, branch)
+        attempt = self._begin(branch, commit, own, inventory(tree, config["maxFileBytes"]))
+        tag = self._publish(attempt, make(tree, config, previous, tokenizer, keep=lambda df, name: attempt.table(name, df)), commit, commit_time)
+        self._point()
         return tag
 
-    def _publish(self, build: Build, commit: str, commit_time: str) -> str:
-        known = self._table("published", PUBLISHED).where((F.col("commit") == commit) & (F.col("config_hash") == build.config_hash)).limit(1).collect()
-        if known:
-            if (known[0].n_records, known[0].hash_sum, known[0].hash_xor) != tuple(build.digest().first()):
-                raise ValueError("this commit is published with other records")
-            return known[0].tag
-        at = f"{self.root}/versions/{uuid.uuid4().hex}"
-        build.files.write.parquet(f"{at}/files")
-        build.chunks.write.parquet(f"{at}/chunks")
-        build.inventory.write.parquet(f"{at}/inventory")
-        stored = Build(build.config, *[self.spark.read.parquet(f"{at}/{x}") for x in ("inventory", "files", "chunks")])
-        stored.records().write.parquet(f"{at}/records")
-        stored.metadata(self.name, commit).coalesce(1).write.parquet(f"{at}/build")
-        wrong = self._wrong(at, build.config_hash, build.tokenizer).limit(20).collect()
+    def fork(self, selector: str, branch: str) -> None:
+        """A new branch whose head is a published version: an entry in the log, no data. A branch that is there is left as it is (ValueError)."""
+        v = self.resolve(selector)
+
+        def entry(state: State) -> dict:
+            if branch in state.heads or branch in state.open:
+                raise ValueError(f"there is a branch {branch}")
+            return {"kind": "branch", "branch": branch, "version": v.number}
+
+        self.log.add(entry)
+
+    def branches(self) -> DataFrame:
+        """branch, commit, tag of heads."""
+        state = self.log.state()
+        return self.spark.createDataFrame([(b, state.versions[n]["commit"], state.versions[n]["tag"]) for b, n in sorted(state.heads.items())], "branch string, commit string, tag string")
+
+    def _known(self, build: Build, commit: str) -> str | None:
+        for v in self.log.state().versions.values():
+            if v["commit"] == commit and v["config_hash"] == build.config_hash:
+                listed = build.metadata(self.name, commit).first()
+                if [v[c] for c in ("n_records", "hash_sum", "hash_xor")] != list(build.digest().first()) or [v[c] for c in MANIFEST] != [listed[c] for c in MANIFEST]:
+                    raise ValueError("this commit is published with other records")
+                return v["tag"]
+        return None
+
+    def _begin(self, branch: str, commit: str, config: str, listed: DataFrame) -> Attempt:
+        """An attempt that goes on behind the phases of the one before, if that was for the same commit, configuration, inventory and head."""
+        input_ = ":".join(map(str, inventory_digest(listed).first()))
+        opened: dict = {}
+
+        def entry(state: State) -> dict:
+            before, own = state.open.get(branch, {}), {"commit": commit, "config_hash": config, "input": input_, "base": state.heads.get(branch)}
+            same = all(before.get(k) == v for k, v in own.items())
+            opened.update({"kind": "attempt", "branch": branch, **own, "folder": uuid.uuid4().hex, "phases": before["phases"] if before and same else {}})
+            return opened
+
+        number, state = self.log.add(entry)
+        return Attempt(self.log, opened, number, state)
+
+    def _publish(self, attempt: Attempt, build: Build, commit: str, commit_time: str) -> str:
+        state = self.log.state()
+        base = self._segments(attempt.base["number"], state) if attempt.base and len(attempt.base["segments"]) < segments_.MOST else []
+        lost = None
+        for table in self.TABLES:
+            # The records are hashes of what has been stored.
+            df = self._stored([*base, attempt.phases], build).records() if table == "records" else getattr(build, table)
+            added, left = segments_.delta(segments_.keyed(df), self._live(base, table) if base else None)
+            attempt.table(table, added)
+            if left is not None:
+                attempt.table(f"gone-{table}", segments_.names(left))
+                lost = left if table == "chunks" else lost
+        segments = [*base, attempt.phases]
+        own, stored = self.spark.read.parquet(attempt.at("chunks")), self._stored(segments, build)
+        attempt.table("build", stored.metadata(self.name, commit).coalesce(1))
+        attempt.phase("index", lambda to: search.Index.write(own, to, less=lost))
+        wrong = self._wrong(segments, build.config_hash, build.tokenizer).limit(20).collect()
         if wrong:
             raise ValueError(f"the build is not valid: {wrong[:3]}")
-        digest = stored.digest().first()
-        self._probe(search.Index.write(stored.chunks, f"{at}/index"), stored.chunks)
-        c = F.lit(commit)
-        row = self.spark.range(1).select(
-            c.alias("commit"), F.lit(commit_time).alias("commit_time"), version_tag(c).alias("tag"), build_id(F.lit(self.name), c, F.lit(build.config_hash), BUILDER).alias("build_id"), F.lit(at).alias("snapshot"),
-            F.lit(build.config_hash).alias("config_hash"), F.lit(digest.n_records).cast("bigint").alias("n_records"), F.lit(digest.hash_sum).alias("hash_sum"), F.lit(digest.hash_xor).cast("bigint").alias("hash_xor"),
-        )
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/published")
-        return row.first().tag
-
-    def _wrong(self, at: str, config_hash: str, tokenizer: str | None) -> DataFrame:
+        self._probe(self._index(segments), own)
+        meta, digest = self.spark.read.parquet(attempt.at("build")).first(), stored.digest().first()
+        tag = self.spark.range(1).select(version_tag(F.lit(commit)).alias("tag")).first().tag
+        names = attempt.base["segments"] if base else []
+        attempt.publish({"commit_time": commit_time, "tag": tag, "segments": [*names, attempt.folder], **digest.asDict(), **{c: meta[c] for c in MANIFEST}})
+        return tag
+
+    def _stored(self, segments: list[dict[str, str]], build: Build) -> Build:
+        return Build(build.config, *[self._live(segments, x).drop(*segments_.KEYS) for x in ("inventory", "files", "chunks")], tokenizer=build.tokenizer)
+
+    def _index(self, segments: list[dict[str, str]]) -> search.Index:
+        return search.Index(self.spark, [f"{self.root}/data/{s['index']}" for s in segments], lambda hits: segments_.without(self.spark, f"{self.root}/data", segments, "chunks", hits, ["id"]))
+
+    def _wrong(self, segments: list[dict[str, str]], own_hash: str, tokenizer: str | None) -> DataFrame:
         """Violations of a version as it is stored, against the records and the metadata that were written with it."""
-        read = lambda x: self.spark.read.parquet(f"{at}/{x}")
-        meta = read("build")
+        read = lambda x: self._live(segments, x).drop(*segments_.KEYS)
+        meta = self.spark.read.parquet(f"{self.root}/data/{segments[-1]['build']}")
         own = Build(json.loads(meta.first().config), read("inventory"), read("files"), read("chunks"))
         again = own.metadata(self.name, meta.first().commit).select(*[F.col(c).alias(f"{c}_") for c in ("n_entries", "inventory_sum", "inventory_xor")])
         both = meta.crossJoin(again)  # one row each
         same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("n_entries", "inventory_sum", "inventory_xor")]
         listed = both.where(~(same[0] & same[1] & same[2])).select(F.lit("inventory-digest").alias("check_name"), F.col("build_id").alias("id"), F.col("inventory_sum_").alias("detail"))
-        found = checks.violations(own.files, own.chunks, own.inventory, config_hash)
+        # Every file that is kept from an earlier version is stored, and every stored one is kept.
+        kept = own.inventory.where("status = 'included'").select(F.col("file_id").alias("id"))
+        missing = kept.join(own.files.select("id"), "id", "left_anti").select(F.lit("kept-file-missing").alias("check_name"), "id", F.lit("").alias("detail"))
+        found = checks.violations(own.files, own.chunks, own.inventory, own_hash).unionByName(missing)
         if own.config["counter"] != (chunking.vocabulary(tokenizer).name if tokenizer else chunking.COUNTER):
             raise ValueError(f"tokens were counted by {own.config['counter']}: name its file")
         found = found.unionByName(checks.recount(own.chunks, tokenizer))
@@ -124,8 +206,8 @@ class Corpus(_Folder):
 
     def verify(self, selector: str, tokenizer: str | None = None) -> DataFrame:
         """All violations (check_name, id, detail) of a published version; ``tokenizer`` is the file that its tokens were counted by."""
-        v = self.resolve(selector)
-        return self._wrong(v.snapshot, v.config_hash, tokenizer)
+        v, state = self.resolve(selector), self.log.state()
+        return self._wrong(self._segments(v.number, state), v.config_hash, tokenizer)
 
     def _probe(self, index: search.Index, chunks: DataFrame) -> None:
         """The first token of some chunk must be found, in the file of that chunk."""
@@ -136,9 +218,8 @@ class Corpus(_Folder):
 
     def release(self, refs: DataFrame) -> None:
         """Points names (ref, commit, at) to commits, published or not. What is wanted is written first; aliases of published commits follow."""
-        with self._alone():
-            refs.select("ref", "commit", F.col("at").cast("timestamp")).write.mode("append").parquet(f"{self.root}/releases")
-            self._point()
+        refs.select("ref", "commit", F.col("at").cast("timestamp")).write.mode("append").parquet(f"{self.root}/releases")
+        self._point()
 
     def _aliases(self) -> DataFrame:
         return self._table("aliases", ALIASES).groupBy("alias").agg(F.max_by("target", "at").alias("target"))
@@ -151,13 +232,13 @@ class Corpus(_Folder):
     def releases(self) -> DataFrame:
         """ref, commit, tag, status, see ``versions.release_status``."""
         latest = self._table("releases", RELEASES).groupBy("ref").agg(F.max_by("commit", F.struct("at", "commit")).alias("commit"))
-        return versions.release_status(latest.withColumn("alias", release_alias(F.col("ref"))), self._table("published", PUBLISHED), self._aliases())
+        return versions.release_status(latest.withColumn("alias", release_alias(F.col("ref"))), self._published(), self._aliases())
 
     def resolve(self, selector: str):
         """The version that a name, tag, commit or 7 to 64 hex digits of one stand for. A known name goes before a commit, even while pending."""
         ref = selector if selector.startswith("refs/tags/") else f"refs/tags/{selector}"
         named = self.releases().where(F.col("ref") == ref).limit(1).collect()
-        published = self._table("published", PUBLISHED)
+        published = self._published()
         if named:
             if named[0].status != "available":
                 raise LookupError(f"{ref} is {named[0].status}: {'publish' if named[0].status == 'pending' else 'point names to'} {named[0].commit} first")
@@ -180,10 +261,11 @@ class Corpus(_Folder):
         keep = F.lit(True)
         for name, value in (("path", path), ("language", language)):
             keep = keep & (F.col(name) == value) if value is not None else keep
-        chunks = self.spark.read.parquet(f"{v.snapshot}/chunks")
+        segments = self._segments(v.number, self.log.state())
+        chunks = self._live(segments, "chunks").drop(*segments_.KEYS)
         kept = None if path is None and language is None else chunks.where(keep).select("id")
-        best = search.Index(self.spark, f"{v.snapshot}/index").ranked(text, limit, kept)
-        listed = self.spark.read.parquet(f"{v.snapshot}/inventory").where("status = 'included'").select(F.col("file_id").alias("listed_"), F.col("content_hash").alias("hash_"), F.col("path").alias("path_"))
+        best = self._index(segments).ranked(text, limit, kept)
+        listed = self._live(segments, "inventory").where("status = 'included'").select(F.col("file_id").alias("listed_"), F.col("content_hash").alias("hash_"), F.col("path").alias("path_"))
         # The best are at most 100 rows.
         found = F.broadcast(best).join(chunks, "id").join(listed, (F.col("file_id") == F.col("listed_")) & (F.col("content_hash") == F.col("hash_")) & (F.col("path") == F.col("path_")), "left")
         found = found.withColumn("id", F.when(F.col("listed_").isNull(), F.raise_error(F.concat(F.lit("not in the inventory: "), "id"))).otherwise(F.col("id")))
@@ -202,21 +284,24 @@ class Corpus(_Folder):
             raise ValueError("this is not a handle") from e
         if not handle.startswith("ev1.") or name != self.name:
             raise LookupError("this handle is of another corpus")
-        v = self._only(self._table("published", PUBLISHED).where((F.col("commit") == commit) & (F.col("config_hash") == config)), commit)
-        files = self.spark.read.parquet(f"{v.snapshot}/files").where(F.col("path") == path)
+        v = self._only(self._published().where((F.col("commit") == commit) & (F.col("config_hash") == config)), commit)
+        files = self._table_of(v.number, "files").where(F.col("path") == path)
         same = (F.col("content_hash") == digest) & (content_hash(F.col("source_text")) == digest)
         held = files.select("*", same.alias("same_")).limit(1).collect()
         if not held or not held[0].same_:
             raise LookupError(f"{path} does not have the content that was found")
+        cut = self._table_of(v.number, "chunks").where((F.col("file_id") == held[0].id) & (F.col("start_line") == int(first)) & (F.col("end_line") == int(last)))
+        if cut.limit(1).count() == 0:
+            raise LookupError(f"{path} has no chunk of lines {first} to {last}")
         return read_lines(files, F.lit(v.commit), F.lit(int(first)), F.lit(int(last)), context, text="source_text")
 
     def read(self, selector: str, path: str, first: int | None = None, last: int | None = None, context: int = 0) -> DataFrame:
         """Lines of a file of a version, all by default; a path that is excluded reports why."""
         v = self.resolve(selector)
-        entry = self.spark.read.parquet(f"{v.snapshot}/inventory").where(F.col("path") == path).first()
+        entry = self._table_of(v.number, "inventory").where(F.col("path") == path).first()
         if entry is None or entry.status != "included":
             raise LookupError(f"{path} is {'not in this version' if entry is None else 'excluded: ' + entry.reason}")
-        files = self.spark.read.parquet(f"{v.snapshot}/files").where(F.col("path") == path)
+        files = self._table_of(v.number, "files").where(F.col("path") == path)
         return read_lines(files, F.lit(v.commit), F.lit(first or 1), F.lit(last or 2**31 - 1), context, text="source_text")
 
 

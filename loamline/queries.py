@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import identity, text
-from loamline.operators import catalog, checks, chunking, classify, embedding, packing, reading, search, units, versions
+from loamline.operators import catalog, checks, chunking, classify, embedding, hash_tree, packing, reading, search, units, versions
 from loamline.plans.build import BUILDER, config_hash, inventory, preset
-from loamline.sources.tables import shared_dir, stored, table, tree
+from loamline.plans import segments
+from loamline.sources.tables import shared_dir, stored, table, there, tree
 from loamline.streaming import mutations
 
 QUERY = "thing the ontion was retion"
@@ -197,6 +198,25 @@ def corpus_mismatch(spark, sf_dir):
     return versions.mismatches(tree(spark, sf_dir, "A"), tree(spark, sf_dir, "B"), "path", "oid")
 
 
+def _level_sql(digits: int) -> str:
+    return f"l{digits} AS (SELECT prefix[1:{digits}] AS prefix, sum(n) AS n, sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) AS digest FROM l{digits + 1} GROUP BY prefix[1:{digits}])"
+
+
+@query(f"""WITH {_ALL}, l2 AS (SELECT sha256(path)[1:2] AS prefix, count(*) AS n, sha256(string_agg(path || ':' || oid, chr(10) ORDER BY path || ':' || oid)) AS digest FROM a GROUP BY sha256(path)[1:2]), {_level_sql(1)}, {_level_sql(0)}
+  SELECT prefix, n::BIGINT AS n, digest FROM l2 UNION ALL SELECT prefix, n::BIGINT, digest FROM l1 UNION ALL SELECT prefix, n::BIGINT, digest FROM l0""")
+def range_tree(spark, sf_dir):
+    """The ordered digest of all records as a tree over ranges of keys."""
+    return hash_tree.tree(tree(spark, sf_dir).select(F.col("path").alias("id"), F.col("oid").alias("hash")), 2)
+
+
+@query(f"WITH {_A}, {_B} SELECT coalesce(a.path, b.path) AS id, a.oid AS expected_hash, b.oid AS found_hash FROM a FULL JOIN b ON a.path = b.path WHERE a.oid IS DISTINCT FROM b.oid")
+def range_mismatch(spark, sf_dir):
+    """Records that differ, read from the ranges in which two trees differ."""
+    root = f"{shared_dir(spark)}/ranged-{uuid.uuid4().hex}"
+    a, b = (hash_tree.Ranged.write(tree(spark, sf_dir, v), f"{root}/{v}", 3, "path", "oid") for v in "AB")
+    return a.against(b)
+
+
 @query(f"""WITH {_ALL} SELECT language, count(*) AS n_records, sum(('0x' || oid[1:15])::BIGINT)::HUGEINT::VARCHAR AS hash_sum, bit_xor(('0x' || oid[1:15])::BIGINT) AS hash_xor FROM a GROUP BY language""")
 def records_digest(spark, sf_dir):
     return tree(spark, sf_dir).groupBy(text.language(F.col("path")).alias("language")).agg(*identity.multiset_digest(F.col("oid")))
@@ -218,9 +238,9 @@ def term_postings(spark, sf_dir):
 
 
 # Documents that the index holds but its postings do not, for want of terms, count in n and in the mean length.
-def _bm25_sql(keep: str) -> str:
+def _bm25_sql(keep: str, rows: str = _POSTINGS) -> str:
     words = ", ".join(f"('{w}')" for w in sorted(set(QUERY.split())))
-    return f"""WITH {_POSTINGS}, q(term) AS (VALUES {words}), s AS (SELECT count(*) AS n, avg(len(w)) AS avg FROM t),
+    return f"""WITH {rows}, q(term) AS (VALUES {words}), s AS (SELECT count(*) AS n, avg(len(w)) AS avg FROM t),
 tf AS (SELECT id, length, term, count(*) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 r AS (SELECT tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg))), 6) AS score FROM tf JOIN df USING (term), s, t WHERE t.id = tf.id AND {keep} GROUP BY tf.id)
 SELECT id, score FROM r ORDER BY score DESC, id LIMIT 10"""
@@ -231,9 +251,16 @@ def bm25_topk(spark, sf_dir):
     return _indexed(spark, sf_dir).ranked(QUERY, 10)
 
 
+#: Folders of indexes by session and table.
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
 def _indexed(spark, sf_dir):
-    """An index of all documents, written once and read by the terms of a query."""
-    return search.Index.write(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id", "text")
+    """An index of all documents, written once in a session and read by the terms of each query."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES or not there(spark, f"{_INDEXES[key].at[0]}/totals/_SUCCESS"):
+        _INDEXES[key] = search.Index.write(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id", "text")
+    return _INDEXES[key]
 
 
 @query(_bm25_sql("lang = 'en'"))
@@ -241,6 +268,35 @@ def bm25_filtered(spark, sf_dir):
     return _indexed(spark, sf_dir).ranked(QUERY, 10, table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id")))
 
 
+def _two_segments(spark, sf_dir):
+    """Version A as a segment, and what B changes as another: folders, and B's files by what they say."""
+    root, segments_ = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}", [{"files": "a/files", "index": "a/index"}, {"files": "b/files", "gone-files": "b/gone", "index": "b/index"}]
+    files = lambda v: segments.keyed(_included(spark, sf_dir, v).select(F.col("path").alias("id"), "oid", "bytes", F.col("content").alias("search_text")))
+    files("A").write.parquet(f"{root}/a/files")
+    held = segments.live(spark, root, segments_[:1], "files")
+    added, gone = segments.delta(files("B"), held)
+    added.write.parquet(f"{root}/b/files")
+    segments.names(gone).write.parquet(f"{root}/b/gone")
+    return root, segments_, gone
+
+
+@query(f"WITH {_B} SELECT path AS id, oid, bytes FROM b WHERE reason IS NULL")
+def segment_rows(spark, sf_dir):
+    """Version B read from a segment of A and one of the changes."""
+    root, segments_, _ = _two_segments(spark, sf_dir)
+    return segments.live(spark, root, segments_, "files").select("id", "oid", "bytes")
+
+
+@query(_bm25_sql("TRUE", f"{_B}, t AS (SELECT path AS id, regexp_extract_all(lower(content), '{_TERM}') AS w FROM b WHERE reason IS NULL), e AS (SELECT id, len(w) AS length, unnest(w) AS term FROM t)"))
+def segment_search(spark, sf_dir):
+    """Version B searched in the index of A and that of the changes: scores are those of an index of B."""
+    root, segments_, gone = _two_segments(spark, sf_dir)
+    for s, less in zip(segments_, (None, gone)):
+        search.Index.write(spark.read.parquet(f"{root}/{s['files']}"), f"{root}/{s['index']}", less=less)
+    index = search.Index(spark, [f"{root}/{s['index']}" for s in segments_], lambda hits: segments.without(spark, root, segments_, "files", hits, ["id"]))
+    return index.ranked(QUERY, 10)
+
+
 @query("SELECT doc_id AS id, 1.0::DOUBLE AS score FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in ("trash", "licensed")))
 def match_any_term(spark, sf_dir):
     return search.matching_any(table(spark, sf_dir, "documents"), "Trash licensed", "doc_id", "text")

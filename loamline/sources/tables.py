@@ -35,6 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def there(spark: SparkSession, at: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def document_path(key: Column, source: Column) -> Column:
     ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (key % len(ENDINGS) + 1).cast("int"))
     folder = F.when(key % 50 == 7, F.lit("vendor")).when(key % 50 == 19, F.lit("build")).otherwise(F.lit("src"))

@@ -1,6 +1,9 @@
 """Edges of classification, chunking, checks and publication on small inline trees."""
 
+import base64
 import hashlib
+import json
+import os
 import random
 import subprocess
 
@@ -8,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamline.functions import identity, text
-from loamline.operators import checks, chunking, classify, packing, search
+from loamline.operators import checks, chunking, classify, hash_tree, packing, search
 from loamline.plans.build import build, preset
 from loamline.plans.corpus import Corpus
 from loamline.sources import git
@@ -120,6 +123,10 @@ def test_build_checks_publish_search_read(spark, tmp_path):
         Corpus(spark, corpus.root, "other").open(hits[0].handle)
     with pytest.raises(ValueError):
         corpus.open("ev1.?")
+    forged = json.loads(base64.b64decode(hits[0].handle[4:]))
+    forged[5] = str(int(forged[5]) + 1)
+    with pytest.raises(LookupError, match="no chunk"):
+        corpus.open("ev1." + base64.b64encode(json.dumps(forged).encode()).decode())
     snapshot = corpus.resolve("v2").snapshot
     kept = spark.createDataFrame(spark.read.parquet(f"{snapshot}/inventory").collect(), spark.read.parquet(f"{snapshot}/inventory").schema)
     kept.where("path <> 'doc.md'").write.mode("overwrite").parquet(f"{snapshot}/inventory")
@@ -222,14 +229,9 @@ def test_canonical_json(spark):
     assert got == json.dumps({"a": value, "b": 2}, separators=(",", ":"), ensure_ascii=False)
 
 
-def test_one_writer_and_verified_versions(spark, tmp_path):
+def test_verified_versions(spark, tmp_path):
     corpus = Corpus(spark, str(tmp_path / "c"), "demo")
     own, commit = build(entries(spark, list(SOURCES.items()))), hashlib.sha1(b"1").hexdigest()
-    (tmp_path / "c").mkdir()
-    (tmp_path / "c" / "writer.lock").touch()
-    with pytest.raises(RuntimeError, match="another writer"):
-        corpus.publish(own, commit, "2024")
-    (tmp_path / "c" / "writer.lock").unlink()
     with pytest.raises(ValueError, match="commit-form"):
         corpus.publish(own, "not-a-commit", "2024")
     corpus.publish(own, commit, "2024")
@@ -262,6 +264,22 @@ def test_packing_is_the_loop(spark, most_rows, most_bytes, each, n):
     assert got == {k: (k, b) for k, b in want.items()}
 
 
+def test_trees_read_only_what_differs(spark, tmp_path):
+    rows = spark.range(6000).select(F.concat(F.lit("k"), F.col("id")).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    other = rows.where("id <> 'k17'").withColumn("hash", F.when(F.col("id") == "k4000", "x").otherwise(F.col("hash"))).unionByName(spark.createDataFrame([("new", "y"), (None, None)], "id string, hash string"))
+    a, b = (hash_tree.Ranged.write(x, str(tmp_path / n), 3) for x, n in ((rows, "a"), (other.repartition(3), "b")))
+    got = a.against(b)
+    assert {r.id for r in got.collect()} == {"k17", "k4000", "new", None} or {r.id for r in got.collect()} == {"k17", "k4000", "new"}
+    scans = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters: [" in x and "top" in x.split("PartitionFilters: [")[1].split("]")[0]]
+    assert len(scans) == 2 and hash_tree.differing(a.tree, b.tree, 3).count() <= 4 and len(os.listdir(tmp_path / "a" / "rows")) > 16
+    same = hash_tree.Ranged.write(rows.repartition(7), str(tmp_path / "c"), 3)
+    root = lambda r: r.tree.where("prefix = ''").first().digest
+    assert a.against(same).count() == 0 and root(a) == root(same) != root(b) and a.tree.where("prefix = ''").first().n == 6000
+    leaf = sorted(f"k{k}:{hashlib.sha256(str(k).encode()).hexdigest()}" for k in range(6000) if hashlib.sha256(f"k{k}".encode()).hexdigest()[:3] == "000")
+    assert a.tree.where("prefix = '000'").first().digest == hashlib.sha256("\n".join(leaf).encode()).hexdigest()
+    assert hash_tree.tree(rows.limit(0), 2).count() == 0 and hash_tree.depth_for(10) == 2 and hash_tree.depth_for(10**10) == 6
+
+
 def test_parts_of_an_inventory(spark):
     entries = spark.createDataFrame([(k, "e" * (k % 40)) for k in range(300)], "k int, e string")
     got = packing.parts(entries, ["k"], "e", 100).orderBy("part").collect()
