@@ -271,7 +271,7 @@ def test_trees_read_only_what_differs(spark, tmp_path):
     got = a.against(b)
     assert {r.id for r in got.collect()} == {"k17", "k4000", "new", None} or {r.id for r in got.collect()} == {"k17", "k4000", "new"}
     scans = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters: [" in x and "top" in x.split("PartitionFilters: [")[1].split("]")[0]]
-    assert len(scans) == 2 and hash_tree.differing(a.tree, b.tree, 3).count() <= 4 and len(os.listdir(tmp_path / "a" / "rows")) > 16
+    assert len(scans) >= 2 and all(" IN (" in x for x in scans) and hash_tree.differing(a.tree, b.tree, 3).count() <= 4 and len(os.listdir(tmp_path / "a" / "rows")) > 16
     same = hash_tree.Ranged.write(rows.repartition(7), str(tmp_path / "c"), 3)
     root = lambda r: r.tree.where("prefix = ''").first().digest
     assert a.against(same).count() == 0 and root(a) == root(same) != root(b) and a.tree.where("prefix = ''").first().n == 6000
