@@ -56,13 +56,15 @@ def _numbered(s: Column) -> Column:
 
 
 def _renumbered(repeats: Column) -> Column:
-    start = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(1).alias("n"), F.array().cast("array<bigint>").alias("out"))
+    """Sorted second and later occurrences with their numbers (from 2) mixed in: a number is the distance from the head of the run of its hash."""
+    head = lambda x, j: (j == 0) | (_hash(F.get(repeats, j - 1)) != _hash(x))
+    heads = F.array_compact(F.transform(repeats, lambda x, j: F.when(head(x, j), j)))
 
-    def step(acc: Column, x: Column) -> Column:
-        n = F.when(acc["h"] == _hash(x), acc["n"] + 1).otherwise(F.lit(2))
-        return F.struct(_hash(x).alias("h"), n.alias("n"), F.array_append(acc["out"], _packed(F.xxhash64(_hash(x), n), x.bitwiseAND(2**PLACE_BITS - 1))).alias("out"))
+    def run(at: Column, end: Column) -> Column:
+        mixed = lambda x, i: _packed(F.xxhash64(_hash(x), i + 2), x.bitwiseAND(2**PLACE_BITS - 1))
+        return F.transform(F.slice(repeats, at + 1, end - at), mixed)
 
-    return F.aggregate(repeats, start, step, lambda acc: acc["out"])
+    return _let(heads, lambda hs: F.flatten(F.transform(hs, lambda at, m: run(at, F.coalesce(F.get(hs, m + 1), F.size(repeats))))))
 
 
 def _slot(x: Column, bits: int) -> Column:

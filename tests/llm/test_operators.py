@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -394,6 +395,21 @@ def test_fingerprint_selects_by_occurrence_and_order(spark):
     assert {r.i: set(r.f) for r in got} == expected
 
 
+def test_fingerprint_of_repeats_costs_what_other_words_do(spark):
+    """Numbering is linear in the repeats of a k-mer, runs of several k-mers at once included."""
+    def took(word):
+        at = time.monotonic()
+        text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(80_000)), word), " ")
+        f = spark.range(1).select(order_minhash.fingerprint(text).alias("f")).first().f
+        return len(f), time.monotonic() - at
+
+    took(lambda i: i.cast("string"))  # plans and compiles
+    distinct, base = took(lambda i: i.cast("string"))
+    for word in (lambda i: F.lit("w"), lambda i: F.pmod(i, F.lit(7)).cast("string")):
+        n, seconds = took(word)
+        assert n == distinct == 32 and seconds < 2 * base + 5
+
+
 def test_edited_likeness(spark, data, odd, empty):
     docs = sorted(docs_of(spark, data))
     got = {r.doc_id: r for r in queries.op5_order_minhash(spark, data).collect()}
