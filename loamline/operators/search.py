@@ -1,7 +1,12 @@
-"""Lexical search: an inverted index as tables, BM25 over the terms of a query, exact filters, top k.
+"""Lexical search: an inverted index as tables, BM25 over the terms of a query, exact filters, top k with an early stop.
 
-An index is written once: postings in folders by a hash of their terms, in order of terms, and one row of totals. A query reads the folders of its own
-terms, and there the row groups that hold them.
+An index is written once: postings in folders by a hash of their terms, in order of terms and blocks, headers and one row of totals. A block is a set of documents of like
+length, the same for all terms, of about the same size however many documents there are. A header is one row for a term in a block: how many documents have the term there, its highest
+tf, the least length, and the attributes' values as bits.
+
+A query reads the headers of its terms and knows from them the most that a document of a block can score. The few blocks that promise most are scored first; blocks that
+promise less than the k-th best score found there, or lack the value of a filter, are passed over: by a join with the blocks that stay, and before it by ranges of blocks that the
+scan is given. What is left out cannot be among the best, so results are those of all postings.
 
 Every part of a query is literal. Terms are lower-cased runs of letters, digits and ``_`` that single dots or apostrophes may join, so
 ``code.ts`` is one term. Scores: k1 1.2, b 0.75, idf ln(1 + (N - df + 0.5) / (df + 0.5)); any term matches; ties go by id.
@@ -32,64 +37,155 @@ def query_terms(text: str, limit: int) -> list[str]:
     return sorted(set(re.findall(r"\w+(?:[.']\w+)*", text.lower())))
 
 
-def postings(docs: DataFrame, id_: str = "id", text: str = "search_text") -> DataFrame:
-    """term, id, tf and length (terms of the document)."""
-    each = docs.select(F.col(id_).alias("id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("t")).select("id", F.size("t").cast("bigint").alias("length"), F.explode("t").alias("term"))
-    return each.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once: a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _counted(t: Column) -> Column:
+    """Each distinct term of an array with how often it is there: in sorted order, the distances between the heads of runs."""
+
+    def runs(s: Column) -> Column:
+        heads = F.array_compact(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1) != x), j)))
+        tf = lambda hs, at, m: (F.coalesce(F.get(hs, m + 1), F.size(s)) - at).cast("bigint")
+        return _let(heads, lambda hs: F.transform(hs, lambda at, m: F.struct(F.get(s, at).alias("term"), tf(hs, at, m).alias("tf"))))
+
+    return _let(F.sort_array(t), runs)
+
+
+def postings(docs: DataFrame, id_: str = "id", text: str = "search_text", attributes: tuple[str, ...] = ()) -> DataFrame:
+    """term, id, tf, length (terms of the document) and its ``attributes``. Each text is counted in its own row, without a shuffle; ids are unique."""
+    kept = [F.col(a).cast("string").alias(a) for a in attributes]
+    each = docs.select(F.col(id_).alias("id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("t"), *kept)
+    found = each.select("id", F.size("t").cast("bigint").alias("length"), *attributes, F.explode(_counted(F.col("t"))).alias("p"))
+    return found.select("p.term", "id", "length", "p.tf", *attributes)
+
+
+def _bit(value: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(value), F.lit(64)).cast("int"))
 
 
 class Index:
-    """Postings and totals under folders that Spark writes: one, or the segments of a version, each with the postings of the texts that it adds.
+    """Postings, headers and totals under folders that Spark writes: one, or the segments of a version, each with the postings of the texts that it adds.
 
-    ``alive`` leaves out the hits (with segment_, the number of their folder) of texts that later segments have as gone. Their terms are taken off in the totals of those
-    segments, so scores are those of an index made anew.
+    ``alive`` leaves out the hits (with segment_, the number of their folder) of texts that later segments have as gone. Their terms are taken off in the headers and totals of
+    those segments, so scores are those of an index made anew. ``attributes`` are columns, read as strings, that stand in the postings and that a query may ask to be equal to a
+    value.
     """
 
     #: Folders of postings.
     PARTS = 64
-
-    def __init__(self, spark: SparkSession, at: str | list[str], alive: Callable[[DataFrame], DataFrame] = lambda hits: hits, id_type: str = "string"):
-        self.spark, self.at, self.alive, self.id_type = spark, [at] if isinstance(at, str) else at, alive, id_type
+    #: Documents for each block of a half octave of length, about, were all of that length.
+    DOCUMENTS = 1024
+    #: Blocks that are scored for a threshold.
+    FIRST = 16
+    #: Ranges of blocks, about, that the scan of a segment is given.
+    RANGES = 32
+    #: Scores are rounded to this many places; a bound must be below a score by more than that to be passed over.
+    PLACES = 6
+
+    def __init__(self, spark: SparkSession, at: str | list[str], alive: Callable[[DataFrame], DataFrame] = lambda hits: hits, id_type: str = "string", attributes: tuple[str, ...] = ()):
+        self.spark, self.at, self.alive, self.id_type, self.attributes = spark, [at] if isinstance(at, str) else at, alive, id_type, attributes
 
     @classmethod
-    def write(cls, docs: DataFrame, at: str, id_: str = "id", text: str = "search_text", less: DataFrame | None = None) -> Index:
-        """Each text is cut into terms once. Postings are dealt by ranges of (folder, term, document), so tasks are alike whatever the size and a hot term
-        is in many. ``less``: texts of earlier segments that are gone."""
+    def write(cls, docs: DataFrame, at: str, id_: str = "id", text: str = "search_text", less: DataFrame | None = None, attributes: tuple[str, ...] = (), near: str | None = None) -> Index:
+        """Each text is cut into terms once. Postings are dealt by ranges of (folder, term, block, document), so tasks are alike whatever the size and a hot term
+        is in many. ``less``: texts of earlier segments that are gone. ``near``: an attribute whose equal values share blocks, for filters of few documents."""
         part = F.pmod(F.xxhash64("term"), F.lit(cls.PARTS)).cast("int")
-        found = postings(docs, id_, text).withColumn("part", part)
-        found.repartitionByRange("part", "term", "id").sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{at}/postings")
-        held = docs.sparkSession.read.schema(found.schema).parquet(f"{at}/postings")
+        buckets = docs.count() // cls.DOCUMENTS + 1
+        block = F.floor(2 * F.log2("length")) * buckets + F.pmod(F.xxhash64(near or "id"), F.lit(buckets))
+        found = postings(docs, id_, text, attributes).withColumns({"block": block, "part": part})
+        order = ["part", "term", "block", "id"]
+        found.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{at}/postings")
+        index = cls(docs.sparkSession, at, id_type=found.schema["id"].dataType.simpleString(), attributes=attributes)
+        held = index._postings(at)
+        bits = [F.bit_or(_bit(F.col(a))).alias(f"{a}_bits") for a in attributes]
+        headers = held.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), *bits)
+        if less is not None:
+            gone = postings(less, id_, text).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
+            headers = headers.unionByName(gone, allowMissingColumns=True)
+        headers.sortWithinPartitions("term", "block").write.parquet(f"{at}/headers")
         sums = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("terms")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n")))  # one row each
         if less is not None:
             off = less.agg((-F.coalesce(F.sum(F.size(terms(F.coalesce(F.col(text), F.lit(""))))), F.lit(0))).cast("double").alias("terms"), (-F.count(F.lit(1))).alias("n"))
             sums = sums.unionByName(off)
         sums.agg(F.sum("terms").alias("terms"), F.sum("n").alias("n")).coalesce(1).write.parquet(f"{at}/totals")
-        return cls(docs.sparkSession, at, id_type=found.schema["id"].dataType.simpleString())
-
-    def hits(self, wanted: list[str]) -> DataFrame:
-        """Postings of some terms: part, term, id, length, tf."""
+        return index
+
+    def hits(self, wanted: list[str], blocks: DataFrame | None = None) -> DataFrame:
+        """Postings of some terms, in some ``blocks`` (segment_, block) if given: part, term, segment_, block, id, length, tf and attributes."""
+        among = F.col("part").isin(self._parts(wanted)) & F.col("term").isin(wanted)
+        covers = None if blocks is None else self._covers(blocks)
+        within = lambda n: F.lit(True) if covers is None else reduce(lambda a, b: a | b, [F.col("block").between(r.low, r.high) for r in covers if r.segment_ == n], F.lit(False))
+        found = reduce(DataFrame.unionByName, [self._postings(at).where(among & within(n)).withColumn("segment_", F.lit(n)) for n, at in enumerate(self.at)])
+        return self.alive(found if blocks is None else found.join(blocks, ["segment_", "block"], "left_semi"))
+
+    def _covers(self, blocks: DataFrame) -> list:
+        """segment_, low, high: at most ``RANGES`` + 1 ranges of blocks for each segment, that hold all of ``blocks``."""
+        ends = blocks.groupBy("segment_").agg(F.min("block").alias("from_"), (F.max("block") - F.min("block") + 1).alias("span_"))
+        cut = blocks.join(F.broadcast(ends), "segment_").groupBy("segment_", F.floor((F.col("block") - F.col("from_")) * self.RANGES / F.col("span_")))  # a row for each segment
+        return cut.agg(F.min("block").alias("low"), F.max("block").alias("high")).collect()
+
+    def headers(self, wanted: list[str]) -> DataFrame:
+        """Headers of some terms, of all segments (segment_). Those of texts that are gone have no block."""
+        bits = "".join(f", {a}_bits bigint" for a in self.attributes)
+        read = self.spark.read.schema(f"term string, block bigint, n bigint, most bigint, least bigint{bits}")
+        return reduce(DataFrame.unionByName, [read.parquet(f"{at}/headers").withColumn("segment_", F.lit(n)) for n, at in enumerate(self.at)]).where(F.col("term").isin(wanted))
+
+    def _parts(self, wanted: list[str]) -> list[int]:
         words = self.spark.createDataFrame([(w,) for w in wanted], "w string").select(F.pmod(F.xxhash64("w"), F.lit(self.PARTS)).cast("int").alias("p"))
-        parts = [r.p for r in words.distinct().collect()]
-        found = [self._postings(at).where(F.col("part").isin(parts) & F.col("term").isin(wanted)).withColumn("segment_", F.lit(n)) for n, at in enumerate(self.at)]
-        return self.alive(reduce(DataFrame.unionByName, found)).drop("segment_")
+        return [r.p for r in words.distinct().collect()]
 
     def _postings(self, at: str) -> DataFrame:
         """With its schema, as a segment that adds no text has no file to take it from."""
-        return self.spark.read.schema(f"term string, id {self.id_type}, length bigint, tf bigint, part int").parquet(f"{at}/postings")
+        held = "".join(f", {a} string" for a in self.attributes)
+        return self.spark.read.schema(f"term string, id {self.id_type}, length bigint, tf bigint{held}, block bigint, part int").parquet(f"{at}/postings")
 
     def totals(self) -> DataFrame:
         return self.spark.read.parquet(*[f"{at}/totals" for at in self.at]).agg(F.sum("terms").alias("terms"), F.sum("n").alias("n"))
 
-    def ranked(self, text: str, limit: int = 10, keep: DataFrame | None = None) -> DataFrame:
-        """id, score of the ``limit`` best, of those in ``keep`` (ids) if given; statistics are those of all documents."""
-        hits = self.hits(query_terms(text, limit))
-        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
-        totals = self.totals()
-        kept = hits if keep is None else hits.join(keep, "id", "left_semi")
-        joined = kept.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))
+    def promises(self, wanted: list[str], where: dict[str, str] | None = None) -> DataFrame:
+        """segment_, block, n (postings), bound: for each block that may hold a document with a term and the values asked for, the most that one can score."""
+        heads = self.headers(wanted)
+        rows = heads.where("block IS NOT NULL")
+        for a, value in (where or {}).items():
+            rows = rows.where(F.col(f"{a}_bits").bitwiseAND(_bit(F.lit(value))) != 0)
+        best = rows.select("segment_", "block", "term", F.col("n").alias("count_"), F.col("most").alias("tf"), F.col("least").alias("length"))
+        scored = self._contributions(best, heads).withColumnRenamed("count_", "postings")
+        return scored.groupBy("segment_", "block").agg(F.sum("postings").alias("n"), F.sum("score").alias("bound"))
+
+    def _contributions(self, rows: DataFrame, heads: DataFrame) -> DataFrame:
+        """``rows`` (term, tf, length) with what each adds to a score."""
+        df = heads.groupBy("term").agg(F.sum("n").alias("df"))  # a row for each term of the query
+        joined = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.totals()))
         norm = K1 * (1 - B + B * F.col("length") * F.col("n") / F.col("terms"))
         score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-        return joined.groupBy("id").agg(F.round(F.sum(score), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+        return joined.withColumn("score", score).drop("df", "n", "terms")
+
+    def _scored(self, wanted: list[str], blocks: DataFrame, keep: DataFrame | None, where: dict[str, str]) -> DataFrame:
+        hits = self.hits(wanted, blocks)
+        for a, value in where.items():
+            hits = hits.where(F.col(a) == value)
+        hits = hits if keep is None else hits.join(keep, "id", "left_semi")
+        return self._contributions(hits, self.headers(wanted)).groupBy("id").agg(F.round(F.sum("score"), self.PLACES).alias("score")).orderBy(F.desc("score"), "id")
+
+    def surviving(self, wanted: list[str], limit: int, keep: DataFrame | None = None, where: dict[str, str] | None = None) -> DataFrame:
+        """segment_, block: what must be read for the ``limit`` best. The threshold is their least score in the ``FIRST`` blocks that promise most."""
+        promised = self.promises(wanted, where)
+        first = promised.orderBy(F.desc("bound"), "segment_", "block").limit(self.FIRST).select("segment_", "block").collect()
+        some = self.spark.createDataFrame(first, "segment_ int, block bigint")
+        top = self._scored(wanted, some, keep, where or {}).limit(limit).collect()
+        if len(top) == limit:
+            promised = promised.where(F.col("bound") >= top[-1].score - 2 * 10**-self.PLACES)
+        return promised.select("segment_", "block")
+
+    def ranked(self, text: str, limit: int = 10, keep: DataFrame | None = None, where: dict[str, str] | None = None) -> DataFrame:
+        """id, score of the ``limit`` best, of those with the attributes of ``where`` and in ``keep`` (ids) if given; statistics are those of all documents."""
+        for a in where or {}:
+            if a not in self.attributes:
+                raise ValueError(f"the index has no attribute {a}")
+        wanted = query_terms(text, limit)
+        return self._scored(wanted, self.surviving(wanted, limit, keep, where), keep, where or {}).limit(limit)
 
 
 def matching_any(docs: DataFrame, text: str, id_: str = "id", body: str = "search_text") -> DataFrame:

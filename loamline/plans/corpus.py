@@ -27,6 +27,8 @@ from .log import Attempt, Log, State
 
 PUBLISHED = "commit string, commit_time string, tag string, build_id string, snapshot string, config_hash string, n_records bigint, hash_sum string, hash_xor bigint, number int"
 #: What a manifest says beside the digest of its records.
+#: Columns of chunks that an index keeps with its postings, for exact filters.
+FILTERS = ("path", "language")
 MANIFEST = ("repository", "commit", "builder", "config_hash", "build_id", "n_entries", "inventory_sum", "inventory_xor")
 RELEASES = "ref string, commit string, at timestamp"
 ALIASES = "alias string, target string, at timestamp"
@@ -169,7 +171,7 @@ class Corpus(_Folder):
         segments = [*base, attempt.phases]
         own, stored = self.spark.read.parquet(attempt.at("chunks")), self._stored(segments, build)
         attempt.table("build", stored.metadata(self.name, commit).coalesce(1))
-        attempt.phase("index", lambda to: search.Index.write(own, to, less=lost))
+        attempt.phase("index", lambda to: search.Index.write(own, to, less=lost, attributes=FILTERS, near="path"))
         wrong = self._wrong(segments, build.config_hash, build.tokenizer).limit(20).collect()
         if wrong:
             raise ValueError(f"the build is not valid: {wrong[:3]}")
@@ -184,7 +186,7 @@ class Corpus(_Folder):
         return Build(build.config, *[self._live(segments, x).drop(*segments_.KEYS) for x in ("inventory", "files", "chunks")], tokenizer=build.tokenizer)
 
     def _index(self, segments: list[dict[str, str]]) -> search.Index:
-        return search.Index(self.spark, [f"{self.root}/data/{s['index']}" for s in segments], lambda hits: segments_.without(self.spark, f"{self.root}/data", segments, "chunks", hits, ["id"]))
+        return search.Index(self.spark, [f"{self.root}/data/{s['index']}" for s in segments], lambda hits: segments_.without(self.spark, f"{self.root}/data", segments, "chunks", hits, ["id"]), attributes=FILTERS)
 
     def _wrong(self, segments: list[dict[str, str]], own_hash: str, tokenizer: str | None) -> DataFrame:
         """Violations of a version as it is stored, against the records and the metadata that were written with it."""
@@ -258,13 +260,10 @@ class Corpus(_Folder):
         A hit whose file the version's inventory does not list, with the same content, is an error.
         """
         v = self.resolve(selector)
-        keep = F.lit(True)
-        for name, value in (("path", path), ("language", language)):
-            keep = keep & (F.col(name) == value) if value is not None else keep
         segments = self._segments(v.number, self.log.state())
         chunks = self._live(segments, "chunks").drop(*segments_.KEYS)
-        kept = None if path is None and language is None else chunks.where(keep).select("id")
-        best = self._index(segments).ranked(text, limit, kept)
+        where = {name: value for name, value in zip(FILTERS, (path, language), strict=True) if value is not None}
+        best = self._index(segments).ranked(text, limit, where=where)
         listed = self._live(segments, "inventory").where("status = 'included'").select(F.col("file_id").alias("listed_"), F.col("content_hash").alias("hash_"), F.col("path").alias("path_"))
         # The best are at most 100 rows.
         found = F.broadcast(best).join(chunks, "id").join(listed, (F.col("file_id") == F.col("listed_")) & (F.col("content_hash") == F.col("hash_")) & (F.col("path") == F.col("path_")), "left")

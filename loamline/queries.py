@@ -259,13 +259,13 @@ def _indexed(spark, sf_dir):
     """An index of all documents, written once in a session and read by the terms of each query."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _INDEXES or not there(spark, f"{_INDEXES[key].at[0]}/totals/_SUCCESS"):
-        _INDEXES[key] = search.Index.write(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id", "text")
+        _INDEXES[key] = search.Index.write(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id", "text", attributes=("lang",))
     return _INDEXES[key]
 
 
 @query(_bm25_sql("lang = 'en'"))
 def bm25_filtered(spark, sf_dir):
-    return _indexed(spark, sf_dir).ranked(QUERY, 10, table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id")))
+    return _indexed(spark, sf_dir).ranked(QUERY, 10, where={"lang": "en"})
 
 
 def _two_segments(spark, sf_dir):
@@ -505,8 +505,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the corpus, searched with a filter, with excerpts and citations."""
     # Counted, scored and cited from one table: cutting is the costly part.
     c = stored(chunking.chunks(_included(spark, sf_dir), config_hash(preset())), "chunks")
-    index = search.Index.write(c, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
-    best = index.ranked(QUERY, 10, c.where("language = 'markdown'").select("id"))
+    index = search.Index.write(c, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", attributes=("language",))
+    best = index.ranked(QUERY, 10, where={"language": "markdown"})
     cite = text.citation(F.lit("A"), F.col("path"), F.col("start_line"), F.col("end_line"))
     return best.join(c, "id").select("id", "score", "path", "chunk_kind", text.excerpt(F.col("search_text")).alias("excerpt"), cite.alias("citation")).orderBy(F.desc("score"), "id")
 

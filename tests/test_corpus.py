@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import os
 import random
 import subprocess
@@ -301,6 +302,54 @@ def test_index_reads_only_its_terms(spark, tmp_path):
     assert [r.id for r in index.ranked("alpha", 3, spark.createDataFrame([(5,), (5,), (6,)], "id bigint")).collect()] == [6, 5]
 
 
+def blocks_of(index, wanted, limit, **given):
+    """Blocks that hold a term of a query, and those that are read for it."""
+    return index.promises(wanted).count(), index.surviving(wanted, limit, **given).count()
+
+
+def test_search_stops_early(spark, tmp_path, monkeypatch):
+    """Blocks that cannot hold one of the best are passed over; results are those of all of them, ties and filters included."""
+    monkeypatch.setattr(search.Index, "DOCUMENTS", 8)
+    monkeypatch.setattr(search.Index, "FIRST", 4)
+    texts = [(i, "common " * (1 + i % 3) + f"{'rare ' if i in (31, 400, 401) else ''}" + "fill " * (i % 9), "even" if i % 2 == 0 else None, f"p{i // 4}") for i in range(600)]
+    docs = spark.createDataFrame([*texts, (900, None, "even", None), (901, "", None, "p0")], "id bigint, search_text string, kind string, path string")
+    index = search.Index.write(docs, str(tmp_path / "i"), attributes=("kind", "path"), near="path")
+    wanted = ["common", "rare"]
+    n, read = blocks_of(index, wanted, 3)
+    assert n > 50 and read <= n // 4
+    covers = index._covers(index.surviving(wanted, 3))
+    assert len(covers) <= index.RANGES + 1 and "GreaterThanOrEqual(block" in index.hits(wanted, index.surviving(wanted, 3))._jdf.queryExecution().executedPlan().toString()
+
+    def brute(limit, kept=lambda r: True):
+        t = {r[0]: r for r in texts}
+        words_ = {k: r[1].split() for k, r in t.items()}
+        mean, count = sum(map(len, words_.values())) / 602, 602
+        df = {w: sum(w in x for x in words_.values()) for w in wanted}
+        one = lambda x, w: math.log(1 + (count - df[w] + 0.5) / (df[w] + 0.5)) * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / mean)) if w in x else 0
+        scores = [(-round(sum(one(x, w) for w in wanted), 6), k) for k, x in words_.items() if kept(t[k])]
+        return [k for _, k in sorted(scores)[:limit]]
+
+    ids = lambda limit, **given: [r.id for r in index.ranked("Common rare", limit, **given).collect()]
+    for limit in (1, 3, 4, 50):
+        assert ids(limit) == brute(limit)
+    assert ids(7, where={"kind": "even"}) == brute(7, lambda r: r[2] == "even")
+    assert ids(7, where={"path": "p100", "kind": "even"}) == brute(7, lambda r: r[3] == "p100" and r[2] == "even")
+    assert ids(5, where={"kind": "none such"}) == []
+    assert index.promises(wanted, {"path": "p100"}).count() < n // 4
+    assert ids(3, keep=docs.where("id > 401").select("id")) == brute(3, lambda r: r[0] > 401)
+    with pytest.raises(ValueError, match="no attribute"):
+        index.ranked("rare", 1, where={"size": "1"})
+    nothing = search.Index.write(docs.limit(0), str(tmp_path / "none"), attributes=("kind",))
+    assert nothing.ranked("rare", 3).count() == 0 == nothing.ranked("rare", 3, where={"kind": "even"}).count()
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = [(1, "b a B b. a.b"), (2, None), (3, ""), (4, "x " * 50_000 + "y")]
+    got = search.postings(spark.createDataFrame(rows, "id bigint, search_text string"))
+    assert sorted((r.id, r.term, r.tf, r.length) for r in got.collect()) == [(1, "a", 1, 5), (1, "a.b", 1, 5), (1, "b", 3, 5), (4, "x", 50_000, 50_001), (4, "y", 1, 50_001)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream_starts_again(spark, tmp_path):
     from loamline.streaming import mutations
 
