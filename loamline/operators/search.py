@@ -132,9 +132,9 @@ class Index:
         read = self.spark.read.schema(f"term string, block bigint, n bigint, most bigint, least bigint{bits}")
         return reduce(DataFrame.unionByName, [read.parquet(f"{at}/headers").withColumn("segment_", F.lit(n)) for n, at in enumerate(self.at)]).where(F.col("term").isin(wanted))
 
-    def _parts(self, wanted: list[str]) -> list[int]:
-        words = self.spark.createDataFrame([(w,) for w in wanted], "w string").select(F.pmod(F.xxhash64("w"), F.lit(self.PARTS)).cast("int").alias("p"))
-        return [r.p for r in words.distinct().collect()]
+    def _parts(self, wanted: list[str]) -> list[Column]:
+        """The folders of some terms: constants, which Catalyst folds and prunes by."""
+        return [F.pmod(F.xxhash64(F.lit(w)), F.lit(self.PARTS)).cast("int") for w in wanted]
 
     def _postings(self, at: str) -> DataFrame:
         """With its schema, as a segment that adds no text has no file to take it from."""
@@ -172,8 +172,10 @@ class Index:
     def surviving(self, wanted: list[str], limit: int, keep: DataFrame | None = None, where: dict[str, str] | None = None) -> DataFrame:
         """segment_, block: what must be read for the ``limit`` best. The threshold is their least score in the ``FIRST`` blocks that promise most."""
         promised = self.promises(wanted, where)
-        first = promised.orderBy(F.desc("bound"), "segment_", "block").limit(self.FIRST).select("segment_", "block").collect()
-        some = self.spark.createDataFrame(first, "segment_ int, block bigint")
+        first = promised.orderBy(F.desc("bound"), "segment_", "block").limit(self.FIRST + 1).select("segment_", "block").collect()
+        some = self.spark.createDataFrame(first[: self.FIRST], "segment_ int, block bigint")
+        if len(first) <= self.FIRST:
+            return some  # all that there are
         top = self._scored(wanted, some, keep, where or {}).limit(limit).collect()
         if len(top) == limit:
             promised = promised.where(F.col("bound") >= top[-1].score - 2 * 10**-self.PLACES)
