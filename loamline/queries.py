@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import identity, text
-from loamline.operators import catalog, checks, chunking, classify, embedding, hash_tree, packing, reading, search, units, versions
+from loamline.operators import catalog, checks, chunking, classify, embedding, hash_tree, lookup, packing, reading, search, units, versions
 from loamline.plans.build import BUILDER, config_hash, inventory, preset
 from loamline.plans import segments
 from loamline.sources.tables import shared_dir, stored, table, there, tree
@@ -308,6 +308,16 @@ y AS (SELECT *, len(l)::BIGINT AS total_lines, greatest(1, {first} - {context}):
 SELECT path, start_line, end_line, total_lines, array_to_string(l[start_line:end_line], '') AS text, oid AS content_hash, 'corpus@A:' || path || ':' || start_line || '-' || end_line AS citation FROM y"""
 
 
+@query(f"""WITH {_ALL}, k AS (SELECT path FROM a WHERE doc_id % 20 = 0 UNION SELECT 'absent/' || path FROM a WHERE doc_id % 20 = 0)
+SELECT k.path, a.path IS NOT NULL AS found, a.mode, a.oid, a.bytes FROM k LEFT JOIN a ON k.path = a.path""")
+def point_lookups(spark, sf_dir):
+    """The entries of a batch of paths (of every id divisible by 20, and as many that are not there) in the whole tree."""
+    at, whole = f"{shared_dir(spark)}/lookup-{uuid.uuid4().hex}", tree(spark, sf_dir)
+    lookup.write(whole.select("path", "mode", "oid", "bytes"), at, "path")
+    own = whole.where("doc_id % 20 = 0").select("path")
+    return lookup.find(spark, at, own.unionByName(own.select(F.concat(F.lit("absent/"), "path").alias("path"))), "path").select("path", "found", "mode", "oid", "bytes")
+
+
 @query(_read_sql(2, 3, 0))
 def read_range(spark, sf_dir):
     return reading.read_lines(_included(spark, sf_dir), F.lit("A"), F.lit(2), F.lit(3))
