@@ -1,8 +1,9 @@
 """Lexical search: an inverted index as tables, BM25 over the terms of a query, exact filters, top k with an early stop.
 
-An index is written once: postings in folders by a hash of their terms, in order of terms and blocks, headers and one row of totals. A block is a set of documents of like
-length, the same for all terms, of about the same size however many documents there are. A header is one row for a term in a block: how many documents have the term there, its highest
-tf, the least length, and the attributes' values as bits.
+An index is written once, as packed rows in order of terms and blocks, and one row of totals. A block is some documents of like length that one task has met together, the same for
+all terms. A row is a term in a block: its header (how many documents have the term there, its highest tf, the least length, and the attributes' values as bits), and the slots of
+those documents in the block with their tf. One more row for a block, without a term, has the documents of its slots. So no posting is a row of its own, and none is shuffled:
+texts are dealt over the tasks, and each packs and sorts its own.
 
 A query reads the headers of its terms and knows from them the most that a document of a block can score. The few blocks that promise most are scored first; blocks that
 promise less than the k-th best score found there, or lack the value of a filter, are passed over: by a join with the blocks that stay, and before it by ranges of blocks that the
@@ -15,9 +16,13 @@ Every part of a query is literal. Terms are lower-cased runs of letters, digits
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,18 +70,72 @@ def _bit(value: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(value), F.lit(64)).cast("int"))
 
 
+def _groups(lengths: np.ndarray, documents: int, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours with at most so many documents and words; a longer text is one of its own."""
+    ends, a = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while a < len(lengths):
+        b = min(int(np.searchsorted(ends, ends[a] + words, "right")) - 1, a + documents, len(lengths))
+        yield a, max(a + 1, b)
+        a = max(a + 1, b)
+
+
+def _packed(documents: int, words: int, attributes: tuple[str, ...], names: list[str]):
+    """Rows (id, t, attributes and their bits) as rows of an index, by sorting numbers; at most ``words`` terms at a time."""
+
+    def rows(b: pa.RecordBatch, lengths: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+        # Documents by length: the place of one is its block and slot. Postings are numbers too, (term, block, slot), and equal ones are counted.
+        order = np.argsort(lengths, kind="stable")
+        place, blocks = np.empty(len(order), np.int64), -(-len(order) // documents)
+        place[order] = np.arange(len(order))
+        found = pc.list_flatten(b.column("t")).dictionary_encode()
+        size, bits = lengths[order], {f"{a}_bits": b.column(f"{a}_bits").to_numpy()[order] for a in attributes}
+        keys = found.indices.to_numpy().astype(np.int64) * (blocks * documents) + np.repeat(place, lengths)
+        keys.sort()
+        heads = np.flatnonzero(np.diff(keys, prepend=-1))
+        tf, keys = np.diff(heads, append=len(keys)).astype(np.int32), keys[heads]
+        at = np.flatnonzero(np.diff(keys // documents, prepend=-1))
+        where, ends = keys % (blocks * documents), np.append(at, len(keys)).astype(np.int32)
+        each = {"n": np.diff(ends).astype(np.int64), "block": block + where[at] // documents}
+        if len(at):
+            each |= {"most": np.maximum.reduceat(tf, at).astype(np.int64), "least": np.minimum.reduceat(size[where], at)}
+            each |= {k: np.bitwise_or.reduceat(v[where], at) for k, v in bits.items()}
+            lists = {"slots": pa.ListArray.from_arrays(ends, (where % documents).astype(np.int32)), "tfs": pa.ListArray.from_arrays(ends, tf)}
+            yield batch({"term": found.dictionary.take(pa.array(keys[at] // (blocks * documents))), **each, **lists}, len(at))
+        ends = np.append(np.arange(0, len(order), documents), len(order)).astype(np.int32)
+        of = {"ids": b.column("id"), **{a: b.column(a) for a in attributes}}
+        held = {k: pa.ListArray.from_arrays(ends, v.take(pa.array(order))) for k, v in of.items()}
+        yield batch({"block": block + np.arange(blocks), "n": np.diff(ends).astype(np.int64), "most": np.add.reduceat(size, ends[:-1]), "lengths": pa.ListArray.from_arrays(ends, size), **held}, blocks)
+
+    def batch(columns: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(n, types[k]) if k not in columns else pa.array(columns[k]).cast(types[k]) for k in names], names=names)
+
+    types: dict[str, pa.DataType] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for b in batches:
+            ints = dict.fromkeys(["block", "n", "most", "least", *[f"{a}_bits" for a in attributes]], pa.int64())
+            types.update(ints, term=pa.string(), slots=pa.list_(pa.int32()), tfs=pa.list_(pa.int32()), lengths=pa.list_(pa.int64()), ids=pa.list_(b.column("id").type), **{a: pa.list_(pa.string()) for a in attributes})
+            lengths = pc.list_value_length(b.column("t")).to_numpy().astype(np.int64)
+            for first, end in _groups(lengths, 16 * documents, words):
+                yield from rows(b.slice(first, end - first), lengths[first:end], block)
+                block += -(-(end - first) // documents)
+
+    return run
+
+
 class Index:
-    """Postings, headers and totals under folders that Spark writes: one, or the segments of a version, each with the postings of the texts that it adds.
+    """Packed rows and totals under folders that Spark writes: one, or the segments of a version, each with the postings of the texts that it adds.
 
     ``alive`` leaves out the hits (with segment_, the number of their folder) of texts that later segments have as gone. Their terms are taken off in the headers and totals of
-    those segments, so scores are those of an index made anew. ``attributes`` are columns, read as strings, that stand in the postings and that a query may ask to be equal to a
+    those segments, so scores are those of an index made anew. ``attributes`` are columns, read as strings, that stand with the documents and that a query may ask to be equal to a
     value.
     """
 
-    #: Folders of postings.
-    PARTS = 64
-    #: Documents for each block of a half octave of length, about, were all of that length.
+    #: Documents of a block, at most.
     DOCUMENTS = 1024
+    #: Terms that a task packs at a time.
+    WORDS = 2_000_000
     #: Blocks that are scored for a threshold.
     FIRST = 16
     #: Ranges of blocks, about, that the scan of a segment is given.
@@ -89,36 +148,48 @@ class Index:
 
     @classmethod
     def write(cls, docs: DataFrame, at: str, id_: str = "id", text: str = "search_text", less: DataFrame | None = None, attributes: tuple[str, ...] = (), near: str | None = None) -> Index:
-        """Each text is cut into terms once. Postings are dealt by ranges of (folder, term, block, document), so tasks are alike whatever the size and a hot term
-        is in many. ``less``: texts of earlier segments that are gone. ``near``: an attribute whose equal values share blocks, for filters of few documents."""
-        part = F.pmod(F.xxhash64("term"), F.lit(cls.PARTS)).cast("int")
-        buckets = docs.count() // cls.DOCUMENTS + 1
-        block = F.floor(2 * F.log2("length")) * buckets + F.pmod(F.xxhash64(near or "id"), F.lit(buckets))
-        found = postings(docs, id_, text, attributes).withColumns({"block": block, "part": part})
-        order = ["part", "term", "block", "id"]
-        found.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{at}/postings")
-        index = cls(docs.sparkSession, at, id_type=found.schema["id"].dataType.simpleString(), attributes=attributes)
-        held = index._postings(at)
-        bits = [F.bit_or(_bit(F.col(a))).alias(f"{a}_bits") for a in attributes]
-        headers = held.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), *bits)
+        """Each text is dealt to a task, whatever files it came in, and cut into terms once. ``less``: texts of earlier segments that are gone. ``near``: an attribute whose equal
+        values come to one task, so that they share blocks, for filters of few documents."""
+        index = cls(docs.sparkSession, at, id_type=docs.schema[id_].dataType.simpleString(), attributes=attributes)
+        kept = [F.col(a).cast("string").alias(a) for a in attributes]
+        dealt = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text_"), *kept).repartition(near or "id")
+        if near:
+            dealt = dealt.sortWithinPartitions(near)
+        bits = [_bit(F.col(a)).alias(f"{a}_bits") for a in attributes]
+        names = index._schema().split(", ")
+        rows = dealt.select("id", terms(F.col("text_")).alias("t"), *attributes, *bits).mapInArrow(_packed(cls.DOCUMENTS, cls.WORDS, attributes, [x.split()[0] for x in names]), index._schema())
         if less is not None:
-            gone = postings(less, id_, text).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
-            headers = headers.unionByName(gone, allowMissingColumns=True)
-        headers.sortWithinPartitions("term", "block").write.parquet(f"{at}/headers")
-        sums = held.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("terms")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n")))  # one row each
+            gone = less.select(F.explode(F.array_distinct(terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
+            rows = rows.unionByName(gone, allowMissingColumns=True)
+        rows.sortWithinPartitions("term", "block").write.parquet(f"{at}/blocks")
+        sums = index._rows(at).where("term IS NULL").agg(F.coalesce(F.sum("most"), F.lit(0)).cast("double").alias("terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         if less is not None:
             off = less.agg((-F.coalesce(F.sum(F.size(terms(F.coalesce(F.col(text), F.lit(""))))), F.lit(0))).cast("double").alias("terms"), (-F.count(F.lit(1))).alias("n"))
             sums = sums.unionByName(off)
         sums.agg(F.sum("terms").alias("terms"), F.sum("n").alias("n")).coalesce(1).write.parquet(f"{at}/totals")
         return index
 
+    def _schema(self) -> str:
+        """Of a term in a block: n, most, least, bits, slots, tfs. Of a block (no term): n, most (the terms of all its documents), ids, lengths, attributes by slots. Of a term of texts
+        that are gone (no block): n, less than 0."""
+        bits, held = "".join(f", {a}_bits bigint" for a in self.attributes), "".join(f", {a} array<string>" for a in self.attributes)
+        return f"term string, block bigint, n bigint, most bigint, least bigint{bits}, slots array<int>, tfs array<int>, ids array<{self.id_type}>, lengths array<bigint>{held}"
+
+    def _rows(self, at: str) -> DataFrame:
+        """With its schema, as a segment that adds no text has no file to take it from."""
+        return self.spark.read.schema(self._schema()).parquet(f"{at}/blocks")
+
     def hits(self, wanted: list[str], blocks: DataFrame | None = None) -> DataFrame:
-        """Postings of some terms, in some ``blocks`` (segment_, block) if given: part, term, segment_, block, id, length, tf and attributes."""
-        among = F.col("part").isin(self._parts(wanted)) & F.col("term").isin(wanted)
+        """Postings of some terms, in some ``blocks`` (segment_, block) if given: term, segment_, block, id, length, tf and attributes."""
         covers = None if blocks is None else self._covers(blocks)
         within = lambda n: F.lit(True) if covers is None else reduce(lambda a, b: a | b, [F.col("block").between(r.low, r.high) for r in covers if r.segment_ == n], F.lit(False))
-        found = reduce(DataFrame.unionByName, [self._postings(at).where(among & within(n)).withColumn("segment_", F.lit(n)) for n, at in enumerate(self.at)])
-        return self.alive(found if blocks is None else found.join(blocks, ["segment_", "block"], "left_semi"))
+        rows = lambda which: reduce(DataFrame.unionByName, [self._rows(at).where(which & within(n)).withColumn("segment_", F.lit(n)) for n, at in enumerate(self.at)])
+        found = rows(F.col("term").isin(wanted)).select("segment_", "block", "term", "slots", "tfs")
+        found = found if blocks is None else found.join(blocks, ["segment_", "block"], "left_semi")
+        both = found.join(rows(F.col("term").isNull()).select("segment_", "block", "ids", "lengths", *self.attributes), ["segment_", "block"])
+        of = {"id": "ids", "length": "lengths", **{a: a for a in self.attributes}}
+        one = lambda x: F.struct(x["tfs"].cast("bigint").alias("tf"), *[F.get(F.col(v), x["slots"]).alias(k) for k, v in of.items()])
+        return self.alive(both.select("segment_", "block", "term", F.explode(F.transform(F.arrays_zip("slots", "tfs"), one)).alias("p")).select("term", "segment_", "block", "p.*"))
 
     def _covers(self, blocks: DataFrame) -> list:
         """segment_, low, high: at most ``RANGES`` + 1 ranges of blocks for each segment, that hold all of ``blocks``."""
@@ -128,18 +199,8 @@ class Index:
 
     def headers(self, wanted: list[str]) -> DataFrame:
         """Headers of some terms, of all segments (segment_). Those of texts that are gone have no block."""
-        bits = "".join(f", {a}_bits bigint" for a in self.attributes)
-        read = self.spark.read.schema(f"term string, block bigint, n bigint, most bigint, least bigint{bits}")
-        return reduce(DataFrame.unionByName, [read.parquet(f"{at}/headers").withColumn("segment_", F.lit(n)) for n, at in enumerate(self.at)]).where(F.col("term").isin(wanted))
-
-    def _parts(self, wanted: list[str]) -> list[Column]:
-        """The folders of some terms: constants, which Catalyst folds and prunes by."""
-        return [F.pmod(F.xxhash64(F.lit(w)), F.lit(self.PARTS)).cast("int") for w in wanted]
-
-    def _postings(self, at: str) -> DataFrame:
-        """With its schema, as a segment that adds no text has no file to take it from."""
-        held = "".join(f", {a} string" for a in self.attributes)
-        return self.spark.read.schema(f"term string, id {self.id_type}, length bigint, tf bigint{held}, block bigint, part int").parquet(f"{at}/postings")
+        read = lambda at: self._rows(at).select("term", "block", "n", "most", "least", *[f"{a}_bits" for a in self.attributes])
+        return reduce(DataFrame.unionByName, [read(at).withColumn("segment_", F.lit(n)) for n, at in enumerate(self.at)]).where(F.col("term").isin(wanted))
 
     def totals(self) -> DataFrame:
         return self.spark.read.parquet(*[f"{at}/totals" for at in self.at]).agg(F.sum("terms").alias("terms"), F.sum("n").alias("n"))
@@ -173,7 +234,8 @@ class Index:
         """segment_, block: what must be read for the ``limit`` best. The threshold is their least score in the ``FIRST`` blocks that promise most."""
         promised = self.promises(wanted, where)
         first = promised.orderBy(F.desc("bound"), "segment_", "block").limit(self.FIRST + 1).select("segment_", "block").collect()
-        some = self.spark.createDataFrame(first[: self.FIRST], "segment_ int, block bigint")
+        named = [F.struct(F.lit(r.segment_).cast("int").alias("segment_"), F.lit(r.block).cast("bigint").alias("block")) for r in first[: self.FIRST]]
+        some = self.spark.range(1).select(F.inline(F.array(*named))) if named else promised.select("segment_", "block").limit(0)
         if len(first) <= self.FIRST:
             return some  # all that there are
         top = self._scored(wanted, some, keep, where or {}).limit(limit).collect()

@@ -302,6 +302,26 @@ def test_index_reads_only_its_terms(spark, tmp_path):
     assert [r.id for r in index.ranked("alpha", 3, spark.createDataFrame([(5,), (5,), (6,)], "id bigint")).collect()] == [6, 5]
 
 
+def test_index_packs_postings(spark, tmp_path, monkeypatch):
+    """A row for a term in a block, not for a posting; texts of one file are packed by several tasks, and long ones by themselves."""
+    monkeypatch.setattr(search.Index, "WORDS", 300)
+    texts = [(i, " ".join(f"w{(i * k) % 23}" for k in range(i % 40)) + " é.x don't" * (i % 2), None if i % 3 else "a") for i in range(800)] + [(900, None, "b"), (901, "w1 " * 1000, "b")]
+    docs = spark.createDataFrame(texts, "id bigint, search_text string, kind string").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these texts are few
+    index = search.Index.write(docs, str(tmp_path / "i"), attributes=("kind",))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wanted = ["w1", "w7", "é.x", "don't", "none"]
+    due = search.postings(docs, attributes=("kind",)).where(F.col("term").isin(wanted))
+    columns = ["term", "id", "length", "tf", "kind"]
+    found = sorted(map(tuple, index.hits(wanted).select(columns).collect()), key=repr)
+    assert found == sorted(map(tuple, due.select(columns).collect()), key=repr) and len(found) > 500
+    rows = index._rows(index.at[0])
+    assert rows.where("term IS NOT NULL").agg(F.sum("n")).first()[0] == search.postings(docs).count()
+    assert rows.where("term IS NOT NULL").count() < search.postings(docs).count() / 4
+    assert rows.where("term IS NULL").select(F.shiftright("block", 32)).distinct().count() > 1
+    assert index.totals().first().n == 802
+
+
 def blocks_of(index, wanted, limit, **given):
     """Blocks that hold a term of a query, and those that are read for it."""
     return index.promises(wanted).count(), index.surviving(wanted, limit, **given).count()
