@@ -8,6 +8,7 @@ import os
 import random
 import subprocess
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,18 @@ def test_parts_of_an_inventory(spark):
         packing.parts(entries, ["k"], "e", 100, single=39).collect()
 
 
+def test_chunks_are_made_in_bounded_batches():
+    """A worker gives out what it has cut before it goes on, however many files one batch brings."""
+    body = "".join(f"key{i}: {'value ' * 20}\n" for i in range(400))
+    files = [(f"d/{i}.yaml", body, f"{i}") for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files, strict=True)], names=["path", "content", "content_hash"])
+    out = list(chunking._chunked("syntax", None)(iter([batch])))
+    assert len(out) > 5 and max(b.nbytes for b in out) < 3 * chunking._HELD < sum(b.nbytes for b in out)
+    got = [(p, k) for b in out for p, k in zip(b.column("path").to_pylist(), b.column("ordinal").to_pylist(), strict=True)]
+    each = len(chunking.spans(body, "d/0.yaml")[1])
+    assert got == [(f[0], k) for f in files for k in range(each)]
+
+
 def test_index_reads_only_its_terms(spark, tmp_path):
     rows = [(i, f"alpha {'beta ' * (i % 3)}word{i}") for i in range(200)] + [(900, None), (901, "")]
     index = search.Index.write(spark.createDataFrame(rows, "id bigint, search_text string"), str(tmp_path / "i"))
