@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,11 +52,15 @@ def release_status(names: DataFrame, published: DataFrame, aliases: DataFrame) -
 def matching(published: DataFrame, selectors: DataFrame) -> DataFrame:
     """selector and the rows of ``published`` (commit, tag, ...) that it names: a tag, a commit, or 7 to 64 lower-case hex digits that start one.
 
-    Both sides meet by equal tags, or by equal leading seven digits of commits.
+    Both sides meet by equal tags or commits, or by equal leading seven digits of commits. A row is shuffled under those of its names only that some selector can be: hex commits
+    under their digits, tags only if there is a selector that is not hex or the tag is hex.
     """
-    short = F.when(F.col("selector").rlike(r"\A[0-9a-f]{7,64}\z"), F.substring("selector", 1, 7)).otherwise(F.col("selector"))
-    asked = selectors.select("selector").distinct().select("selector", short.alias("key_"))
-    keys = F.array_distinct(F.array(F.substring("commit", 1, 7), F.col("commit"), F.col("tag")))
+    hex_ = lambda c: c.rlike(r"\A[0-9a-f]{7,64}\z")
+    selector, digits = F.col("selector"), F.substring("commit", 1, 7)
+    asked = selectors.select("selector").distinct().select("selector", F.when(hex_(selector), F.substring("selector", 1, 7)).otherwise(selector).alias("key_"))
+    others = selectors.where(~hex_(selector)).limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    whole = F.when(others & ~hex_(F.col("commit")), F.col("commit"))
+    tag = F.when(others | hex_(F.col("tag")), F.col("tag"))
+    keys = F.array_distinct(F.array_compact(F.array(F.when(hex_(digits), digits), whole, tag)))
     both = published.withColumn("key_", F.explode(keys)).join(asked, "key_")
-    hit = (F.col("commit") == F.col("selector")) | (F.col("tag") == F.col("selector")) | ((F.length("key_") == 7) & F.startswith("commit", "selector"))
-    return both.where(hit).drop("key_").select("selector", *published.columns)
+    return both.where((F.col("key_") == selector) | F.startswith("commit", "selector")).drop("key_").select("selector", *published.columns)

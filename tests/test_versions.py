@@ -4,8 +4,9 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from loamline.operators import chunking, search
+from loamline.operators import chunking, search, versions
 from loamline.plans import segments
 from loamline.plans.build import build
 from loamline.plans.corpus import Corpus
@@ -177,3 +178,16 @@ def test_rows_are_named_by_all_that_they_say(spark):
     assert len(set(got)) == 3 and got[0] == got[3]
     added, gone = segments.delta(segments.keyed(df.limit(2)), segments.keyed(df.where("x IS NULL OR y IS NULL")))
     assert [r.y for r in added.collect()] == ["a"] and [r.y for r in gone.collect()] == ["1"]
+
+
+def test_matching_shuffles_only_names_that_are_asked(spark):
+    """Without a selector that is a tag or no digits, a hex commit goes under its leading digits alone, and its tag is not carried along."""
+    commits = [(f"{i:064x}"[::-1], f"ver-{i:040x}") for i in range(1, 40)] + [("release/one", "ver-x"), ("abcdef1" + "0" * 33, "abcdef2")]
+    published = spark.createDataFrame(commits, "commit string, tag string")
+    ask = lambda *s: sorted((r.selector, r.commit) for r in versions.matching(published, spark.createDataFrame([(x,) for x in s], "selector string")).collect())
+    assert ask("abcdef1", commits[0][0], commits[1][0][:9]) == sorted([("abcdef1", commits[-1][0]), (commits[0][0],) * 2, (commits[1][0][:9], commits[1][0])])
+    assert ask("release/one", "ver-x", commits[2][1], "release") == sorted([("release/one",) * 2, ("ver-x", "release/one"), (commits[2][1], commits[2][0])])
+    assert ask("abcdef2", "abcdef") == [("abcdef2", commits[-1][0])]
+    found = versions.matching(published, spark.createDataFrame([("abcdef1",)], "selector string")).groupBy("selector").agg(F.min("commit"))
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "tag#" not in above
