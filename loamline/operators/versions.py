@@ -41,12 +41,35 @@ def mismatches(expected: DataFrame, found: DataFrame, key: str = "id", hash_: st
     return both.where(~F.col("expected_hash").eqNullSafe(F.col("found_hash"))).select(F.coalesce("a_key", "b_key").alias(key), "expected_hash", "found_hash")
 
 
+#: Beginnings of names whose rest is hex, by the byte that stands for them; 255 is any other text.
+_BEGINNINGS = ("", "ver-", "rel-")
+
+
+def _packed(text: Column) -> Column:
+    """A name in about half the bytes, for shuffles: hex digits as bytes after one for what stands before them. Equal only for equal names; null for null."""
+    packed = F.concat(F.lit(b"\x00"), F.unhex(text))
+    for n, begin in enumerate(_BEGINNINGS[1:], 1):
+        packed = F.when(F.startswith(text, F.lit(begin)), F.concat(F.lit(bytes([n])), F.unhex(F.substring(text, len(begin) + 1, 1 << 20)))).otherwise(packed)
+    hexed = text.rlike(rf"\A(?:{'|'.join(_BEGINNINGS[1:])})?[0-9a-f]{{2,128}}\z") & (F.length(text) % 2 == 0)
+    return F.when(hexed, packed).otherwise(F.concat(F.lit(b"\xff"), F.encode(text, "UTF-8")))
+
+
+def _unpacked(packed: Column) -> Column:
+    rest = F.substring(packed, 2, 1 << 20)
+    text = F.decode(rest, "UTF-8")
+    for n, begin in enumerate(_BEGINNINGS):
+        text = F.when(F.substring(packed, 1, 1) == F.lit(bytes([n])), F.concat(F.lit(begin), F.lower(F.hex(rest)))).otherwise(text)
+    return text
+
+
 def release_status(names: DataFrame, published: DataFrame, aliases: DataFrame) -> DataFrame:
     """ref, commit, tag, status of names (ref, commit, alias): ``pending`` until the commit is published (commit, tag), ``out-of-sync`` while
-    its alias (alias, target) is not there or points to another tag, else ``available``."""
-    joined = names.join(published.select("commit", "tag").distinct(), "commit", "left").join(aliases.select("alias", "target"), "alias", "left")
+    its alias (alias, target) is not there or points to another tag, else ``available``. What is shuffled is packed, and what is published only once."""
+    packed = lambda df, *columns: df.select(*[c for c in df.columns if c == "ref"], *[_packed(F.col(c)).alias(c) for c in columns])
+    known = packed(published, "commit", "tag").repartition("commit").distinct()
+    joined = packed(names, "commit", "alias").join(known, "commit", "left").join(packed(aliases, "alias", "target"), "alias", "left")
     status = F.when(F.col("tag").isNull(), "pending").when(~F.col("target").eqNullSafe(F.col("tag")), "out-of-sync").otherwise("available")
-    return joined.select("ref", "commit", "tag", status.alias("status"))
+    return joined.select("ref", _unpacked(F.col("commit")).alias("commit"), _unpacked(F.col("tag")).alias("tag"), status.alias("status"))
 
 
 def matching(published: DataFrame, selectors: DataFrame) -> DataFrame:

@@ -191,3 +191,16 @@ def test_matching_shuffles_only_names_that_are_asked(spark):
     found = versions.matching(published, spark.createDataFrame([("abcdef1",)], "selector string")).groupBy("selector").agg(F.min("commit"))
     above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "tag#" not in above
+
+
+def test_release_status_shuffles_packed_names(spark):
+    """Names are packed before joins, and come out as they were, whatever they are."""
+    odd = ["", "a", "abc", "AB" * 20, "ab" * 20, "ver-" + "0f" * 20, "rel-" + "0f" * 20, "rel-", "ver-0", "g" * 8, "\u00e9\u0000", None]
+    back = spark.createDataFrame([(x,) for x in odd], "x string").withColumn("p", versions._packed(F.col("x"))).select("x", "p", versions._unpacked(F.col("p")).alias("y")).collect()
+    assert all(r.x == r.y for r in back) and len({bytes(r.p) for r in back if r.p is not None}) == len(odd) - 1
+    assert {len(r.p) for r in back if r.x in ("ver-" + "0f" * 20, "ab" * 20)} == {21}
+    names = spark.createDataFrame([(f"r{k}", c, f"rel-{k}") for k, c in enumerate(["c1", "ab" * 20, "ab" * 20, None])], "ref string, commit string, alias string")
+    published = spark.createDataFrame([("c1", "t1"), ("c1", "t1"), ("ab" * 20, "ver-" + "cd" * 20)], "commit string, tag string")
+    aliases = spark.createDataFrame([("rel-0", "t1"), ("rel-1", "ver-" + "cd" * 20), ("rel-2", "ver-" + "CD" * 20)], "alias string, target string")
+    got = sorted(map(tuple, versions.release_status(names, published, aliases).collect()))
+    assert got == [("r0", "c1", "t1", "available"), ("r1", "ab" * 20, "ver-" + "cd" * 20, "available"), ("r2", "ab" * 20, "ver-" + "cd" * 20, "out-of-sync"), ("r3", None, None, "pending")]
