@@ -305,6 +305,17 @@ def test_chunks_are_made_in_bounded_batches():
     assert got == [(f[0], k) for f in files for k in range(each)]
 
 
+def test_chunks_and_recounts_are_dealt_and_bounded(spark, monkeypatch):
+    """Files of one partition are dealt by path before they are cut; a recount goes through slices too, null texts included."""
+    files = spark.createDataFrame([(f"{i}.md", "# A\n\nb\n") for i in range(20)], "path string, content string").coalesce(1)
+    assert "hashpartitioning(path" in chunking.chunks(files, "c")._jdf.queryExecution().executedPlan().toString()
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa", None, "b" * 50, "c"])], names=["t"])
+    assert [b.column("t").to_pylist() for b in chunking._slices(batch, "t", 3000)] == [["aa", None, "b" * 50], ["c"]]
+    assert [b.num_rows for b in chunking._slices(batch, "t", 20)] == [1, 1, 1, 1]
+    got = chunking.counted(spark.createDataFrame([("a b",), (None,)], "search_text string")).collect()
+    assert sorted(r.n_tokens for r in got) == [0, 2]
+
+
 def test_index_reads_only_its_terms(spark, tmp_path):
     rows = [(i, f"alpha {'beta ' * (i % 3)}word{i}") for i in range(200)] + [(900, None), (901, "")]
     index = search.Index.write(spark.createDataFrame(rows, "id bigint, search_text string"), str(tmp_path / "i"))
