@@ -1,12 +1,14 @@
 """Edges of classification, chunking, checks and publication on small inline trees."""
 
 import base64
+import dataclasses
 import hashlib
 import json
 import math
 import os
 import random
 import subprocess
+import time
 
 import pyarrow as pa
 import pytest
@@ -316,6 +318,22 @@ def test_chunks_and_recounts_are_dealt_and_bounded(spark, monkeypatch):
     assert sorted(r.n_tokens for r in got) == [0, 2]
 
 
+def test_a_text_is_counted_once():
+    """Units that merge, are cut or are entered are not counted again; a name is not looked for anew in each letter of a long run."""
+    own, handed = chunking.words_and_marks(), []
+    counter = dataclasses.replace(own, count=lambda text: handed.append(text) or own.count(text))
+    long = "class K {\n" + "".join(f"  go{i}() {{\n{'    a.b(c);' * 9}\n  }}\n" for i in range(300)) + "}\n"
+    for path, text in {"a.md": "one two\n\n" * 3000, "a.txt": "\u00e9 b1_\u0661 \U0001f600x\x1cy\ufeff" * 900, "a.ts": long}.items():
+        handed.clear()
+        found, whole = chunking.spans(text, path, counter=counter)[1], chunking.Counted(text, own)
+        assert len(found) > 2 and sum(map(len, handed)) < len(text)
+        assert [m.span() for m in chunking._TOKEN.finditer(text)] == list(zip(whole.begins, whole.ends))
+        assert all(whole.of(path + "\n", u.start, u.end) == own.count(path + "\n" + text[u.start : u.end]) for u in found)
+    began = time.perf_counter()
+    chunking.spans("a" * 40_000 + ";\n", "a.ts")
+    assert time.perf_counter() - began < 5
+
+
 def test_index_reads_only_its_terms(spark, tmp_path):
     rows = [(i, f"alpha {'beta ' * (i % 3)}word{i}") for i in range(200)] + [(900, None), (901, "")]
     index = search.Index.write(spark.createDataFrame(rows, "id bigint, search_text string"), str(tmp_path / "i"))
