@@ -158,20 +158,19 @@ class Index:
         bits = [_bit(F.col(a)).alias(f"{a}_bits") for a in attributes]
         names = index._schema().split(", ")
         rows = dealt.select("id", terms(F.col("text_")).alias("t"), *attributes, *bits).mapInArrow(_packed(cls.DOCUMENTS, cls.WORDS, attributes, [x.split()[0] for x in names]), index._schema())
-        if less is not None:
-            gone = less.select(F.explode(F.array_distinct(terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
-            rows = rows.unionByName(gone, allowMissingColumns=True)
+        if less is not None:  # gone through once: what each term loses, and what all lose
+            cut = less.select(terms(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+            none = F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("bigint").alias("most"))
+            each = cut.select(F.inline(F.concat(F.array(none), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(None).cast("bigint").alias("most"))))))
+            rows = rows.unionByName(each.groupBy("term").agg((-F.count(F.lit(1))).alias("n"), (-F.sum("most")).alias("most")), allowMissingColumns=True)
         rows.sortWithinPartitions("term", "block").write.parquet(f"{at}/blocks")
         sums = index._rows(at).where("term IS NULL").agg(F.coalesce(F.sum("most"), F.lit(0)).cast("double").alias("terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-        if less is not None:
-            off = less.agg((-F.coalesce(F.sum(F.size(terms(F.coalesce(F.col(text), F.lit(""))))), F.lit(0))).cast("double").alias("terms"), (-F.count(F.lit(1))).alias("n"))
-            sums = sums.unionByName(off)
-        sums.agg(F.sum("terms").alias("terms"), F.sum("n").alias("n")).coalesce(1).write.parquet(f"{at}/totals")
+        sums.coalesce(1).write.parquet(f"{at}/totals")
         return index
 
     def _schema(self) -> str:
         """Of a term in a block: n, most, least, bits, slots, tfs. Of a block (no term): n, most (the terms of all its documents), ids, lengths, attributes by slots. Of a term of texts
-        that are gone (no block): n, less than 0."""
+        that are gone, or of them all (no block): n, of all also most, less than 0."""
         bits, held = "".join(f", {a}_bits bigint" for a in self.attributes), "".join(f", {a} array<string>" for a in self.attributes)
         return f"term string, block bigint, n bigint, most bigint, least bigint{bits}, slots array<int>, tfs array<int>, ids array<{self.id_type}>, lengths array<bigint>{held}"
 

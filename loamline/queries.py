@@ -276,6 +276,7 @@ def _two_segments(spark, sf_dir):
     held = segments.live(spark, root, segments_[:1], "files")
     added, gone = segments.delta(files("B"), held)
     added.write.parquet(f"{root}/b/files")
+    gone = stored(gone, "gone")  # for its names, and for what it takes off the index
     segments.names(gone).write.parquet(f"{root}/b/gone")
     return root, segments_, gone
 

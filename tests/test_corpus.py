@@ -334,6 +334,29 @@ def test_a_text_is_counted_once():
     assert time.perf_counter() - began < 5
 
 
+def test_texts_that_are_gone_are_gone_through_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    old = [(f"o{i}", ["alpha beta beta", "alpha", "", None][i % 4]) for i in range(40)]
+    gone, new = [x for x in old if int(x[0][1:]) < 10], [("n1", "beta gamma")]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, search_text string")
+    less = frame(gone).withColumn("search_text", F.udf(read).asNondeterministic()("search_text"))
+    search.Index.write(frame(old), f"{tmp_path}/a")
+    search.Index.write(frame(new), f"{tmp_path}/b", less=less)
+    assert seen.value == len(gone)
+    whole = search.Index.write(frame([x for x in old if x not in gone] + new), f"{tmp_path}/c")
+    names = frame(gone).select(F.col("id").alias("gone_id"))
+    parts = search.Index(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], lambda hits: hits.join(names, (F.col("id") == F.col("gone_id")) & (F.col("segment_") == 0), "left_anti"))
+    assert parts.totals().first() == whole.totals().first()
+    assert parts.ranked("alpha beta gamma", 50).collect() == whole.ranked("alpha beta gamma", 50).collect()
+    nothing = search.Index.write(frame(new), f"{tmp_path}/d", less=frame(gone).limit(0))
+    assert tuple(nothing.totals().first()) == (2, 1)
+
+
 def test_index_reads_only_its_terms(spark, tmp_path):
     rows = [(i, f"alpha {'beta ' * (i % 3)}word{i}") for i in range(200)] + [(900, None), (901, "")]
     index = search.Index.write(spark.createDataFrame(rows, "id bigint, search_text string"), str(tmp_path / "i"))
