@@ -31,10 +31,15 @@ def line_count(text: Column) -> Column:
     return newlines + F.when((text != "") & ~F.endswith(text, F.lit("\n")), 1).otherwise(0)
 
 
+def newlines(data: Column) -> Column:
+    """In bytes, wherever they were cut."""
+    held = data.cast("string")
+    return F.octet_length(held) - F.octet_length(F.replace(held, F.lit("\n"), F.lit("")))
+
+
 def line_at_byte(text: Column, offset: Column) -> Column:
     """One more than the newlines before a byte offset."""
-    head = F.substring(F.encode(text, "UTF-8"), F.lit(1), offset.cast("int"))
-    return (F.length(head) - F.length(F.replace(F.decode(head, "ISO-8859-1"), F.lit("\n"), F.lit("")))) + 1
+    return newlines(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset.cast("int"))) + 1
 
 
 def is_blank(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.identity import base64, build_id, chunk_id, content_hash, file_id, valid_vector
-from loamline.functions.text import enrichment, line_at_byte
+from loamline.functions.text import enrichment, newlines
 
 from .chunking import MOST, counted
 from .embedding import skip_reason
@@ -39,19 +39,21 @@ def gaps(chunks: DataFrame, files: DataFrame) -> DataFrame:
 def _failed(df: DataFrame, id_: str, tests: dict) -> DataFrame:
     """A row for each of ``tests`` (name: (wrong, detail)) that a row of ``df`` fails, in one pass."""
     found = [F.when(wrong, F.struct(F.lit(name).alias("check_name"), detail.cast("string").alias("detail"))) for name, (wrong, detail) in tests.items()]
-    return df.select(F.col(id_).cast("string").alias("id"), F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.check_name", "id", "x.detail")
+    each = df.select(F.col(id_).cast("string").alias("id"), F.array_compact(F.array(*found)).alias("found_"))  # what tests share is worked out once in a projection
+    return each.select("id", F.explode("found_").alias("x")).select("x.check_name", "id", "x.detail")
 
 
 def violations(files: DataFrame, chunks: DataFrame, inventory: DataFrame, config_hash: str) -> DataFrame:
     """``files`` (id, path, content_hash, byte_length, chunk_count, source_text, config_hash), ``chunks``, ``inventory`` (path, status, file_id, content_hash)."""
-    digest = content_hash(F.col("source_text"))
+    lean = files.select("id", "path", "content_hash", "byte_length", "chunk_count", "config_hash", content_hash(F.col("source_text")).alias("digest_"), F.octet_length("source_text").alias("size_"))  # joined without texts
+    digest, size = F.col("digest_"), F.col("size_")
     counts = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
     listed = inventory.where("status = 'included'").select(F.col("file_id").alias("listed_id"), F.col("path").alias("listed_path"), F.col("content_hash").alias("listed_hash"))
-    f = files.join(counts, files.id == counts.file_id, "left").drop("file_id").join(listed, F.col("id") == F.col("listed_id"), "full_outer")
+    f = lean.join(counts, lean.id == counts.file_id, "left").drop("file_id").join(listed, F.col("id") == F.col("listed_id"), "full_outer")
     there, n = F.col("id").isNotNull(), F.coalesce("n", F.lit(0))
     of_files = _failed(f.withColumn("which", F.coalesce("id", "listed_id")), "which", {
         "file-content-hash": (there & (digest != F.col("content_hash")), digest),
-        "file-byte-length": (there & (F.octet_length("source_text") != F.col("byte_length")), F.octet_length("source_text")),
+        "file-byte-length": (there & (size != F.col("byte_length")), size),
         "file-id": (there & (file_id(base64(F.col("path")), F.col("content_hash")) != F.col("id")), F.col("path")),
         "file-config": (there & (F.col("config_hash") != config_hash), F.col("config_hash")),
         "file-missing": (~there, F.col("listed_path")),
@@ -60,10 +62,13 @@ def violations(files: DataFrame, chunks: DataFrame, inventory: DataFrame, config
         "chunk-count": (there & (n != F.col("chunk_count")), n),
         "chunk-ordinals": (there & ((F.col("first") != 0) | (F.col("last") != F.col("n") - 1)), F.col("last")),
     })
-    own = files.select(F.col("id").alias("of_file"), "source_text", "byte_length", F.col("content_hash").alias("of_hash"), F.col("path").alias("of_path"))
+    own = files.select(F.col("id").alias("of_file"), F.encode("source_text", "UTF-8").alias("bytes_"), "byte_length", F.col("content_hash").alias("of_hash"), F.col("path").alias("of_path"))
     c = chunks.join(own, F.col("file_id") == F.col("of_file"))
-    start, end, text = F.col("start_byte"), F.col("end_byte"), F.col("source_text")
-    body = F.substring(F.encode(text, "UTF-8"), (start + 1).cast("int"), (end - start).cast("int")).cast("string")
+    start, end, data, body = F.col("start_byte"), F.col("end_byte"), F.col("bytes_"), F.col("body_")
+    # The file is encoded once, and what stands before a chunk is gone through once; the last line is found from the first.
+    low, high = F.greatest(start, F.lit(0)), F.greatest(start, end - 1, F.lit(0))
+    before, inside = newlines(F.substring(data, F.lit(1), low.cast("int"))), newlines(F.substring(data, (low + 1).cast("int"), (high - low).cast("int")))
+    c = c.select(*chunks.columns, "byte_length", "of_hash", "of_path", F.substring(data, (start + 1).cast("int"), (end - start).cast("int")).cast("string").alias("body_"), before.alias("before_"), inside.alias("inside_"))
     again = chunk_id(F.col("file_id"), F.col("config_hash"), start, end, F.col("ordinal"))
     of_chunks = _failed(c, "id", {
         "chunk-range": ((end <= start) | (start < 0) | (end > F.col("byte_length")), end),
@@ -72,7 +77,7 @@ def violations(files: DataFrame, chunks: DataFrame, inventory: DataFrame, config
         "chunk-text": (~F.endswith("search_text", body), start),
         "chunk-prefix": (~F.col("search_text").eqNullSafe(F.concat(enrichment(F.col("path"), F.col("scope"), F.col("symbol")), body)), start),
         "chunk-file": ((F.col("content_hash") != F.col("of_hash")) | (F.col("path") != F.col("of_path")), F.col("path")),
-        "chunk-lines": ((F.col("start_line") != line_at_byte(text, start)) | (F.col("end_line") != line_at_byte(text, F.greatest(start, end - 1))), F.col("start_line")),
+        "chunk-lines": ((start.isNotNull() & (F.col("start_line") != F.col("before_") + 1)) | ((start.isNotNull() | end.isNotNull()) & (F.col("end_line") != F.col("before_") + F.col("inside_") + 1)), F.col("start_line")),
         "chunk-tokens": (F.col("token_count") > MOST, F.col("token_count")),
         "chunk-config": (F.col("config_hash") != config_hash, F.col("config_hash")),
     })

@@ -131,6 +131,7 @@ def build_violations(spark, sf_dir):
     digest = identity.content_hash(F.col("content"))
     f = inc.select(identity.file_id(identity.base64(F.col("path")), digest).alias("id"), "path", digest.alias("content_hash"), F.octet_length("content").cast("bigint").alias("byte_length"), F.col("content").alias("source_text"), F.lit(own).alias("config_hash"))
     f = f.join(c.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunk_count")), F.col("id") == F.col("file_id")).drop("file_id")
+    f = stored(f, "files")  # as a version keeps them; five checks read them
     odd = F.substring("file_id", 3, 1)
     broken = c.where(~((odd == "0") & (F.col("ordinal") == 0))).withColumn("token_count", F.when(odd == "1", F.lit(9999)).otherwise(F.col("token_count"))).withColumn("end_line", F.when(odd == "2", F.col("end_line") + 1).otherwise(F.col("end_line")))
     return checks.violations(f, broken.unionByName(c.where(odd == "3")), inventory(tree(spark, sf_dir)), own)

@@ -334,6 +334,28 @@ def test_a_text_is_counted_once():
     assert time.perf_counter() - began < 5
 
 
+def test_lines_are_counted_from_bytes_that_are_encoded_once(spark):
+    """As lines before the bytes of whole files, for ranges that are wrong too: reversed, beyond the file, before it, inside a character, unknown."""
+    body = "\n\u00e9\na\U0001f600b\n\nlast"
+    data = body.encode()
+    files = spark.createDataFrame([("f", "p", "h", len(data), 1, body, "c")], "id string, path string, content_hash string, byte_length bigint, chunk_count bigint, source_text string, config_hash string")
+    at = lambda offset: data[: max(0, offset)].count(b"\n") + 1
+    ranges = [(a, b) for a in (-3, 0, 1, 2, 7, len(data), 99) for b in (-1, 0, 3, 8, 12, len(data), 99)] + [(None, 4), (2, None), (None, None)]
+    rows, due = [], set()
+    for n, (a, b) in enumerate(ranges):
+        high = max([x for x in (a, None if b is None else b - 1) if x is not None], default=None)
+        right = at(a) if a is not None else 1, at(high) if high is not None else 1
+        for k, (first, last) in enumerate([right, (right[0] + 1, right[1]), (right[0], right[1] + 1)]):
+            rows.append((f"{n}-{k}", "f", "p", "h", "c", a, b, first, last, 0, None, None, body, 1))
+            if (a is not None and first != right[0]) or (high is not None and last != right[1]):
+                due.add(f"{n}-{k}")
+    names = "id string, file_id string, path string, content_hash string, config_hash string, start_byte bigint, end_byte bigint, start_line bigint, end_line bigint, ordinal bigint, scope string, symbol string, search_text string, token_count bigint"
+    listed = spark.createDataFrame([("p", "included", "f", "h")], "path string, status string, file_id string, content_hash string")
+    found = checks.violations(files, spark.createDataFrame(rows, names), listed, "c")
+    assert {r.id for r in found.where("check_name = 'chunk-lines'").collect()} == due and len(due) > 80
+    assert found.where("check_name = 'chunk-lines'")._jdf.queryExecution().optimizedPlan().toString().count("encode(source_text") == 1
+
+
 def test_texts_that_are_gone_are_gone_through_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
